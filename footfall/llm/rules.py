@@ -16,6 +16,8 @@ PRIOR = 0.8
 #: Prior knowledge on precision: at most this share of a rule's bad votes falls on good texts. Most bad texts break one
 #: rule only, so without the bound the other rules' good votes would outweigh it.
 FALSE_SHARE = 0.05
+#: For the same reason a good vote is weak evidence: it is at most this many times likelier on good texts than on bad.
+GOOD_RATIO = 1.25
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
@@ -107,6 +109,7 @@ def fit(voted: DataFrame, names: list[str], rounds: int = ROUNDS) -> tuple[float
             all_bad = (sums[f"{k}_1_0"] + sums[f"{k}_0_0"] + 1) / (sums["t1"] + sums["t0"] + 3)
             good, none, bad = model[1][k]
             model[1][k] = (good, none, min(bad, FALSE_SHARE * all_bad / prior))
+            model[0][k] = (max(model[0][k][0], good / GOOD_RATIO), *model[0][k][1:])
     return prior, model
 
 

@@ -10,8 +10,9 @@ from .common import cut, words
 
 SYMBOLS = "#*$%&|<>"
 ROUNDS, KEEP_AT = 12, 0.5
-#: Probabilities of a vote (good, none, bad) given the class, to start from, and the starting share of good texts.
-START = {1: (0.90, 0.098, 0.002), 0: (0.55, 0.15, 0.30)}
+#: Probabilities of a good and of a bad vote, of those cast, given the class, to start from, and the starting share of
+#: good texts. That a rule abstains says nothing on the class.
+START = {1: (0.998, 0.002), 0: (0.70, 0.30)}
 PRIOR = 0.8
 #: Prior knowledge on precision: at most this share of a rule's bad votes falls on good texts. Most bad texts break one
 #: rule only, so without the bound the other rules' good votes would outweigh it.
@@ -74,14 +75,14 @@ def votes(counts: DataFrame, rules: dict[str, tuple[str, str]] = RULES) -> DataF
     return counts.withColumns({k: F.when(F.col("n_words") == 0, F.lit(0)).otherwise(_vote(F.expr(bad), F.expr(good))) for k, (bad, good) in rules.items()})
 
 
-def _likelihood(names: list[str], prior: float, model: dict[int, dict[str, tuple[float, float, float]]]) -> Column:
+def _likelihood(names: list[str], prior: float, model: dict[int, dict[str, tuple[float, float]]]) -> Column:
     """Posterior probability of class 1 from the votes."""
     joint = {}
     for kind, p in ((1, prior), (0, 1 - prior)):
         product = F.lit(float(p))
         for k in names:
-            good, none, bad = model[kind][k]
-            product = product * F.when(F.col(k) == 1, F.lit(good)).when(F.col(k) == 0, F.lit(none)).otherwise(F.lit(bad))
+            good, bad = model[kind][k]
+            product = product * F.when(F.col(k) == 1, F.lit(good)).when(F.col(k) == -1, F.lit(bad)).otherwise(F.lit(1.0))
         joint[kind] = product
     return joint[1] / (joint[1] + joint[0])
 
@@ -99,17 +100,17 @@ def fit(voted: DataFrame, names: list[str], rounds: int = ROUNDS) -> tuple[float
         weight = {1: F.col("n") * F.col("p"), 0: F.col("n") * (1 - F.col("p"))}
         sums = with_p.agg(
             *[F.sum(weight[kind]).alias(f"t{kind}") for kind in (1, 0)],
-            *[F.sum(F.when(F.col(k) == v, weight[kind]).otherwise(0.0)).alias(f"{k}_{kind}_{v + 1}") for kind in (1, 0) for k in names for v in (1, 0, -1)],
+            *[F.sum(F.when(F.col(k) == v, weight[kind]).otherwise(0.0)).alias(f"{k}_{kind}_{v + 1}") for kind in (1, 0) for k in names for v in (1, -1)],
         ).first()
         if not sums["t1"] and not sums["t0"]:
             break
         prior = (sums["t1"] + 1) / (sums["t1"] + sums["t0"] + 2)
-        model = {kind: {k: tuple((sums[f"{k}_{kind}_{v + 1}"] + 1) / (sums[f"t{kind}"] + 3) for v in (1, 0, -1)) for k in names} for kind in (1, 0)}
         for k in names:
-            all_bad = (sums[f"{k}_1_0"] + sums[f"{k}_0_0"] + 1) / (sums["t1"] + sums["t0"] + 3)
-            good, none, bad = model[1][k]
-            model[1][k] = (good, none, min(bad, FALSE_SHARE * all_bad / prior))
-            model[0][k] = (max(model[0][k][0], good / GOOD_RATIO), *model[0][k][1:])
+            g1, b1, g0, b0 = (sums[f"{k}_{x}"] for x in ("1_2", "1_0", "0_2", "0_0"))
+            all_bad = (b1 + b0 + 1) / (g1 + b1 + g0 + b0 + 2)
+            good, bad = (g1 + 1) / (g1 + b1 + 2), (b1 + 1) / (g1 + b1 + 2)
+            model[1][k] = good, min(bad, FALSE_SHARE * all_bad / prior)
+            model[0][k] = max((g0 + 1) / (g0 + b0 + 2), good / GOOD_RATIO), (b0 + 1) / (g0 + b0 + 2)
     return prior, model
 
 

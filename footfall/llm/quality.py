@@ -4,7 +4,7 @@ scored as sparse dot products."""
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -85,6 +85,21 @@ def ftrl(rows: list[tuple[tuple[np.ndarray, np.ndarray], float]], z: np.ndarray,
         n[at] = after
 
 
+def _shard_pass(state) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """One shard's pass from the broadcast state: what it adds to the state, by feature."""
+
+    def shard(frame: pd.DataFrame) -> pd.DataFrame:
+        known, (z0, n0) = _Tokens(), state.value
+        frame = frame.sort_values(["turn", "label"], kind="stable")
+        rows = [(features(t, known), y) for t, y in zip(frame["text"], frame["label"], strict=True)]
+        z1, n1 = z0.copy(), n0.copy()
+        ftrl(rows, z1, n1)
+        at = np.flatnonzero((z1 != z0) | (n1 != n0))
+        return pd.DataFrame({"at": at.astype(np.int32), "z": z1[at] - z0[at], "n": n1[at] - n0[at]})
+
+    return shard
+
+
 def train(labelled: DataFrame, max_rows: int = TRAIN_ROWS, epochs: int = EPOCHS) -> np.ndarray:
     """Weights from rows (doc_id, text, label): at most max_rows of them, taken by md5 of doc_id.
 
@@ -102,17 +117,7 @@ def train(labelled: DataFrame, max_rows: int = TRAIN_ROWS, epochs: int = EPOCHS)
     schema = "at int, z double, n double"
     dealt = sample.repartition(SHARDS, "shard").persist()
     for _ in range(epochs):
-        state = spark.sparkContext.broadcast((z, n))
-
-        def shard(frame: pd.DataFrame, state=state) -> pd.DataFrame:
-            known, (z0, n0) = _Tokens(), state.value
-            frame = frame.sort_values(["turn", "label"], kind="stable")
-            rows = [(features(t, known), y) for t, y in zip(frame["text"], frame["label"], strict=True)]
-            z1, n1 = z0.copy(), n0.copy()
-            ftrl(rows, z1, n1)
-            at = np.flatnonzero((z1 != z0) | (n1 != n0))
-            return pd.DataFrame({"at": at.astype(np.int32), "z": z1[at] - z0[at], "n": n1[at] - n0[at]})
-
+        shard = _shard_pass(spark.sparkContext.broadcast((z, n)))
         moved = dealt.groupBy("shard").applyInPandas(shard, schema).groupBy("at").agg((F.sum("z") / SHARDS).alias("z"), (F.sum("n") / SHARDS).alias("n")).toPandas()
         z, n = z.copy(), n.copy()
         z[moved["at"]] += moved["z"].to_numpy()

@@ -88,13 +88,15 @@ def posteriors(docs: DataFrame, model: np.ndarray, keep: Sequence[str] = ()) ->
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInPandas(batches, schema)
 
 
-def _rates(p: np.ndarray, tokens: np.ndarray, history: list[tuple[float, np.ndarray]]) -> np.ndarray:
-    """Every document's rate after the steps taken so far. A step is r <- max(0, y - step * gradient) from the
+def _rates(p: np.ndarray, tokens: np.ndarray, history: list[tuple[float, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Every document's rate, and the extrapolated point, after the steps taken so far. Distances between rates are
+    weighted by tokens, so a step moves long and short documents of one membership alike; those without tokens stay at
+    1. A step is r <- max(0, y - step * gradient) from the
     extrapolated point y; it depends on the document's own row and the shared direction of each step only, so the
     directions are all that has to be sent."""
     rate = point = np.ones(len(tokens))
     for momentum, direction in history:
-        moved = np.maximum(0.0, point - (p * tokens[:, None]) @ direction[:-1] - direction[-1] * (point - 1))
+        moved = np.where(tokens > 0, np.maximum(0.0, point - p @ direction[:-1] - direction[-1] * (point - 1)), 1.0)
         point = moved + momentum * (moved - rate)
         rate = moved
     return rate, point
@@ -119,17 +121,16 @@ def _totals(history) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame
 def fit_rates(members: DataFrame, targets: Sequence[float], iterations: int = ITERATIONS) -> tuple[list[tuple[float, np.ndarray]], float]:
     """Projected-gradient steps (with momentum) for the least-squares problem over rates r >= 0
 
-        sum_k w_k (sum_d p_dk t_d r_d - target_k)^2 + RIDGE * sum_d c_d (r_d - 1)^2
+        sum_k w_k (sum_d p_dk t_d r_d - target_k)^2 + RIDGE * sum_d t_d (r_d - 1)^2
 
     t_d: a document's share of all tokens; targets are shares of the final total, which is set so that no domain has to
     shrink: max_k(own share / target share). w_k evens out domains of unlike size. A step costs one pass over the small
     table of posteriors and one sum per domain; only these sums reach the driver. Returns the steps and that total.
     """
-    spread = F.aggregate(F.col("p"), F.lit(0.0), lambda a, x: a + x)
     k = len(targets)
     stats = members.agg(
         *[F.sum(F.col("p")[i] * F.col("share")).alias(f"m{i}") for i in range(k)],
-        *[F.sum(F.pow(F.col("p")[i] * F.col("share"), F.lit(2.0))).alias(f"q{i}") for i in range(k)], F.max(spread),
+        *[F.sum(F.col("p")[i] * F.col("p")[i] * F.col("share")).alias(f"q{i}") for i in range(k)],
     ).first()
     own = np.array([stats[f"m{i}"] or 0.0 for i in range(k)])
     square = np.array([stats[f"q{i}"] or 0.0 for i in range(k)])

@@ -5,10 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, neardup, quality, rules, secret_scan, sharding, urls
+from . import licenses, mixing, neardup, packing, quality, rules, secret_scan, sharding, topk, urls
 from .common import cut, scratch_path, table
 
 N_SHARDS = 40
+TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    """Where the public tokenizer files are installed; the same on driver and executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.quantised(table(spark, sf_dir, "embeddings"))
+    return topk.search(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = mixing.mixed(docs, labelled_domains(docs, table(spark, sf_dir, "labels")))
+    shares = [F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(mixing.TARGETS)]
+    return found.select("doc_id", "n_tokens", *shares, "rate", "copies")
+
+
+def labelled_domains(docs: DataFrame, labels: DataFrame, max_rows: int = mixing.FIT_ROWS) -> DataFrame:
+    """(doc_id, text, domain): the language of up to max_rows labelled documents, by md5 of doc_id. The bound is applied
+    to the labels, so the join sends them to the documents and moves no text."""
+    taken = labels.where("doc_id is not null").select("doc_id").distinct().orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(max_rows)
+    return docs.select("doc_id", "text", F.col("lang").alias("domain")).join(F.broadcast(taken), "doc_id")
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +65,10 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"), licenses.known_digests(spark))
 
@@ -46,5 +77,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op3_sharding, op4_quality, op5_rules, op6_neardup, op7_secrets, op9_licenses, op10_urls)}
+QUERIES = {f.__name__: f for f in (
+    op1_topk, op2_mixing, op3_sharding, op4_quality, op5_rules, op6_neardup, op7_secrets, op8_packing, op9_licenses, op10_urls,
+)}
 ORACLE_SQL: dict[str, str] = {}

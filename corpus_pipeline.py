@@ -1,4 +1,52 @@
-STAGES = []
+"""The training-data pipeline: quality, near-duplicates, secrets, mixture, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
+stage's docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from footfall.llm import mixing, neardup, packing, quality, secret_scan
+from footfall.llm.common import cut, table
+from footfall.llm.queries import labelled_domains, tokenizer_path
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return quality.judge(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return neardup.deduplicated(docs)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark; documents stay."""
+    return secret_scan.redact(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated until the languages' tokens match the targets; none has to go for that."""
+    return mixing.repeated(docs, mixing.fit(docs, labelled_domains(docs, table(spark, sf_dir, "labels"))))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of training sequences."""
+    return packing.pack(docs, tokenizer_path())
+
+
+STAGES = [("quality", quality_filter), ("near_dedup", near_dedup), ("secrets", redact_secrets), ("mixing", mix), ("packing", pack)]
+
+#: The classifier, the signatures and the tokenizer have no counterpart in SQL; the tests hold it against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

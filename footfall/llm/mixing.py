@@ -7,6 +7,7 @@ squares then fits a nonnegative rate for every document so that the expected tok
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -91,9 +92,8 @@ def posteriors(docs: DataFrame, model: np.ndarray, keep: Sequence[str] = ()) ->
 def _rates(p: np.ndarray, tokens: np.ndarray, history: list[tuple[float, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Every document's rate, and the extrapolated point, after the steps taken so far. Distances between rates are
     weighted by tokens, so a step moves long and short documents of one membership alike; those without tokens stay at
-    1. A step is r <- max(0, y - step * gradient) from the
-    extrapolated point y; it depends on the document's own row and the shared direction of each step only, so the
-    directions are all that has to be sent."""
+    1. A step is r <- max(0, y - step * gradient) from the extrapolated point y; it depends on the document's own row and
+    the shared direction of each step only, so the directions are all that has to be sent."""
     rate = point = np.ones(len(tokens))
     for momentum, direction in history:
         moved = np.where(tokens > 0, np.maximum(0.0, point - p @ direction[:-1] - direction[-1] * (point - 1)), 1.0)
@@ -154,31 +154,50 @@ def fit_rates(members: DataFrame, targets: Sequence[float], iterations: int = IT
     return history, total
 
 
-def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, iterations: int = ITERATIONS, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """One row per row of docs: the columns named in keep, n_tokens, p, rate (fitted, 0 or more) and copies, the rate
-    rounded to a whole number by the row's own hash, so that copies have the rate as their mean.
+class Mixture(NamedTuple):
+    """A fitted mixture: the classifier, the tokens of the corpus, and the steps that lead to every document's rate."""
 
-    A text that is null or has no word weighs nothing and keeps a rate near 1. Repeated rows are rated alike; an empty
-    table gives an empty result; columns not in keep are dropped.
-    """
+    model: np.ndarray
+    tokens: int
+    history: list[tuple[float, np.ndarray]]
+
+
+def fit(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, iterations: int = ITERATIONS) -> Mixture:
+    """Classifier from labelled (doc_id, text, domain), rates from all of docs."""
     targets = targets or TARGETS
     model = fit_classifier(labelled, list(targets))
-    found = posteriors(docs, model, keep)
-    members = cut(found, "posteriors")
+    members = cut(posteriors(docs, model), "posteriors")
     tokens = members.agg(F.sum("n_tokens")).first()[0] or 0
-    members = members.withColumn("share", F.col("n_tokens") / F.lit(float(max(tokens, 1))))
-    history, _ = fit_rates(members, list(targets.values()), iterations)
-    schema = T.StructType([*members.drop("share").schema.fields, T.StructField("rate", T.DoubleType())])
-    rated = members.mapInPandas(_rater(history), schema)
-    turn = F.pmod(F.xxhash64(*[F.col(c) for c in keep], F.lit("copies")), F.lit(1_000_000)) / 1e6
-    return rated.withColumn("copies", (F.floor("rate") + (turn < F.col("rate") - F.floor("rate")).cast("long")).cast("int"))
+    shares = members.select("p", (F.col("n_tokens") / F.lit(float(max(tokens, 1)))).alias("share"))
+    return Mixture(model, tokens, fit_rates(shares, list(targets.values()), iterations)[0])
+
+
+def rated(docs: DataFrame, mixture: Mixture, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """One row per row of docs: the columns named in keep (doc_id among them), n_tokens, p, rate (fitted, 0 or more) and
+    copies, the rate rounded to a whole number by the hash of doc_id, so that copies have the rate as their mean.
+
+    A text that is null or has no word weighs nothing and keeps the rate 1. Repeated rows are rated alike; an empty
+    table gives an empty result; columns not in keep are dropped. No shuffle: a rate depends on the row and the mixture.
+    """
+    keep = [c for c in keep if c not in ("n_tokens", "p", "rate", "copies")]
+    found = posteriors(docs, mixture.model, keep)
+    schema = T.StructType([*found.schema.fields, T.StructField("rate", T.DoubleType())])
+    turn = F.pmod(F.xxhash64("doc_id", F.lit("copies")), F.lit(1_000_000)) / 1e6
+    copies = (F.floor("rate") + (turn < F.col("rate") - F.floor("rate")).cast("long")).cast("int")
+    return found.mapInPandas(_rater(mixture), schema).withColumn("copies", copies)
+
+
+def repeated(docs: DataFrame, mixture: Mixture) -> DataFrame:
+    """docs with every row as often as its copies say, in the columns of docs."""
+    return rated(docs, mixture, docs.columns).where("copies > 0").withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+
 
+def _rater(mixture: Mixture) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    tokens, history = float(max(mixture.tokens, 1)), mixture.history
 
-def _rater(history) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if len(frame):
-                rate = _rates(np.stack(frame["p"].to_list()), frame["share"].to_numpy(), history)[0]
-                yield frame.drop(columns="share").assign(rate=rate)
+                yield frame.assign(rate=_rates(np.stack(frame["p"].to_list()), frame["n_tokens"].to_numpy() / tokens, history)[0])
 
     return batches

@@ -1,0 +1 @@
+"""Spark jobs over large collections of replicated spatial point patterns."""

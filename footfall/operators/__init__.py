@@ -1,0 +1 @@
+"""Operators: plain functions from DataFrame to DataFrame. Patterns stay long, one row per point."""

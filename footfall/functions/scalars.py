@@ -37,7 +37,10 @@ def log_floor(v: Column, least: float = 1e-10) -> Column:
     return F.ln(F.greatest(v, F.lit(least)))
 
 
-@F.pandas_udf("double")
-def normal_cdf(z: pd.Series) -> pd.Series:
-    """Standard normal distribution function; for small tables such as a grid's cells."""
+def _cdf(z: pd.Series) -> pd.Series:
     return z.map(lambda v: 0.5 * (1 + math.erf(v / math.sqrt(2))), na_action="ignore")
+
+
+def normal_cdf(z: Column) -> Column:
+    """Standard normal distribution function; for small tables such as a grid's cells."""
+    return F.pandas_udf(_cdf, "double")(z)

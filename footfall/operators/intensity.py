@@ -1,2 +1,233 @@
-from ..functions.scalars import log_floor
-def offset(value): return log_floor(value)
+"""Spatial intensity: continuous and lattice kernel smoothing, bandwidth choice, lookups at points.
+
+Candidate bandwidths (column h) and folds are columns, so one job serves them all. Grids are small and go to the tasks;
+points never meet in one place: each task adds up its own points for every cell, and the sums are added by cell.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Callable, Iterator, Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from ..functions.scalars import Window, log_floor, normal_cdf
+from . import cleaning
+from .grid import make_grid
+from .profiles import arg_max
+
+EPS = 1e-10
+
+
+def offset(value: Column) -> Column:
+    """Log-intensity offset of any intensity column."""
+    return log_floor(value)
+
+
+def centres(window: Window, nx: int, ny: int) -> np.ndarray:
+    """Cell centres row by row, as an array."""
+    x = window[0] + (np.arange(nx) + 0.5) * (window[2] - window[0]) / nx
+    y = window[1] + (np.arange(ny) + 0.5) * (window[3] - window[1]) / ny
+    return np.stack([np.tile(x, ny), np.repeat(y, nx)], axis=1)
+
+
+def edge_factor(x: Column, y: Column, window: Window, h: Column) -> Column:
+    """Mass of a Gaussian kernel at (x, y) inside the window."""
+    span = lambda v, low, high: normal_cdf((F.lit(float(high)) - v) / h) - normal_cdf((F.lit(float(low)) - v) / h)
+    return span(x, window[0], window[2]) * span(y, window[1], window[3])
+
+
+def _kernel_sums(u: np.ndarray, hs: Sequence[float]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Each task's sums, over its points, of Gaussian kernels at all cells, by group and bandwidth."""
+
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for frame in frames:
+            for group, part in frame.groupby("grp"):
+                total = sums.setdefault(int(group), np.zeros((len(hs), len(u))))
+                for start in range(0, len(part), 256):
+                    xy = part[["x", "y"]].to_numpy(float)[start : start + 256]
+                    d2 = (xy[:, None, 0] - u[None, :, 0]) ** 2 + (xy[:, None, 1] - u[None, :, 1]) ** 2
+                    for k, h in enumerate(hs):
+                        total[k] += np.exp(-d2 / (2 * h * h)).sum(axis=0) / (2 * math.pi * h * h)
+        for group, total in sums.items():
+            for k, h in enumerate(hs):
+                yield pd.DataFrame({"grp": group, "h": float(h), "grid_index": np.arange(len(u), dtype=np.int32), "s": total[k]})
+
+    return batches
+
+
+def kde_sums(points: DataFrame, window: Window, nx: int, ny: int, hs: Sequence[float], group: Column | None = None) -> DataFrame:
+    """(grp, h, grid_index, s): Gaussian kernels of the points inside the window summed at the cell centres."""
+    inside = cleaning.crop(points, window).select((group if group is not None else F.lit(0)).cast("int").alias("grp"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    return inside.mapInPandas(_kernel_sums(centres(window, nx, ny), list(hs)), "grp int, h double, grid_index int, s double").groupBy("grp", "h", "grid_index").agg(F.sum("s").alias("s"))
+
+
+def kde_intensity(points: DataFrame, window: Window, nx: int, ny: int, hs: Sequence[float], edge: bool = True) -> DataFrame:
+    """(h, grid_index, ix, iy, x, y, value): kernel sums of all patterns pooled, divided by the edge factor; 0 without
+    points."""
+    spark = points.sparkSession
+    sums = kde_sums(points, window, nx, ny, hs).drop("grp")
+    candidates = F.explode(F.array(*[F.lit(float(h)) for h in hs]))
+    cells = make_grid(spark, window, nx, ny).withColumn("h", candidates)
+    value = F.coalesce("s", F.lit(0.0))
+    if edge:
+        value = value / F.greatest(edge_factor(F.col("x"), F.col("y"), window, F.col("h")), F.lit(1e-10))
+    return cells.join(sums, ["h", "grid_index"], "left").select("h", "grid_index", "ix", "iy", "x", "y", value.alias("value"))
+
+
+def _leave_one_out(x: np.ndarray, hs: Sequence[float], d: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            at = frame["id"].to_numpy()
+            d2 = ((x[at][:, None, :] - x[None, :, :]) ** 2).sum(axis=2)
+            d2[np.arange(len(at)), at] = np.inf
+            for k, h in enumerate(hs):
+                f = np.exp(-d2 / (2 * h * h)).sum(axis=1) / ((2 * math.pi * h * h) ** (d / 2) * (len(x) - 1))
+                yield pd.DataFrame({"idx": k, "h": float(h), "score": np.log(np.maximum(f, 1e-300))})
+
+    return batches
+
+
+def lcv_scores(points: DataFrame, hs: Sequence[float], d: int = 2, max_n: int = 2000, seed: int = 1, ident: str = "point_id") -> DataFrame:
+    """(idx, h, score): mean leave-one-out log-density of a Gaussian KDE, over a sample of max_n points at most. The sample
+    is what every task needs, and bounded; the rows of the kernel matrix are dealt to tasks in blocks."""
+    columns = ["x", "y"][:d]
+    rows = cleaning.sample_points(points, max_n, seed, ident).select(*[F.col(c).cast("double") for c in columns]).collect()
+    x = np.array([tuple(r) for r in rows], float).reshape(len(rows), d)
+    ids = points.sparkSession.range(len(x)).repartition(max(1, len(x) // 128))
+    return ids.mapInPandas(_leave_one_out(x, list(hs), d), "idx int, h double, score double").groupBy("idx", "h").agg(F.avg("score").alias("score"))
+
+
+def lcv_bandwidth(points: DataFrame, hs: Sequence[float], d: int = 2, max_n: int = 2000, seed: int = 1) -> float:
+    best = arg_max(lcv_scores(points, hs, d, max_n, seed), "score", "idx").first()
+    if best is None:
+        raise ValueError("no points to choose a bandwidth from")
+    return best["h"]
+
+
+def lattice_weights(spark: SparkSession, n: int, hs: Sequence[float]) -> DataFrame:
+    """(h, i, j, w): Gaussian weights between the places of a lattice axis, each row i normalised to 1."""
+    cells = spark.range(n * n).select(F.expr(f"cast(id div {n} as int)").alias("i"), (F.col("id") % n).cast("int").alias("j"))
+    raw = cells.withColumn("h", F.explode(F.array(*[F.lit(float(h)) for h in hs])))
+    u = (F.col("i") - F.col("j")) / F.col("h")
+    raw = raw.withColumn("k", F.exp(-0.5 * u * u))
+    return raw.withColumn("w", F.col("k") / F.sum("k").over(W.partitionBy("h", "i"))).select("h", "i", "j", "w")
+
+
+def discrete_kde(counts: DataFrame, nx: int, ny: int, hs: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, h, ix, iy, value): shares of the points (counts: keys, ix, iy, c) smoothed on the lattice, first along x,
+    then along y, for all bandwidths at once."""
+    spark, keys = counts.sparkSession, list(keys)
+    totals = counts.groupBy(*keys).agg(F.sum("c").alias("total"))
+    shares = (counts.join(F.broadcast(totals), keys) if keys else counts.crossJoin(F.broadcast(totals))).select(*keys, "ix", "iy", (F.col("c") / F.col("total")).alias("p"))
+    wx = lattice_weights(spark, nx, hs).select("h", F.col("i").alias("tx"), F.col("j").alias("ix"), F.col("w").alias("wx"))
+    wy = lattice_weights(spark, ny, hs).select("h", F.col("i").alias("ty"), F.col("j").alias("iy"), F.col("w").alias("wy"))
+    along_x = shares.join(wx, "ix").groupBy(*keys, "h", "tx", "iy").agg(F.sum(F.col("p") * F.col("wx")).alias("p"))
+    both = along_x.join(wy, ["h", "iy"]).groupBy(*keys, "h", "tx", "ty").agg(F.sum(F.col("p") * F.col("wy")).alias("value"))
+    return both.select(*keys, "h", F.col("tx").alias("ix"), F.col("ty").alias("iy"), "value")
+
+
+def normalised(raster: DataFrame, keys: Sequence[str], mask: DataFrame | None = None) -> DataFrame:
+    """Values divided by their sum in each group; a uniform value over unmasked cells where the sum is 0 or not finite."""
+    inside = F.lit(True)
+    if mask is not None:
+        raster = raster.join(F.broadcast(mask.select("ix", "iy", "masked")), ["ix", "iy"], "left")
+        inside = ~F.coalesce("masked", F.lit(False))
+    sums = raster.groupBy(*keys).agg(F.sum("value").alias("__s"), F.sum(inside.cast("int")).alias("__n"), F.count("*").alias("__all"))
+    joined = raster.join(F.broadcast(sums), list(keys)) if keys else raster.crossJoin(F.broadcast(sums))
+    good = (F.col("__s") > 0) & (F.col("__s") < float("inf"))
+    flat = F.when(F.col("__n") > 0, inside.cast("double") / F.col("__n")).otherwise(F.lit(1.0) / F.col("__all"))
+    return joined.withColumn("value", F.when(good, F.col("value") / F.col("__s")).otherwise(flat)).drop("__s", "__n", "__all", "masked")
+
+
+def estimate_intensity(counts: DataFrame, nx: int, ny: int, hs: Sequence[float], keys: Sequence[str] = (), mask: DataFrame | None = None, normalize: bool = False, edge_correction: bool = False) -> DataFrame:
+    """discrete_kde, then optionally edge correction (bandwidth and rectangle both in cells), masked cells to 0,
+    normalisation, and always + 1e-10. mask: ix, iy, masked."""
+    raster = discrete_kde(counts, nx, ny, hs, keys)
+    if edge_correction:
+        e = edge_factor(F.col("ix").cast("double"), F.col("iy").cast("double"), (-0.5, -0.5, nx - 0.5, ny - 0.5), F.col("h"))
+        raster = raster.withColumn("value", F.col("value") / F.greatest(e, F.lit(EPS)))
+    if mask is not None:
+        masked = raster.join(F.broadcast(mask.select("ix", "iy", "masked")), ["ix", "iy"], "left")
+        raster = masked.withColumn("value", F.when(F.col("masked"), F.lit(0.0)).otherwise(F.col("value"))).drop("masked")
+    if normalize:
+        raster = normalised(raster, [*keys, "h"], mask)
+    return raster.withColumn("value", F.col("value") + EPS)
+
+
+def grid_kde(counts: DataFrame, nx: int, ny: int, h: float) -> DataFrame:
+    """Smoothed shares normalised to 1, + 1e-10, without a mask."""
+    return estimate_intensity(counts, nx, ny, [h], normalize=True)
+
+
+def diag_loglik(rho: DataFrame, counts: DataFrame, n_samples: DataFrame, keys: Sequence[str], conditioned: bool, eps: float = 1e-12) -> DataFrame:
+    """(keys, ll): score of samples under the diagonal model for each raster.
+
+    rho: keys, cell, rho; counts: cell and the keys they share with rho, c; n_samples: those shared keys, t. Conditioned,
+    for samples of one point each: sum c ln(rho + eps) - T ln(sum rho); else - T sum ln(1 + rho).
+    """
+    shared = [k for k in keys if k in counts.columns]
+    fit = rho.join(counts, [*shared, "cell"]).groupBy(*keys).agg(F.sum(F.col("c") * F.ln(F.col("rho") + eps)).alias("fit"))
+    whole = F.ln(F.greatest(F.sum("rho"), F.lit(eps))) if conditioned else F.sum(F.log1p("rho"))
+    norm = rho.groupBy(*keys).agg(whole.alias("norm"))
+    joined = fit.join(norm, list(keys))
+    joined = joined.join(F.broadcast(n_samples), shared) if shared else joined.crossJoin(F.broadcast(n_samples))
+    return joined.select(*keys, (F.col("fit") - F.col("t") * F.col("norm")).alias("ll"))
+
+
+def select_bandwidth_discrete(placed: DataFrame, nx: int, ny: int, hs: Sequence[float], k_folds: int = 5, seed: int = 1, conditioned: bool = True, unit: str = "point_id", per_point: bool = True) -> DataFrame:
+    """(idx, h, ll) summed over folds: fit on the other folds, score the fold with the diagonal model.
+
+    placed: points with ix, iy. per_point: every point is a sample of size 1 and folds are dealt by a hash of the point;
+    else unit names the pattern, folds deal patterns, and a sample is a pattern's distinct cells. The data are read once,
+    into counts by fold and cell; a fold's training counts are the total less its own.
+    """
+    if per_point:
+        folded = placed.withColumn("fold", F.pmod(F.crc32(F.concat(F.lit(f"{seed}-"), F.col(unit).cast("string"))), F.lit(k_folds)).cast("int"))
+    else:
+        folded = cleaning.assign_folds(placed.select(unit, "ix", "iy").distinct(), unit, k_folds, seed)
+    own = folded.groupBy("fold", "ix", "iy").agg(F.count("*").alias("c")).persist()
+    sizes = (own.groupBy("fold").agg(F.sum("c").alias("t")) if per_point else folded.groupBy("fold").agg(F.countDistinct(unit).alias("t")))
+    total = own.groupBy("ix", "iy").agg(F.sum("c").alias("all"))
+    every = own.select("fold").distinct().join(total)
+    train = every.join(own, ["fold", "ix", "iy"], "left").select("fold", "ix", "iy", (F.col("all") - F.coalesce("c", F.lit(0))).alias("c"))
+    raster = estimate_intensity(train, nx, ny, hs, ["fold"])
+    rho = raster.select("fold", "h", (F.col("iy") * nx + F.col("ix")).alias("cell"), F.sqrt(F.greatest("value", F.lit(1e-16))).alias("rho"))
+    test = own.select("fold", (F.col("iy") * nx + F.col("ix")).alias("cell"), "c")
+    scores = diag_loglik(rho, test, sizes, ["fold", "h"], conditioned and per_point)
+    order = F.array_position(F.array(*[F.lit(float(h)) for h in hs]), F.col("h")).cast("int") - 1
+    return scores.groupBy("h").agg(F.sum("ll").alias("ll")).select(order.alias("idx"), "h", "ll")
+
+
+def bilinear_sample(points: DataFrame, raster: DataFrame, window: Window, nx: int, ny: int, keys: Sequence[str] = ()) -> DataFrame:
+    """points with value, the bilinear value of each raster (keys, ix, iy, value) at their place; the extent's edges are
+    the outer cells' values. A raster travels as one array of nx * ny values, so points are not shuffled."""
+    listed = raster.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct((F.col("iy") * nx + F.col("ix")).alias("at"), "value"))), lambda s: s["value"]).alias("__image"))
+    # bounded: one array of nx * ny doubles for each raster
+    both = points.crossJoin(F.broadcast(listed))
+
+    def axis(v: str, low: float, high: float, n: int) -> tuple[Column, Column, Column]:
+        c = F.least(F.greatest((F.col(v) - low) / max(high - low, 1e-10) * (n - 1), F.lit(0.0)), F.lit(n - 1 - 1e-6))
+        first = F.floor(c).cast("int")
+        return first, F.least(first + 1, F.lit(n - 1)), c - first
+
+    x0, x1, dx = axis("x", window[0], window[2], nx)
+    y0, y1, dy = axis("y", window[1], window[3], ny)
+    at = lambda ix, iy: F.element_at("__image", (iy * nx + ix + 1).cast("int"))
+    low = at(x0, y0) * (1 - dx) + at(x1, y0) * dx
+    high = at(x0, y1) * (1 - dx) + at(x1, y1) * dx
+    return both.withColumn("value", low * (1 - dy) + high * dy).drop("__image")
+
+
+def aggregate_density(points: DataFrame, window: Window, nx: int, ny: int, h: float, percent: float = 99.0) -> DataFrame:
+    """Mean-normalised KDE of pooled positions, clipped at a percentile."""
+    from .metrics import clip_at_percentile
+
+    n = cleaning.crop(points, window).agg(F.greatest(F.count("*"), F.lit(1)).alias("__n"))
+    mean = kde_intensity(points, window, nx, ny, [h], edge=False).crossJoin(F.broadcast(n)).withColumn("value", F.col("value") / F.col("__n")).drop("__n")
+    return clip_at_percentile(mean, "value", percent)

@@ -9,9 +9,13 @@ documents follow until the window is full, the last one cut to fit. Document fre
 
 from __future__ import annotations
 
+import functools
 import math
+import os
+import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -24,52 +28,190 @@ WINDOW = 2048
 #: The id that ends every document.
 END = 1
 #: Bytes of text that one index shard holds on average: the number of shards grows with the corpus.
-SHARD_BYTES = 6_000_000
+SHARD_BYTES = 4_000_000
 #: Terms are hashed into 2^TERM_BITS classes; their document frequencies (8 bytes each) go to every executor.
 TERM_BITS = 18
 QUERY_TERMS, NEIGHBOURS = 10, 24
 K1, B = 1.2, 0.75
-CACHE = 400_000
+#: Chunks that one Python worker remembers, some 200 bytes each.
+CACHE = 350_000
 
 
-class _Chunks(dict):
-    """Chunk without white space -> (its ids as bytes, its term class). Tokens never cross white space, and the
-    tokenizer drops it, so the ids of a text are those of its chunks in order. Unseen chunks are encoded in batches."""
+_FACTOR = 0x9E3779B97F4A7C15
+_PIECE = 1 << 20
+_POWERS = np.cumprod(np.full(2 * _PIECE, _FACTOR, np.uint64))
+_INVERSE = np.cumprod(np.full(2 * _PIECE, pow(_FACTOR, -1, 1 << 64), np.uint64))
+
+
+def terms(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the text, term class) of every word of the texts, in order. A term is a word between ASCII white space
+    with A-Z lower-cased, hashed over its bytes."""
+    places, classes = [], []
+    start = 0
+    while start < len(texts):
+        stop, size, part = start, 0, []
+        while stop < len(texts) and (not part or size + len(part[-1]) < _PIECE):
+            part.append(texts[stop].encode("utf-8", "replace"))
+            size += len(part[-1]) + 1
+            stop += 1
+        data = np.frombuffer(b" ".join(part), np.uint8)
+        data = data + 32 * ((data >= 65) & (data <= 90)).view(np.uint8)
+        inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
+        edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))
+        first, last = edge[0::2], edge[1::2]
+        if len(data) <= len(_POWERS):
+            powers, inverse = _POWERS[: len(data)], _INVERSE
+        else:
+            powers = np.cumprod(np.full(len(data), _FACTOR, np.uint64))
+            inverse = np.cumprod(np.full(len(data), pow(_FACTOR, -1, 1 << 64), np.uint64))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers)])
+        hashed = (sums[last] - sums[first]) * inverse[first]
+        hashed ^= hashed >> np.uint64(31)
+        classes.append((hashed * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - TERM_BITS)).astype(np.int64))
+        offsets = np.cumsum([len(p) + 1 for p in part])
+        places.append(start + np.searchsorted(offsets, first, side="right"))
+        start = stop
+    return (np.concatenate(places), np.concatenate(classes)) if places else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+#: A chunk in lower case: letters whose lower case and normal form are the same to Python and the tokenizer, then marks that
+#: are one run to it; or anything else.
+PLAIN = re.compile(r"^(?:([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)|.+)$", re.MULTILINE)
+
+
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places start, start + 1, ... of runs of the given sizes, one run after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class _Runs:
+    """Lists of ids in one array, by number."""
+
+    def __init__(self) -> None:
+        self.ids, self.sizes, self.starts = np.empty(0, np.uint16), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def at(self, numbers: np.ndarray) -> np.ndarray:
+        """The ids of these numbers in a row."""
+        return self.ids[ragged(self.starts[numbers], self.sizes[numbers])]
+
+
+class _Chunks:
+    """Chunks without white space, numbered as they are met, with the ids of each.
+
+    Tokens never cross white space, and the tokenizer drops it, so the ids of a text are those of its chunks in order.
+    A run of letters is one word to the tokenizer, whatever follows it, so new words are encoded together, as one text
+    that is cut again at the marks of word ends, and the run of marks after a word is encoded by itself.
+    """
 
     def __init__(self, path: str) -> None:
-        super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.runs = _Runs()
+
+    def _encoded(self, chunks: list[str]) -> _Runs:
+        runs = _Runs()
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        runs.add(np.fromiter(chain.from_iterable(ids), np.uint16), np.fromiter(map(len, ids), np.int64, len(ids)))
+        return runs
+
+    def _words(self, words: list[str]) -> _Runs:
+        """Words of letters only."""
+        runs = _Runs()
+        ids, sizes = [], []
+        for start in range(0, len(words), 4096):
+            part = words[start : start + 4096]
+            one = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint16)
+            stops = np.flatnonzero(self.ends[one]) + 1
+            if len(stops) == len(part):
+                ids.append(one)
+                sizes.append(np.diff(stops, prepend=0))
+            else:  # one of them is not a single word to the tokenizer
+                single = self._encoded(part)
+                ids.append(single.ids)
+                sizes.append(single.sizes)
+        if ids:
+            runs.add(np.concatenate(ids), np.concatenate(sizes))
+        return runs
+
+    def learn(self, new: list[str]) -> None:
+        """Number chunks that have no number yet."""
+        parts = PLAIN.findall("\n".join(new).lower())
+        other = [c for c, (letters, _) in zip(new, parts, strict=True) if not letters]
+        new = [c for c, (letters, _) in zip(new, parts, strict=True) if letters] + other
+        parts = [x for x in parts if x[0]]
+        bases, marks = dict.fromkeys(x[0] for x in parts), dict.fromkeys(x[1] for x in parts)
+        for numbered in (bases, marks):
+            numbered.update(zip(list(numbered), range(len(numbered)), strict=True))
+        base = np.array([bases[x[0]] for x in parts], np.int64)
+        mark = np.array([marks[x[1]] for x in parts], np.int64)
+        words, tails = self._words(list(bases)), self._encoded(list(marks))
+        first, second = words.sizes[base], tails.sizes[mark]
+        sizes = first + second
+        starts = np.cumsum(sizes) - sizes
+        ids = np.empty(int(sizes.sum()), np.uint16)
+        ids[ragged(starts, first)] = words.at(base)
+        ids[ragged(starts + first, second)] = tails.at(mark)
+        rest = self._encoded(other)
+        n = len(self.number)
+        self.number.update(zip(new, range(n, n + len(new)), strict=True))
+        self.runs.add(np.concatenate([ids, rest.ids]), np.concatenate([sizes, rest.sizes]))
 
-    def learn(self, chunks: set[str]) -> None:
-        if len(self) + len(chunks) > CACHE:
-            self.clear()
-        new = [c for c in chunks if c not in self]
-        for chunk, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self[chunk] = np.array(found.ids, "<u4").tobytes(), zlib.crc32(chunk.lower().encode("utf-8", "replace")) >> (32 - TERM_BITS)
+    def numbers(self, flat: list[str]) -> np.ndarray:
+        """The number of every chunk. What is remembered is bounded: a shard that would go beyond starts anew."""
+        at = np.fromiter(map(self.number.get, flat, repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(at < 0)
+        if not len(missing):
+            return at
+        new = set(map(flat.__getitem__, missing.tolist()))
+        if self.number and len(self.number) + len(new) > CACHE:
+            self.forget()
+            return self.numbers(flat)
+        self.learn(list(new))
+        at[missing] = np.fromiter(map(self.number.__getitem__, map(flat.__getitem__, missing.tolist())), np.int64, len(missing))
+        return at
 
-    def __missing__(self, chunk: str) -> tuple[bytes, int]:
-        self.learn({chunk})
-        return self[chunk]
+    def texts(self, split: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and the number of ids of each text."""
+        flat = list(chain.from_iterable(split))
+        if not flat:
+            return np.empty(0, np.uint16), np.zeros(len(split), np.int64)
+        at = self.numbers(flat)
+        ends = np.cumsum(self.runs.sizes[at])
+        upto = np.append(0, ends)[np.cumsum([len(w) for w in split])]
+        return self.runs.at(at), np.diff(upto, prepend=0)
 
 
-def term_classes(text: str) -> np.ndarray:
-    """Distinct term classes of a text."""
-    return np.array(sorted({zlib.crc32(c.encode("utf-8", "replace")) >> (32 - TERM_BITS) for c in set(text.lower().split())}), np.int64)
+@functools.lru_cache(maxsize=1)
+def _known(path: str) -> _Chunks:
+    """What a Python worker has learnt stays for its next shards."""
+    return _Chunks(path)
 
 
 def corpus_statistics(docs: DataFrame) -> tuple[np.ndarray, int, int]:
-    """Document frequency of every term class, number of documents and bytes of text, over all documents.
+    """Document frequency of every term class, number of documents and characters of text, over all documents.
 
     Each task adds up its own documents, so what is shuffled is one row per task and class."""
 
     def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         count, n, size = np.zeros(1 << TERM_BITS, np.int64), 0, 0
         for frame in frames:
-            for text in frame["text"]:
-                n += 1
-                if isinstance(text, str):
-                    size += len(text)
-                    count[term_classes(text)] += 1
+            texts = [t for t in frame["text"] if isinstance(t, str)]
+            n += len(frame)
+            size += sum(map(len, texts))
+            place, term = terms(texts)
+            count += np.bincount(np.unique(place << TERM_BITS | term) & ((1 << TERM_BITS) - 1), minlength=1 << TERM_BITS)
         at = np.flatnonzero(count)
         yield pd.DataFrame({"term": np.append(at, [-1, -2]), "n": np.append(count[at], [n, size])})
 
@@ -84,19 +226,19 @@ def corpus_statistics(docs: DataFrame) -> tuple[np.ndarray, int, int]:
 class Index:
     """BM25 over the documents of one shard: for each document its terms and weights, and postings by term."""
 
-    def __init__(self, terms: list[np.ndarray], counts: list[np.ndarray], idf: np.ndarray) -> None:
-        lengths = np.array([c.sum() for c in counts], float)
-        mean = lengths.mean() if len(lengths) and lengths.sum() else 1.0
-        doc = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
-        term = np.concatenate(terms) if terms else np.empty(0, np.int64)
-        count = np.concatenate(counts).astype(float) if counts else np.empty(0)
+    def __init__(self, doc: np.ndarray, term: np.ndarray, n_docs: int, idf: np.ndarray) -> None:
+        """doc, term: one entry per word."""
+        lengths = np.bincount(doc, minlength=n_docs).astype(float)
+        mean = lengths.mean() if lengths.sum() else 1.0
+        both, count = np.unique(doc << TERM_BITS | term, return_counts=True)
+        doc, term = both >> TERM_BITS, both & ((1 << TERM_BITS) - 1)
         weight = idf[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * lengths[doc] / mean))
-        self.starts = np.concatenate([[0], np.cumsum([len(t) for t in terms])]).astype(np.int64)
+        self.starts = np.searchsorted(doc, np.arange(n_docs + 1))
         self.term, self.weight = term, weight
         order = np.argsort(term, kind="stable")
         self.post_doc, self.post_weight = doc[order], weight[order]
         self.post_starts = np.searchsorted(term[order], np.arange(len(idf) + 1)) if len(term) else np.zeros(len(idf) + 1, np.int64)
-        self.scores = np.zeros(len(terms))
+        self.scores = np.zeros(n_docs)
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
         """Unused documents that share a query term with the seed, best score first (ties: lower place), NEIGHBOURS at
@@ -110,8 +252,13 @@ class Index:
             s, e = self.post_starts[t], self.post_starts[t + 1]
             self.scores[self.post_doc[s:e]] += self.post_weight[s:e]
             touched.append(self.post_doc[s:e])
-        found = np.unique(np.concatenate(touched))
+        found = np.concatenate(touched)
         found = found[unused[found]]
+        # a document stands here once per term at most, so so many places hold NEIGHBOURS distinct documents
+        most = QUERY_TERMS * NEIGHBOURS
+        if len(found) > most:
+            found = found[np.argpartition(-self.scores[found], most)[:most]]
+        found = np.unique(found)
         best = found[np.lexsort((found, -self.scores[found]))[:NEIGHBOURS]]
         for t in touched:
             self.scores[t] = 0.0
@@ -161,22 +308,21 @@ def plan(lengths: np.ndarray, index: Index) -> list[tuple[int, int, int, int, in
         sequence += 1
 
 
-def _pack_shard(frame: pd.DataFrame, chunks: _Chunks, idf: np.ndarray) -> Iterator[dict]:
-    ids, terms, counts = [], [], []
+def _pack_shard(texts: list[str | None], known: _Chunks, idf: np.ndarray) -> pd.DataFrame:
+    ids, lengths = [], []
     end = np.array([END], "<u4").tobytes()
-    for start in range(0, len(frame), 256):
-        split = [t.split() if isinstance(t, str) else [] for t in frame["text"].iloc[start : start + 256]]
-        chunks.learn(set().union(*split))
-        for words in split:
-            found = [chunks[w] for w in words]
-            ids.append(b"".join([f[0] for f in found]) + end)
-            at, n = np.unique(np.fromiter((f[1] for f in found), np.int64, len(found)), return_counts=True)
-            terms.append(at)
-            counts.append(n)
-    lengths = np.array([len(x) // 4 for x in ids], np.int64)
-    for doc, start, length, sequence, offset in plan(lengths, Index(terms, counts, idf)):
-        yield {"row": doc, "start": start, "length": length, "ids_crc32": zlib.crc32(ids[doc][4 * start : 4 * (start + length)]),
-               "doc_tokens": int(lengths[doc]), "sequence": sequence, "offset": offset}
+    texts = [t if isinstance(t, str) else "" for t in texts]
+    for start in range(0, len(texts), 512):
+        flat, sizes = known.texts([t.split() for t in texts[start : start + 512]])
+        stops = np.cumsum(sizes)
+        ids += [flat[b - n : b].astype("<u4").tobytes() + end for b, n in zip(stops, sizes, strict=True)]
+        lengths.append(sizes + 1)
+    lengths = np.concatenate(lengths)
+    pieces = plan(lengths, Index(*terms(texts), len(texts), idf))
+    out = pd.DataFrame(pieces, columns=["row", "start", "length", "sequence", "offset"]).astype("int64")
+    out["ids_crc32"] = np.array([zlib.crc32(ids[doc][4 * start : 4 * (start + length)]) for doc, start, length, _, _ in pieces], np.int64)
+    out["doc_tokens"] = lengths[out["row"]]
+    return out
 
 
 def pack(docs: DataFrame, tokenizer_path: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -204,7 +350,7 @@ def _packer(path: str, sent) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.D
             return
         frame = pd.concat(held, ignore_index=True).sort_values(["shard_key", "text"], kind="stable", ignore_index=True)
         shard = TaskContext.get().partitionId()
-        rows = pd.DataFrame(_pack_shard(frame, _Chunks(path), sent.value))
+        rows = _pack_shard(frame["text"].to_list(), _known(path), sent.value)
         rows.insert(0, "doc_id", frame["doc_id"].iloc[rows["row"]].array)
         rows["sequence_id"] = (shard << 32) + rows["sequence"]
         for start in range(0, len(rows), 10_000):

@@ -27,6 +27,9 @@ CHUNKS, CHUNK = 8, 3
 SYMBOLS = CHUNKS * CHUNK
 MAX_ERRORS = 2 * CHUNKS - 1
 SHINGLE = 5
+#: Bits of the odd sketch: each shingle flips one bit, so the bits in which two sketches differ never exceed the shingles
+#: that only one of the sets has.
+SKETCH = 1024
 #: A link needs PERCENT * union <= 100 * intersection.
 PERCENT = 75
 #: Ids that may be sent to every executor to pick the texts to confirm: 16 MB; beyond it the texts are joined by shuffle.
@@ -79,9 +82,15 @@ def signature(found: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(32)).astype(np.uint32)
 
 
+def odd_sketch(found: np.ndarray) -> np.ndarray:
+    """SKETCH bits as longs: the parity of the shingles in each of SKETCH classes."""
+    parity = np.bincount((found >> np.uint64(54)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(parity.astype(np.uint8)).view("<i8")
+
+
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, print (of the whole set; null without shingles), symbols (24 ints) and s0-s2 (their low bytes,
-    eight to a long), for every row."""
+    """doc_id, n_shingles, print (of the whole set; null without shingles), symbols (24 ints), s0-s2 (their low bytes,
+    eight to a long) and odd (the sketch) for every row."""
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = _Words()
@@ -92,13 +101,13 @@ def signed(docs: DataFrame) -> DataFrame:
                 symbols = signature(found)
                 low = (symbols & 0xFF).astype(np.uint8).tobytes()
                 packed = np.frombuffer(low, "<i8").tolist()
-                rows.append((len(found), xxh3_128_hexdigest(found.tobytes()) if len(found) else None, symbols.astype(np.int32), *packed))
-            out = pd.DataFrame(rows, columns=["n_shingles", "print", "symbols", "s0", "s1", "s2"])
+                rows.append((len(found), xxh3_128_hexdigest(found.tobytes()) if len(found) else None, symbols.view(np.int32), odd_sketch(found), *packed))
+            out = pd.DataFrame(rows, columns=["n_shingles", "print", "symbols", "odd", "s0", "s1", "s2"])
             out.insert(0, "doc_id", frame["doc_id"].array)
             yield out
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
-        batches, "doc_id long, n_shingles long, print string, symbols array<int>, s0 long, s1 long, s2 long")
+        batches, "doc_id long, n_shingles long, print string, symbols array<int>, odd array<long>, s0 long, s1 long, s2 long")
 
 
 def distance(a: str, b: str) -> Column:
@@ -127,6 +136,13 @@ def _near(a: str, b: str) -> Column:
     return (100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)) & (distance(a, b) <= MAX_ERRORS)
 
 
+def _alike(a: str, b: str) -> Column:
+    """_near, and the strict bound from the sketches (o0, o1, ...): links differ in (1 - s) / (1 + s) of the summed sizes
+    at most."""
+    differ = sum((F.bit_count(F.col(f"{a}.o{i}").bitwiseXOR(F.col(f"{b}.o{i}"))) for i in range(1, SKETCH // 64)), F.bit_count(F.col(f"{a}.o0").bitwiseXOR(F.col(f"{b}.o0"))))
+    return _near(a, b) & ((100 + PERCENT) * differ <= (100 - PERCENT) * (F.col(f"{a}.n") + F.col(f"{b}.n")))
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of doc_ids whose full shingle sets have a Jaccard similarity of PERCENT / 100 or more.
 
@@ -189,7 +205,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def linked(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """rep, comp for reps (rep, n, symbols, s0, s1, s2), one row per distinct shingle set."""
+    """rep, comp for reps (rep, n, symbols, odd, s0, s1, s2), one row per distinct shingle set."""
     index = indexed(reps)
     shared = index.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     entries = cut(index.join(shared, "key"), "entries")
@@ -208,15 +224,18 @@ def linked(docs: DataFrame, reps: DataFrame) -> DataFrame:
         found = confirmed(cut(stars, "stars"), docs)
         edges = cut(found if edges is None else edges.unionByName(found), "edges")
         comps = cut(components(reps.select("rep"), edges), "comps")
-    member = entries.join(comps, "rep")
+    member = entries.select("key", "rep").join(comps, "rep")
     mixed = member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    # sizes of similar sets lie in the same or in neighbouring classes, so large buckets split by size
-    size_class = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / PERCENT)))).cast("int")
-    left = cut(member.join(mixed, "key").withColumn("size_class", size_class), "mixed")
-    right = left.withColumn("size_class", F.explode(F.array(F.col("size_class") - 1, F.col("size_class"), F.col("size_class") + 1)))
+    whole = reps.select(
+        "rep", "n", F.floor(F.log2(F.col("n").cast("double"))).cast("int").alias("size_class"),
+        "s0", "s1", "s2", *[F.col("odd")[i].alias(f"o{i}") for i in range(SKETCH // 64)])
+    left = cut(member.join(mixed, "key").join(whole, "rep"), "mixed")
+    # similar sets lie in the same or in neighbouring classes of size, so large buckets split by size
+    reach = [F.floor(F.log2(F.col("n") * x)).cast("int") for x in (PERCENT / 100 - 1e-9, 100 / PERCENT + 1e-9)]
+    right = left.withColumn("size_class", F.explode(F.sequence(*reach)))
     rest = (
         left.alias("x").join(right.alias("y"), ["key", "size_class"])
-        .where((F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp")) & _near("x", "y"))
+        .where((F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp")) & _alike("x", "y"))
         .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
     )
     found = confirmed(cut(rest, "rest"), docs)
@@ -233,7 +252,7 @@ def classes(docs: DataFrame) -> DataFrame:
     """
     sets = cut(signed(docs), "signed")
     alike = sets.where("doc_id is not null and print is not null")
-    one = alike.groupBy("print").agg(F.min(F.struct(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "s0", "s1", "s2", "symbols")).alias("r"))
+    one = alike.groupBy("print").agg(F.min(F.struct(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "s0", "s1", "s2", "symbols", "odd")).alias("r"))
     reps = cut(one.select("print", "r.*"), "reps")
     comps = cut(linked(docs, reps), "found").distinct()
     # rows that repeat a doc_id with several sets: the copies link their sets' representatives

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, neardup, packing, quality, rules, secret_scan, sharding, topk, urls
+from . import licenses, mixing, neardup, oracles, packing, quality, rules, secret_scan, sharding, topk, urls
 from .common import cut, scratch_path, table
 
 N_SHARDS = 40
@@ -70,7 +70,8 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents"), licenses.known_digests(spark))
+    found = licenses.scan(table(spark, sf_dir, "documents"), licenses.known_digests(spark))
+    return found.withColumn("notices", F.concat_ws(",", "notices"))
 
 
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,4 +81,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_topk, op2_mixing, op3_sharding, op4_quality, op5_rules, op6_neardup, op7_secrets, op8_packing, op9_licenses, op10_urls,
 )}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_topk": oracles.TOPK, "op5_rules": oracles.rules_sql(), "op6_neardup": oracles.NEARDUP,
+    "op9_licenses": oracles.licenses_sql(), "op10_urls": oracles.urls_sql(),
+}

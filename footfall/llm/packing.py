@@ -79,6 +79,19 @@ def terms(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
 PLAIN = re.compile(r"^(?:([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)|.+)$", re.MULTILINE)
 
 
+#: White space to the tokenizer. Python's own split also breaks at the four separators from U+001C on.
+SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
+
+def chunks_of(text: str | None) -> list[str]:
+    """The chunks of a text without white space, as the tokenizer sees it."""
+    if not isinstance(text, str):
+        return []
+    if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        return [c for c in SPACE.split(text) if c]
+    return text.split()
+
+
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Places start, start + 1, ... of runs of the given sizes, one run after the other."""
     ends = np.cumsum(sizes)
@@ -313,7 +326,7 @@ def _pack_shard(texts: list[str | None], known: _Chunks, idf: np.ndarray) -> pd.
     end = np.array([END], "<u4").tobytes()
     texts = [t if isinstance(t, str) else "" for t in texts]
     for start in range(0, len(texts), 512):
-        flat, sizes = known.texts([t.split() for t in texts[start : start + 512]])
+        flat, sizes = known.texts([chunks_of(t) for t in texts[start : start + 512]])
         stops = np.cumsum(sizes)
         ids += [flat[b - n : b].astype("<u4").tobytes() + end for b, n in zip(stops, sizes, strict=True)]
         lengths.append(sizes + 1)

@@ -18,7 +18,9 @@ BITS = 18
 DIM = 1 << BITS
 #: At most this many labelled rows are trained on: those with the smallest md5 of their doc_id.
 TRAIN_ROWS = 16_000
-SHARDS, EPOCHS, ALPHA, BETA, L1, L2 = 8, 3, 0.5, 1.0, 0.02, 1.0
+#: Rows to a shard of training on average, and how many shards at most.
+SHARD_ROWS, SHARDS = 2_000, 8
+EPOCHS, ALPHA, BETA, L1, L2 = 6, 1.0, 1.0, 0.02, 0.1
 THRESHOLD = 0.3
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 #: Tokens remembered by one Python worker with their hash and shape.
@@ -103,7 +105,7 @@ def _shard_pass(state) -> Callable[[pd.DataFrame], pd.DataFrame]:
 def train(labelled: DataFrame, max_rows: int = TRAIN_ROWS, epochs: int = EPOCHS) -> np.ndarray:
     """Weights from rows (doc_id, text, label): at most max_rows of them, taken by md5 of doc_id.
 
-    Each epoch deals the rows to SHARDS tasks that start from the same state and run their updates in the order of the
+    Each epoch deals the rows to up to SHARDS tasks that start from the same state and run their updates in the order of the
     md5; the epoch's state is the mean of theirs, summed by feature in Spark. What comes to the driver is the state,
     bounded by DIM. Rows with null labels take no part; without rows the weights are zero.
     """
@@ -111,18 +113,19 @@ def train(labelled: DataFrame, max_rows: int = TRAIN_ROWS, epochs: int = EPOCHS)
     sample = (
         labelled.where("label is not null").select(F.col("text"), F.col("label").cast("double").alias("label"), F.md5(F.col("doc_id").cast("string")).alias("turn"))
         .orderBy("turn", "label", F.md5("text")).limit(max_rows)
-        .withColumn("shard", F.pmod(F.crc32("turn"), F.lit(SHARDS)).cast("int"))
-    )
+    ).persist()
+    shards = max(1, min(SHARDS, sample.count() // SHARD_ROWS))
     z, n = np.zeros(DIM), np.zeros(DIM)
     schema = "at int, z double, n double"
-    dealt = sample.repartition(SHARDS, "shard").persist()
+    dealt = sample.withColumn("shard", F.pmod(F.crc32("turn"), F.lit(shards)).cast("int")).repartition(shards, "shard").persist()
     for _ in range(epochs):
         shard = _shard_pass(spark.sparkContext.broadcast((z, n)))
-        moved = dealt.groupBy("shard").applyInPandas(shard, schema).groupBy("at").agg((F.sum("z") / SHARDS).alias("z"), (F.sum("n") / SHARDS).alias("n")).toPandas()
+        moved = dealt.groupBy("shard").applyInPandas(shard, schema).groupBy("at").agg((F.sum("z") / shards).alias("z"), (F.sum("n") / shards).alias("n")).toPandas()
         z, n = z.copy(), n.copy()
         z[moved["at"]] += moved["z"].to_numpy()
         n[moved["at"]] += moved["n"].to_numpy()
     dealt.unpersist()
+    sample.unpersist()
     return _weights(z, n)
 
 

@@ -62,7 +62,7 @@ def _vote(bad: Column, good: Column) -> Column:
 RULES = {
     "v_symbols": ("10 * n_symbols > 3 * n_words", "50 * n_symbols <= n_words"),
     "v_repeats": ("100 * n_repeat_words > 40 * n_words", "100 * n_repeat_words <= 25 * n_words"),
-    "v_lines": ("10 * n_dup_lines > 3 * n_lines", "10 * n_dup_lines <= 2 * n_lines and n_lines > 1"),
+    "v_lines": ("n_dup_lines > 1 and 10 * n_dup_lines > 3 * n_lines", "10 * n_dup_lines <= 2 * n_lines and n_lines > 1"),
     "v_upper": ("10 * n_upper > 4 * word_chars", "100 * n_upper <= 15 * word_chars"),
     "v_bangs": ("10 * n_bangs > 2 * n_words", "100 * n_bangs <= n_words"),
     "v_length": ("word_chars < 3 * n_words or word_chars > 12 * n_words", "word_chars >= 4 * n_words and word_chars <= 9 * n_words"),

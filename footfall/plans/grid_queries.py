@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import grid, pairs
+from ..sources.tables import read_grid
 from . import fixtures as fx
 from .fixtures import sql
-from .support import Query, register, rounded
+from .support import Query, register, rounded, work_path
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -102,6 +103,15 @@ def infer_rect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.infer_rect_from_grid(used)
 
 
+@query(sql("SELECT grid_index, count(point_id) AS n FROM cleangrid LEFT JOIN cells USING (grid_index) GROUP BY 1", "cleangrid", "cells"))
+def read_grid_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clean grid written as Parquet, read with its schema, and the points in each of its cells."""
+    path = work_path(spark, "grid")
+    fx.clean_grid(spark).write.parquet(path)
+    at = fx.cells(fx.points(spark, sf_dir)).select("grid_index", "point_id")
+    return read_grid(spark, path).join(at, "grid_index", "left").groupBy("grid_index").agg(F.count("point_id").alias("n"))
+
+
 @query(sql("SELECT g.grid_index, round(sqrt(greatest(coalesce(v, 0), 1e-16)), 6) AS rho FROM cleangrid g LEFT JOIN (SELECT grid_index, count(*) / 100.0::DOUBLE AS v FROM cells GROUP BY 1) c ON c.grid_index = g.grid_index", "cleangrid", "cells"))
 def convert_intensities(spark: SparkSession, sf_dir: str) -> DataFrame:
     raster = fx.cells(fx.points(spark, sf_dir)).groupBy("ix", "iy").agg((F.count("*") / 100).alias("value"))

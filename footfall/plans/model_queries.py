@@ -263,6 +263,22 @@ def dpp_loglik(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(dpp.sigma_profile(_samples(spark, sf_dir), QX, QY, 1.0, [0.3, 0.6, 0.9], conditioned=False), 4)
 
 
+@query()
+def dpp_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores with rho = 1 on every cell, for both kinds of likelihood."""
+    samples = _samples(spark, sf_dir)
+    rows = [(kind, dpp.evaluate_uniform(samples, QX, QY, 0.6, conditioned)) for kind, conditioned in (("conditioned", True), ("plain", False))]
+    return rounded(spark.createDataFrame(rows, "kind string, ll double"), 4)
+
+
+@query()
+def dpp_bandwidths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model samples scored under intensities of the data points."""
+    samples = _samples(spark, sf_dir)
+    part = lambda s: samples.where(F.col("source") == s)
+    return rounded(dpp.evaluate_bandwidths(part("Data"), part("Model"), QX, QY, [0.5, 1.0], 0.6), 4)
+
+
 @query()
 def dpp_cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dpp.cross_validate(_samples(spark, sf_dir).withColumn("point_id", F.monotonically_increasing_id()), QX, QY, k=2, pilot=1.0, conditioned=True, coeffs=[0.5, 1.0, 2.0], sigmas=[0.3, 0.6, 0.9])

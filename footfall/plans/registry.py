@@ -1,4 +1,4 @@
-"""All registered queries of the reference's operators, with their SQL where SQL can state them."""
+"""All registered queries of the pattern operators, with their SQL where SQL can state them."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Every registered query of the reference's operators against its SQL, or, where it has none, that it gives rows."""
+"""Every registered query of the pattern operators against its SQL, or, where it has none, that it gives rows."""
 
 import pytest
 

@@ -35,7 +35,7 @@ PERCENT = 75
 #: Ids that may be sent to every executor to pick the texts to confirm: 16 MB; beyond it the texts are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 HUB_ROUNDS = 2
-CACHE = 500_000
+CACHE = 300_000
 
 _MULTIPLY = np.array([xxh64_intdigest(b"multiply", i) | 1 for i in range(SYMBOLS)], np.uint64)
 _ADD = np.array([xxh64_intdigest(b"add", i) for i in range(SYMBOLS)], np.uint64)

@@ -1,7 +1,7 @@
 """Lexical retrieval packing: a sharded BM25 inverted index returns unused neighbours for each seed document, which
 greedily fill its window.
 
-Documents are dealt to index shards of bounded size by a hash of doc_id. Inside a shard, documents longer than a window
+Documents are dealt to index shards of bounded size by a hash. Inside a shard, documents longer than a window
 give whole windows of their own first; what is left of each document is indexed. A seed, the unused document with the
 longest rest, opens a window, its highest-weighted terms query the shard's inverted index, and the best-scoring unused
 documents follow until the window is full, the last one cut to fit. Document frequencies are those of the whole corpus.
@@ -9,7 +9,6 @@ documents follow until the window is full, the last one cut to fit. Document fre
 
 from __future__ import annotations
 
-import functools
 import math
 import os
 import re
@@ -27,14 +26,15 @@ from tokenizers import Tokenizer
 WINDOW = 2048
 #: The id that ends every document.
 END = 1
-#: Bytes of text that one index shard holds on average: the number of shards grows with the corpus.
-SHARD_BYTES = 4_000_000
+#: Characters of text in one index shard, and, on average, in one task, which packs its shards one after the other. The
+#: numbers of both grow with the corpus.
+SHARD_CHARS, TASK_CHARS = 4_000_000, 32_000_000
 #: Terms are hashed into 2^TERM_BITS classes; their document frequencies (8 bytes each) go to every executor.
 TERM_BITS = 18
 QUERY_TERMS, NEIGHBOURS = 10, 24
 K1, B = 1.2, 0.75
-#: Chunks that one Python worker remembers, some 200 bytes each.
-CACHE = 350_000
+#: Chunks that one task remembers, some 200 bytes each.
+CACHE = 450_000
 
 
 _FACTOR = 0x9E3779B97F4A7C15
@@ -206,12 +206,6 @@ class _Chunks:
         return self.runs.at(at), np.diff(upto, prepend=0)
 
 
-@functools.lru_cache(maxsize=1)
-def _known(path: str) -> _Chunks:
-    """What a Python worker has learnt stays for its next shards."""
-    return _Chunks(path)
-
-
 def corpus_statistics(docs: DataFrame) -> tuple[np.ndarray, int, int]:
     """Document frequency of every term class, number of documents and characters of text, over all documents.
 
@@ -338,35 +332,52 @@ def _pack_shard(texts: list[str | None], known: _Chunks, idf: np.ndarray) -> pd.
     return out
 
 
-def pack(docs: DataFrame, tokenizer_path: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, shard_chars: int = SHARD_CHARS, task_chars: int = TASK_CHARS) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Null and empty texts are one token, the end mark. Rows that repeat a doc_id, or have none, are documents of their
-    own, told apart by nothing but their order; other columns are dropped; an empty table gives no pieces. A shard is one
-    task's rows: SHARD_BYTES on average and a window's worth of padding at most in its last sequence. sequence_id holds
-    the shard's number in its upper bits.
+    own, told apart by nothing but their order; other columns are dropped; an empty table gives no pieces. A task takes
+    its rows in the order of their hash and packs a shard whenever it has shard_chars of text, so what it holds is
+    bounded, and a task that runs again gives the same pieces. Only a shard's last sequence is short. sequence_id holds
+    the task's number in its upper bits.
     """
     frequency, n_docs, size = corpus_statistics(docs)
     idf = np.log(1 + (n_docs - frequency + 0.5) / (frequency + 0.5))
-    n_shards = max(1, math.ceil(size / shard_bytes))
+    n_tasks = max(1, math.ceil(size / task_chars))
     sent = docs.sparkSession.sparkContext.broadcast(idf)
     # a row's own text is part of the key, so that rows without a doc_id spread as well
     key = F.xxhash64("doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", key.alias("shard_key")).repartition(n_shards, "shard_key")
-    return dealt.mapInPandas(_packer(tokenizer_path, sent), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
-
-
-def _packer(path: str, sent) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", key.alias("deal")).repartition(n_tasks, "deal").sortWithinPartitions("deal")
+    return dealt.mapInPandas(_packer(tokenizer_path, sent, shard_chars), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+
+
+def _shards(frames: Iterator[pd.DataFrame], most: int) -> Iterator[tuple[list, list]]:
+    """doc_ids and texts of one shard after the other."""
+    ids: list = []
+    texts: list = []
+    held = 0
+    for frame in frames:
+        for doc_id, text in zip(frame["doc_id"].array, frame["text"], strict=True):
+            ids.append(doc_id)
+            texts.append(text)
+            held += len(text) if isinstance(text, str) else 0
+            if held >= most:
+                yield ids, texts
+                ids, texts, held = [], [], 0
+    if ids:
+        yield ids, texts
+
+
+def _packer(path: str, sent, most: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = [f for f in frames if len(f)]
-        if not held:
-            return
-        frame = pd.concat(held, ignore_index=True).sort_values(["shard_key", "text"], kind="stable", ignore_index=True)
-        shard = TaskContext.get().partitionId()
-        rows = _pack_shard(frame["text"].to_list(), _known(path), sent.value)
-        rows.insert(0, "doc_id", frame["doc_id"].iloc[rows["row"]].array)
-        rows["sequence_id"] = (shard << 32) + rows["sequence"]
-        for start in range(0, len(rows), 10_000):
-            yield rows.iloc[start : start + 10_000][["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]]
+        known, sequences = None, TaskContext.get().partitionId() << 32
+        for ids, texts in _shards(frames, most):
+            known = known or _Chunks(path)
+            rows = _pack_shard(texts, known, sent.value)
+            doc_ids = pd.array([None if pd.isna(d) else int(d) for d in ids], "Int64")
+            rows.insert(0, "doc_id", doc_ids[rows["row"].to_numpy()])
+            rows["sequence_id"] = sequences + rows["sequence"]
+            sequences += int(rows["sequence"].max()) + 1
+            yield rows[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]]
 
     return batches

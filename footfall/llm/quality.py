@@ -24,7 +24,7 @@ EPOCHS, ALPHA, BETA, L1, L2 = 6, 1.0, 1.0, 0.02, 0.1
 THRESHOLD = 0.3
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 #: Tokens remembered by one Python worker with their hash and shape.
-CACHE = 400_000
+CACHE = 200_000
 
 
 def _shape(token: str) -> str:
@@ -118,6 +118,8 @@ def train(labelled: DataFrame, max_rows: int = TRAIN_ROWS, epochs: int = EPOCHS)
     z, n = np.zeros(DIM), np.zeros(DIM)
     schema = "at int, z double, n double"
     dealt = sample.withColumn("shard", F.pmod(F.crc32("turn"), F.lit(shards)).cast("int")).repartition(shards, "shard").persist()
+    dealt.count()
+    sample.unpersist()
     for _ in range(epochs):
         shard = _shard_pass(spark.sparkContext.broadcast((z, n)))
         moved = dealt.groupBy("shard").applyInPandas(shard, schema).groupBy("at").agg((F.sum("z") / shards).alias("z"), (F.sum("n") / shards).alias("n")).toPandas()
@@ -125,7 +127,6 @@ def train(labelled: DataFrame, max_rows: int = TRAIN_ROWS, epochs: int = EPOCHS)
         z[moved["at"]] += moved["z"].to_numpy()
         n[moved["at"]] += moved["n"].to_numpy()
     dealt.unpersist()
-    sample.unpersist()
     return _weights(z, n)
 
 

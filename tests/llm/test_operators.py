@@ -317,7 +317,7 @@ def _check_pieces(frame, texts):
 
 def test_packing_round_trip(spark, odd):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    got = packing.pack(docs, tokenizer_path(), 200_000).toPandas()
+    got = packing.pack(docs, tokenizer_path(), 100_000, 300_000).toPandas()
     _check_pieces(got, docs.select("doc_id", "text").toPandas().itertuples(index=False))
     assert got["length"].sum() > 0.9 * packing.WINDOW * got["sequence_id"].nunique()
     plain = odd.where("doc_id is not null").dropDuplicates(["doc_id"])

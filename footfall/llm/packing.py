@@ -3,8 +3,10 @@ greedily fill its window.
 
 Documents are dealt to index shards of bounded size by a hash. Inside a shard, documents longer than a window
 give whole windows of their own first; what is left of each document is indexed. A seed, the unused document with the
-longest rest, opens a window, its highest-weighted terms query the shard's inverted index, and the best-scoring unused
-documents follow until the window is full, the last one cut to fit. Document frequencies are those of the whole corpus.
+longest rest, opens a window, all its terms query the shard's inverted index, and the unused documents that share one
+follow by score until the window is full, the last one cut to fit. Document frequencies are those of the whole corpus.
+
+A seed sees the documents of its own shard only, so the share of the corpus that it searches is that of a shard.
 """
 
 from __future__ import annotations
@@ -31,7 +33,6 @@ END = 1
 SHARD_CHARS, TASK_CHARS = 4_000_000, 32_000_000
 #: Terms are hashed into 2^TERM_BITS classes; their document frequencies (8 bytes each) go to every executor.
 TERM_BITS = 18
-QUERY_TERMS, NEIGHBOURS = 10, 24
 K1, B = 1.2, 0.75
 #: Chunks that one task remembers, some 200 bytes each.
 CACHE = 450_000
@@ -245,31 +246,24 @@ class Index:
         order = np.argsort(term, kind="stable")
         self.post_doc, self.post_weight = doc[order], weight[order]
         self.post_starts = np.searchsorted(term[order], np.arange(len(idf) + 1)) if len(term) else np.zeros(len(idf) + 1, np.int64)
-        self.scores = np.zeros(n_docs)
+        self.held = n_docs
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share a query term with the seed, best score first (ties: lower place), NEIGHBOURS at
-        most."""
-        a, b = self.starts[seed], self.starts[seed + 1]
-        if a == b:
-            return np.empty(0, np.int64)
-        top = np.argsort(-self.weight[a:b], kind="stable")[:QUERY_TERMS]
-        touched = []
-        for t in self.term[a:b][top]:
-            s, e = self.post_starts[t], self.post_starts[t + 1]
-            self.scores[self.post_doc[s:e]] += self.post_weight[s:e]
-            touched.append(self.post_doc[s:e])
-        found = np.concatenate(touched)
-        found = found[unused[found]]
-        # a document stands here once per term at most, so so many places hold NEIGHBOURS distinct documents
-        most = QUERY_TERMS * NEIGHBOURS
-        if len(found) > most:
-            found = found[np.argpartition(-self.scores[found], most)[:most]]
-        found = np.unique(found)
-        best = found[np.lexsort((found, -self.scores[found]))[:NEIGHBOURS]]
-        for t in touched:
-            self.scores[t] = 0.0
-        return best
+        """All unused documents that share a term with the seed, best score first (ties: lower place). A document that is
+        used once stays so: its postings may go."""
+        if 2 * np.count_nonzero(unused) < self.held:
+            self._keep(unused)
+        asked = self.term[self.starts[seed] : self.starts[seed + 1]]
+        first = self.post_starts[asked]
+        at = ragged(first, self.post_starts[asked + 1] - first)
+        scores = np.bincount(self.post_doc[at], self.post_weight[at], len(unused))
+        found = np.flatnonzero((scores > 0) & unused)
+        return found[np.argsort(-scores[found], kind="stable")]
+
+    def _keep(self, unused: np.ndarray) -> None:
+        kept = unused[self.post_doc]
+        self.post_starts = np.append(0, np.cumsum(kept))[self.post_starts]
+        self.post_doc, self.post_weight, self.held = self.post_doc[kept], self.post_weight[kept], np.count_nonzero(unused)
 
 
 def plan(lengths: np.ndarray, index: Index) -> list[tuple[int, int, int, int, int]]:
@@ -290,21 +284,21 @@ def plan(lengths: np.ndarray, index: Index) -> list[tuple[int, int, int, int, in
         if at == len(order):
             return pieces
         filled, follow = 0, at
-        queue: list[int] = [int(order[at])]
+        # the seed, its neighbours, and when none is left the next documents in turn
+        queue: Iterator[int] = iter([order[at]])
         asked = False
         while filled < WINDOW:
-            if not queue:
+            doc = int(next(queue, -1))
+            if doc < 0:
                 if not asked:
                     asked = True
-                    queue = [int(d) for d in index.neighbours(int(order[at]), unused)]
+                    queue = iter(index.neighbours(int(order[at]), unused))
                     continue
-                # no neighbour is left: the next documents in turn
                 while follow < len(order) and not unused[order[follow]]:
                     follow += 1
                 if follow == len(order):
                     break
-                queue.append(int(order[follow]))
-            doc = queue.pop(0)
+                doc = int(order[follow])
             taken = int(min(lengths[doc] - done[doc], WINDOW - filled))
             if not taken:
                 continue

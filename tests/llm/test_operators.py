@@ -342,6 +342,19 @@ def test_packing_prefers_neighbours():
     assert index.neighbours(0, np.array([False, True, True, True])).tolist() == [2]
 
 
+def test_packing_takes_all_neighbours():
+    """A window takes every document that shares a term, be it one of the least weighted, before any that does not."""
+    idf = np.ones(1 << packing.TERM_BITS)
+    own = " ".join(f"own{i}" for i in range(12))
+    texts = [own, *[f"longer unrelated text number{i}" for i in range(40)], *[f"own{i % 12} near{i}" for i in range(40)]]
+    idf[packing.terms(["own11"])[1]] = 0.1
+    lengths = np.array([600, *[100] * 40, *[20] * 40])
+    index = packing.Index(*packing.terms(texts), len(texts), idf)
+    assert sorted(index.neighbours(0, np.arange(81) > 0)) == list(range(41, 81))
+    first = [doc for doc, _, _, sequence, _ in packing.plan(lengths, index) if sequence == 0]
+    assert sorted(first[:41]) == [0, *range(41, 81)]
+
+
 def test_licenses(spark, odd):
     known = licenses.known_digests(spark)
     notice = "This  work is LICENCED under the GNU General Public Licence, version 3!"

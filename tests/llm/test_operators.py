@@ -280,6 +280,17 @@ def test_secret_structures():
     assert secret_scan.redacted(f"a {token} b", secret_scan.confirmed_spans(f"a {token} b")) == "a [SECRET] b"
 
 
+def test_secret_keys_after_an_equals_sign():
+    numbers = b"".join(_der(2, bytes([i + 1]) * 40) for i in range(8))
+    der = base64.b64encode(_der(0x30, _der(2, b"\0") + numbers)).decode()
+    field = lambda x: len(x).to_bytes(4, "big") + x
+    ssh = base64.b64encode(b"openssh-key-v1\0" + field(b"none") * 2 + field(b"") + b"\0\0\0\1" + field(b"k" * 40)).decode()
+    for text, kind, at in ((f"PRIVATE_KEY={der} end", "der", 12), (f"SSL_KEY={der}", "der", 8), (f"http://a.io/?key={ssh}&x=1", "ssh", 17)):
+        found = secret_scan.confirmed_spans(text)
+        assert [(k, s) for k, s, _ in found] == [(kind, at)]
+        assert der not in (clean := secret_scan.redacted(text, found)) and ssh not in clean
+
+
 def test_secret_scan_brute_force(spark, odd):
     keyword = r"(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
     assign = re.compile(keyword + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")

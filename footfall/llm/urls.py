@@ -11,7 +11,10 @@ from .common import cut, discard
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = "(?i)href\\s*=\\s*[\"']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#\"'<>\\s]+)"
-DAMPING, ROUNDS = 0.85, 8
+DAMPING = 0.85
+#: A walk ends when a round moves less than this much of the mass: after about 100 rounds at most, by the damping. ROUNDS is
+#: what the SQL is unrolled to. BETWEEN: rounds from one lineage cut to the next.
+TOLERANCE, ROUNDS, BETWEEN = 1e-7, 8, 5
 #: A host that no rule decides is blocked if its distrust exceeds this many times its trust.
 RATIO = 1.0
 
@@ -55,9 +58,10 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.unionByName(both).groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
-def personalised_pagerank(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """host, score after some rounds from seed masses (host, mass). Masses are normalised to 1; what reaches a host
-    without out-edges leaves the walk. Each round is one join and one sum over distinct edges, then a lineage cut."""
+def personalised_pagerank(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, damping: float = DAMPING) -> DataFrame:
+    """host, score from seed masses (host, mass), once the scores have settled or after the given rounds. Masses are
+    normalised to 1; what reaches a host without out-edges leaves the walk. Each round is one join and one sum over
+    distinct edges."""
     total = seeds.agg(F.sum("mass")).first()[0] or 0.0
     if total <= 0:
         return seeds.select("host", F.lit(0.0).alias("score")).limit(0)
@@ -66,15 +70,24 @@ def personalised_pagerank(edges: DataFrame, seeds: DataFrame, rounds: int = ROUN
     shares = cut(edges.join(out, "src").select("src", "dst", (F.col("w") / F.col("out_w")).alias("p")), "shares")
     restart = base.select("host", (F.col("score") * (1 - damping)).alias("score"))
     score = cut(base, "rank")
-    for _ in range(rounds):
-        moved = shares.join(score, shares.src == score.host).select(F.col("dst").alias("host"), (F.col("score") * F.col("p") * damping).alias("score"))
-        following = cut(moved.unionByName(restart).groupBy("host").agg(F.sum("score").alias("score")), "rank")
+    done = 0
+    while rounds is None or done < rounds:
+        n = BETWEEN if rounds is None else min(BETWEEN, rounds - done)
+        following = score
+        for _ in range(n):
+            before = following.select("host", "score")
+            moved = shares.join(before, shares.src == before.host).select(F.col("dst").alias("host"), (before.score * F.col("p") * damping).alias("score"))
+            parts = moved.unionByName(restart).withColumn("old", F.lit(0.0)).unionByName(before.select("host", F.lit(0.0).alias("score"), F.col("score").alias("old")))
+            following = parts.groupBy("host").agg(F.sum("score").alias("score"), F.sum("old").alias("old"))
+        following = cut(following, "rank")
         discard(score)
-        score = following
+        score, done = following.select("host", "score"), done + n
+        if rounds is None and following.agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0] < TOLERANCE:
+            break
     return score
 
 
-def judge(pages: DataFrame, rules=RULES, ratio: float = RATIO, rounds: int = ROUNDS) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, ratio: float = RATIO, rounds: int | None = None) -> DataFrame:
     """Every row of pages (page_id, url, html) with host, path, rule, verdict, trust and distrust.
 
     Trusted seeds are hosts with pages that an allow rule decides, blocked seeds those with pages that a block rule

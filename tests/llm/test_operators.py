@@ -395,6 +395,14 @@ def test_urls(spark):
     assert urls.judge(df.limit(0)).count() == 0
 
 
+def test_urls_far_from_seeds(spark):
+    """A chain of twelve hosts that leads only to a blocked one: all of it is blocked."""
+    pages = [_page(f"http://h{i}.io/", [f"http://h{i + 1}.io/"]) for i in range(11)] + [_page("http://h11.io/", ["http://bad.net/"]), _page("http://bad.net/"), _page("http://c.org/fr/1")]
+    got = urls.judge(spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], "page_id long, url string, html string")).orderBy("page_id").collect()
+    assert [r["verdict"] for r in got] == ["block"] * 13 + ["allow"]
+    assert np.allclose([r["distrust"] for r in got[:13]], [0.15 * 0.85 ** (12 - i) for i in range(13)], atol=1e-6)
+
+
 def test_pagerank_against_numpy(spark):
     rng = np.random.default_rng(3)
     a = np.triu(rng.random((8, 8)) < 0.4, 1).astype(float) * rng.integers(1, 4, (8, 8))

@@ -30,7 +30,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated until the languages' tokens match the targets; none has to go for that."""
-    return mixing.repeated(docs, mixing.fit(docs, labelled_domains(docs, table(spark, sf_dir, "labels"))))
+    return mixing.repeated(docs, mixing.fit(docs, labelled_domains(docs, table(spark, sf_dir, "labels")), least=1.0))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -89,20 +89,20 @@ def posteriors(docs: DataFrame, model: np.ndarray, keep: Sequence[str] = ()) ->
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInPandas(batches, schema)
 
 
-def _rates(p: np.ndarray, tokens: np.ndarray, history: list[tuple[float, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+def _rates(p: np.ndarray, tokens: np.ndarray, history: list[tuple[float, np.ndarray]], least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
     """Every document's rate, and the extrapolated point, after the steps taken so far. Distances between rates are
     weighted by tokens, so a step moves long and short documents of one membership alike; those without tokens stay at
-    1. A step is r <- max(0, y - step * gradient) from the extrapolated point y; it depends on the document's own row and
+    1. A step is r <- max(least, y - step * gradient) from the extrapolated point y; it depends on the document's own row and
     the shared direction of each step only, so the directions are all that has to be sent."""
     rate = point = np.ones(len(tokens))
     for momentum, direction in history:
-        moved = np.where(tokens > 0, np.maximum(0.0, point - p @ direction[:-1] - direction[-1] * (point - 1)), 1.0)
+        moved = np.where(tokens > 0, np.maximum(least, point - p @ direction[:-1] - direction[-1] * (point - 1)), 1.0)
         point = moved + momentum * (moved - rate)
         rate = moved
     return rate, point
 
 
-def _totals(history) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _totals(history, least: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Each task's sums over its documents, at the extrapolated point, of expected tokens by domain."""
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -110,7 +110,7 @@ def _totals(history) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame
         for frame in frames:
             if len(frame):
                 p, tokens = np.stack(frame["p"].to_list()), frame["share"].to_numpy()
-                part = (_rates(p, tokens, history)[1] * tokens) @ p
+                part = (_rates(p, tokens, history, least)[1] * tokens) @ p
                 total = part if total is None else total + part
         if total is not None:
             yield pd.DataFrame({"k": np.arange(len(total)), "v": total})
@@ -118,31 +118,43 @@ def _totals(history) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame
     return batches
 
 
-def fit_rates(members: DataFrame, targets: Sequence[float], iterations: int = ITERATIONS) -> tuple[list[tuple[float, np.ndarray]], float]:
-    """Projected-gradient steps (with momentum) for the least-squares problem over rates r >= 0
+def fit_rates(members: DataFrame, targets: Sequence[float], iterations: int = ITERATIONS, least: float = 0.0) -> tuple[list[tuple[float, np.ndarray]], float]:
+    """Projected-gradient steps (with momentum) for the least-squares problem over rates r >= least
 
         sum_k w_k (sum_d p_dk t_d r_d - target_k)^2 + RIDGE * sum_d t_d (r_d - 1)^2
 
     t_d: a document's share of all tokens; targets are shares of the final total, which is set so that no domain has to
-    shrink: max_k(own share / target share). w_k evens out domains of unlike size. A step costs one pass over the small
+    shrink: max_k(own share / target share). With least = 1 no document may shrink either, and copies of one domain's
+    documents carry some of the others, so the total is raised until rates 1 + sum_j c_j p_dj with c >= 0 meet all
+    targets, where memberships overlap so little that there are such. w_k evens out domains of unlike size. A step costs one pass over the small
     table of posteriors and one sum per domain; only these sums reach the driver. Returns the steps and that total.
     """
     k = len(targets)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
     stats = members.agg(
         *[F.sum(F.col("p")[i] * F.col("share")).alias(f"m{i}") for i in range(k)],
-        *[F.sum(F.col("p")[i] * F.col("p")[i] * F.col("share")).alias(f"q{i}") for i in range(k)],
+        *[F.sum(F.col("p")[i] * F.col("p")[j] * F.col("share")).alias(f"q{i}_{j}") for i, j in pairs],
     ).first()
     own = np.array([stats[f"m{i}"] or 0.0 for i in range(k)])
-    square = np.array([stats[f"q{i}"] or 0.0 for i in range(k)])
+    both = np.zeros((k, k))
+    for i, j in pairs:
+        both[i, j] = both[j, i] = stats[f"q{i}_{j}"] or 0.0
+    square = np.diag(both)
     wanted = np.asarray(targets, float) / sum(targets)
     if not own.sum():
         return [], 1.0
     total = float((own / wanted)[own > 0].max())
+    if least >= 1:
+        # rates 1 + p @ c reach own + c @ both, and own is ones @ both
+        there = own > 0
+        reach = np.linalg.lstsq(both[np.ix_(there, there)], wanted[there], rcond=None)[0]
+        if reach.min() > 0:
+            total = max(total, float(1 / reach.min()))
     weight = np.where(square > 0, 1 / np.maximum(square, 1e-300), 0.0)
     # the scaled system has one unit of curvature for each domain, and as many at most where domains overlap
     step, history, t = 1.0 / k, [], 1.0
     for _ in range(iterations):
-        parts = members.select("p", "share").mapInPandas(_totals(history), "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
+        parts = members.select("p", "share").mapInPandas(_totals(history, least), "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
         reached = np.zeros(k)
         for row in parts:
             reached[row["k"]] = row["v"]
@@ -160,20 +172,22 @@ class Mixture(NamedTuple):
     model: np.ndarray
     tokens: int
     history: list[tuple[float, np.ndarray]]
+    least: float = 0.0
 
 
-def fit(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, iterations: int = ITERATIONS) -> Mixture:
-    """Classifier from labelled (doc_id, text, domain), rates from all of docs."""
+def fit(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, iterations: int = ITERATIONS, least: float = 0.0) -> Mixture:
+    """Classifier from labelled (doc_id, text, domain), rates of least or more from all of docs; with least = 1 every
+    document stays."""
     targets = targets or TARGETS
     model = fit_classifier(labelled, list(targets))
     members = cut(posteriors(docs, model), "posteriors")
     tokens = members.agg(F.sum("n_tokens")).first()[0] or 0
     shares = members.select("p", (F.col("n_tokens") / F.lit(float(max(tokens, 1)))).alias("share"))
-    return Mixture(model, tokens, fit_rates(shares, list(targets.values()), iterations)[0])
+    return Mixture(model, tokens, fit_rates(shares, list(targets.values()), iterations, least)[0], least)
 
 
 def rated(docs: DataFrame, mixture: Mixture, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """One row per row of docs: the columns named in keep (doc_id among them), n_tokens, p, rate (fitted, 0 or more) and
+    """One row per row of docs: the columns named in keep (doc_id among them), n_tokens, p, rate (fitted, the mixture's least or more) and
     copies, the rate rounded to a whole number by the hash of doc_id, so that copies have the rate as their mean.
 
     A text that is null or has no word weighs nothing and keeps the rate 1. Repeated rows are rated alike; an empty
@@ -193,11 +207,11 @@ def repeated(docs: DataFrame, mixture: Mixture) -> DataFrame:
 
 
 def _rater(mixture: Mixture) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    tokens, history = float(max(mixture.tokens, 1)), mixture.history
+    tokens, history, least = float(max(mixture.tokens, 1)), mixture.history, mixture.least
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if len(frame):
-                yield frame.assign(rate=_rates(np.stack(frame["p"].to_list()), frame["n_tokens"].to_numpy() / tokens, history)[0])
+                yield frame.assign(rate=_rates(np.stack(frame["p"].to_list()), frame["n_tokens"].to_numpy() / tokens, history, least)[0])
 
     return batches

@@ -95,6 +95,24 @@ def test_mixing_matches_targets_and_brute_force(spark, odd):
     assert mixing.rated(empty(odd), mixing.fit(empty(odd), empty(odd).withColumn("domain", F.col("lang")), targets)).count() == 0
 
 
+def test_mixing_keeps_every_document(spark):
+    """Domains that share words: copies of the scarce ones carry some of the largest, and still no document goes."""
+    words = {"en": "the of and to in a b c d", "fr": "le la de et un a b c d", "de": "der die und das ein a b c d"}
+    odds = np.array([0.01] * 5 + [0.95 / 4] * 4)
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(rng.choice(words[d].split(), rng.integers(5, 40), p=odds)), d) for i, d in enumerate(rng.choice(["en", "fr", "de"], 2000, p=[0.7, 0.2, 0.1]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, domain string")
+    targets = {"en": 0.5, "fr": 0.2, "de": 0.3}
+    loose = mixing.rated(docs, mixing.fit(docs, docs, targets)).toPandas()
+    assert loose["rate"].min() < 1 and (loose["copies"] == 0).any()
+    mixture = mixing.fit(docs, docs, targets, least=1.0)
+    got = mixing.rated(docs, mixture).toPandas()
+    assert got["rate"].min() >= 1 and got["copies"].min() >= 1
+    total = (np.stack(got["p"].to_list()) * (got["rate"] * got["n_tokens"]).to_numpy()[:, None]).sum(0)
+    assert np.allclose(total / total.sum(), list(targets.values()), atol=5e-3)
+    assert set(mixing.repeated(docs, mixture).toPandas()["doc_id"]) == set(range(2000))
+
+
 def test_sharding(spark, odd):
     docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.expr("repeat('x', cast(id % 97 as int))").alias("text"))
     sized = sharding.with_sizes(docs)

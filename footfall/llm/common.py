@@ -11,10 +11,31 @@ from pyspark.sql import functions as F
 WORD_BREAK = "[\\x20\\x09-\\x0D]+"
 
 
+#: Whole texts go to Python in batches of so many rows at most.
+BATCH_ROWS = 1024
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have the session's Arrow batches hold BATCH_ROWS rows at most: the default of 10,000 suits numbers, not texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores added while df has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where it is unset (tests on one machine)."""
+    """The folder named in spark.checkpoint.dir, which all executors share; a temporary one on a single machine only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

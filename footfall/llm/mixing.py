@@ -11,12 +11,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from xxhash import xxh32_intdigest
 
-from .common import cut
+from .common import cut, free_name, small_batches
 
 BITS = 16
 DIM = 1 << BITS
@@ -27,6 +26,11 @@ SHARPNESS = 12.0
 ITERATIONS = 40
 #: Weight of staying near a rate of 1 against matching the targets.
 RIDGE = 1e-4
+#: The fit has met the targets once no domain misses its own by more than this share of it.
+TOLERANCE = 1e-4
+#: A domain with less than this share of the corpus's expected tokens can't be mixed in: it is left out of the fit. No document's
+#: rate exceeds MOST.
+FLOOR, MOST = 1e-3, 64.0
 CACHE = 400_000
 #: Target shares of the tokens by domain.
 TARGETS = {"en": 0.50, "fr": 0.18, "de": 0.16, "es": 0.16}
@@ -49,6 +53,7 @@ def fit_classifier(labelled: DataFrame, domains: Sequence[str], max_rows: int =
     """Log-probabilities of hashed words by domain (rows) from labelled rows (doc_id, text, domain), at most max_rows of
     them by md5 of doc_id. Each task counts its own words; the sums that come to the driver are bounded by DIM times the
     number of domains. Rows with other domains or null text take no part; without rows all domains are alike."""
+    small_batches(labelled.sparkSession)
     sample = labelled.where(F.col("domain").isin(*domains) & F.col("text").isNotNull()).orderBy(F.md5(F.col("doc_id").cast("string")), F.md5("text")).limit(max_rows)
     place = {d: i for i, d in enumerate(domains)}
 
@@ -60,158 +65,198 @@ def fit_classifier(labelled: DataFrame, domains: Sequence[str], max_rows: int =
         at = np.flatnonzero(sums)
         yield pd.DataFrame({"at": at, "n": sums[at]})
 
-    totals = sample.select("text", "domain").mapInPandas(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    totals = sample.select("text", "domain").mapInPandas(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(len(place) * DIM)
-    counts[totals["at"]] = totals["n"]
+    counts[totals["at"].to_numpy()] = totals["n"].to_numpy()
     counts = counts.reshape(len(place), DIM) + 0.1
     return np.log(counts / counts.sum(axis=1, keepdims=True))
 
 
-def posteriors(docs: DataFrame, model: np.ndarray, keep: Sequence[str] = ()) -> DataFrame:
-    """The columns named in keep, n_tokens (words of the whole text) and p (posterior by domain; all alike for a text
-    without words) for every row of docs."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    fields = [f for f in docs.schema.fields if f.name in keep]
-    schema = T.StructType([*fields, T.StructField("n_tokens", T.LongType()), T.StructField("p", T.ArrayType(T.DoubleType()))])
+def _memberships(sent) -> Callable[[Column], Column]:
+    """n_tokens and the posterior by domain of a text, as one list of doubles."""
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def batches(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known, logs = _Words(), sent.value
-        for frame in frames:
-            sizes, shares = [], []
-            for text in frame["text"]:
+        for part in texts:
+            rows = []
+            for text in part:
                 found = _hashed(text, known)
                 mean = logs[:, found].mean(axis=1) if len(found) else np.zeros(len(logs))
                 p = np.exp(SHARPNESS * (mean - mean.max()))
-                sizes.append(len(found))
-                shares.append(p / p.sum())
-            yield frame[[f.name for f in fields]].assign(n_tokens=np.array(sizes, np.int64), p=pd.Series(shares, index=frame.index, dtype=object))
+                rows.append(np.append(len(found), p / p.sum()))
+            yield pd.Series(rows, index=part.index, dtype=object)
+
+    # not to be run again for each place that names its result
+    return F.pandas_udf(batches, "array<double>").asNondeterministic()
+
+
+class Names(NamedTuple):
+    """Columns that hold n_tokens and the posterior of each domain beside a table's own columns."""
+
+    n_tokens: str
+    p: list[str]
 
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInPandas(batches, schema)
+
+def posteriors(docs: DataFrame, model: np.ndarray) -> tuple[DataFrame, Names]:
+    """docs with n_tokens (words of the whole text) and one posterior for each domain (all alike for a text without
+    words), under names that docs does not use, and these names. Only the text goes to Python."""
+    small_batches(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    both = free_name(docs, "membership")
+    names = Names(free_name(docs, "n_tokens"), [free_name(docs, f"p_{i}") for i in range(len(model))])
+    found = docs.withColumn(both, _memberships(sent)(F.col("text")))
+    parts = {names.n_tokens: F.col(both)[0].cast("long")} | {c: F.col(both)[i + 1] for i, c in enumerate(names.p)}
+    return found.withColumns(parts).drop(both), names
 
 
-def _rates(p: np.ndarray, tokens: np.ndarray, history: list[tuple[float, np.ndarray]], least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+class Steps(NamedTuple):
+    """What leads from a document's posteriors to its rate: (momentum, direction) of each step, and the bounds of rates."""
+
+    history: list[tuple[float, np.ndarray]]
+    least: float
+    most: float
+
+
+def _rates(p: np.ndarray, tokens: np.ndarray, steps: Steps) -> tuple[np.ndarray, np.ndarray]:
     """Every document's rate, and the extrapolated point, after the steps taken so far. Distances between rates are
     weighted by tokens, so a step moves long and short documents of one membership alike; those without tokens stay at
-    1. A step is r <- max(least, y - step * gradient) from the extrapolated point y; it depends on the document's own row and
-    the shared direction of each step only, so the directions are all that has to be sent."""
+    1. A step is r <- y - step * gradient from the extrapolated point y, brought back into the bounds; it depends on the
+    document's own row and the shared direction of each step only, so the directions are all that has to be sent."""
     rate = point = np.ones(len(tokens))
-    for momentum, direction in history:
-        moved = np.where(tokens > 0, np.maximum(least, point - p @ direction[:-1] - direction[-1] * (point - 1)), 1.0)
+    for momentum, direction in steps.history:
+        moved = np.clip(point - p @ direction[:-1] - direction[-1] * (point - 1), steps.least, steps.most)
+        moved = np.where(tokens > 0, moved, 1.0)
         point = moved + momentum * (moved - rate)
         rate = moved
     return rate, point
 
 
-def _totals(history, least: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Each task's sums over its documents, at the extrapolated point, of expected tokens by domain."""
+def _totals(steps: Steps) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Each task's sums over its documents of expected tokens by domain: at the extrapolated point, and as rated."""
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = None
+        total = 0.0
         for frame in frames:
             if len(frame):
-                p, tokens = np.stack(frame["p"].to_list()), frame["share"].to_numpy()
-                part = (_rates(p, tokens, history, least)[1] * tokens) @ p
-                total = part if total is None else total + part
-        if total is not None:
+                p, tokens = frame.iloc[:, 1:].to_numpy(), frame.iloc[:, 0].to_numpy()
+                rate, point = _rates(p, tokens, steps)
+                total = total + np.concatenate([(point * tokens) @ p, (rate * tokens) @ p])
+        if not isinstance(total, float):
             yield pd.DataFrame({"k": np.arange(len(total)), "v": total})
 
     return batches
 
 
-def fit_rates(members: DataFrame, targets: Sequence[float], iterations: int = ITERATIONS, least: float = 0.0) -> tuple[list[tuple[float, np.ndarray]], float]:
-    """Projected-gradient steps (with momentum) for the least-squares problem over rates r >= least
+def fit_rates(members: DataFrame, targets: Sequence[float], iterations: int = ITERATIONS, least: float = 0.0, most: float = MOST) -> tuple[Steps, list[bool], float]:
+    """Projected-gradient steps (with momentum) for the least-squares problem over rates least <= r <= most
 
         sum_k w_k (sum_d p_dk t_d r_d - target_k)^2 + RIDGE * sum_d t_d (r_d - 1)^2
 
-    t_d: a document's share of all tokens; targets are shares of the final total, which is set so that no domain has to
-    shrink: max_k(own share / target share). With least = 1 no document may shrink either, and copies of one domain's
-    documents carry some of the others, so the total is raised until rates 1 + sum_j c_j p_dj with c >= 0 meet all
-    targets, where memberships overlap so little that there are such. w_k evens out domains of unlike size. A step costs one pass over the small
-    table of posteriors and one sum per domain; only these sums reach the driver. Returns the steps and that total.
+    members: t_d, a document's share of all tokens, then p_d1, p_d2, ...; targets are shares of the final total, which is
+    set so that no domain has to shrink: max_k(own share / target share). With least = 1 no document may shrink either,
+    and copies of one domain's documents carry some of the others, so the total is raised until rates
+    1 + sum_j c_j p_dj with c >= 0 meet all targets, where memberships overlap so little that there are such. w_k evens
+    out domains of unlike size. Domains below FLOOR weigh nothing, and the targets of the others are scaled to 1. A step
+    costs one pass over the small table of posteriors and one sum per domain; only these sums reach the driver. Returns
+    the steps, whether each domain took part, and the largest relative miss of a target by the rates of the last step.
     """
     k = len(targets)
+    share, *p = (F.col(f"`{c}`") for c in members.columns)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     stats = members.agg(
-        *[F.sum(F.col("p")[i] * F.col("share")).alias(f"m{i}") for i in range(k)],
-        *[F.sum(F.col("p")[i] * F.col("p")[j] * F.col("share")).alias(f"q{i}_{j}") for i, j in pairs],
+        *[F.sum(p[i] * share).alias(f"m{i}") for i in range(k)],
+        *[F.sum(p[i] * p[j] * share).alias(f"q{i}_{j}") for i, j in pairs],
     ).first()
     own = np.array([stats[f"m{i}"] or 0.0 for i in range(k)])
     both = np.zeros((k, k))
     for i, j in pairs:
         both[i, j] = both[j, i] = stats[f"q{i}_{j}"] or 0.0
-    square = np.diag(both)
-    wanted = np.asarray(targets, float) / sum(targets)
-    if not own.sum():
-        return [], 1.0
-    total = float((own / wanted)[own > 0].max())
+    wanted = np.asarray(targets, float)
+    there = (own >= FLOOR) & (wanted > 0)
+    if not there.any():
+        return Steps([], least, most), there.tolist(), 0.0
+    wanted = np.where(there, wanted, 0.0) / wanted[there].sum()
+    total = float((own[there] / wanted[there]).max())
     if least >= 1:
         # rates 1 + p @ c reach own + c @ both, and own is ones @ both
-        there = own > 0
         reach = np.linalg.lstsq(both[np.ix_(there, there)], wanted[there], rcond=None)[0]
-        if reach.min() > 0:
+        if reach.min() > 1 / most:
             total = max(total, float(1 / reach.min()))
-    weight = np.where(square > 0, 1 / np.maximum(square, 1e-300), 0.0)
+    weight = np.where(there, 1 / np.maximum(np.diag(both), FLOOR**2), 0.0)
     # the scaled system has one unit of curvature for each domain, and as many at most where domains overlap
-    step, history, t = 1.0 / k, [], 1.0
-    for _ in range(iterations):
-        parts = members.select("p", "share").mapInPandas(_totals(history, least), "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
-        reached = np.zeros(k)
+    step, history, t, miss = 1.0 / k, [], 1.0, np.inf
+    for _ in range(iterations + 1):
+        parts = members.mapInPandas(_totals(Steps(history, least, most)), "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
+        reached = np.zeros(2 * k)
         for row in parts:
             reached[row["k"]] = row["v"]
+        miss = float(np.abs(reached[k:][there] / (total * wanted[there]) - 1).max())
+        if miss < TOLERANCE or len(history) == iterations:
+            break
         following = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        history.append((float((t - 1) / following), np.append(step * weight * (reached - total * wanted), step * RIDGE)))
+        history.append((float((t - 1) / following), np.append(step * weight * (reached[:k] - total * wanted), step * RIDGE)))
         t = following
-        if np.abs(reached / (total * wanted) - 1)[own > 0].max() < 1e-4:
-            break
-    return history, total
+    return Steps(history, least, most), there.tolist(), miss
 
 
 class Mixture(NamedTuple):
-    """A fitted mixture: the classifier, the tokens of the corpus, and the steps that lead to every document's rate."""
+    """A fitted mixture: the written table of the documents' kept columns, tokens and posteriors, the names of these, the
+    tokens of the corpus, the steps that lead to every document's rate, the domains with too few tokens to take part,
+    and by how much of itself the worst target of the others is missed (TOLERANCE or less unless rates are at their bounds)."""
 
-    model: np.ndarray
+    members: DataFrame
+    names: Names
     tokens: int
-    history: list[tuple[float, np.ndarray]]
-    least: float = 0.0
+    steps: Steps
+    unreachable: list[str]
+    miss: float
 
 
-def fit(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, iterations: int = ITERATIONS, least: float = 0.0) -> Mixture:
+def fit(
+    docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, iterations: int = ITERATIONS, least: float = 0.0, keep: Sequence[str] = ("doc_id",),
+) -> Mixture:
     """Classifier from labelled (doc_id, text, domain), rates of least or more from all of docs; with least = 1 every
-    document stays."""
+    document stays. Every text is read once; keep lists the columns of docs that the written table carries."""
     targets = targets or TARGETS
     model = fit_classifier(labelled, list(targets))
-    members = cut(posteriors(docs, model), "posteriors")
-    tokens = members.agg(F.sum("n_tokens")).first()[0] or 0
-    shares = members.select("p", (F.col("n_tokens") / F.lit(float(max(tokens, 1)))).alias("share"))
-    return Mixture(model, tokens, fit_rates(shares, list(targets.values()), iterations, least)[0], least)
-
-
-def rated(docs: DataFrame, mixture: Mixture, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """One row per row of docs: the columns named in keep (doc_id among them), n_tokens, p, rate (fitted, the mixture's least or more) and
-    copies, the rate rounded to a whole number by the hash of doc_id, so that copies have the rate as their mean.
+    whole, names = posteriors(docs.select(*dict.fromkeys([*keep, "text"])), model)
+    members = cut(whole.select(*keep, names.n_tokens, *names.p), "posteriors")
+    tokens = members.agg(F.sum(names.n_tokens)).first()[0] or 0
+    shares = members.select((F.col(names.n_tokens) / F.lit(float(max(tokens, 1)))).alias("share"), *names.p)
+    steps, there, miss = fit_rates(shares, list(targets.values()), iterations, least)
+    return Mixture(members, names, tokens, steps, [d for d, x in zip(targets, there, strict=True) if not x], miss)
 
-    A text that is null or has no word weighs nothing and keeps the rate 1. Repeated rows are rated alike; an empty
-    table gives an empty result; columns not in keep are dropped. No shuffle: a rate depends on the row and the mixture.
-    """
-    keep = [c for c in keep if c not in ("n_tokens", "p", "rate", "copies")]
-    found = posteriors(docs, mixture.model, keep)
-    schema = T.StructType([*found.schema.fields, T.StructField("rate", T.DoubleType())])
-    turn = F.pmod(F.xxhash64("doc_id", F.lit("copies")), F.lit(1_000_000)) / 1e6
-    copies = (F.floor("rate") + (turn < F.col("rate") - F.floor("rate")).cast("long")).cast("int")
-    return found.mapInPandas(_rater(mixture), schema).withColumn("copies", copies)
 
+def _with_copies(mixture: Mixture, rate: str, copies: str) -> DataFrame:
+    tokens, steps = float(max(mixture.tokens, 1)), mixture.steps
 
-def repeated(docs: DataFrame, mixture: Mixture) -> DataFrame:
-    """docs with every row as often as its copies say, in the columns of docs."""
-    return rated(docs, mixture, docs.columns).where("copies > 0").withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    def batches(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for n_tokens, *p in parts:
+            yield pd.Series(_rates(np.stack(p, axis=1), n_tokens.to_numpy() / tokens, steps)[0])
 
+    rated_by = F.pandas_udf(batches, "double").asNondeterministic()
+    found = mixture.members.withColumn(rate, rated_by(mixture.names.n_tokens, *mixture.names.p))
+    turn = F.pmod(F.xxhash64("doc_id", F.lit("copies")), F.lit(1_000_000)) / 1e6
+    whole = F.floor(rate)
+    return found.withColumn(copies, (whole + (turn < F.col(rate) - whole).cast("long")).cast("int"))
 
-def _rater(mixture: Mixture) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    tokens, history, least = float(max(mixture.tokens, 1)), mixture.history, mixture.least
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if len(frame):
-                yield frame.assign(rate=_rates(np.stack(frame["p"].to_list()), frame["n_tokens"].to_numpy() / tokens, history, least)[0])
+def rated(mixture: Mixture) -> DataFrame:
+    """One row per document of the mixture: doc_id, n_tokens, p (posterior by domain), rate (fitted, between the mixture's
+    bounds) and copies, the rate rounded to a whole number by the hash of doc_id, so that copies have the rate as their mean.
 
-    return batches
+    A text that is null or has no word weighs nothing and keeps the rate 1. Repeated rows are rated alike; an empty
+    table gives an empty result. No shuffle: a rate depends on the row and the mixture.
+    """
+    found = _with_copies(mixture, free_name(mixture.members, "rate"), free_name(mixture.members, "copies"))
+    *_, rate, copies = found.columns
+    return found.select(
+        "doc_id", F.col(mixture.names.n_tokens).alias("n_tokens"), F.array(*mixture.names.p).alias("p"), F.col(rate).alias("rate"), F.col(copies).alias("copies"))
+
+
+def repeated(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, least: float = 0.0) -> DataFrame:
+    """docs with every row as often as its copies say, with exactly the columns of docs, whatever their names."""
+    mixture = fit(docs, labelled, targets, least=least, keep=docs.columns)
+    copies = free_name(mixture.members, "copies")
+    found = _with_copies(mixture, free_name(mixture.members, "rate"), copies).where(F.col(copies) > 0)
+    return found.withColumn(copies, F.explode(F.array_repeat(F.lit(1), F.col(copies)))).select(*docs.columns)

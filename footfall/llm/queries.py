@@ -26,7 +26,7 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = mixing.rated(docs, mixing.fit(docs, labelled_domains(docs, table(spark, sf_dir, "labels")), least=1.0))
+    found = mixing.rated(mixing.fit(docs, labelled_domains(docs, table(spark, sf_dir, "labels")), least=1.0))
     shares = [F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(mixing.TARGETS)]
     return found.select("doc_id", "n_tokens", *shares, "rate", "copies")
 

@@ -8,7 +8,7 @@ TOPK = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
            WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
 s AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT) AS score
-      FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+      FROM (SELECT DISTINCT * FROM v WHERE vec_id % 50 = 0) a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s)
 SELECT * FROM r WHERE rank <= 5
 """
@@ -41,26 +41,27 @@ def rules_sql() -> str:
         (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, len(ls) AS n_lines,
         length(text) - length(regexp_replace(text, '\p{{Lu}}', '', 'g')) AS n_upper, length(text) - length(translate(text, '!', '')) AS n_bangs, length(text) - length(translate(text, '.', '')) AS n_stops
         FROM w LEFT JOIN rep USING (doc_id)),
-    v AS (SELECT *, {', '.join(f"CAST(CASE WHEN n_words = 0 THEN 0 WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END AS INT) AS {k}" for k, (bad, good) in rules.RULES.items())} FROM f),
+    v AS (SELECT *, {', '.join(f"CAST(CASE WHEN n_words = 0 THEN {rules.ABSTAIN} WHEN {bad} THEN {rules.BAD} WHEN {rather} THEN {rules.RATHER_BAD} WHEN {good} THEN {rules.GOOD} ELSE {rules.ABSTAIN} END AS INT) AS {k}" for k, (bad, rather, good) in rules.RULES.items())} FROM f),
     pt AS (SELECT {', '.join(names)}, count(*)::DOUBLE AS n FROM v GROUP BY ALL)"""
-    first = ", ".join([f"{rules.PRIOR}::DOUBLE AS prior"] + [f"{rules.START[c][i]}::DOUBLE AS {k}_{c}_{'gb'[i]}" for k in names for c in (1, 0) for i in (0, 1)])
-    views = [f"m0 AS (SELECT {first})"]
-    product = lambda c: " * ".join([("prior" if c else "(1 - prior)")] + [f"CASE {k} WHEN 1 THEN {k}_{c}_g WHEN -1 THEN {k}_{c}_b ELSE 1 END" for k in names])
-    posterior = f"({product(1)}) / (({product(1)}) + ({product(0)}))"
+    size, prior = len(names), rules.prior_model(len(names))
+    listed = lambda xs: "[" + ", ".join(f"{x}::DOUBLE" for x in xs) + "]"
+    views = [
+        f"ix AS (SELECT c, j, v FROM range({size + 1}) a(c), range({size}) b(j), range(4) d(v))",
+        f"m0 AS (SELECT {listed(prior.shares)} AS pi, {listed(x for a in prior.chances for b in a for x in b)} AS ch)",
+        "pr AS (SELECT pi AS pi0, ch AS ch0 FROM m0)",
+    ]
+    product = " * ".join(["pi[c + 1]", *[f"ch[c * {4 * size} + {4 * j} + {k} + 1]" for j, k in enumerate(names)]])
+    joint = f"list_transform(range({size + 1}), lambda c: {product})"
     for r in range(1, rules.ROUNDS + 1):
-        p, s, q, m = f"p{r}", f"s{r}", f"q{r}", f"m{r}"
-        views.append(f"{p} AS (SELECT pt.*, {posterior} AS p FROM pt CROSS JOIN m{r - 1})")
-        sums = [f"sum(CASE WHEN {k} = {x} THEN n * {'p' if c else '(1 - p)'} ELSE 0 END) AS {k}_{c}_{'g' if x == 1 else 'b'}" for k in names for c in (1, 0) for x in (1, -1)]
-        views.append(f"{s} AS (SELECT sum(n * p) AS t1, sum(n * (1 - p)) AS t0, {', '.join(sums)} FROM {p})")
-        rates = [f"({k}_{c}_{x} + 1) / ({k}_{c}_g + {k}_{c}_b + 2) AS {k}_{c}_{x}" for k in names for c in (1, 0) for x in "gb"]
-        shares = [f"({k}_1_b + {k}_0_b + 1) / ({k}_1_g + {k}_1_b + {k}_0_g + {k}_0_b + 2) AS {k}_all" for k in names]
-        views.append(f"{q} AS (SELECT (t1 + 1) / (t1 + t0 + 2) AS prior, {', '.join(rates + shares)} FROM {s})")
-        held = [f"{k}_1_g, least({k}_1_b, {rules.FALSE_SHARE} * {k}_all / prior) AS {k}_1_b, greatest({k}_0_g, {k}_1_g / {rules.GOOD_RATIO}) AS {k}_0_g, {k}_0_b" for k in names]
-        views.append(f"{m} AS (SELECT prior, {', '.join(held)} FROM {q})")
+        views.append(f"j{r} AS (SELECT pt.*, {joint} AS x FROM pt CROSS JOIN m{r - 1})")
+        each = " UNION ALL ".join(f"SELECT c, {j} AS j, {k} AS v, n * x[c + 1] / list_sum(x) AS w FROM j{r} CROSS JOIN range({size + 1}) t(c)" for j, k in enumerate(names))
+        views.append(f"s{r} AS (SELECT c, j, v, coalesce(w, 0) AS w, sum(coalesce(w, 0)) OVER (PARTITION BY c, j) AS nc FROM ix LEFT JOIN (SELECT c, j, v, sum(w) AS w FROM ({each}) GROUP BY ALL) USING (c, j, v))")
+        views.append(f"""m{r} AS (SELECT list((nc + {rules.PRIOR_TEXTS} * pi0[c + 1]) / ((SELECT sum(n) FROM pt) + {rules.PRIOR_TEXTS}) ORDER BY c) FILTER (j = 0 AND v = 0) AS pi,
+            list((w + {rules.PRIOR_TEXTS} * ch0[c * {4 * size} + j * 4 + v + 1]) / (nc + {rules.PRIOR_TEXTS}) ORDER BY c, j, v) AS ch FROM s{r} CROSS JOIN pr)""")
     failed = "(n_words < 50 OR 100 * n_repeat_words > 50 * n_words)"
-    return f"""WITH {n}, {', '.join(views)}
-    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {failed} AS base_failed, NOT {failed} AND {posterior} >= {rules.KEEP_AT} AS kept, {', '.join(names)}
-    FROM v CROSS JOIN m{rules.ROUNDS}"""
+    return f"""WITH {n}, {', '.join(views)},
+    fin AS (SELECT *, {joint} AS x FROM v CROSS JOIN m{rules.ROUNDS})
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {failed} AS base_failed, NOT {failed} AND x[1] / list_sum(x) >= {rules.KEEP_AT} AS kept, {', '.join(names)} FROM fin"""
 
 
 def licenses_sql() -> str:
@@ -81,24 +82,28 @@ def licenses_sql() -> str:
 
 
 def urls_sql() -> str:
-    """Rules as one case, and the two walks unrolled, one view per round."""
+    """Rules as one case, and the three walks side by side as one recursion. The node '*' holds the mass of a restart: what
+    it sends to a seed, and to itself, is not damped."""
     case = lambda pick: "CASE " + " ".join(
         f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{pick(v, h, p)}'"
         for v, h, p in sorted(urls.RULES, key=lambda r: (len(r[1] + r[2]), r[1] + r[2]), reverse=True)) + " END"
     lower = lambda x: f"translate({x}, '{urls.UPPER}', '{urls.LOWER}')"
-    views = [
-        f"h AS (SELECT page_id, html, {lower(chr(34) + 'raw' + chr(34))} AS host, path FROM (SELECT page_id, html, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '') AS raw, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages))",
-        f"r AS (SELECT *, {case(lambda v, h, p: h + p)} AS rule, {case(lambda v, h, p: v)} AS ruled FROM h)",
-        "hosts AS (SELECT host, sum(CASE WHEN ruled = 'allow' THEN 1.0::DOUBLE ELSE 0 END) AS allowed, sum(CASE WHEN ruled = 'block' THEN 1.0::DOUBLE ELSE 0 END) AS blocked FROM r WHERE host <> '' GROUP BY 1)",
-        "lk AS (SELECT src, {} AS dst FROM (SELECT host AS src, unnest(list_distinct(regexp_extract_all(html, '{}', 1))) AS raw FROM r WHERE host <> '' AND html IS NOT NULL))".format(lower("raw"), urls.LINK.replace("'", "''")),
-        "up AS (SELECT host AS src, regexp_extract(host, '^[^.]+\\.(.+\\..+)$', 1) AS dst FROM hosts)",
-        "edges AS (SELECT src, dst, sum(w) AS w FROM (SELECT src, dst, 1.0::DOUBLE AS w FROM lk WHERE src <> dst UNION ALL SELECT src, dst, 1.0 FROM up WHERE dst IN (SELECT host FROM hosts) UNION ALL SELECT dst, src, 1.0 FROM up WHERE dst IN (SELECT host FROM hosts)) GROUP BY 1, 2)",
-    ]
-    for name, mass, src, dst in (("tr", "allowed", "src", "dst"), ("ds", "blocked", "dst", "src")):
-        views.append(f"{name}e AS (SELECT {src} AS src, {dst} AS dst, w / sum(w) OVER (PARTITION BY {src}) AS p FROM edges)")
-        views.append(f"{name}0 AS (SELECT host, {mass} / (SELECT sum({mass}) FROM hosts) AS score FROM hosts WHERE {mass} > 0)")
-        for i in range(1, urls.ROUNDS + 1):
-            views.append(f"{name}{i} AS (SELECT host, sum(score) AS score FROM (SELECT dst AS host, score * p * {urls.DAMPING} AS score FROM {name}{i - 1} JOIN {name}e ON src = host UNION ALL SELECT host, score * (1 - {urls.DAMPING}) FROM {name}0) GROUP BY 1)")
-    last = urls.ROUNDS
-    return f"""WITH {', '.join(views)} SELECT page_id, r.host, path, rule, coalesce(ruled, CASE WHEN coalesce(d.score, 0) > {urls.RATIO} * coalesce(t.score, 0) THEN 'block' ELSE 'allow' END) AS verdict
-    FROM r LEFT JOIN hosts USING (host) LEFT JOIN tr{last} t ON t.host = hosts.host LEFT JOIN ds{last} d ON d.host = hosts.host"""
+    d, link = urls.DAMPING, urls.LINK.replace("'", "''")
+    scores = ", ".join(f"coalesce(sum(score) FILTER (kind = '{k}'), 0) AS {k}" for k in ("trust", "distrust", "reach"))
+    return rf"""WITH RECURSIVE
+    h AS (SELECT page_id, html, {lower('raw')} AS host, path FROM (SELECT page_id, html, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '') AS raw, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages)),
+    r AS (SELECT *, {case(lambda v, h, p: h + p)} AS rule, {case(lambda v, h, p: v)} AS ruled FROM h),
+    lk AS (SELECT src, {lower('raw')} AS dst FROM (SELECT host AS src, unnest(list_distinct(regexp_extract_all(html, '{link}', 1))) AS raw FROM r WHERE host <> '' AND html IS NOT NULL)),
+    hosts AS (SELECT host FROM r WHERE host <> '' UNION SELECT dst FROM lk WHERE src <> dst),
+    lb AS (SELECT string_split(host, '.') AS l FROM hosts WHERE NOT regexp_matches(host, '^[0-9.]+(:[0-9]*)?$')),
+    up AS (SELECT DISTINCT array_to_string(l[i:], '.') AS src, array_to_string(l[i + 1:], '.') AS dst FROM (SELECT l, unnest(range(1, len(l) - 1)) AS i FROM lb)),
+    edges AS (SELECT src, dst, sum(w) AS w FROM (SELECT src, dst, 1.0::DOUBLE AS w FROM lk WHERE src <> dst UNION ALL SELECT src, dst, 1.0 FROM up UNION ALL SELECT dst, src, 1.0 FROM up) GROUP BY 1, 2),
+    ways AS (SELECT 'trust' AS kind, src, dst, w FROM edges UNION ALL SELECT kind, dst, src, w FROM edges, (VALUES ('distrust'), ('reach')) k(kind)),
+    seeds AS (SELECT kind, host, sum(CASE WHEN kind = 'reach' OR ruled = verdict THEN 1.0::DOUBLE ELSE 0 END) AS mass FROM r, (VALUES ('trust', 'allow'), ('distrust', 'block'), ('reach', '')) k(kind, verdict) WHERE host <> '' GROUP BY 1, 2),
+    base AS (SELECT kind, host, mass / sum(mass) OVER (PARTITION BY kind) AS score FROM seeds WHERE mass > 0),
+    step AS (SELECT kind, src, dst, {d} * w / sum(w) OVER (PARTITION BY kind, src) AS p FROM ways UNION ALL SELECT kind, '*', host, {1 - d} * score FROM base UNION ALL SELECT DISTINCT kind, '*', '*', 1.0 FROM base),
+    walk AS (SELECT 0 AS i, kind, host, score FROM base UNION ALL SELECT DISTINCT 0, kind, '*', 1.0::DOUBLE FROM base UNION ALL
+        (SELECT i + 1, walk.kind, dst, sum(score * p) FROM walk JOIN step ON walk.kind = step.kind AND src = host WHERE i < {urls.ROUNDS} GROUP BY 1, 2, 3)),
+    sc AS (SELECT host, {scores} FROM walk WHERE i = {urls.ROUNDS} GROUP BY 1)
+    SELECT page_id, r.host, path, rule, coalesce(ruled, CASE WHEN distrust > {urls.RATIO} * trust AND distrust > {urls.LIFT} * reach THEN 'block' ELSE 'allow' END) AS verdict
+    FROM r LEFT JOIN sc ON sc.host = r.host"""

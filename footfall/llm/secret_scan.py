@@ -16,6 +16,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .common import small_batches
+
 
 def _either(word: str) -> str:
     return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
@@ -29,9 +31,16 @@ ASSIGN = re.compile(rf"""({KEYWORDS})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]*)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]*?)-----END \1-----")
+#: An armoured key; its lines may be ended by an escaped \n, as in JSON, and headers may say how it is encrypted.
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:[A-Za-z0-9+/=:,.\s-]|\\[nrt])*?)-----END \1-----")
+PEM_HEADERS = re.compile(r"Proc-Type: 4,ENCRYPTED\s+DEK-Info: [A-Z0-9-]+,[0-9A-Fa-f]+\s")
+ESCAPED = re.compile(r"\\[nrt]|\s")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
+#: What follows a line of base64 when it goes on in the next.
+NEXT_LINE = re.compile(r"(?:\r?\n|(?:\\r)?\\n)[ \t]*([A-Za-z0-9+/]+={0,2})")
 HEX_ANY = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{64,}|[0-9A-F]{64,})(?![0-9A-Za-z])")
+#: Object identifiers of password-based encryption (PKCS#5 and PKCS#12), as encoded.
+PBE = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 
 
 def decode_base64(text: str) -> bytes | None:
@@ -60,28 +69,42 @@ def _der(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
     return (tag, at, at + length) if at + length <= end else None
 
 
+def _der_parts(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
+    """The elements that fill [at, end) exactly, else None."""
+    parts = []
+    while at < end:
+        part = _der(data, at, end)
+        if not part:
+            return None
+        parts.append(part)
+        at = part[2]
+    return parts
+
+
 def der_key(data: bytes) -> bool:
-    """A DER private key: an outer sequence over all bytes, a small version number, then elements that fill it exactly,
-    of which PKCS#1 has eight integers, PKCS#8 an algorithm with an object identifier and an octet string, SEC 1 an
-    octet string."""
+    """A DER private key: an outer sequence over all bytes and elements that fill it exactly. After a small version number
+    PKCS#1 has eight integers, PKCS#8 an algorithm with an object identifier and an octet string, SEC 1 an octet
+    string; an encrypted PKCS#8 has no version, but an algorithm of password-based encryption and an octet string."""
     outer = _der(data, 0, len(data))
     if not outer or outer[0] != 0x30 or outer[2] != len(data):
         return False
-    parts, at = [], outer[1]
-    while at < outer[2]:
-        part = _der(data, at, outer[2])
-        if not part or len(parts) > 16:
-            return False
-        parts.append(part)
-        at = part[2]
-    if len(parts) < 2 or parts[0][0] != 0x02 or parts[0][2] - parts[0][1] != 1 or data[parts[0][1]] > 2:
+    parts = _der_parts(data, outer[1], outer[2])
+    if not parts or len(parts) < 2:
         return False
+
+    def algorithm(part: tuple[int, int, int]) -> bytes:
+        oid = _der(data, part[1], part[2]) if part[0] == 0x30 else None
+        return data[oid[1] : oid[2]] if oid and oid[0] == 0x06 else b""
+
     tags = [p[0] for p in parts]
+    if tags == [0x30, 0x04]:
+        return algorithm(parts[0]).startswith(PBE) and parts[1][2] - parts[1][1] >= 16
+    if tags[0] != 0x02 or parts[0][2] - parts[0][1] != 1 or data[parts[0][1]] > 2:
+        return False
     if len(parts) >= 9 and all(t == 0x02 for t in tags[:9]):
         return True
     if len(parts) >= 3 and tags[1] == 0x30 and tags[2] == 0x04:
-        oid = _der(data, parts[1][1], parts[1][2])
-        return bool(oid and oid[0] == 0x06 and oid[2] > oid[1])
+        return bool(algorithm(parts[1]))
     return tags[1] == 0x04 and parts[1][2] - parts[1][1] >= 20
 
 
@@ -97,6 +120,20 @@ def ssh_key(data: bytes) -> bool:
     return at + 4 <= len(data) and 1 <= int.from_bytes(data[at : at + 4], "big") <= 16
 
 
+def ssh_size(data: bytes) -> int:
+    """Bytes of the OpenSSH container that data starts with, by the lengths of its public keys and its private part; all
+    of data where these do not fit."""
+    at, fields = 15, 3
+    for _ in range(fields):
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+    keys, at = int.from_bytes(data[at : at + 4], "big"), at + 4
+    for _ in range(keys + 1):
+        if at + 4 > len(data):
+            return len(data)
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+    return min(at, len(data))
+
+
 def signed_token(header: str, payload: str) -> bool:
     """A header that decodes to a JSON object naming `alg`, and a payload that decodes to a JSON object or is opaque
     base64 (encrypted) with `enc` named."""
@@ -116,6 +153,37 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out + [("hex", *m.span()) for m in HEX.finditer(text)]
 
 
+def _wrapped(text: str, first: re.Match) -> tuple[str, int, int] | None:
+    """A key whose base64 begins with the candidate and goes on in the lines below it. How much of them belongs to it
+    follows from the length that a DER key states; an OpenSSH container ends with its lines."""
+    pieces, at = [(first.start(), first[0])], first.end()
+    while following := NEXT_LINE.match(text, at):
+        pieces.append((following.start(1), following[1]))
+        at = following.end()
+        if following[1].endswith("="):
+            break
+    if len(pieces) == 1:
+        return None
+    joined = "".join(p for _, p in pieces).rstrip("=")
+    whole = decode_base64(joined[: len(joined) - (len(joined) % 4 == 1)]) or b""
+    if whole[:1] == b"\x30" and len(whole) > 6:
+        n = whole[1] & 0x7F if whole[1] & 0x80 else 0
+        kind, size = "der", 2 + n + (int.from_bytes(whole[2 : 2 + n], "big") if n else whole[1])
+        if not der_key(whole[:size]):
+            return None
+    elif ssh_key(whole):
+        kind, size = "ssh", ssh_size(whole)
+    else:
+        return None
+    wanted = -(-size // 3) * 4 - (-size % 3)  # characters without padding
+    for start, piece in pieces:
+        if wanted <= len(piece):
+            padding = piece[wanted:]
+            return kind, first.start(), start + wanted + len(padding) - len(padding.lstrip("="))
+        wanted -= len(piece)
+    return None
+
+
 def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans whose decoded structure is that of a key or token."""
     out = []
@@ -123,8 +191,10 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
         out += [("jwt", *m.span()) for m in JWT.finditer(text) if signed_token(m[1], m[2])]
     if "-----BEGIN " in text:
         for m in PEM.finditer(text):
-            body = decode_base64("".join(m[2].split()))
-            if body and (der_key(body) or ssh_key(body)):
+            headers = PEM_HEADERS.search(m[2].replace("\\n", "\n"))
+            body = decode_base64(ESCAPED.sub("", PEM_HEADERS.sub("", m[2].replace("\\n", "\n"))))
+            # under a legacy header the body is whole blocks of a cipher
+            if body and (len(body) >= 64 and len(body) % 8 == 0 if headers else der_key(body) or ssh_key(body)):
                 out.append(("pem", *m.span()))
     inside = [(s, e) for _, s, e in out]
     for pattern, decode in ((BASE64, decode_base64), (HEX_ANY, bytes.fromhex)):
@@ -135,8 +205,11 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
             # a DER sequence starts with 0x30, the ssh container with its magic
             if found[:1] not in ("M", "b", "3", "6"):
                 continue
-            data = decode(found)
-            if data and der_key(data):
+            longer = _wrapped(text, m) if pattern is BASE64 and text[m.end() : m.end() + 1] in ("\n", "\r", "\\") else None
+            if longer:
+                out.append(longer)
+                inside.append(longer[1:])
+            elif (data := decode(found)) and der_key(data):
                 out.append(("der", *m.span()))
             elif data and ssh_key(data):
                 out.append(("ssh", *m.span()))
@@ -180,6 +253,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 rows.append((doc_id, kinds.count("assign"), kinds.count("access"), kinds.count("hex"), digest, joined(base + confirmed_spans(text))))
             yield pd.DataFrame(rows, columns=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]).astype({"doc_id": frame["doc_id"].dtype})
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInPandas(batches, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
@@ -199,4 +273,5 @@ def redact(docs: DataFrame) -> DataFrame:
                 frame.loc[frame.index[changed], "n_chars"] = [len(texts[i]) for i in changed]
             yield frame[names]
 
+    small_batches(docs.sparkSession)
     return docs.mapInPandas(batches, docs.schema)

@@ -67,18 +67,19 @@ def rules_sql() -> str:
 def licenses_sql() -> str:
     """The same normal form in another dialect, joined to the digests of the known texts."""
 
-    def canonical(text: str) -> str:
+    def by_line(text: str) -> str:
         out = f"regexp_replace(lower({text}), '{licenses.COPYRIGHT_LINE}', ' ', 'g')"
         for one, other in licenses.SPELLINGS:
             out = f"regexp_replace({out}, '\\b{one.replace('.', chr(92) + '.')}\\b', '{other}', 'g')"
-        return f"trim(regexp_replace({out}, '[^a-z0-9]+', ' ', 'g'))"
+        return f"regexp_replace({out}, '{licenses.OTHER}', ' ', 'g')"
 
+    one_line = lambda x: f"trim(regexp_replace({x}, '{licenses.SPACE}', ' ', 'g'))"
     known = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in licenses.KNOWN)
-    return f"""WITH k AS (SELECT md5({canonical('t')}) AS digest, min(l) AS license FROM (VALUES {known}) k(l, t) GROUP BY 1),
-    d AS (SELECT row_number() OVER () AS rn, doc_id, coalesce(text, '') AS text FROM documents),
-    ln AS (SELECT rn, unnest(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(lower(x), 'licen[sc]e|permission|cc by'))) AS x FROM d),
-    nt AS (SELECT rn, list_sort(list_distinct(list(license))) AS notices FROM (SELECT rn, md5({canonical('x')}) AS digest FROM ln) JOIN k USING (digest) GROUP BY rn)
-    SELECT doc_id, digest, license, coalesce(array_to_string(notices, ','), '') AS notices FROM (SELECT rn, doc_id, md5({canonical('text')}) AS digest FROM d) LEFT JOIN k USING (digest) LEFT JOIN nt USING (rn)"""
+    return f"""WITH k AS (SELECT md5(form) AS digest, min(l) AS license FROM (SELECT l, {one_line(by_line('t'))} AS form FROM (VALUES {known}) k(l, t)) WHERE form <> '' GROUP BY 1),
+    d AS (SELECT row_number() OVER () AS rn, doc_id, {by_line("coalesce(text, '')")} AS form FROM documents),
+    ln AS (SELECT rn, trim(unnest(string_split(form, chr(10)))) AS x FROM d UNION SELECT rn, {one_line('x')} FROM (SELECT rn, unnest(string_split_regex(form, '{licenses.BLANK}')) AS x FROM d)),
+    nt AS (SELECT rn, list_sort(list_distinct(list(license))) AS notices FROM (SELECT rn, md5(x) AS digest FROM ln) JOIN k USING (digest) GROUP BY rn)
+    SELECT doc_id, digest, license, coalesce(array_to_string(notices, ','), '') AS notices FROM (SELECT rn, doc_id, md5({one_line('form')}) AS digest FROM d) LEFT JOIN k USING (digest) LEFT JOIN nt USING (rn)"""
 
 
 def urls_sql() -> str:

@@ -408,6 +408,58 @@ def test_secret_keys_after_an_equals_sign():
         assert der not in (clean := secret_scan.redacted(text, found)) and ssh not in clean
 
 
+def _keys():
+    """A PKCS#1 key, a PKCS#8 key, the latter encrypted, a SEC 1 key, all in DER, and an OpenSSH container."""
+    rng = np.random.default_rng(11)
+    octets = lambda n: rng.bytes(n)
+    pkcs1 = _der(0x30, _der(2, b"\0") + b"".join(_der(2, b"\1" + octets(63)) for _ in range(8)))
+    pkcs8 = _der(0x30, _der(2, b"\0") + _der(0x30, _der(6, bytes.fromhex("2a864886f70d010101")) + b"\5\0") + _der(4, pkcs1))
+    locked = _der(0x30, _der(0x30, _der(6, bytes.fromhex("2a864886f70d01050d")) + _der(0x30, octets(40))) + _der(4, octets(640)))
+    sec1 = _der(0x30, _der(2, b"\1") + _der(4, octets(32)) + _der(0xA0, _der(6, bytes.fromhex("2a8648ce3d030107"))) + _der(0xA1, _der(3, b"\0" + octets(65))))
+    field = lambda x: len(x).to_bytes(4, "big") + x
+    ssh = b"openssh-key-v1\0" + field(b"none") * 2 + field(b"") + b"\0\0\0\1" + field(octets(51)) + field(octets(160))
+    return {"pkcs1": pkcs1, "pkcs8": pkcs8, "locked": locked, "sec1": sec1, "ssh": ssh}
+
+
+def test_secret_key_forms():
+    """Every key in every form that it is written in, put between other text: the span found is the one put there."""
+    wrap = lambda x, n, end: end.join(x[i : i + n] for i in range(0, len(x), n))
+    for name, key in _keys().items():
+        b64 = base64.b64encode(key).decode()
+        kind = "ssh" if name == "ssh" else "der"
+        for form in (b64, wrap(b64, 64, "\n"), wrap(b64, 76, "\r\n"), wrap(b64, 64, "\\n"), wrap(b64, 64, "\n    ")):
+            for before, after in (("PRIVATE_KEY=", " end"), ("key: ", "\n\nNext lines of words"), ('{"k": "', '"}'), ("see\n", ".")):
+                assert secret_scan.confirmed_spans(before + form + after) == [(kind, len(before), len(before) + len(form))], (name, before)
+        for end in ("\n", "\r\n", "\\n"):
+            title = {"pkcs1": "RSA PRIVATE KEY", "locked": "ENCRYPTED PRIVATE KEY", "sec1": "EC PRIVATE KEY", "ssh": "OPENSSH PRIVATE KEY"}.get(name, "PRIVATE KEY")
+            pem = f"-----BEGIN {title}-----{end}{wrap(b64, 64, end)}{end}-----END {title}-----{end}"
+            text = '"private_key": "' + pem + '", "id": 1'
+            assert secret_scan.confirmed_spans(text) == [("pem", 16, 16 + len(pem) - len(end))]
+        assert secret_scan.confirmed_spans("x " + key.hex() + " y") == [(kind, 2, 2 + len(key.hex()))]
+        # one byte less, or one changed length, is no key
+        broken = base64.b64encode(key[:-1]).decode()
+        assert secret_scan.confirmed_spans(f"x {broken} y") == [] or name == "ssh"
+    # words on the line below a wrapped key do not hide it
+    b64 = base64.b64encode(_keys()["pkcs8"]).decode()
+    text = wrap(b64, 64, "\n") + "\nword"
+    assert secret_scan.confirmed_spans(text)[0][:2] == ("der", 0)
+    assert secret_scan.redacted(text, secret_scan.confirmed_spans(text)) == "[SECRET]\nword"
+
+
+def test_secret_legacy_encrypted_and_clean_text():
+    body = base64.b64encode(np.random.default_rng(1).bytes(608)).decode()
+    pem = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-256-CBC,0123456789ABCDEF0123456789ABCDEF\n\n{body}\n-----END RSA PRIVATE KEY-----"
+    assert secret_scan.confirmed_spans(pem) == [("pem", 0, len(pem))]
+    many = _der(0x30, _der(2, b"\0") + b"".join(_der(2, bytes([i % 100 + 1]) * 40) for i in range(30)))
+    assert secret_scan.der_key(many)
+    digest = _der(0x30, _der(0x30, _der(6, bytes.fromhex("608648016503040201")) + b"\5\0") + _der(4, bytes(32)))
+    public = _der(0x30, _der(0x30, _der(6, bytes.fromhex("2a864886f70d010101")) + b"\5\0") + _der(3, b"\0" + bytes(200)))
+    rng = np.random.default_rng(2)
+    for data in (digest, public, *(rng.bytes(n) for n in range(60, 400, 7))):
+        b64 = base64.b64encode(data).decode()
+        assert secret_scan.confirmed_spans(f"a {b64} b\nM{b64}\n{b64}") == []
+
+
 def test_secret_scan_brute_force(spark, odd):
     keyword = r"(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
     assign = re.compile(keyword + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -483,12 +535,64 @@ def test_packing_takes_all_neighbours():
     assert sorted(first[:41]) == [0, *range(41, 81)]
 
 
+def _canonical(text):
+    """The normal form of a text once more, line by line in plain Python."""
+    year = re.compile(r"\b(19|20)\d\d\b", re.ASCII)
+    lines = []
+    for line in text.lower().split("\n"):
+        bare = re.sub(r"^[^\w(©&<\[]+", "", line)
+        marked = any(m in bare for m in ("©", "&copy;", "(c)", "<year>", "[year]", "[yyyy]"))
+        states = bare.startswith(("©", "&copy;", "copyright by ")) or re.match(r"copyright\b", bare) and (marked or year.search(bare)) or re.match(r"\(c\)[ \t]*(copyright\b|(19|20)\d\d\b)", bare)
+        if states or re.fullmatch(r"all rights reserved[^\w]*", bare):
+            line = " "
+        for one, other in licenses.SPELLINGS:
+            line = re.sub(rf"\b{re.escape(one)}\b", other, line, flags=re.ASCII)
+        lines.append(" ".join(re.findall(r"[^\W_]+", line)))
+    return lines
+
+
+def test_licenses_against_plain_python(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = {r["doc_id"]: r for r in licenses.scan(docs, licenses.known_digests(spark)).collect()}
+    known = {}
+    for name, text in licenses.KNOWN:
+        form = " ".join(" ".join(_canonical(text)).split())
+        known[form] = min(name, known.get(form, name))
+    seen = 0
+    for doc_id, text in docs.collect():
+        lines = _canonical(text)
+        whole = " ".join(" ".join(lines).split())
+        assert got[doc_id]["digest"] == hashlib.md5(whole.encode()).hexdigest() and got[doc_id]["license"] == known.get(whole)
+        notices = sorted({known[x] for x in lines if x in known})
+        assert set(notices) <= set(got[doc_id]["notices"])
+        seen += bool(notices)
+    assert seen > 20
+
+
 def test_licenses(spark, odd):
     known = licenses.known_digests(spark)
+    text = {name: t for name, t in licenses.KNOWN if len(t) > 400}
     notice = "This  work is LICENCED under the GNU General Public Licence, version 3!"
-    rows = [(1, notice), (2, f"Some text.\n{notice}\nReleased under the MIT License.\nmore"), (3, "Copyright 2020 A. N. Other\n" + licenses.KNOWN[9][1]), (4, None), (5, ""), (5, "")]
-    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), known).orderBy("doc_id").collect()
-    assert [(r["license"], r["notices"]) for r in got] == [("GPL-3.0", ["GPL-3.0"]), (None, ["GPL-3.0", "MIT"]), ("MIT", []), (None, []), (None, []), (None, [])]
+    mit = next(t for n, t in licenses.KNOWN if n == "MIT" and t.startswith("MIT License"))
+    wrapped = mit.replace("<year> <copyright holders>", "2020 A. N. Other").replace("AUTHORS OR COPYRIGHT HOLDERS", "AUTHORS OR\nCOPYRIGHT HOLDERS")
+    rows = [
+        (1, notice, "GPL-3.0", ["GPL-3.0"]), (2, f"Some text.\n{notice}\nReleased under the MIT License.\nmore", None, ["GPL-3.0", "MIT"]),
+        (3, "Copyright 2020 A. N. Other\n" + mit, "MIT", []), (4, None, None, []), (5, "", None, []), (5, "", None, []),
+        # wrapped anew, so that a line starts with "copyright"; each line in a comment; with © and a reservation of rights
+        (6, wrapped, "MIT", []), (7, "\n".join("# " + x for x in wrapped.split("\n")), "MIT", []), (8, "/*\n" + "\n".join(" * " + x for x in wrapped.split("\n")) + "\n */", "MIT", []),
+        (9, "\u00a9 Some One\nAll rights reserved.\n\n" + text["BSD-3-Clause"].split("\n\n", 2)[2], "BSD-3-Clause", []),
+        (10, "// SPDX-License-Identifier: GPL-2.0-or-later\nint main() {}", None, ["GPL-2.0-or-later"]),
+        (11, "intro\n\n" + next(t for n, t in licenses.KNOWN if n == "MPL-2.0" and "Mozilla" in t).replace(" Mozilla", "\n# Mozilla") + "\n\nbody", None, ["MPL-2.0"]),
+        (12, "この著作物は自由に使えます", None, []), (None, notice, "GPL-3.0", ["GPL-3.0"]), (1, "other text", None, []),
+    ]
+    got = licenses.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").withColumn("raw", F.lit("clash")), known).collect()
+    key = lambda r: tuple(map(str, r))
+    assert sorted(((r["doc_id"], r["license"], list(r["notices"])) for r in got), key=key) == sorted(((r[0], r[2], r[3]) for r in rows), key=key)
+    empty_digest = hashlib.md5(b"").hexdigest()
+    assert [r["digest"] for r in got if r["doc_id"] == 12] != [empty_digest] and [r["digest"] for r in got if r["doc_id"] == 4] == [empty_digest]
+    # any table of known texts, also without the words of the usual ones
+    own = licenses.known_digests(spark, spark.createDataFrame([("X-1", "Take it and run (CC-BY)")], "license string, text string"))
+    assert licenses.scan(spark.createDataFrame([(1, "a\ntake it, and run: cc by\nb")], "doc_id long, text string"), own).first()["notices"] == ["X-1"]
     assert licenses.scan(odd, known).count() == 9 and licenses.scan(empty(odd), known).count() == 0
     assert licenses.scan(odd, known.limit(0)).where("license is not null").count() == 0
 

@@ -1,22 +1,25 @@
 """Lexical retrieval packing: a sharded BM25 inverted index returns unused neighbours for each seed document, which
 greedily fill its window.
 
-Documents are dealt to index shards of bounded size by a hash. Inside a shard, documents longer than a window
-give whole windows of their own first; what is left of each document is indexed. A seed, the unused document with the
-longest rest, opens a window, all its terms query the shard's inverted index, and the unused documents that share one
-follow by score until the window is full, the last one cut to fit. Document frequencies are those of the whole corpus.
-
-A seed sees the documents of its own shard only, so the share of the corpus that it searches is that of a shard.
+Texts are encoded once. Documents are then dealt to index shards of bounded size by content: by the term that weighs most
+in them, so that those that share it lie side by side; a term that many share is spread over as many tasks as it fills.
+Inside a shard, documents longer than a window give whole windows of their own first; what is left of each document is
+indexed. A seed, the unused document with the longest rest, opens a window, all its terms query the shard's inverted
+index, and the unused documents that share one follow by score until the window is full, the last one cut to fit.
+Document frequencies are those of the whole corpus.
+
+A seed sees the documents of its own shard only.
 """
 
 from __future__ import annotations
 
-import math
+import functools
 import os
 import re
 import zlib
 from collections.abc import Callable, Iterator, Sequence
-from itertools import chain, repeat
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -25,72 +28,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .common import cut, small_batches
+
 WINDOW = 2048
 #: The id that ends every document.
 END = 1
-#: Characters of text in one index shard, and, on average, in one task, which packs its shards one after the other. The
-#: numbers of both grow with the corpus.
-SHARD_CHARS, TASK_CHARS = 4_000_000, 32_000_000
+#: Tokens in one index shard, and, on average, in one task, which packs its shards one after the other. The numbers of both
+#: grow with the corpus.
+SHARD_TOKENS, TASK_TOKENS = 1_200_000, 9_600_000
 #: Terms are hashed into 2^TERM_BITS classes; their document frequencies (8 bytes each) go to every executor.
 TERM_BITS = 18
 K1, B = 1.2, 0.75
-#: Chunks that one task remembers, some 200 bytes each.
-CACHE = 450_000
-
+#: Chunks that one Python worker remembers, some 40 bytes each, and the places of their table.
+CACHE, SLOTS = 1_200_000, 1 << 21
+#: Bytes of text, or tokens, that are worked on at once.
+PIECE = 1 << 20
 
 _FACTOR = 0x9E3779B97F4A7C15
-_PIECE = 1 << 20
-_POWERS = np.cumprod(np.full(2 * _PIECE, _FACTOR, np.uint64))
-_INVERSE = np.cumprod(np.full(2 * _PIECE, pow(_FACTOR, -1, 1 << 64), np.uint64))
-
-
-def terms(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(place of the text, term class) of every word of the texts, in order. A term is a word between ASCII white space
-    with A-Z lower-cased, hashed over its bytes."""
-    places, classes = [], []
-    start = 0
-    while start < len(texts):
-        stop, size, part = start, 0, []
-        while stop < len(texts) and (not part or size + len(part[-1]) < _PIECE):
-            part.append(texts[stop].encode("utf-8", "replace"))
-            size += len(part[-1]) + 1
-            stop += 1
-        data = np.frombuffer(b" ".join(part), np.uint8)
-        data = data + 32 * ((data >= 65) & (data <= 90)).view(np.uint8)
-        inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
-        edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))
-        first, last = edge[0::2], edge[1::2]
-        if len(data) <= len(_POWERS):
-            powers, inverse = _POWERS[: len(data)], _INVERSE
-        else:
-            powers = np.cumprod(np.full(len(data), _FACTOR, np.uint64))
-            inverse = np.cumprod(np.full(len(data), pow(_FACTOR, -1, 1 << 64), np.uint64))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers)])
-        hashed = (sums[last] - sums[first]) * inverse[first]
-        hashed ^= hashed >> np.uint64(31)
-        classes.append((hashed * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - TERM_BITS)).astype(np.int64))
-        offsets = np.cumsum([len(p) + 1 for p in part])
-        places.append(start + np.searchsorted(offsets, first, side="right"))
-        start = stop
-    return (np.concatenate(places), np.concatenate(classes)) if places else (np.empty(0, np.int64), np.empty(0, np.int64))
+_MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
-#: A chunk in lower case: letters whose lower case and normal form are the same to Python and the tokenizer, then marks that
-#: are one run to it; or anything else.
-PLAIN = re.compile(r"^(?:([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)|.+)$", re.MULTILINE)
+@functools.cache
+def _first_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(PIECE + 1)
 
 
-#: White space to the tokenizer. Python's own split also breaks at the four separators from U+001C on.
-SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.cumprod(np.full(n, _FACTOR, np.uint64)), np.cumprod(np.full(n, pow(_FACTOR, -1, 1 << 64), np.uint64))
 
 
-def chunks_of(text: str | None) -> list[str]:
-    """The chunks of a text without white space, as the tokenizer sees it."""
-    if not isinstance(text, str):
-        return []
-    if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-        return [c for c in SPACE.split(text) if c]
-    return text.split()
+def run_hashes(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run values[first:last]; equal runs have equal hashes wherever they are."""
+    powers, inverse = _first_powers() if len(values) <= PIECE else _powers(len(values))
+    sums = np.empty(len(values) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * powers[: len(values)], out=sums[1:])
+    hashed = (sums[last] - sums[first]) * inverse[first]
+    hashed ^= hashed >> np.uint64(31)
+    return hashed * _MIX
 
 
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -114,138 +89,342 @@ class _Runs:
         return self.ids[ragged(self.starts[numbers], self.sizes[numbers])]
 
 
+#: White space to the tokenizer beyond ASCII, as the number that its UTF-8 bytes, and a zero byte after two, make up.
+WIDE_SPACES = np.array([int.from_bytes(c.encode().ljust(3, b"\0"), "big") for c in "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))])
+_LEADS = np.isin(np.arange(256), WIDE_SPACES >> 16)
+
+
+def _pieces(texts: Sequence[str]) -> Iterator[tuple[np.ndarray, bytes]]:
+    """The joined UTF-8 of runs of texts, each of about PIECE bytes, and where each text ends in it."""
+    start = 0
+    while start < len(texts):
+        stop, size, part = start, 0, []
+        while stop < len(texts) and (not part or size + len(texts[stop]) < PIECE):
+            part.append(texts[stop].encode("utf-8", "replace"))
+            size += len(part[-1]) + 1
+            stop += 1
+        yield np.cumsum([len(x) + 1 for x in part]), b"\n".join([*part, b""])
+        start = stop
+
+
+def _split(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes with A-Z lower-cased and all white space made ASCII, and first and last place of each chunk between it."""
+    low = np.frombuffer(data, np.uint8)
+    low = low + 32 * ((low >= 65) & (low <= 90)).view(np.uint8)
+    if not data.isascii():
+        lead = np.flatnonzero(_LEADS[low])
+        number = sum(np.append(low, (0, 0))[lead + i].astype(np.int64) << (16 - 8 * i) for i in range(3))
+        for width, same in ((2, np.where(number >> 16 == 0xC2, number & 0xFFFF00, 0)), (3, number)):
+            for at in lead[np.isin(same, WIDE_SPACES)]:
+                low[at : at + width] = 32
+    inside = ~((low == 32) | ((low >= 9) & (low <= 13)))
+    edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))
+    return low, edge[0::2], edge[1::2]
+
+
+#: A chunk in lower case: letters whose lower case and normal form are the same to Python and the tokenizer, then marks that
+#: are one run to it; or anything else.
+PLAIN = re.compile(r"^(?:([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)|.+)$", re.MULTILINE)
+
+
 class _Chunks:
-    """Chunks without white space, numbered as they are met, with the ids of each.
+    """Ids of chunks, the parts of a text between white space, in a table with open addressing.
 
-    Tokens never cross white space, and the tokenizer drops it, so the ids of a text are those of its chunks in order.
-    A run of letters is one word to the tokenizer, whatever follows it, so new words are encoded together, as one text
-    that is cut again at the marks of word ends, and the run of marks after a word is encoded by itself.
+    Tokens never cross white space, and the tokenizer drops it, so the ids of a text are those of its chunks in order,
+    and chunks that differ in ASCII case alone have the same. A chunk is known by a 64-bit hash, its length and its
+    first eight bytes. A run of letters is one word to the tokenizer, whatever follows it, so new words are encoded
+    together, as one text that is cut again at the marks of word ends, and the run of marks after a word is encoded by
+    itself. A tokenizer that does not work so gets whole texts.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.ends[i] = token.endswith("</w>")
+        size = self.tokenizer.get_vocab_size()
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.ends = word_ends(self.tokenizer)
+        probe = ["Ab", "cd,", "(ef)", "x"]
+        self.by_chunk = self._plain([" \n ".join(probe)])[0].tolist() == self._plain(probe)[0].tolist() and not self.ends.all()
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.runs = _Runs()
-
-    def _encoded(self, chunks: list[str]) -> _Runs:
-        runs = _Runs()
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-        runs.add(np.fromiter(chain.from_iterable(ids), np.uint16), np.fromiter(map(len, ids), np.int64, len(ids)))
-        return runs
-
-    def _words(self, words: list[str]) -> _Runs:
-        """Words of letters only."""
-        runs = _Runs()
-        ids, sizes = [], []
-        for start in range(0, len(words), 4096):
-            part = words[start : start + 4096]
-            one = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint16)
+        self.held, self.filled = 0, 0
+        self.key, self.check = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.uint64)
+        self.start, self.size = np.zeros(SLOTS, np.uint32), np.zeros(SLOTS, np.uint32)
+        self.ids = np.empty(1 << 16, self.dtype)
+
+    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and the number of ids of each text."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(ids), self.dtype), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of letters only."""
+        ids, sizes = [np.empty(0, self.dtype)], [np.empty(0, np.int64)]
+        for at in range(0, len(words), 4096):
+            part = words[at : at + 4096]
+            one = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
             stops = np.flatnonzero(self.ends[one]) + 1
-            if len(stops) == len(part):
-                ids.append(one)
-                sizes.append(np.diff(stops, prepend=0))
-            else:  # one of them is not a single word to the tokenizer
-                single = self._encoded(part)
-                ids.append(single.ids)
-                sizes.append(single.sizes)
-        if ids:
-            runs.add(np.concatenate(ids), np.concatenate(sizes))
-        return runs
-
-    def learn(self, new: list[str]) -> None:
-        """Number chunks that have no number yet."""
-        parts = PLAIN.findall("\n".join(new).lower())
-        other = [c for c, (letters, _) in zip(new, parts, strict=True) if not letters]
-        new = [c for c, (letters, _) in zip(new, parts, strict=True) if letters] + other
-        parts = [x for x in parts if x[0]]
-        bases, marks = dict.fromkeys(x[0] for x in parts), dict.fromkeys(x[1] for x in parts)
-        for numbered in (bases, marks):
-            numbered.update(zip(list(numbered), range(len(numbered)), strict=True))
-        base = np.array([bases[x[0]] for x in parts], np.int64)
-        mark = np.array([marks[x[1]] for x in parts], np.int64)
-        words, tails = self._words(list(bases)), self._encoded(list(marks))
-        first, second = words.sizes[base], tails.sizes[mark]
-        sizes = first + second
+            # else one of them is not a single word to the tokenizer
+            found = (one, np.diff(stops, prepend=0)) if len(stops) == len(part) else self._plain(part)
+            ids.append(found[0])
+            sizes.append(found[1])
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _encoded(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for chunks of any kind."""
+        parts = PLAIN.findall("\n".join(chunks).lower())
+        plain = np.array([bool(letters) for letters, _ in parts])
+        words, marks = ({x: i for i, x in enumerate(dict.fromkeys(p[k] for p in parts if p[0]))} for k in (0, 1))
+        (word_ids, word_sizes), (mark_ids, mark_sizes) = self._words(list(words)), self._plain(list(marks))
+        rest_ids, rest_sizes = self._plain([c for c, (letters, _) in zip(chunks, parts, strict=True) if not letters])
+        word = np.array([words[p[0]] for p in parts if p[0]], np.int64)
+        mark = np.array([marks[p[1]] for p in parts if p[0]], np.int64)
+        # first runs: of words, or of chunks that are neither; second: of marks
+        source = np.concatenate([word_ids, rest_ids, mark_ids])
+        sizes = np.concatenate([word_sizes, rest_sizes, mark_sizes])
         starts = np.cumsum(sizes) - sizes
-        ids = np.empty(int(sizes.sum()), np.uint16)
-        ids[ragged(starts, first)] = words.at(base)
-        ids[ragged(starts + first, second)] = tails.at(mark)
-        rest = self._encoded(other)
-        n = len(self.number)
-        self.number.update(zip(new, range(n, n + len(new)), strict=True))
-        self.runs.add(np.concatenate([ids, rest.ids]), np.concatenate([sizes, rest.sizes]))
-
-    def numbers(self, flat: list[str]) -> np.ndarray:
-        """The number of every chunk. What is remembered is bounded: a shard that would go beyond starts anew."""
-        at = np.fromiter(map(self.number.get, flat, repeat(-1)), np.int64, len(flat))
-        missing = np.flatnonzero(at < 0)
-        if not len(missing):
-            return at
-        new = set(map(flat.__getitem__, missing.tolist()))
-        if self.number and len(self.number) + len(new) > CACHE:
-            self.forget()
-            return self.numbers(flat)
-        self.learn(list(new))
-        at[missing] = np.fromiter(map(self.number.__getitem__, map(flat.__getitem__, missing.tolist())), np.int64, len(missing))
-        return at
-
-    def texts(self, split: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row, and the number of ids of each text."""
-        flat = list(chain.from_iterable(split))
-        if not flat:
-            return np.empty(0, np.uint16), np.zeros(len(split), np.int64)
-        at = self.numbers(flat)
-        ends = np.cumsum(self.runs.sizes[at])
-        upto = np.append(0, ends)[np.cumsum([len(w) for w in split])]
-        return self.runs.at(at), np.diff(upto, prepend=0)
+        first, second = np.empty(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
+        first[plain], first[~plain] = word, len(word_sizes) + np.arange(len(rest_sizes))
+        second[plain] = len(word_sizes) + len(rest_sizes) + mark
+        more = np.where(plain, sizes[second] if len(sizes) else 0, 0)
+        both = np.stack([starts[first], starts[second]], 1).ravel(), np.stack([sizes[first], more], 1).ravel()
+        return source[ragged(*both)], sizes[first] + more
+
+    def _find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """The place of each chunk in the table, or -1."""
+        place = np.full(len(key), -1, np.int64)
+        left, at = np.arange(len(key)), (key >> np.uint64(43)).astype(np.int64)
+        while len(left):
+            there = self.key[at]
+            same = (there == key[left]) & (self.check[at] == check[left])
+            place[left[same]] = at[same]
+            on = ~same & (there != 0)
+            left, at = left[on], (at[on] + 1) & (SLOTS - 1)
+        return place
+
+    def _add(self, key: np.ndarray, check: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        while self.filled + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        self.ids[self.filled : self.filled + len(ids)] = ids
+        starts = self.filled + np.cumsum(sizes) - sizes
+        self.filled, self.held = self.filled + len(ids), self.held + len(key)
+        left, at = np.arange(len(key)), (key >> np.uint64(43)).astype(np.int64)
+        while len(left):
+            _, chosen = np.unique(at, return_index=True)
+            chosen = chosen[self.key[at[chosen]] == 0]
+            self.key[at[chosen]], self.check[at[chosen]] = key[left[chosen]], check[left[chosen]]
+            self.start[at[chosen]], self.size[at[chosen]] = starts[left[chosen]], sizes[left[chosen]]
+            on = np.ones(len(left), bool)
+            on[chosen] = False
+            left, at = left[on], (at[on] + 1) & (SLOTS - 1)
+
+    def _piece(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all chunks of a piece in a row, the number of each chunk's ids, and where it starts."""
+        low, first, last = _split(data)
+        key = run_hashes(low, first, last) | np.uint64(1)  # 0 marks an empty place
+        size = last - first
+        # eight bytes from each place on, of which those of the chunk count
+        eight = np.ndarray(len(low), "<u8", np.append(low, np.zeros(8, np.uint8)).tobytes(), strides=(1,))[first]
+        eight &= np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * np.minimum(size, 8).astype(np.uint64))
+        check = (eight ^ size.astype(np.uint64) << np.uint64(1)) * _MIX
+        place = self._find(key, check)
+        missing = np.flatnonzero(place < 0)
+        if len(missing):
+            new = missing[np.unique(key[missing], return_index=True)[1]]
+            if self.held + len(new) > CACHE and self.held:
+                self.forget()
+                return self._piece(data)
+            raw = low.tobytes()
+            chunks = [raw[a:b].decode() for a, b in zip(first[new].tolist(), last[new].tolist(), strict=True)]
+            self._add(key[new], check[new], *self._encoded(chunks))
+            place[missing] = self._find(key[missing], check[missing])
+        sizes = self.size[place].astype(np.int64)
+        return self.ids[ragged(self.start[place].astype(np.int64), sizes)], sizes, first
+
+    def texts(self, texts: Sequence[str]) -> list[bytes]:
+        """The ids of each text, as bytes."""
+        out: list[bytes] = []
+        if not self.by_chunk:
+            for at in range(0, len(texts), 64):
+                ids, sizes = self._plain(list(texts[at : at + 64]))
+                out += _cut_up(ids, sizes)
+            return out
+        for ends, data in _pieces(texts):
+            ids, sizes, first = self._piece(data)
+            upto = np.append(0, np.cumsum(sizes))[np.searchsorted(first, ends)]
+            out += _cut_up(ids, np.diff(upto, prepend=0))
+        return out
+
+
+def _cut_up(ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    raw, width, stops = ids.tobytes(), ids.dtype.itemsize, np.cumsum(sizes)
+    return [raw[width * (b - n) : width * b] for b, n in zip(stops.tolist(), sizes.tolist(), strict=True)]
+
+
+def word_ends(tokenizer: Tokenizer) -> np.ndarray:
+    """Whether each id ends a word; all do for a tokenizer that does not mark it."""
+    ends = np.zeros(tokenizer.get_vocab_size(), bool)
+    for token, i in tokenizer.get_vocab().items():
+        ends[i] = token.endswith("</w>")
+    return ends if ends.any() else ~ends
+
+
+@functools.cache
+def _known(path: str) -> _Chunks:
+    """One table for each Python worker: what it holds is bounded."""
+    return _Chunks(path)
+
+
+def encoded(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+    """doc_id and ids (without the end mark, as bytes) of every row of docs, in any order."""
+    small_batches(docs.sparkSession)
+
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = _known(tokenizer_path)
+        for frame in frames:
+            texts = [t if isinstance(t, str) else "" for t in frame["text"]]
+            yield pd.DataFrame({"doc_id": frame["doc_id"].array, "ids": known.texts(texts)})
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(batches, "doc_id long, ids binary")
+
+
+class Terms(NamedTuple):
+    """One entry for each word of some documents: the document's place, and the class of the word, a hash of its ids."""
+
+    doc: np.ndarray
+    term: np.ndarray
+
+
+def terms(ids: Sequence[bytes], ends: np.ndarray, dtype: np.dtype) -> Terms:
+    docs, classes = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    start = 0
+    while start < len(ids):
+        stop, size = start, 0
+        while stop < len(ids) and (stop == start or size + len(ids[stop]) // dtype.itemsize < PIECE):
+            size += len(ids[stop]) // dtype.itemsize
+            stop += 1
+        flat = np.frombuffer(b"".join(ids[start:stop]), dtype)
+        upto = np.cumsum([len(x) // dtype.itemsize for x in ids[start:stop]])
+        stops = ends[flat]
+        stops[upto[upto > 0] - 1] = True
+        last = np.flatnonzero(stops) + 1
+        first = np.append(0, last[:-1])[: len(last)]
+        classes.append((run_hashes(flat, first, last) >> np.uint64(64 - TERM_BITS)).astype(np.int64))
+        docs.append(start + np.searchsorted(upto, first, side="right"))
+        start = stop
+    return Terms(np.concatenate(docs), np.concatenate(classes))
 
 
-def corpus_statistics(docs: DataFrame) -> tuple[np.ndarray, int, int]:
-    """Document frequency of every term class, number of documents and characters of text, over all documents.
+def distinct(found: Terms, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, class, count) of the distinct terms of each document, in this order."""
+    both = found.doc << TERM_BITS | found.term
+    if n_docs <= 1 << (32 - TERM_BITS):
+        both = both.astype(np.uint32)
+    both, count = np.unique(both, return_counts=True)
+    both = both.astype(np.int64)
+    return both >> TERM_BITS, both & ((1 << TERM_BITS) - 1), count
 
-    Each task adds up its own documents, so what is shuffled is one row per task and class."""
+
+class Corpus(NamedTuple):
+    """What every task knows of all documents: how many there are, the mean number of their words, and in how many each class
+    of words occurs."""
+
+    n_docs: int
+    mean: float
+    frequency: np.ndarray
+
+    def weights(self, term: np.ndarray, count: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """BM25 weight of a class that occurs so often in a document of so many words."""
+        idf = np.log(1 + (self.n_docs - self.frequency[term] + 0.5) / (self.frequency[term] + 0.5))
+        return idf * count * (K1 + 1) / (count + K1 * (1 - B + B * length / (self.mean or 1.0)))
+
+
+def _sums(docs: DataFrame, size: int, count: Callable[[pd.DataFrame, np.ndarray], None]) -> np.ndarray:
+    """The sum over all rows of what `count` adds to an array of `size` longs. Each task adds up its own rows, so what is
+    shuffled is one row per task and place of the array."""
 
     def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count, n, size = np.zeros(1 << TERM_BITS, np.int64), 0, 0
+        total = np.zeros(size, np.int64)
+        for frame in frames:
+            count(frame, total)
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"at": at, "n": total[at]})
+
+    found = docs.mapInPandas(partial, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(size, np.int64)
+    total[found["at"].to_numpy()] = found["n"].to_numpy()
+    return total
+
+
+def corpus_statistics(ids: DataFrame, ends: np.ndarray, dtype: np.dtype) -> Corpus:
+    """Over all rows of (doc_id, ids)."""
+
+    def count(frame: pd.DataFrame, total: np.ndarray) -> None:
+        found = terms(frame["ids"], ends, dtype)
+        total[: 1 << TERM_BITS] += np.bincount(distinct(found, len(frame))[1], minlength=1 << TERM_BITS)
+        total[-2:] += len(frame), len(found.doc)
+
+    total = _sums(ids.select("ids"), (1 << TERM_BITS) + 2, count)
+    return Corpus(int(total[-2]), float(total[-1] / max(1, total[-2])), total[: 1 << TERM_BITS].astype(float))
+
+
+def top_terms(found: Terms, deal: np.ndarray, corpus: Corpus) -> np.ndarray:
+    """The class that weighs most in each document, of those that another one has too (ties: the lower class); a document
+    without words gets one by its hash."""
+    doc, term, count = distinct(found, len(deal))
+    top = deal & ((1 << TERM_BITS) - 1)
+    if len(doc):
+        weight = np.where(corpus.frequency[term] > 1, corpus.weights(term, count, np.bincount(found.doc, minlength=len(deal))[doc]), 0.0)
+        present, starts = np.unique(doc, return_index=True)
+        most = np.repeat(np.maximum.reduceat(weight, starts), np.diff(np.append(starts, len(doc))))
+        best = np.flatnonzero(weight == most)
+        top[present] = term[best[np.unique(doc[best], return_index=True)[1]]]
+    return top
+
+
+def dealt(ids: DataFrame, corpus: Corpus, ends: np.ndarray, dtype: np.dtype, task_tokens: int) -> DataFrame:
+    """(doc_id, ids) dealt to tasks of task_tokens on average, in the order of their top terms within each. The classes follow
+    each other in the tasks by number; one that fills several tasks is spread over them by the hash of the row, and so
+    a task's size does not depend on how often a term or text occurs."""
+    spark, width = ids.sparkSession, dtype.itemsize
+    sent = spark.sparkContext.broadcast(corpus)
+    rows = ids.select("doc_id", "ids", F.xxhash64("doc_id", "ids").alias("deal"))
+
+    def count(frame: pd.DataFrame, total: np.ndarray) -> None:
+        top = top_terms(terms(frame["ids"], ends, dtype), frame["deal"].to_numpy().copy(), sent.value)
+        np.add.at(total, top, [len(x) // width + 1 for x in frame["ids"]])
+
+    sizes = _sums(rows, 1 << TERM_BITS, count)
+    n_tasks = max(1, -(-int(sizes.sum()) // task_tokens))
+    before = np.cumsum(sizes) - sizes
+    each = max(1.0, sizes.sum() / n_tasks)
+    first = np.minimum(before // each, n_tasks - 1).astype(np.int64)
+    spread = np.minimum((before + np.maximum(sizes, 1) - 1) // each, n_tasks - 1).astype(np.int64) - first + 1
+    places = spark.sparkContext.broadcast((first, spread))
+
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first, spread = places.value
         for frame in frames:
-            texts = [t for t in frame["text"] if isinstance(t, str)]
-            n += len(frame)
-            size += sum(map(len, texts))
-            place, term = terms(texts)
-            count += np.bincount(np.unique(place << TERM_BITS | term) & ((1 << TERM_BITS) - 1), minlength=1 << TERM_BITS)
-        at = np.flatnonzero(count)
-        yield pd.DataFrame({"term": np.append(at, [-1, -2]), "n": np.append(count[at], [n, size])})
-
-    sums = docs.select("text").mapInPandas(partial, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
-    by_term = dict(zip(sums["term"], sums["n"], strict=True))
-    frequency = np.zeros(1 << TERM_BITS)
-    real = sums[sums["term"] >= 0]
-    frequency[real["term"]] = real["n"]
-    return frequency, int(by_term.get(-1, 0)), int(by_term.get(-2, 0))
+            deal = frame["deal"].to_numpy()
+            top = top_terms(terms(frame["ids"], ends, dtype), deal.copy(), sent.value)
+            yield frame.assign(term=top, task=(first[top] + (deal >> 20) % spread[top]).astype(np.int32))
+
+    placed = rows.mapInPandas(batches, "doc_id long, ids binary, deal long, term long, task int")
+    return placed.repartitionById(n_tasks, "task").sortWithinPartitions("term", "deal").select("doc_id", "ids")
 
 
 class Index:
     """BM25 over the documents of one shard: for each document its terms and weights, and postings by term."""
 
-    def __init__(self, doc: np.ndarray, term: np.ndarray, n_docs: int, idf: np.ndarray) -> None:
-        """doc, term: one entry per word."""
-        lengths = np.bincount(doc, minlength=n_docs).astype(float)
-        mean = lengths.mean() if lengths.sum() else 1.0
-        both, count = np.unique(doc << TERM_BITS | term, return_counts=True)
-        doc, term = both >> TERM_BITS, both & ((1 << TERM_BITS) - 1)
-        weight = idf[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * lengths[doc] / mean))
+    def __init__(self, found: Terms, n_docs: int, corpus: Corpus) -> None:
+        doc, term, count = distinct(found, n_docs)
+        weight = corpus.weights(term, count, np.bincount(found.doc, minlength=n_docs)[doc])
         self.starts = np.searchsorted(doc, np.arange(n_docs + 1))
         self.term, self.weight = term, weight
         order = np.argsort(term, kind="stable")
         self.post_doc, self.post_weight = doc[order], weight[order]
-        self.post_starts = np.searchsorted(term[order], np.arange(len(idf) + 1)) if len(term) else np.zeros(len(idf) + 1, np.int64)
+        self.post_starts = np.searchsorted(term[order], np.arange((1 << TERM_BITS) + 1))
         self.held = n_docs
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
@@ -309,69 +488,63 @@ def plan(lengths: np.ndarray, index: Index) -> list[tuple[int, int, int, int, in
         sequence += 1
 
 
-def _pack_shard(texts: list[str | None], known: _Chunks, idf: np.ndarray) -> pd.DataFrame:
-    ids, lengths = [], []
-    end = np.array([END], "<u4").tobytes()
-    texts = [t if isinstance(t, str) else "" for t in texts]
-    for start in range(0, len(texts), 512):
-        flat, sizes = known.texts([chunks_of(t) for t in texts[start : start + 512]])
-        stops = np.cumsum(sizes)
-        ids += [flat[b - n : b].astype("<u4").tobytes() + end for b, n in zip(stops, sizes, strict=True)]
-        lengths.append(sizes + 1)
-    lengths = np.concatenate(lengths)
-    pieces = plan(lengths, Index(*terms(texts), len(texts), idf))
+def pack_shard(ids: list[bytes], ends: np.ndarray, dtype: np.dtype, corpus: Corpus) -> pd.DataFrame:
+    """row (place in ids), start, length, sequence, offset, ids_crc32 and doc_tokens of each piece."""
+    width = dtype.itemsize
+    lengths = np.array([len(x) // width + 1 for x in ids], np.int64)
+    pieces = plan(lengths, Index(terms(ids, ends, dtype), len(ids), corpus))
     out = pd.DataFrame(pieces, columns=["row", "start", "length", "sequence", "offset"]).astype("int64")
-    out["ids_crc32"] = np.array([zlib.crc32(ids[doc][4 * start : 4 * (start + length)]) for doc, start, length, _, _ in pieces], np.int64)
+    end = np.array([END], "<u4").tobytes()
+    sums = []
+    for doc, start, length, _, _ in pieces:
+        own = np.frombuffer(ids[doc], dtype)[start : start + length].astype("<u4").tobytes()
+        sums.append(zlib.crc32(own if len(own) == 4 * length else own + end))
+    out["ids_crc32"] = np.array(sums, np.int64)
     out["doc_tokens"] = lengths[out["row"]]
     return out
 
 
-def pack(docs: DataFrame, tokenizer_path: str, shard_chars: int = SHARD_CHARS, task_chars: int = TASK_CHARS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, shard_tokens: int = SHARD_TOKENS, task_tokens: int = TASK_TOKENS) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Null and empty texts are one token, the end mark. Rows that repeat a doc_id, or have none, are documents of their
     own, told apart by nothing but their order; other columns are dropped; an empty table gives no pieces. A task takes
-    its rows in the order of their hash and packs a shard whenever it has shard_chars of text, so what it holds is
+    its rows in the order of their top terms and packs a shard whenever it has shard_tokens, so what it holds is
     bounded, and a task that runs again gives the same pieces. Only a shard's last sequence is short. sequence_id holds
     the task's number in its upper bits.
     """
-    frequency, n_docs, size = corpus_statistics(docs)
-    idf = np.log(1 + (n_docs - frequency + 0.5) / (frequency + 0.5))
-    n_tasks = max(1, math.ceil(size / task_chars))
-    sent = docs.sparkSession.sparkContext.broadcast(idf)
-    # a row's own text is part of the key, so that rows without a doc_id spread as well
-    key = F.xxhash64("doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", key.alias("deal")).repartition(n_tasks, "deal").sortWithinPartitions("deal")
-    return dealt.mapInPandas(_packer(tokenizer_path, sent, shard_chars), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
-
-
-def _shards(frames: Iterator[pd.DataFrame], most: int) -> Iterator[tuple[list, list]]:
-    """doc_ids and texts of one shard after the other."""
-    ids: list = []
-    texts: list = []
-    held = 0
-    for frame in frames:
-        for doc_id, text in zip(frame["doc_id"].array, frame["text"], strict=True):
-            ids.append(doc_id)
-            texts.append(text)
-            held += len(text) if isinstance(text, str) else 0
-            if held >= most:
-                yield ids, texts
-                ids, texts, held = [], [], 0
-    if ids:
-        yield ids, texts
-
-
-def _packer(path: str, sent, most: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    known = _Chunks(tokenizer_path)
+    ends, dtype = known.ends, known.dtype
+    del known
+    ids = cut(encoded(docs, tokenizer_path), "ids")
+    corpus = corpus_statistics(ids, ends, dtype)
+    sent = docs.sparkSession.sparkContext.broadcast(corpus)
+
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, sequences = None, TaskContext.get().partitionId() << 32
-        for ids, texts in _shards(frames, most):
-            known = known or _Chunks(path)
-            rows = _pack_shard(texts, known, sent.value)
-            doc_ids = pd.array([None if pd.isna(d) else int(d) for d in ids], "Int64")
-            rows.insert(0, "doc_id", doc_ids[rows["row"].to_numpy()])
+        sequences = TaskContext.get().partitionId() << 32
+        for doc_ids, held in _shards(frames, shard_tokens * dtype.itemsize):
+            rows = pack_shard(held, ends, dtype, sent.value)
+            rows.insert(0, "doc_id", pd.array([None if pd.isna(d) else int(d) for d in doc_ids], "Int64")[rows["row"].to_numpy()])
             rows["sequence_id"] = sequences + rows["sequence"]
             sequences += int(rows["sequence"].max()) + 1
             yield rows[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]]
 
-    return batches
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    return dealt(ids, corpus, ends, dtype, task_tokens).mapInPandas(batches, schema)
+
+
+def _shards(frames: Iterator[pd.DataFrame], most: int) -> Iterator[tuple[list, list[bytes]]]:
+    """doc_ids and ids of one shard after the other, of `most` bytes or little more."""
+    doc_ids: list = []
+    held: list[bytes] = []
+    size = 0
+    for frame in frames:
+        for doc_id, ids in zip(frame["doc_id"].array, frame["ids"], strict=True):
+            doc_ids.append(doc_id)
+            held.append(ids)
+            size += len(ids) + 2
+            if size >= most:
+                yield doc_ids, held
+                doc_ids, held, size = [], [], 0
+    if doc_ids:
+        yield doc_ids, held

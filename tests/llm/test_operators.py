@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import json
+import os
 import re
 import zlib
 
@@ -507,34 +508,112 @@ def test_packing_round_trip(spark, odd):
     assert packing.pack(empty(odd), tokenizer_path()).count() == 0
 
 
-@pytest.mark.parametrize("text", ["It's 3rd, isn't?!", "ÀÉÎ naïve Straße ẞ İstanbul K Å Σας ﬁ é", "<|endoftext|> a", "x_y __z__ 'll 're'd", "日本語 テスト　 mixed\x1ctext\x85a\x1f b\u2028c\u205fd\u180ee\x0bf\xa0g\u2007h", "'s'T ''m a'b .,;!a!! ª º µ ÿŸ", "퟿​﻿ zero width"])
+@pytest.mark.parametrize("text", ["It's 3rd, isn't?!", "ÀÉÎ naïve Straße ẞ İstanbul K Å Σας ﬁ é", "<|endoftext|> a", "x_y __z__ 'll 're'd", "日本語 テスト　 mixed\x1ctext\x85a\x1f b\u2028c\u205fd\u180ee\x0bf\xa0g\u2007h", "'s'T ''m a'b .,;!a!! ª º µ ÿŸ", "퟿​﻿ zero width", ""])
 def test_chunk_encoding_equals_tokenizer(text):
     chunks = packing._Chunks(tokenizer_path())
-    ids, sizes = chunks.texts([packing.chunks_of(text), [], packing.chunks_of(text.lower())])
-    want = [chunks.tokenizer.encode(t, add_special_tokens=False).ids for t in (text, "", text.lower())]
-    assert ids.tolist() == sum(want, []) and sizes.tolist() == [len(w) for w in want]
+    texts = [text, "", text.lower(), text * 3, "plain words"]
+    for _ in range(2):  # new chunks, then known ones
+        got = [np.frombuffer(x, chunks.dtype).tolist() for x in chunks.texts(texts)]
+        assert got == [chunks.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_random_texts_and_a_full_table(monkeypatch):
+    """Random texts of many scripts, with a table that has to start anew again and again."""
+    monkeypatch.setattr(packing, "CACHE", 500)
+    rng = np.random.default_rng(12)
+    letters = [*"abcXYZ019 \n\t.,'-_#", "é", "ß", "Ж", "中", "\u3000", "\x85", "e\u0301", "\u200b", "🙂", "ﬁ", "İ"]
+    texts = ["".join(rng.choice(letters, rng.integers(0, 80))) for _ in range(3000)]
+    chunks = packing._Chunks(tokenizer_path())
+    for at in range(0, 3000, 150):
+        part = texts[at : at + 150]
+        assert [np.frombuffer(x, chunks.dtype).tolist() for x in chunks.texts(part)] == [e.ids for e in chunks.tokenizer.encode_batch(part, add_special_tokens=False)]
+
+
+def test_tokenizers_that_keep_white_space():
+    for name in sorted(os.listdir(os.path.dirname(tokenizer_path()))):
+        if name.endswith(".json") and name != os.path.basename(tokenizer_path()):
+            try:
+                chunks = packing._Chunks(tokenizer_path(name))
+            except Exception:  # not a tokenizer of this library
+                continue
+            texts = ["Some text, of two words.\n Next  line", "", "x"]
+            assert [np.frombuffer(x, chunks.dtype).tolist() for x in chunks.texts(texts)] == [chunks.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def _corpus(texts, frequency=1.0):
+    """Ids of texts, the tokenizer's marks of word ends, and a corpus in which all classes are equally frequent."""
+    chunks = packing._Chunks(tokenizer_path())
+    ids = chunks.texts(texts)
+    found = packing.terms(ids, chunks.ends, chunks.dtype)
+    return ids, found, packing.Corpus(len(texts), len(found.doc) / len(texts), np.full(1 << packing.TERM_BITS, frequency)), chunks
 
 
 def test_packing_prefers_neighbours():
-    idf = np.ones(1 << packing.TERM_BITS)
     texts = ["alpha beta gamma", "one two three", "alpha beta delta", "four five six"]
-    index = packing.Index(*packing.terms(texts), 4, idf)
-    assert index.neighbours(0, np.array([False, True, True, True])).tolist() == [2]
+    _, found, corpus, _ = _corpus(texts)
+    assert packing.Index(found, 4, corpus).neighbours(0, np.array([False, True, True, True])).tolist() == [2]
 
 
 def test_packing_takes_all_neighbours():
     """A window takes every document that shares a term, be it one of the least weighted, before any that does not."""
-    idf = np.ones(1 << packing.TERM_BITS)
-    own = " ".join(f"own{i}" for i in range(12))
-    texts = [own, *[f"longer unrelated text number{i}" for i in range(40)], *[f"own{i % 12} near{i}" for i in range(40)]]
-    idf[packing.terms(["own11"])[1]] = 0.1
+    own = " ".join(f"own{chr(97 + i)}" for i in range(12))
+    texts = [own, *[f"longer unrelated text number{i}" for i in range(40)], *[f"own{chr(97 + i % 12)} near{i}" for i in range(40)]]
+    texts = [re.sub(r"(\d+)", lambda m: "".join(chr(97 + int(c)) for c in m[1]), t) for t in texts]
+    _, found, corpus, chunks = _corpus(texts)
+    corpus.frequency[packing.terms(chunks.texts(["ownl"]), chunks.ends, chunks.dtype).term] = 60
     lengths = np.array([600, *[100] * 40, *[20] * 40])
-    index = packing.Index(*packing.terms(texts), len(texts), idf)
+    index = packing.Index(found, len(texts), corpus)
     assert sorted(index.neighbours(0, np.arange(81) > 0)) == list(range(41, 81))
     first = [doc for doc, _, _, sequence, _ in packing.plan(lengths, index) if sequence == 0]
     assert sorted(first[:41]) == [0, *range(41, 81)]
 
 
+def test_packing_scores_are_bm25(spark):
+    """Terms, frequencies and neighbours against BM25 over plain words."""
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(60)]
+    texts = [" ".join(rng.choice(words, rng.integers(1, 30))) for _ in range(50)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    known = packing._Chunks(tokenizer_path())
+    corpus = packing.corpus_statistics(packing.encoded(docs, tokenizer_path()), known.ends, known.dtype)
+    split = [t.split() for t in texts]
+    assert corpus.n_docs == 50 and abs(corpus.mean - sum(map(len, split)) / 50) < 1e-12 and corpus.frequency.sum() == sum(len(set(w)) for w in split)
+    df = {w: sum(w in x for x in split) for w in words}
+
+    def score(seed, other):
+        total = 0.0
+        for w in set(split[seed]) & set(split[other]):
+            n = split[other].count(w)
+            total += np.log(1 + (50 - df[w] + 0.5) / (df[w] + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(split[other]) / corpus.mean))
+        return total
+
+    index = packing.Index(packing.terms(known.texts(texts), known.ends, known.dtype), 50, corpus)
+    for seed in range(50):
+        want = {o: score(seed, o) for o in range(50) if o != seed}
+        got = index.neighbours(seed, np.arange(50) != seed).tolist()
+        assert set(got) == {o for o, v in want.items() if v > 0}
+        assert all(want[a] >= want[b] - 1e-9 for a, b in zip(got, got[1:]))
+
+
+def test_packing_deals_by_content(spark):
+    """Related documents meet in one shard, though the corpus fills many, and a crowd of copies is spread over several tasks."""
+    rng = np.random.default_rng(5)
+    words = lambda k, n: " ".join(rng.choice([f"t{chr(97 + k % 26)}{chr(97 + k // 26)}{chr(97 + i)}" for i in range(5)], n))
+    common = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(200)]
+    rows = [(i, words(i % 60, 40) + " " + " ".join(rng.choice(common, 60))) for i in range(600)] + [(1000 + i, "copy of one text " * 30) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = packing._Chunks(tokenizer_path())
+    ids = packing.encoded(docs, tokenizer_path())
+    corpus = packing.corpus_statistics(ids, known.ends, known.dtype)
+    got = packing.dealt(ids, corpus, known.ends, known.dtype, 8_000).select("doc_id", F.spark_partition_id().alias("task")).toPandas()
+    assert sorted(got["doc_id"]) == sorted(d for d, _ in rows)
+    assert got[got["doc_id"] >= 1000]["task"].nunique() > 2
+    own = got[got["doc_id"] < 1000].assign(topic=lambda f: f["doc_id"] % 60)
+    n_tasks = got["task"].max() + 1
+    together = own.merge(own, on="topic")
+    assert n_tasks > 8 and (together["task_x"] == together["task_y"]).mean() > 3 / n_tasks
+
+
 def _canonical(text):
     """The normal form of a text once more, line by line in plain Python."""
     year = re.compile(r"\b(19|20)\d\d\b", re.ASCII)

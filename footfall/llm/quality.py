@@ -4,23 +4,23 @@ scored as sparse dot products."""
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from xxhash import xxh32_intdigest
 
+from .common import free_name, small_batches
+
 #: Width of the hashed feature space: it bounds the model (two arrays of doubles), whatever the vocabulary.
 BITS = 18
 DIM = 1 << BITS
-#: At most this many labelled rows are trained on: those with the smallest md5 of their doc_id.
-TRAIN_ROWS = 16_000
-#: Rows to a shard of training on average, and how many shards at most.
-SHARD_ROWS, SHARDS = 2_000, 8
-EPOCHS, ALPHA, BETA, L1, L2 = 6, 1.0, 1.0, 0.02, 0.1
+#: At most this many labelled rows are trained on: those with the smallest md5 of their doc_id, and of these, in that
+#: order, as many as hold this many features together (8 bytes each in the task that learns).
+TRAIN_ROWS, TRAIN_FEATURES = 8_000, 20_000_000
+EPOCHS, ALPHA, BETA, L1, L2 = 3, 1.0, 1.0, 0.02, 0.1
 THRESHOLD = 0.3
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 #: Tokens remembered by one Python worker with their hash and shape.
@@ -75,7 +75,7 @@ def _weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
 
-def ftrl(rows: list[tuple[tuple[np.ndarray, np.ndarray], float]], z: np.ndarray, n: np.ndarray) -> None:
+def ftrl(rows: Iterable[tuple[tuple[np.ndarray, np.ndarray], float]], z: np.ndarray, n: np.ndarray) -> None:
     """One pass of follow-the-regularised-leader updates over (features, label), in place."""
     for (at, value), label in rows:
         zi, ni = z[at], n[at]
@@ -87,67 +87,69 @@ def ftrl(rows: list[tuple[tuple[np.ndarray, np.ndarray], float]], z: np.ndarray,
         n[at] = after
 
 
-def _shard_pass(state) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """One shard's pass from the broadcast state: what it adds to the state, by feature."""
-
-    def shard(frame: pd.DataFrame) -> pd.DataFrame:
-        known, (z0, n0) = _Tokens(), state.value
-        frame = frame.sort_values(["turn", "label"], kind="stable")
-        rows = [(features(t, known), y) for t, y in zip(frame["text"], frame["label"], strict=True)]
-        z1, n1 = z0.copy(), n0.copy()
-        ftrl(rows, z1, n1)
-        at = np.flatnonzero((z1 != z0) | (n1 != n0))
-        return pd.DataFrame({"at": at.astype(np.int32), "z": z1[at] - z0[at], "n": n1[at] - n0[at]})
-
-    return shard
+def learn(rows: Iterable[tuple[str | None, float]], epochs: int = EPOCHS, most: int = TRAIN_FEATURES) -> np.ndarray:
+    """Weights after some passes of updates over (text, label) in the order given."""
+    known, ends, labels = _Tokens(), [0], []
+    # two long arrays, which go back to the system as a whole
+    places, values = np.empty(1 << 16, np.int32), np.empty(1 << 16, np.float32)
+    for text, label in rows:
+        at, value = features(text, known)
+        end = ends[-1] + len(at)
+        if end > most:
+            break
+        while end > len(places):
+            places, values = np.append(places, np.empty_like(places)), np.append(values, np.empty_like(values))
+        places[ends[-1] : end], values[ends[-1] : end] = at, value
+        ends.append(end)
+        labels.append(float(label))
+    z, n = np.zeros(DIM), np.zeros(DIM)
+    for _ in range(epochs):
+        ftrl((((places[a:b], values[a:b]), y) for a, b, y in zip(ends, ends[1:], labels, strict=False)), z, n)
+    return _weights(z, n)
 
 
-def train(labelled: DataFrame, max_rows: int = TRAIN_ROWS, epochs: int = EPOCHS) -> np.ndarray:
-    """Weights from rows (doc_id, text, label): at most max_rows of them, taken by md5 of doc_id.
+def train(labelled: DataFrame, max_rows: int = TRAIN_ROWS, epochs: int = EPOCHS, most: int = TRAIN_FEATURES) -> np.ndarray:
+    """Weights from rows (doc_id, text, label): at most max_rows of them, and most features, taken by md5 of doc_id.
 
-    Each epoch deals the rows to up to SHARDS tasks that start from the same state and run their updates in the order of the
-    md5; the epoch's state is the mean of theirs, summed by feature in Spark. What comes to the driver is the state,
-    bounded by DIM. Rows with null labels take no part; without rows the weights are zero.
+    The updates follow each other in the order of the md5, so one task runs them; its input is bounded, whatever the
+    table, and only the weights (DIM doubles) come to the driver. A null or empty text trains the bias alone, repeated
+    rows train repeatedly, rows with null labels take no part, and without rows the weights are zero.
     """
-    spark = labelled.sparkSession
     sample = (
-        labelled.where("label is not null").select(F.col("text"), F.col("label").cast("double").alias("label"), F.md5(F.col("doc_id").cast("string")).alias("turn"))
+        labelled.where("label is not null").select("text", F.col("label").cast("double").alias("label"), F.md5(F.col("doc_id").cast("string")).alias("turn"))
         .orderBy("turn", "label", F.md5("text")).limit(max_rows)
-    ).persist()
-    shards = max(1, min(SHARDS, sample.count() // SHARD_ROWS))
-    z, n = np.zeros(DIM), np.zeros(DIM)
-    schema = "at int, z double, n double"
-    dealt = sample.withColumn("shard", F.pmod(F.crc32("turn"), F.lit(shards)).cast("int")).repartition(shards, "shard").persist()
-    dealt.count()
-    sample.unpersist()
-    for _ in range(epochs):
-        shard = _shard_pass(spark.sparkContext.broadcast((z, n)))
-        moved = dealt.groupBy("shard").applyInPandas(shard, schema).groupBy("at").agg((F.sum("z") / shards).alias("z"), (F.sum("n") / shards).alias("n")).toPandas()
-        z, n = z.copy(), n.copy()
-        z[moved["at"]] += moved["z"].to_numpy()
-        n[moved["at"]] += moved["n"].to_numpy()
-    dealt.unpersist()
-    return _weights(z, n)
+    )
 
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = ((t if isinstance(t, str) else None, y) for f in frames for t, y in zip(f["text"], f["label"], strict=True))
+        yield pd.DataFrame({"weights": [learn(rows, epochs, most).tobytes()]})
 
-def score(docs: DataFrame, weights: np.ndarray, name: str = "score") -> DataFrame:
-    """docs with a score in [0, 1]: the sparse dot product of each whole text's features with the weights, through the
-    logistic function. Rows and columns stay; null and empty texts score by the bias alone."""
-    docs = docs.drop(name)
-    sent = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float64))
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+    small_batches(labelled.sparkSession)
+    found = sample.select("text", "label").coalesce(1).mapInPandas(batches, "weights binary").collect()
+    return np.frombuffer(found[0]["weights"]) if found else np.zeros(DIM)
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _scores(sent) -> Callable[[Column], Column]:
+    def batches(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known, w = _Tokens(), sent.value
-        for frame in frames:
-            dots = np.zeros(len(frame))
-            for i, text in enumerate(frame["text"]):
+        for part in texts:
+            dots = np.zeros(len(part))
+            for i, text in enumerate(part):
                 at, value = features(text if isinstance(text, str) else None, known)
                 dots[i] = w[at] @ value
-            frame[name] = 1.0 / (1.0 + np.exp(-np.clip(dots, -35, 35)))
-            yield frame
+            yield pd.Series(1.0 / (1.0 + np.exp(-np.clip(dots, -35, 35))))
 
-    return docs.mapInPandas(batches, schema)
+    # not to be run again for each place that names its result
+    return F.pandas_udf(batches, "double").asNondeterministic()
+
+
+def score(docs: DataFrame, weights: np.ndarray, name: str = "score") -> DataFrame:
+    """docs with a score in [0, 1]: the sparse dot product of each whole text's features with the weights, through the
+    logistic function. Rows stay, repeated ones too, with equal scores; null and empty texts score by the bias alone; a
+    column that has the name of the result already gives way to it; only the text goes to Python."""
+    small_batches(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float64))
+    return docs.withColumn(name, _scores(sent)(F.col("text")))
 
 
 def held_out(doc_id) -> F.Column:
@@ -163,6 +165,16 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROW
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with score and predicted (1 if score >= threshold). Labels repeated for a doc_id count once, as the greatest."""
+    """docs with score and predicted (1 if score >= threshold). Labels repeated for a doc_id count once, as the greatest.
+
+    Every row of docs is scored whole, null and empty texts and repeated rows too; without labels every score is 0.5;
+    an empty table gives an empty result. Columns of docs named score or predicted give way to the results.
+    """
     weights = train(labelled_texts(docs, labels))
     return score(docs, weights).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that judge() predicts as 1, with exactly the columns of docs, whatever their names."""
+    name = free_name(docs, "score")
+    return score(docs, train(labelled_texts(docs, labels)), name).where(F.col(name) >= threshold).select(*docs.columns)

@@ -13,9 +13,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh32_intdigest
 
 from .common import cut, free_name, small_batches
+from .hashing import word_hashes
 
 BITS = 16
 DIM = 1 << BITS
@@ -31,22 +31,14 @@ TOLERANCE = 1e-4
 #: A domain with less than this share of the corpus's expected tokens can't be mixed in: it is left out of the fit. No document's
 #: rate exceeds MOST.
 FLOOR, MOST = 1e-3, 64.0
-CACHE = 400_000
 #: Target shares of the tokens by domain.
 TARGETS = {"en": 0.50, "fr": 0.18, "de": 0.16, "es": 0.16}
 
 
-class _Words(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = found = xxh32_intdigest(word) & (DIM - 1)
-        return found
-
-
-def _hashed(text: object, known: _Words) -> np.ndarray:
-    found = text.lower().split() if isinstance(text, str) else []
-    return np.fromiter(map(known.__getitem__, found), np.int64, len(found))
+def _classes(texts: Sequence[object]) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the text, class of the word) of every word of the texts, in order."""
+    place, hashed = word_hashes(texts)
+    return place, (hashed >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 def fit_classifier(labelled: DataFrame, domains: Sequence[str], max_rows: int = FIT_ROWS) -> np.ndarray:
@@ -58,10 +50,10 @@ def fit_classifier(labelled: DataFrame, domains: Sequence[str], max_rows: int =
     place = {d: i for i, d in enumerate(domains)}
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, sums = _Words(), np.zeros(len(place) * DIM, np.int64)
+        sums = np.zeros(len(place) * DIM, np.int64)
         for frame in frames:
-            for text, domain in zip(frame["text"], frame["domain"], strict=True):
-                np.add.at(sums, _hashed(text, known) + place[domain] * DIM, 1)
+            at, word = _classes(frame["text"])
+            sums += np.bincount(word + frame["domain"].map(place).to_numpy()[at] * DIM, minlength=len(sums))
         at = np.flatnonzero(sums)
         yield pd.DataFrame({"at": at, "n": sums[at]})
 
@@ -76,15 +68,14 @@ def _memberships(sent) -> Callable[[Column], Column]:
     """n_tokens and the posterior by domain of a text, as one list of doubles."""
 
     def batches(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known, logs = _Words(), sent.value
+        logs = sent.value
         for part in texts:
-            rows = []
-            for text in part:
-                found = _hashed(text, known)
-                mean = logs[:, found].mean(axis=1) if len(found) else np.zeros(len(logs))
-                p = np.exp(SHARPNESS * (mean - mean.max()))
-                rows.append(np.append(len(found), p / p.sum()))
-            yield pd.Series(rows, index=part.index, dtype=object)
+            at, word = _classes(part)
+            n = np.bincount(at, minlength=len(part))
+            mean = np.stack([np.bincount(at, by_word[word], len(part)) for by_word in logs], axis=1) / np.maximum(n, 1)[:, None]
+            p = np.exp(SHARPNESS * (mean - mean.max(axis=1, keepdims=True)))
+            rows = np.column_stack([n, p / p.sum(axis=1, keepdims=True)])
+            yield pd.Series(list(rows), index=part.index, dtype=object)
 
     # not to be run again for each place that names its result
     return F.pandas_udf(batches, "array<double>").asNondeterministic()

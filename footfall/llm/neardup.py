@@ -5,13 +5,14 @@ agree, in at least one of the CHUNKS chunks, up to one error (pigeonhole: CHUNKS
 more than MAX_ERRORS). So every chunk is indexed under each way of leaving one of its symbols out, and any pair within
 the distance shares a key. Links are then confirmed on the full sets.
 
-Copies of one set collapse first. Buckets are never expanded into all pairs: first every member is compared with one
-hub of its bucket, and only members that stay in different groups after that meet each other.
+Copies of one set collapse first. Then every member of a bucket is compared with one hub of it, and only buckets whose
+members stay in different groups after that are expanded into pairs of such members of like size, which are told apart
+by signatures and sketches before any text is read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_hexdigest, xxh64_intdigest
 
-from .common import cut, discard
+from .common import cut, discard, small_batches
+from .hashing import text_runs, word_hashes
 
 #: With 8 chunks of 3 symbols and one error allowed in each, all pairs within 15 of 24 differing symbols are found; at a
 #: similarity of 0.75 a pair is farther apart with probability under 2e-5.
@@ -35,46 +37,41 @@ PERCENT = 75
 #: Ids that may be sent to every executor to pick the texts to confirm: 16 MB; beyond it the texts are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 HUB_ROUNDS = 2
-CACHE = 300_000
+#: Members, on average, that are compared with a hub's text in one go.
+CROWD = 16
 
 _MULTIPLY = np.array([xxh64_intdigest(b"multiply", i) | 1 for i in range(SYMBOLS)], np.uint64)
 _ADD = np.array([xxh64_intdigest(b"add", i) for i in range(SYMBOLS)], np.uint64)
 _PLACE = np.array([xxh64_intdigest(b"place", i) | 1 for i in range(SHINGLE)], np.uint64)
 
 
-class _Words(dict):
-    """word -> 64-bit hash, computed once by each worker."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = found = xxh64_intdigest(word)
-        return found
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str | None, known: _Words) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the five-word shingles of a whole text with A-Z lower-cased; with fewer words,
-    one hash of all of them; without words, none."""
-    found = text.encode("utf-8", "surrogatepass").lower().split() if text else []  # bytes: ASCII letters and spaces only
-    if not found:
-        return np.empty(0, np.uint64)
-    hashed = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
-    width = min(SHINGLE, len(hashed))
-    n = len(hashed) - width + 1
-    total = np.full(n, width, np.uint64)
-    for i in range(width):
-        total = _mix(total ^ hashed[i : i + n] * _PLACE[i])
-    return np.unique(total)
+def shingles(texts: Sequence[object]) -> Iterator[np.ndarray]:
+    """For each whole text, the sorted distinct 64-bit hashes of its five-word shingles with A-Z lower-cased; with fewer
+    words, one hash of all of them; without words, none."""
+    for part in text_runs(texts):
+        place, hashed = word_hashes(part)
+        bounds = np.searchsorted(place, np.arange(len(part) + 1))
+        total = np.full(max(0, len(hashed) - SHINGLE + 1), SHINGLE, np.uint64)
+        for i in range(SHINGLE):
+            total = _mix(total ^ hashed[i : i + len(total)] * _PLACE[i])
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            if b - a >= SHINGLE:
+                yield np.unique(total[a : b - SHINGLE + 1])
+                continue
+            one = np.full(min(1, b - a), b - a, np.uint64)
+            for i in range(b - a):
+                one = _mix(one ^ hashed[a + i : a + i + 1] * _PLACE[i])
+            yield one
 
 
 def signature(found: np.ndarray) -> np.ndarray:
-    """SYMBOLS 32-bit minima, one per hash function."""
+    """SYMBOLS 32-bit minima, one per hash function. Keys are made of all their bits, distances of their low bytes."""
     least = np.full(SYMBOLS, np.iinfo(np.uint64).max, np.uint64)
     for start in range(0, len(found), 8192):
         part = found[start : start + 8192]
@@ -93,11 +90,9 @@ def signed(docs: DataFrame) -> DataFrame:
     eight to a long) and odd (the sketch) for every row."""
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = _Words()
         for frame in frames:
             rows = []
-            for text in frame["text"]:
-                found = shingles(text if isinstance(text, str) else None, known)
+            for found in shingles(frame["text"]):
                 symbols = signature(found)
                 low = (symbols & 0xFF).astype(np.uint8).tobytes()
                 packed = np.frombuffer(low, "<i8").tolist()
@@ -106,6 +101,7 @@ def signed(docs: DataFrame) -> DataFrame:
             out.insert(0, "doc_id", frame["doc_id"].array)
             yield out
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
         batches, "doc_id long, n_shingles long, print string, symbols array<int>, odd array<long>, s0 long, s1 long, s2 long")
 
@@ -154,23 +150,25 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     picked = cut(texts.join(ids, "doc_id", "left_semi"), "texts")
-    both = (
-        pairs.join(picked.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-        .join(picked.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-        .select("a", "b", "text_a", "text_b")
+    # a hub's text is sent once for each crowd of its members, not once for each of them
+    size = pairs.groupBy("a").agg(F.ceil(F.count("*") / CROWD).cast("int").alias("crowds"))
+    crowd = F.pmod(F.xxhash64("b"), F.col("crowds")).cast("int").alias("crowd")
+    members = (
+        pairs.join(size, "a").select("a", "b", crowd).join(picked.select(F.col("doc_id").alias("b"), "text"), "b")
+        .groupBy("a", "crowd").agg(F.collect_list(F.struct("b", "text")).alias("members"))
     )
+    both = members.join(picked.select(F.col("doc_id").alias("a"), F.col("text").alias("hub")), "a").select("a", "hub", "members")
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, last, one = _Words(), None, None
         for frame in frames:
-            keep = []
-            for text_a, text_b in zip(frame["text_a"], frame["text_b"], strict=True):
-                if text_a != last:
-                    last, one = text_a, shingles(text_a, known)
-                other = shingles(text_b, known)
-                common = len(np.intersect1d(one, other, assume_unique=True))
-                keep.append(100 * common >= PERCENT * (len(one) + len(other) - common) and common > 0)
-            yield frame.loc[keep, ["a", "b"]]
+            found = []
+            for a, hub, members in zip(frame["a"], frame["hub"], frame["members"], strict=True):
+                one, *others = shingles([hub, *(m["text"] for m in members)])
+                for member, other in zip(members, others, strict=True):
+                    common = len(np.intersect1d(one, other, assume_unique=True))
+                    if common and 100 * common >= PERCENT * (len(one) + len(other) - common):
+                        found.append((a, member["b"]))
+            yield pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
     return both.mapInPandas(batches, "a long, b long").distinct()
 
@@ -179,8 +177,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """rep, comp (the smallest rep reachable) for each of the nodes, from edges (a, b).
 
     Large-star and small-star rounds: each round every node links its greater neighbours, then its smaller ones, to the
-    smallest node it knows of, until nothing changes; every round is grouped by node with partial minima, so a node
-    with very many links never gathers them in one place.
+    smallest node it knows of, until nothing changes. Minima are taken per task first; the joins that hand them out are
+    sort-merge joins, which split the rows of a node with very many links as those of any skewed key.
     """
     def known(links: DataFrame) -> tuple:
         return tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .common import cut, small_batches
+from .hashing import MIX, PIECE, pieces, run_hashes, split_words
 
 WINDOW = 2048
 #: The id that ends every document.
@@ -41,31 +42,6 @@ TERM_BITS = 18
 K1, B = 1.2, 0.75
 #: Chunks that one Python worker remembers, some 40 bytes each, and the places of their table.
 CACHE, SLOTS = 1_200_000, 1 << 21
-#: Bytes of text, or tokens, that are worked on at once.
-PIECE = 1 << 20
-
-_FACTOR = 0x9E3779B97F4A7C15
-_MIX = np.uint64(0xBF58476D1CE4E5B9)
-
-
-@functools.cache
-def _first_powers() -> tuple[np.ndarray, np.ndarray]:
-    return _powers(PIECE + 1)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.cumprod(np.full(n, _FACTOR, np.uint64)), np.cumprod(np.full(n, pow(_FACTOR, -1, 1 << 64), np.uint64))
-
-
-def run_hashes(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each run values[first:last]; equal runs have equal hashes wherever they are."""
-    powers, inverse = _first_powers() if len(values) <= PIECE else _powers(len(values))
-    sums = np.empty(len(values) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * powers[: len(values)], out=sums[1:])
-    hashed = (sums[last] - sums[first]) * inverse[first]
-    hashed ^= hashed >> np.uint64(31)
-    return hashed * _MIX
 
 
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -89,39 +65,6 @@ class _Runs:
         return self.ids[ragged(self.starts[numbers], self.sizes[numbers])]
 
 
-#: White space to the tokenizer beyond ASCII, as the number that its UTF-8 bytes, and a zero byte after two, make up.
-WIDE_SPACES = np.array([int.from_bytes(c.encode().ljust(3, b"\0"), "big") for c in "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))])
-_LEADS = np.isin(np.arange(256), WIDE_SPACES >> 16)
-
-
-def _pieces(texts: Sequence[str]) -> Iterator[tuple[np.ndarray, bytes]]:
-    """The joined UTF-8 of runs of texts, each of about PIECE bytes, and where each text ends in it."""
-    start = 0
-    while start < len(texts):
-        stop, size, part = start, 0, []
-        while stop < len(texts) and (not part or size + len(texts[stop]) < PIECE):
-            part.append(texts[stop].encode("utf-8", "replace"))
-            size += len(part[-1]) + 1
-            stop += 1
-        yield np.cumsum([len(x) + 1 for x in part]), b"\n".join([*part, b""])
-        start = stop
-
-
-def _split(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes with A-Z lower-cased and all white space made ASCII, and first and last place of each chunk between it."""
-    low = np.frombuffer(data, np.uint8)
-    low = low + 32 * ((low >= 65) & (low <= 90)).view(np.uint8)
-    if not data.isascii():
-        lead = np.flatnonzero(_LEADS[low])
-        number = sum(np.append(low, (0, 0))[lead + i].astype(np.int64) << (16 - 8 * i) for i in range(3))
-        for width, same in ((2, np.where(number >> 16 == 0xC2, number & 0xFFFF00, 0)), (3, number)):
-            for at in lead[np.isin(same, WIDE_SPACES)]:
-                low[at : at + width] = 32
-    inside = ~((low == 32) | ((low >= 9) & (low <= 13)))
-    edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))
-    return low, edge[0::2], edge[1::2]
-
-
 #: A chunk in lower case: letters whose lower case and normal form are the same to Python and the tokenizer, then marks that
 #: are one run to it; or anything else.
 PLAIN = re.compile(r"^(?:([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)|.+)$", re.MULTILINE)
@@ -221,13 +164,13 @@ class _Chunks:
 
     def _piece(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all chunks of a piece in a row, the number of each chunk's ids, and where it starts."""
-        low, first, last = _split(data)
+        low, first, last = split_words(data, wide=True)
         key = run_hashes(low, first, last) | np.uint64(1)  # 0 marks an empty place
         size = last - first
         # eight bytes from each place on, of which those of the chunk count
         eight = np.ndarray(len(low), "<u8", np.append(low, np.zeros(8, np.uint8)).tobytes(), strides=(1,))[first]
         eight &= np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * np.minimum(size, 8).astype(np.uint64))
-        check = (eight ^ size.astype(np.uint64) << np.uint64(1)) * _MIX
+        check = (eight ^ size.astype(np.uint64) << np.uint64(1)) * MIX
         place = self._find(key, check)
         missing = np.flatnonzero(place < 0)
         if len(missing):
@@ -250,7 +193,7 @@ class _Chunks:
                 ids, sizes = self._plain(list(texts[at : at + 64]))
                 out += _cut_up(ids, sizes)
             return out
-        for ends, data in _pieces(texts):
+        for ends, data in pieces(texts):
             ids, sizes, first = self._piece(data)
             upto = np.append(0, np.cumsum(sizes))[np.searchsorted(first, ends)]
             out += _cut_up(ids, np.diff(upto, prepend=0))

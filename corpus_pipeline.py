@@ -15,7 +15,7 @@ from footfall.llm.queries import labelled_domains, tokenizer_path
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    return quality.judge(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select(*docs.columns)
+    return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated until the languages' tokens match the targets; none has to go for that."""
-    return mixing.repeated(docs, mixing.fit(docs, labelled_domains(docs, table(spark, sf_dir, "labels")), least=1.0))
+    return mixing.repeated(docs, labelled_domains(docs, table(spark, sf_dir, "labels")), least=1.0)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import cleaning, intensity
+from .intensity import log_elementary_symmetric
 from .metrics import sum_over_folds
 from .profiles import arg_max, best_interior
 
@@ -46,16 +47,6 @@ def log_det(matrix: np.ndarray, jitter: float) -> float:
         return 0.0
 
 
-def log_elementary_symmetric(values: np.ndarray, most: int) -> np.ndarray:
-    """ln e_0 ... ln e_most of the values (negative ones count as 0), by the recursion in log space."""
-    out = np.full(most + 1, -np.inf)
-    out[0] = 0.0
-    with np.errstate(divide="ignore"):
-        for v in np.log(np.maximum(values, 0.0)):
-            out[1:] = np.logaddexp(out[1:], v + out[:-1])
-    return out
-
-
 def _sample_logdets(sigmas: Sequence[float], jitter: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def of_sample(frame: pd.DataFrame) -> pd.DataFrame:
         ix, iy, rho = (frame[c].to_numpy(float) for c in ("ix", "iy", "rho"))
@@ -172,7 +163,7 @@ def cross_validate(placed: DataFrame, nx: int, ny: int, k: int = 5, pilot: float
         s = sigma if sigma is not None else reestimate_sigma(train, nx, ny, h, sigmas, True, mask, keys)
         hs = [c * h for c in coeffs]
         scores = {r["h"]: r["ll"] for r in evaluate_bandwidths(train, test, nx, ny, hs, s, conditioned, mask, keys).collect()}
-        rows += [(fold, i, c, scores.get(c, 0.0), h, s) for i, c in enumerate(hs)]
+        rows += [(fold, i, c, scores.get(c, float("-inf")), h, s) for i, c in enumerate(hs)]
         if uniform:
             plain.append(evaluate_uniform(test, nx, ny, s, conditioned, mask, keys))
     results = spark.createDataFrame(rows, "fold int, idx int, h double, ll double, pilot double, sigma double")

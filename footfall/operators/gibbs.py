@@ -199,7 +199,7 @@ def run_fold(train: DataFrame, test: DataFrame, pilot: float | None, q: Quadratu
     surface.unpersist()
     hs = [h0 * x for x in c.coeffs]
     scores = {row["h"]: row["logcpl"] for row in evaluate_bandwidths(train, test, hs, r0, alpha0, q, kind).collect()}
-    return [(i, h, scores.get(h, 0.0), h0, r0, alpha0) for i, h in enumerate(hs)]
+    return [(i, h, scores.get(h, float("-inf")), h0, r0, alpha0) for i, h in enumerate(hs)]
 
 
 def cross_validate(points: DataFrame, q: Quadrature, kind: str, c: Candidates, k: int = 5, pilot: float | None = None, seed: int = 1, max_n: int = 2000) -> dict:

@@ -37,29 +37,53 @@ def unflatten(cell: Column, ncols: int = 160) -> tuple[Column, Column]:
     return cell % ncols + 0.5, F.floor(cell / ncols) + 0.5
 
 
-def _nearest(axis: np.ndarray):
-    @F.pandas_udf("int")
-    def nearest(v: pd.Series) -> pd.Series:
-        at = np.clip(np.searchsorted(axis, v.to_numpy(float)), 1, max(len(axis) - 1, 1))
-        low, high = axis[at - 1], axis[np.minimum(at, len(axis) - 1)]
-        return pd.Series(np.where(v - low <= high - v, at - 1, np.minimum(at, len(axis) - 1)).astype("int32"))
+#: A grid that goes to every task has so many cells at most.
+MOST_CELLS = 1_000_000
+
+
+def _on_axis(axis: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Place of the nearest centre, the lower one of two."""
+    at = np.clip(np.searchsorted(axis, v), 1, max(len(axis) - 1, 1))
+    above = np.minimum(at, len(axis) - 1)
+    return np.where(v - axis[at - 1] <= axis[above] - v, at - 1, above)
+
+
+def _nearest_cell(xs: np.ndarray, ys: np.ndarray, there: np.ndarray):
+    """there: whether the cell exists, by place on the y axis and on the x axis."""
+    rows, columns = np.nonzero(there)
+
+    @F.pandas_udf("x_rounded int, y_rounded int, x_grid double, y_grid double")
+    def nearest(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        px, py = x.to_numpy(float), y.to_numpy(float)
+        known = ~(np.isnan(px) | np.isnan(py))
+        ix, iy = _on_axis(xs, np.where(known, px, xs[0])), _on_axis(ys, np.where(known, py, ys[0]))
+        for part in np.array_split(np.flatnonzero(~there[iy, ix]), max(1, len(px) // 256)):
+            away = np.maximum(np.abs(px[part, None] - xs[columns]), np.abs(py[part, None] - ys[rows]))
+            best = np.where(np.isnan(away), np.inf, away).argmin(axis=1)
+            ix[part], iy[part] = columns[best], rows[best]
+        found = pd.DataFrame({"x_rounded": pd.array(ix, "Int32"), "y_rounded": pd.array(iy, "Int32"), "x_grid": xs[ix], "y_grid": ys[iy]})
+        found.loc[~known] = None
+        return found
 
     return nearest
 
 
 def assign_grid(df: DataFrame, grid: DataFrame, x: str, y: str) -> DataFrame:
-    """Each point's nearest cell in the largest-coordinate metric: x_grid, y_grid, x_rounded, y_rounded, grid_index.
+    """Each point's nearest cell of the grid in the largest-coordinate metric: x_grid, y_grid, x_rounded, y_rounded (places
+    on the axes of the grid's distinct centres), grid_index (row by row over both axes).
 
-    The nearest centre on each axis alone is always among the nearest cells; the lower one of two equally near. The axes
-    are the grid's distinct centres, a table of bounded size that goes into the function.
+    That is the nearest centre on each axis, the lower one of two, where the grid has this cell, which is always among
+    the nearest; where it does not, the nearest cell that it has, of equally near ones the first row by row. A point
+    without a coordinate (null or NaN) has no cell: nulls. Only the grid, of MOST_CELLS at most, comes to the driver.
     """
-    xs, ys = (np.array(sorted(r[0] for r in grid.select(c).distinct().collect()), float) for c in ("x", "y"))
-    at = df.withColumn("x_rounded", _nearest(xs)(F.col(x).cast("double"))).withColumn("y_rounded", _nearest(ys)(F.col(y).cast("double")))
-    axis = lambda values: F.array(*[F.lit(float(v)) for v in values])
-    return (
-        at.withColumn("x_grid", F.element_at(axis(xs), F.col("x_rounded") + 1)).withColumn("y_grid", F.element_at(axis(ys), F.col("y_rounded") + 1))
-        .withColumn("grid_index", F.col("y_rounded") * len(xs) + F.col("x_rounded"))
-    )
+    cells = grid.select(F.col("x").cast("double"), F.col("y").cast("double")).distinct().limit(MOST_CELLS + 1).collect()
+    if not 0 < len(cells) <= MOST_CELLS:
+        raise ValueError(f"a grid has 1 to {MOST_CELLS} cells")
+    xs, ys = (np.unique([r[i] for r in cells]) for i in (0, 1))
+    there = np.zeros((len(ys), len(xs)), bool)
+    there[np.searchsorted(ys, [r[1] for r in cells]), np.searchsorted(xs, [r[0] for r in cells])] = True
+    found = df.withColumn("__cell", _nearest_cell(xs, ys, there)(F.col(x).cast("double"), F.col(y).cast("double")))
+    return found.select("*", "__cell.*").drop("__cell").withColumn("grid_index", F.col("y_rounded") * len(xs) + F.col("x_rounded"))
 
 
 def cells_to_physical(df: DataFrame, grid: DataFrame, cell: str = "grid_index") -> DataFrame:

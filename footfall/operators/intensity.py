@@ -148,6 +148,8 @@ def normalised(raster: DataFrame, keys: Sequence[str], mask: DataFrame | None =
 def estimate_intensity(counts: DataFrame, nx: int, ny: int, hs: Sequence[float], keys: Sequence[str] = (), mask: DataFrame | None = None, normalize: bool = False, edge_correction: bool = False) -> DataFrame:
     """discrete_kde, then optionally edge correction (bandwidth and rectangle both in cells), masked cells to 0,
     normalisation, and always + 1e-10. mask: ix, iy, masked."""
+    if min(hs, default=1) <= 0:
+        raise ValueError("a bandwidth is positive")
     raster = discrete_kde(counts, nx, ny, hs, keys)
     if edge_correction:
         e = edge_factor(F.col("ix").cast("double"), F.col("iy").cast("double"), (-0.5, -0.5, nx - 0.5, ny - 0.5), F.col("h"))
@@ -160,19 +162,59 @@ def estimate_intensity(counts: DataFrame, nx: int, ny: int, hs: Sequence[float],
     return raster.withColumn("value", F.col("value") + EPS)
 
 
+#: Candidates for a bandwidth that is to be chosen, in cells.
+AUTO_HS = [10 ** (-1 + 2 * i / 9) for i in range(10)]
+
+
+def estimate_intensity_auto(placed: DataFrame, nx: int, ny: int, hs: Sequence[float] = AUTO_HS, k_folds: int = 5, seed: int = 1, unit: str = "point_id", **options) -> DataFrame:
+    """estimate_intensity of all points (ix, iy) with the bandwidth that cross-validation over single points chooses: the
+    first of the best candidates, fitted again on all folds. Without points an error."""
+    best = arg_max(select_bandwidth_discrete(placed, nx, ny, hs, k_folds, seed, True, unit), "ll", "idx").first()
+    if best is None:
+        raise ValueError("no points to choose a bandwidth from")
+    return estimate_intensity(placed.groupBy("ix", "iy").agg(F.count("*").alias("c")), nx, ny, [best["h"]], **options)
+
+
 def grid_kde(counts: DataFrame, nx: int, ny: int, h: float) -> DataFrame:
     """Smoothed shares normalised to 1, + 1e-10, without a mask."""
     return estimate_intensity(counts, nx, ny, [h], normalize=True)
 
 
+def log_elementary_symmetric(values: np.ndarray, most: int) -> np.ndarray:
+    """ln e_0 ... ln e_most of the values (negative ones count as 0), by the recursion in log space."""
+    out = np.full(most + 1, -np.inf)
+    out[0] = 0.0
+    with np.errstate(divide="ignore"):
+        for v in np.log(np.maximum(values, 0.0)):
+            out[1:] = np.logaddexp(out[1:], v + out[:-1])
+    return out
+
+
+def _log_norms(keys: Sequence[str], most: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def of_raster(frame: pd.DataFrame) -> pd.DataFrame:
+        found = log_elementary_symmetric(frame["rho"].to_numpy(), most)
+        return pd.DataFrame({**{c: frame[c].iloc[0] for c in keys}, "k": np.arange(most + 1, dtype=np.int64), "loge": found})
+
+    return of_raster
+
+
 def diag_loglik(rho: DataFrame, counts: DataFrame, n_samples: DataFrame, keys: Sequence[str], conditioned: bool, eps: float = 1e-12) -> DataFrame:
     """(keys, ll): score of samples under the diagonal model for each raster.
 
-    rho: keys, cell, rho; counts: cell and the keys they share with rho, c; n_samples: those shared keys, t. Conditioned,
-    for samples of one point each: sum c ln(rho + eps) - T ln(sum rho); else - T sum ln(1 + rho).
+    rho: keys, cell, rho; counts: cell and the keys they share with rho, c; n_samples: those shared keys, t, and, for
+    samples of more than one cell, one row for each size k. Conditioned on sizes: sum c ln(rho + eps) - sum_k t_k ln e_k,
+    with e_k the elementary symmetric polynomials of a raster, or, without k, for samples of one point each,
+    - T ln(sum rho); else - T sum ln(1 + rho). A raster is one small group.
     """
     shared = [k for k in keys if k in counts.columns]
     fit = rho.join(counts, [*shared, "cell"]).groupBy(*keys).agg(F.sum(F.col("c") * F.ln(F.col("rho") + eps)).alias("fit"))
+    if conditioned and "k" in n_samples.columns:
+        most = n_samples.agg(F.max("k")).first()[0] or 0
+        types = {f.name: f.dataType.simpleString() for f in rho.schema.fields}
+        norms = rho.select(*keys, "rho").groupBy(*keys).applyInPandas(_log_norms(list(keys), int(most)), ", ".join([*[f"{c} {types[c]}" for c in keys], "k long", "loge double"]))
+        sizes = n_samples.select(*shared, F.col("k").cast("long").alias("k"), "t")
+        paid = norms.join(F.broadcast(sizes), [*shared, "k"]).groupBy(*keys).agg(F.sum(F.col("t") * F.greatest("loge", F.lit(math.log(eps)))).alias("norm"))
+        return fit.join(paid, list(keys)).select(*keys, (F.col("fit") - F.col("norm")).alias("ll"))
     whole = F.ln(F.greatest(F.sum("rho"), F.lit(eps))) if conditioned else F.sum(F.log1p("rho"))
     norm = rho.groupBy(*keys).agg(whole.alias("norm"))
     joined = fit.join(norm, list(keys))
@@ -184,7 +226,8 @@ def select_bandwidth_discrete(placed: DataFrame, nx: int, ny: int, hs: Sequence[
     """(idx, h, ll) summed over folds: fit on the other folds, score the fold with the diagonal model.
 
     placed: points with ix, iy. per_point: every point is a sample of size 1 and folds are dealt by a hash of the point;
-    else unit names the pattern, folds deal patterns, and a sample is a pattern's distinct cells. The data are read once,
+    else unit names the pattern, folds deal patterns, and a sample is a pattern's distinct cells. conditioned: the score
+    given the samples' sizes, whatever they are. The data are read once,
     into counts by fold and cell; a fold's training counts are the total less its own.
     """
     if per_point:
@@ -192,14 +235,19 @@ def select_bandwidth_discrete(placed: DataFrame, nx: int, ny: int, hs: Sequence[
     else:
         folded = cleaning.assign_folds(placed.select(unit, "ix", "iy").distinct(), unit, k_folds, seed)
     own = folded.groupBy("fold", "ix", "iy").agg(F.count("*").alias("c")).persist()
-    sizes = (own.groupBy("fold").agg(F.sum("c").alias("t")) if per_point else folded.groupBy("fold").agg(F.countDistinct(unit).alias("t")))
+    if per_point:
+        sizes = own.groupBy("fold").agg(F.sum("c").alias("t"))
+    elif conditioned:
+        sizes = folded.groupBy("fold", unit).agg(F.count("*").alias("k")).groupBy("fold", "k").agg(F.count("*").alias("t"))
+    else:
+        sizes = folded.groupBy("fold").agg(F.countDistinct(unit).alias("t"))
     total = own.groupBy("ix", "iy").agg(F.sum("c").alias("all"))
     every = own.select("fold").distinct().join(total)
     train = every.join(own, ["fold", "ix", "iy"], "left").select("fold", "ix", "iy", (F.col("all") - F.coalesce("c", F.lit(0))).alias("c"))
     raster = estimate_intensity(train, nx, ny, hs, ["fold"])
     rho = raster.select("fold", "h", (F.col("iy") * nx + F.col("ix")).alias("cell"), F.sqrt(F.greatest("value", F.lit(1e-16))).alias("rho"))
     test = own.select("fold", (F.col("iy") * nx + F.col("ix")).alias("cell"), "c")
-    scores = diag_loglik(rho, test, sizes, ["fold", "h"], conditioned and per_point)
+    scores = diag_loglik(rho, test, sizes, ["fold", "h"], conditioned)
     order = F.array_position(F.array(*[F.lit(float(h)) for h in hs]), F.col("h")).cast("int") - 1
     return scores.groupBy("h").agg(F.sum("ll").alias("ll")).select(order.alias("idx"), "h", "ll")
 

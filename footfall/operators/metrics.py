@@ -145,9 +145,8 @@ def average_l(points: DataFrame, radii: Sequence[float], area: float, units_per_
         pair, scale = F.col("wi") * F.col("wj"), F.lit(area) / F.sum(weight) / F.lit(area)
     else:
         pair, scale = F.lit(1.0), F.lit(area) / (F.count("*") * (F.count("*") - 1))
-    d = F.sqrt("d2")
-    first = F.array_position(F.transform(F.array(*[F.lit(r) for r in rs]), lambda r: r >= d), True).cast("int") - 1
-    hits = near.groupBy(*KEYS, first.alias("ir")).agg(F.sum(pair).alias("s")).where("ir >= 0")
+    first = pairs.first_radius(F.sqrt("d2"), rs)
+    hits = near.groupBy(*KEYS, first.alias("ir")).agg(F.sum(pair).alias("s")).where("ir is not null")
     listed = hits.groupBy(*KEYS).agg(F.map_from_entries(F.collect_list(F.struct("ir", "s"))).alias("by_radius"))  # as long as the list of radii
     patterns = grown.groupBy(*KEYS).agg(scale.alias("scale")).join(listed, list(KEYS), "left")
     running = F.expr(f"transform(sequence(0, {len(rs) - 1}), i -> coalesce(element_at(by_radius, i), 0D))")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -50,15 +50,34 @@ def knn_distance(points: DataFrame, k: int, keys: Sequence[str] = KEYS) -> DataF
     return ranked.select(*keys, F.col("i").alias("point_id"), F.sqrt("d2").alias("d"))
 
 
+def first_radius(d: Column, radii: Sequence[float]) -> Column:
+    """Number (from 0) of the first of the ascending radii that is d or more, null if none is: by arithmetic on evenly or
+    logarithmically spaced radii, corrected by the radii themselves, else by comparing with each."""
+    rs = [float(r) for r in radii]
+    steps, n = [b - a for a, b in zip(rs, rs[1:])], len(rs)
+    even = n > 8 and max(steps) - min(steps) <= 1e-6 * max(steps)
+    ratios = [b / a for a, b in zip(rs, rs[1:])] if rs[0] > 0 else []
+    if even:
+        guess = (d - rs[0]) / (rs[-1] - rs[0]) * (n - 1)
+    elif n > 8 and ratios and max(ratios) - min(ratios) <= 1e-6 * max(ratios):
+        guess = F.ln(F.greatest(d, F.lit(rs[0] / 2)) / rs[0]) / math.log(rs[-1] / rs[0]) * (n - 1)
+    else:
+        below = sum(((d > r).cast("int") for r in rs[1:]), (d > rs[0]).cast("int"))
+        return F.when(d <= rs[-1], below)
+    at = F.least(F.greatest(F.ceil(guess).cast("int") - 1, F.lit(0)), F.lit(n - 1))
+    listed = F.array(*map(F.lit, rs))
+    more = sum(((d > F.get(listed, F.least(at + i, F.lit(n - 1)))).cast("int") for i in (1, 2)), (d > F.get(listed, at)).cast("int"))
+    less = ((at > 0) & (d <= F.get(listed, F.greatest(at - 1, F.lit(0))))).cast("int")
+    return F.when(d <= rs[-1], F.least(at + more - less, F.lit(n - 1)))
+
+
 def neighbour_counts(points: DataFrame, radii: Sequence[float], keys: Sequence[str] = KEYS) -> DataFrame:
     """(keys, point_id, ir, r, c): the number of other points within each radius, zeros included.
 
     Each pair is counted once, at the first radius that holds it; running sums along the radii follow.
     """
     rs = sorted(radii)
-    d = F.sqrt("d2")
-    first = F.array_position(F.transform(F.array(*[F.lit(float(r)) for r in rs]), lambda r: r >= d), True).cast("int") - 1
-    hits = ordered_pairs(points, rs[-1], keys).withColumn("ir", first).where("ir >= 0").groupBy(*keys, F.col("i").alias("point_id"), "ir").agg(F.count("*").alias("c"))
+    hits = ordered_pairs(points, rs[-1], keys).withColumn("ir", first_radius(F.sqrt("d2"), rs)).where("ir is not null").groupBy(*keys, F.col("i").alias("point_id"), "ir").agg(F.count("*").alias("c"))
     listed = hits.groupBy(*keys, "point_id").agg(F.map_from_entries(F.collect_list(F.struct("ir", "c"))).alias("by_radius"))  # as long as the list of radii
     per_point = points.select(*keys, "point_id").join(listed, [*keys, "point_id"], "left")
     step = F.explode(F.sequence(F.lit(0), F.lit(len(rs) - 1)))

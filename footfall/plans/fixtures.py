@@ -16,9 +16,10 @@ NX, NY, SIDE = 40, 20, 500
 
 
 def all_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """source, pattern_id, point_id, x, y, uncropped."""
-    return read_table(spark, sf_dir, "events").where("event_id % 4 <= user_id % 4").selectExpr(
-        "if((user_id div 4) % 2 = 0, 'Data', 'Model') as source", "user_id as pattern_id", "event_id as point_id",
+    """source, pattern_id, point_id, x, y, uncropped: every event is a point. A user's events make up two patterns, which
+    share them unevenly, so that small and large patterns occur."""
+    return read_table(spark, sf_dir, "events").selectExpr(
+        "if((user_id div 4) % 2 = 0, 'Data', 'Model') as source", "user_id * 2 + if(event_id % 8 < user_id % 8, 0, 1) as pattern_id", "event_id as point_id",
         "cast(round(value * 100) as bigint) as x", "cast(get_json_object(props, '$.k') as bigint) * 100 + event_id % 100 as y")
 
 
@@ -64,9 +65,9 @@ def cells(df: DataFrame) -> DataFrame:
 
 
 SQL = {
-    "allpts": """SELECT CASE WHEN (user_id // 4) % 2 = 0 THEN 'Data' ELSE 'Model' END AS source, user_id AS pattern_id, event_id AS point_id,
+    "allpts": """SELECT CASE WHEN (user_id // 4) % 2 = 0 THEN 'Data' ELSE 'Model' END AS source, user_id * 2 + CASE WHEN event_id % 8 < user_id % 8 THEN 0 ELSE 1 END AS pattern_id, event_id AS point_id,
         CAST(round(value * 100) AS BIGINT) AS x, CAST(json_extract_string(props, '$.k') AS BIGINT) * 100 + event_id % 100 AS y
-        FROM events WHERE event_id % 4 <= user_id % 4""",
+        FROM events""",
     "pts": "SELECT * FROM allpts WHERE x BETWEEN 0 AND 20000 AND y BETWEEN 0 AND 10000",
     "snaps": """SELECT epoch_ms(ts) // 3600000 AS t, user_id AS object_identifier, event_id AS seq, CAST(round(value * 100) AS BIGINT) AS x_position_mm,
         CAST(json_extract_string(props, '$.k') AS BIGINT) * 100 + event_id % 100 AS y_position_mm,

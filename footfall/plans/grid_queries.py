@@ -35,6 +35,15 @@ def assign_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.assign_grid(fx.all_points(spark, sf_dir), fx.grid(spark), "x", "y").select("point_id", "grid_index", "x_grid", "y_grid")
 
 
+@query(sql("""SELECT point_id, CAST(grid_index AS INT) AS grid_index, gx AS x_grid, gy AS y_grid FROM (
+    SELECT point_id, grid_index, g.x AS gx, g.y AS gy, row_number() OVER (PARTITION BY point_id ORDER BY greatest(abs(p.x - g.x), abs(p.y - g.y)),
+        CASE WHEN grid_index = least(greatest(ceil(p.y / 500.0::DOUBLE) - 1, 0), 19) * 40 + least(greatest(ceil(p.x / 500.0::DOUBLE) - 1, 0), 39) THEN 0 ELSE 1 END, grid_index) AS rn
+    FROM allpts p CROSS JOIN cleangrid g) WHERE rn = 1""", "allpts", "cleangrid"))
+def assign_clean_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest cells of a grid with a hole."""
+    return grid.assign_grid(fx.all_points(spark, sf_dir), fx.clean_grid(spark), "x", "y").select("point_id", "grid_index", "x_grid", "y_grid")
+
+
 @query(sql("""SELECT point_id, CAST(least(greatest(round_even((y + 47.111084::DOUBLE) / 511.111083::DOUBLE, 0), 0), 25) * 160 + least(greatest(round_even(x / 502.958588::DOUBLE, 0), 0), 159) AS INT) AS cell_id FROM allpts""", "allpts"))
 def physical_to_cell_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.all_points(spark, sf_dir).select("point_id", grid.physical_to_cell_id(F.col("x"), F.col("y")).alias("cell_id"))

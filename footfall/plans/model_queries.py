@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..operators import dpp, gibbs, grid, intensity
 from ..operators.metrics import clip_at_percentile
@@ -120,6 +121,26 @@ def select_bandwidth_discrete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(intensity.select_bandwidth_discrete(placed, fx.NX, fx.NY, HS, 3, unit="pattern_id", per_point=False, conditioned=False), 4)
 
 
+_SIZES = _CV | {
+    "sz": "SELECT fold, k, count(*) AS t FROM (SELECT fold, pattern_id, count(*) AS k FROM dc GROUP BY 1, 2) GROUP BY 1, 2",
+    "ek": "SELECT fold, h, list_reduce(list_prepend(list_transform(range(0, 201), lambda i: CASE WHEN i = 0 THEN 1.0::DOUBLE ELSE 0 END), list([rho])), lambda a, b: list_transform(range(1, 202), lambda i: a[i] + b[1] * coalesce(a[i - 1], 0))) AS e FROM rho GROUP BY 1, 2",
+    "paid": "SELECT fold, h, sum(t * ln(greatest(e[k + 1], 1e-12))) AS paid FROM ek JOIN sz USING (fold) GROUP BY 1, 2",
+}
+
+
+@query(sql("SELECT CAST(CASE h WHEN 0.5 THEN 0 WHEN 1.0 THEN 1 ELSE 2 END AS INT) AS idx, h, round(sum(fit - paid), 4) AS ll FROM fit JOIN paid USING (fold, h) GROUP BY h", "cells", **_LATTICE, **_SIZES))
+def select_bandwidth_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole patterns as samples, given their sizes."""
+    placed = fx.cells(fx.points(spark, sf_dir))
+    return rounded(intensity.select_bandwidth_discrete(placed, fx.NX, fx.NY, HS, 3, unit="pattern_id", per_point=False), 4)
+
+
+@query()
+def intensity_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intensity with a bandwidth chosen by cross-validation, fitted again on all points."""
+    return rounded(intensity.estimate_intensity_auto(fx.cells(fx.points(spark, sf_dir)), fx.NX, fx.NY, normalize=True, edge_correction=True))
+
+
 @query()
 def select_bandwidth_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every point a sample of its own, folds by a hash of the point."""
@@ -229,12 +250,12 @@ def strauss_bandwidths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def strauss_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gibbs.refine(fx.points(spark, sf_dir), QUAD, "strauss", _few("strauss"), n_iter=1, k=2, max_n=500)
+    return gibbs.refine(fx.points(spark, sf_dir), QUAD, "strauss", _few("strauss"), n_iter=2, k=2)
 
 
 @query()
 def dgs_cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(gibbs.cross_validate(fx.points(spark, sf_dir), QUAD, "dgs", _few("dgs"), k=2, max_n=500)["folds"], 4)
+    return rounded(gibbs.cross_validate(fx.points(spark, sf_dir), QUAD, "dgs", _few("dgs"), k=2)["folds"], 4)
 
 
 def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -285,6 +306,26 @@ def dpp_cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found["folds"], 4)
 
 
+@query()
+def dpp_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-validation once more from the bandwidth that the first one chose; the pilot is searched for too."""
+    placed = _samples(spark, sf_dir).withColumn("point_id", F.monotonically_increasing_id())
+    return rounded(dpp.refine(placed, QX, QY, n_iter=2, k=2, conditioned=True, coeffs=[0.5, 1.0, 2.0], sigmas=[0.3, 0.6, 0.9], pilots=[0.5, 1.0, 2.0]), 4)
+
+
+@query(sql("""SELECT count(*) AS n, round(sum(ln((ra * ra + 1e-6) * (rb * rb + 1e-6) - (ra * rb * exp(-d2 / (2 * 0.7 ** 2))) ** 2)), 4) AS logdet FROM
+    (SELECT a.rho AS ra, b.rho AS rb, (a.ix - b.ix) ** 2 + (a.iy - b.iy) ** 2 AS d2 FROM s2 a JOIN s2 b ON a.source = b.source AND a.pattern_id = b.pattern_id AND a.rn = 1 AND b.rn = 2)""", "pts", **_BASE,
+    s2="""SELECT *, row_number() OVER (PARTITION BY source, pattern_id ORDER BY iy, ix) AS rn FROM (SELECT DISTINCT source, pattern_id, CAST(least(x // 1250, 15) AS INT) AS ix, CAST(least(y // 1250, 7) AS INT) AS iy, sqrt(value / 100) AS rho
+        FROM pts JOIN coarse ON coarse.ix = least(x // 1250, 15) AND coarse.iy = least(y // 1250, 7))"""))
+def sample_logdet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-determinants of the first two cells of every pattern, summed."""
+    pattern = W.partitionBy("source", "pattern_id")
+    two = _samples(spark, sf_dir).distinct().withColumn("rn", F.row_number().over(pattern.orderBy("iy", "ix"))).where("rn <= 2").withColumn("both", F.count("*").over(pattern)).where("both = 2")
+    raster = _coarse(fx.points(spark, sf_dir)).select("h", (F.col("iy") * QX + F.col("ix")).alias("cell"), "ix", "iy", F.sqrt(F.col("value") / 100).alias("rho"))
+    placed = two.select("source", "pattern_id", (F.col("iy") * QX + F.col("ix")).alias("cell"))
+    return rounded(dpp.sample_logdet(placed, raster, [0.7]).agg(F.count("*").alias("n"), F.sum("logdet").alias("logdet")), 4)
+
+
 @query(sql("SELECT grid_index, round(least(v, (SELECT quantile_cont(v, 0.99) FROM d)), 6) AS v FROM d", "cells", d="SELECT grid_index, count(*) / (SELECT count(*) FROM cells)::DOUBLE * 1000 AS v FROM cells GROUP BY 1"))
 def clipped_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     visits = fx.cells(fx.points(spark, sf_dir)).groupBy("grid_index").agg(F.count("*").alias("c"))

@@ -30,9 +30,11 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def work_path(spark: SparkSession, tag: str) -> str:
-    """A new folder that all executors share: under spark.checkpoint.dir, or a temporary one only where that is unset."""
+    """A new folder that all executors share: under spark.checkpoint.dir, or a temporary one on a single machine only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/footfall-{tag}-{uuid.uuid4().hex}"

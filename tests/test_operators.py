@@ -1,5 +1,6 @@
 """Hand fixtures, invariants, and NumPy brute force for the operators that SQL cannot state."""
 
+import itertools
 import math
 
 import numpy as np
@@ -176,3 +177,51 @@ def test_folds_are_balanced_and_repeat(spark):
     assert one == two
     sizes = np.bincount([r["fold"] for r in one])
     assert sizes.max() - sizes.min() <= 1
+
+
+def test_assign_grid_with_a_hole_and_without_coordinates(spark):
+    cells = spark.createDataFrame([(0.0, 0.0), (10.0, 0.0), (20.0, 10.0), (0.0, 10.0)], "x double, y double")
+    rows = [(1, 9.0, 9.0), (2, 19.0, 1.0), (3, None, 1.0), (4, float("nan"), 1.0), (5, 1.0, 11.0), (6, 5.0, 0.0)]
+    got = {r["i"]: r for r in grid.assign_grid(spark.createDataFrame(rows, "i int, px double, py double"), cells, "px", "py").collect()}
+    # (10, 10) is no cell: of (0, 10), (10, 0) and (20, 10) the first row by row that is nearest; (20, 0) is none either
+    assert [(got[i]["x_grid"], got[i]["y_grid"], got[i]["grid_index"]) for i in (1, 2, 5, 6)] == [(0.0, 0.0, 0), (10.0, 0.0, 1), (0.0, 10.0, 3), (0.0, 0.0, 0)]
+    assert all(got[i]["grid_index"] is None and got[i]["x_grid"] is None for i in (3, 4))
+    with pytest.raises(ValueError):
+        grid.assign_grid(cells, cells.limit(0), "x", "y")
+
+
+@pytest.mark.parametrize("radii", [[0.5, 1.0, 2.0], [0.1 * i for i in range(301)], [0.05 * 1.2**i for i in range(50)], [0.0, 1.0, 1.5, 4.0, 9.0, 9.5, 10.0, 11.0, 12.0, 30.0]])
+def test_first_radius(spark, radii):
+    rng = np.random.default_rng(0)
+    ds = [*rng.uniform(0, radii[-1] * 1.1, 300), *radii, *[np.nextafter(r, 99) for r in radii], 0.0]
+    found = spark.createDataFrame([(float(d),) for d in ds], "d double").select("d", pairs.first_radius(F.col("d"), radii).alias("i")).collect()
+    for r in found:
+        at = int(np.searchsorted(radii, r["d"]))
+        assert r["i"] == (at if at < len(radii) else None)
+
+
+def test_likelihood_given_sizes(spark):
+    """Samples of any size against sums over all subsets."""
+    rng = np.random.default_rng(3)
+    rho = rng.uniform(0.1, 2.0, 6)
+    samples = [[0], [1, 4], [2, 3, 5], [0, 1], [0, 1, 2, 3, 4, 5]]
+    want = sum(np.log(rho[s]).sum() - np.log(sum(np.prod(rho[list(c)]) for c in itertools.combinations(range(6), len(s)))) for s in samples)
+    raster = spark.createDataFrame([(1.0, i, float(v)) for i, v in enumerate(rho)], "h double, cell int, rho double")
+    counts = spark.createDataFrame([(i, sum(i in s for s in samples)) for i in range(6)], "cell int, c long")
+    sizes = spark.createDataFrame([(k, sum(len(s) == k for s in samples)) for k in (1, 2, 3, 6)], "k long, t long")
+    shared = lambda df: df.withColumn("fold", F.lit(0))
+    got = intensity.diag_loglik(shared(raster), shared(counts), shared(sizes), ["fold", "h"], True).first()["ll"]
+    assert abs(got - want) < 1e-6
+
+
+def test_automatic_bandwidth(spark):
+    rng = np.random.default_rng(4)
+    placed = spark.createDataFrame([(i, int(x), int(y)) for i, (x, y) in enumerate(np.clip(rng.normal(5, 1.5, (200, 2)), 0, 9))], "point_id long, ix int, iy int")
+    best = intensity.select_bandwidth_discrete(placed, 10, 10, intensity.AUTO_HS).orderBy(F.desc("ll"), "idx").first()["h"]
+    got = intensity.estimate_intensity_auto(placed, 10, 10).orderBy("iy", "ix").toPandas()
+    plain = intensity.estimate_intensity(placed.groupBy("ix", "iy").agg(F.count("*").alias("c")), 10, 10, [best]).orderBy("iy", "ix").toPandas()
+    assert got["h"].unique().tolist() == [best] and np.allclose(got["value"], plain["value"])
+    with pytest.raises(ValueError):
+        intensity.estimate_intensity_auto(placed.limit(0), 10, 10)
+    with pytest.raises(ValueError):
+        intensity.estimate_intensity(placed.groupBy("ix", "iy").agg(F.count("*").alias("c")), 10, 10, [0.0])

@@ -10,6 +10,9 @@ from pyspark.sql import Window as W
 
 from ..functions.scalars import Window
 
+#: Values that split the rows to be ranked into ranges.
+CUTS = 255
+
 
 def crop(df: DataFrame, window: Window, x: str = "x", y: str = "y") -> DataFrame:
     """Points inside the closed window (xmin, ymin, xmax, ymax)."""
@@ -67,6 +70,21 @@ def dedup_in_snapshot(df: DataFrame, time: str, ident: str, seq: str, keep: str
     return picked.select(time, ident, "r.*").select(*df.columns)
 
 
+def positions(rows: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """rows, distinct in the order columns, with their place from 0 in that order: rows are ranked inside CUTS + 1 ranges
+    between values of the first order column drawn by hash, and shifted by the counts of the ranges below. Only those
+    counts pass through one task."""
+    first = order[0]
+    drawn = rows.select(F.col(first).alias("v")).distinct().orderBy(F.xxhash64("v"), "v").limit(CUTS)
+    cuts = drawn.agg(F.collect_list("v").alias("__cuts"))  # CUTS values at most
+    at = F.size(F.filter("__cuts", lambda c: c <= F.col(first)))
+    ranged = rows.crossJoin(F.broadcast(cuts)).withColumn("__range", at).drop("__cuts")
+    below = F.sum("c").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1))
+    counts = ranged.groupBy("__range").agg(F.count("*").alias("c")).select("__range", F.coalesce(below, F.lit(0)).alias("__below"))
+    inside = F.row_number().over(W.partitionBy("__range").orderBy(*order))
+    return ranged.withColumn("__nth", inside).join(F.broadcast(counts), "__range").withColumn(name, F.col("__below") + F.col("__nth") - 1).drop("__range", "__nth", "__below")
+
+
 def to_patterns(df: DataFrame, time: str, x: str, y: str, ident: str | None = None, seq: str = "seq", n_min: int = 1) -> DataFrame:
     """(pattern_index, time, ident, seq, x, y): missing values and repeats dropped, patterns of n_min points or more,
     numbered densely from 0 in time order. Only the distinct times are ranked."""
@@ -75,7 +93,7 @@ def to_patterns(df: DataFrame, time: str, x: str, y: str, ident: str | None = No
         clean = dedup_in_snapshot(clean, time, ident, seq)
     clean = min_points(clean, [time], n_min)
     # one row per snapshot, not per point, is put in order
-    index = clean.select(time).distinct().withColumn("pattern_index", F.dense_rank().over(W.orderBy(time)) - 1)
+    index = positions(clean.select(time).distinct(), [time], "pattern_index")
     return clean.join(index, time).select("pattern_index", time, *([ident] if ident else []), seq, x, y)
 
 
@@ -104,8 +122,8 @@ def sample_points(df: DataFrame, n: int, seed: int, ident: str = "point_id") ->
 
 def assign_folds(df: DataFrame, key: str, k: int, seed: int) -> DataFrame:
     """Add fold, from 0: patterns are shuffled by md5 and dealt in turn, so folds differ by one pattern at most."""
-    order = F.row_number().over(W.orderBy(_turn(key, seed), key))
-    folds = df.select(key).distinct().withColumn("fold", (F.pmod(order - 1, F.lit(k))).cast("int"))
+    turns = df.select(key).distinct().where(F.col(key).isNotNull()).withColumn("__turn", _turn(key, seed))
+    folds = positions(turns, ["__turn", key], "__at").select(key, F.pmod("__at", F.lit(k)).cast("int").alias("fold"))
     return df.join(folds, key)
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 KEYS = ("source", "pattern_id")
+#: Patterns of so many places or fewer are one square; larger ones halve their squares DEPTH times at most.
+SMALL, DEPTH = 512, 20
 
 
 def _d2():
@@ -44,10 +46,49 @@ def close_pairs(points: DataFrame, rmax: float, keys: Sequence[str] = KEYS) -> D
 def knn_distance(points: DataFrame, k: int, keys: Sequence[str] = KEYS) -> DataFrame:
     """(keys, point_id, d) distance to the k-th nearest other point, for patterns of more than k points.
 
-    Equal distances rank by point_id. Only the k smallest of each point leave the window."""
-    near = W.partitionBy(*keys, "i").orderBy("d2", "j")
-    ranked = ordered_pairs(points, None, keys).withColumn("rank", F.row_number().over(near)).where(F.col("rank") == k)
-    return ranked.select(*keys, F.col("i").alias("point_id"), F.sqrt("d2").alias("d"))
+    Places are searched in squares that halve from level to level. A place's level is the deepest one at which its own
+    square holds more than k points, so the k-th neighbour lies within that square's diagonal, two squares around it at
+    most. As the next level's squares hold k points or fewer, 4 k places share a square and its level at most, and each
+    place is compared with 100 k others a level at most, however crowded its pattern is. Coincident points count as one
+    place with a weight. Points with a null or non-finite coordinate take no part.
+    """
+    keys = list(keys)
+    finite = lambda c: F.abs(F.col(c).cast("double")) < float("inf")
+    points = points.where(finite("x") & finite("y"))
+    places = points.groupBy(*keys, "x", "y").agg(F.count("*").alias("w"))
+    frame = places.groupBy(*keys).agg(
+        F.min("x").alias("x0"), F.min("y").alias("y0"), F.sum("w").alias("n"), F.count("*").alias("m"),
+        F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).cast("double").alias("extent"),
+    ).where(F.col("n") > k).withColumn("depth", F.when(F.col("m") > SMALL, F.lit(DEPTH)).otherwise(F.lit(0))).drop("n", "m")
+    share = lambda c, low: F.coalesce((F.col(c) - F.col(low)) / F.nullif(F.col("extent"), F.lit(0.0)), F.lit(0.0))
+    placed = places.join(frame, keys).select(*keys, "x", "y", "w", "depth", share("x", "x0").alias("u"), share("y", "y0").alias("v"))
+
+    squares = F.expr("shiftleft(1L, level)")
+
+    def square(c: str) -> Column:
+        return F.least(F.floor(F.col(c) * squares), squares - 1)
+
+    cell = [*keys, "level", "cx", "cy"]
+    tree = placed.where("depth > 0").withColumn("level", F.explode(F.sequence(F.lit(0), "depth"))).withColumn("cx", square("u")).withColumn("cy", square("v"))
+    full = tree.groupBy(*cell).agg(F.sum("w").alias("held")).where(F.col("held") > k).select(*cell)
+    deepest = tree.join(full, cell, "left_semi").groupBy(*keys, "x", "y").agg(F.max("level").alias("level"))
+    searched = placed.join(deepest, [*keys, "x", "y"], "left").withColumn("level", F.coalesce("level", F.lit(0)))
+    levels = searched.groupBy(*keys).agg(F.collect_set("level").alias("levels"))  # DEPTH + 1 at most
+    right = placed.join(levels, keys).withColumn("level", F.explode("levels")).select(
+        *keys, "level", square("u").alias("cx"), square("v").alias("cy"), F.col("x").alias("xj"), F.col("y").alias("yj"), F.col("w").alias("wj"))
+
+    def around(c: str) -> Column:
+        return F.explode(F.sequence(F.greatest(square(c) - 2, F.lit(0).cast("long")), F.least(square(c) + 2, squares - 1)))
+
+    left = searched.where(F.col("w") <= k).withColumn("cx", around("u")).withColumn("cy", around("v")).select(
+        *cell, F.col("x").alias("xi"), F.col("y").alias("yi"), F.col("w").alias("wi"))
+    pairs = left.join(right, cell).where((F.col("xi") != F.col("xj")) | (F.col("yi") != F.col("yj"))).select(*keys, "xi", "yi", "wi", "wj", _d2().alias("d2"))
+    near = W.partitionBy(*keys, "xi", "yi").orderBy("d2")
+    nearest = pairs.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k)
+    held = F.col("wi") - 1 + F.sum("wj").over(near.rowsBetween(W.unboundedPreceding, W.currentRow))
+    reached = nearest.withColumn("held", held).where(F.col("held") >= k).groupBy(*keys, F.col("xi").alias("x"), F.col("yi").alias("y")).agg(F.min("d2").alias("d2"))
+    twins = searched.where(F.col("w") > k).select(*keys, "x", "y", F.lit(0.0).alias("d2"))
+    return points.select(*keys, "x", "y", "point_id").join(reached.unionByName(twins), [*keys, "x", "y"]).select(*keys, "point_id", F.sqrt("d2").alias("d"))
 
 
 def first_radius(d: Column, radii: Sequence[float]) -> Column:

@@ -24,6 +24,34 @@ def test_nearest_neighbours(spark):
     assert [r["c"] for r in pairs.neighbour_counts(pts, [1.0, 100.0]).where("ir = 1").collect()] == [2, 2, 2]
 
 
+@pytest.mark.parametrize("k", [1, 3])
+def test_nearest_neighbours_in_uneven_patterns(spark, monkeypatch, k):
+    monkeypatch.setattr(pairs, "SMALL", 16)
+    rng = np.random.default_rng(3)
+    shapes = {
+        1: rng.normal(size=(200, 2)),
+        2: np.r_[rng.normal(size=(150, 2)) * 1e-4, rng.normal(size=(40, 2)) * 100],  # a crowd and far points
+        3: rng.integers(0, 7, (150, 2)),  # twins on a lattice
+        4: np.ones((30, 2)),
+        5: np.c_[rng.normal(size=60), np.zeros(60)],
+        6: np.array([(0, 0), (3, 4)]),
+    }
+    pts = None
+    for number, xy in shapes.items():
+        one = pattern(spark, xy.tolist(), pattern_id=number)
+        pts = one if pts is None else pts.unionByName(one)
+    nowhere = spark.createDataFrame([("A", 1, 999, None, 1.0), ("A", 1, 998, float("nan"), 1.0)], pts.schema)
+    found = {(r["pattern_id"], r["point_id"]): r["d"] for r in pairs.knn_distance(pts.unionByName(nowhere), k).collect()}
+    wanted = {}
+    for number, xy in shapes.items():
+        d = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(axis=-1))
+        np.fill_diagonal(d, np.inf)
+        if len(xy) > k:
+            wanted |= {(number, i): v for i, v in enumerate(np.sort(d, axis=1)[:, k - 1])}
+    assert found.keys() == wanted.keys()
+    assert all(found[key] == pytest.approx(wanted[key]) for key in wanted)
+
+
 def test_small_patterns(spark):
     one, twins = pattern(spark, [(1, 1)]), pattern(spark, [(1, 1), (1, 1)])
     assert pairs.knn_distance(one, 1).count() == 0
@@ -171,6 +199,14 @@ def test_diagonal_kernel_has_closed_form(spark):
     assert got == pytest.approx(2 * math.log(0.25) - 4 * math.log1p(0.25))
 
 
+@pytest.mark.parametrize("value", ["id", "cast(id as timestamp)", "lpad(cast(id as string), 5, '0')"])
+def test_positions(spark, value):
+    rows = spark.range(0, 3000, 3).selectExpr(f"{value} t", "id")
+    assert cleaning.positions(rows, ["t"], "at").where("at <> id / 3").count() == 0
+    assert cleaning.positions(rows, ["t"], "at").count() == 1000
+    assert cleaning.positions(rows.limit(0), ["t"], "at").count() == 0
+
+
 def test_folds_are_balanced_and_repeat(spark):
     df = spark.range(23).withColumnRenamed("id", "pattern_id")
     one, two = (cleaning.assign_folds(df, "pattern_id", 5, 1).orderBy("pattern_id").collect() for _ in range(2))

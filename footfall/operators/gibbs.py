@@ -24,6 +24,8 @@ from .profiles import arg_max
 
 KEYS = pairs.KEYS
 SIN_FLOOR = 1e-12
+#: Distances that a task holds at once.
+DISTANCES = 1 << 22
 #: Candidate grids; coefficients come from whole numbers, so 1.0 is among them exactly.
 COEFFS = {"strauss": [c / 100 for c in range(50, 151, 5)], "dgs": [c / 100 for c in range(50, 146, 5)]}
 PILOTS = {"strauss": [float(h) for h in range(10, 2001, 10)], "dgs": [float(h) for h in range(50, 2001, 50)]}
@@ -62,35 +64,64 @@ def point_stat(points: DataFrame, r: float, kind: str, keys: Sequence[str] = KEY
     return points.select(*keys, "point_id").join(near, [*keys, "point_id"], "left").fillna(0.0, ["s"])
 
 
-def _pattern_profile(xy: np.ndarray, b: np.ndarray, u: np.ndarray, bu: np.ndarray, area: float, r: float, alphas: Sequence[float], kind: str) -> list[float]:
-    """Log-pseudolikelihood of one pattern for every alpha at one r. Sparse: only cells within r of a point differ from
-    the pattern's common sum; sums are shifted by their greatest term."""
-    d = np.sqrt((xy[:, None, 0] - u[None, :, 0]) ** 2 + (xy[:, None, 1] - u[None, :, 1]) ** 2)
-    own, cell = np.nonzero(d <= r)
-    share = np.ones(len(own)) if kind == "strauss" else 2 * np.log(np.maximum(np.sin(np.pi * d[own, cell] / (2 * r)), SIN_FLOOR))
-    s_u = np.bincount(cell, weights=share, minlength=len(u))
-    e = np.sqrt((xy[:, None, 0] - xy[None, :, 0]) ** 2 + (xy[:, None, 1] - xy[None, :, 1]) ** 2)
-    near = (e <= r) & (e > 0)
-    s_i = near.sum(axis=1).astype(float) if kind == "strauss" else np.where(near, 2 * np.log(np.maximum(np.sin(np.pi * e / (2 * r)), SIN_FLOOR)), 0.0).sum(axis=1)
-    out = []
-    for alpha in alphas:
-        a = bu + alpha * s_u
-        changed = a[cell] - alpha * share
-        top = np.full(len(xy), a.max())
-        np.maximum.at(top, own, changed)
-        rest = np.exp(a.max() - top) * np.exp(a - a.max()).sum() + np.bincount(own, weights=np.exp(changed - top[own]) - np.exp(a[cell] - top[own]), minlength=len(xy))
-        z = math.log(area) + top + np.log(np.maximum(rest, 1e-300))
-        out.append(float((b + alpha * s_i - z).sum()))
+def _share(d: np.ndarray, r: float, kind: str) -> np.ndarray:
+    return np.ones(len(d)) if kind == "strauss" else 2 * np.log(np.maximum(np.sin(np.pi * d / (2 * r)), SIN_FLOOR))
+
+
+def _links(xy: np.ndarray, others: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """i, j and d of every point and every other place at distance r or less."""
+    d = np.sqrt((xy[:, None, 0] - others[None, :, 0]) ** 2 + (xy[:, None, 1] - others[None, :, 1]) ** 2)
+    i, j = np.nonzero(d <= r)
+    return i, j, d[i, j]
+
+
+def _pattern_profile(xy: np.ndarray, offsets: Sequence[tuple[np.ndarray, np.ndarray]], u: np.ndarray, area: float, radii: Sequence[float], alphas: Sequence[float], kind: str) -> np.ndarray:
+    """Log-pseudolikelihood of one pattern by intensity (offsets: log-intensities at the points and at the cells), radius
+    and alpha. Distances are taken once, at the greatest radius, and for some points at a time: only links are kept, of
+    one part of the points. Only cells within r of a point differ from the pattern's common sum; sums are shifted by
+    their greatest term."""
+    reach, size = max(radii), max(1, DISTANCES // max(len(u), len(xy)))
+    parts = [slice(at, at + size) for at in range(0, len(xy), size)]
+    first = _links(xy[parts[0]], u, reach)
+    met = lambda part: first if part is parts[0] else _links(xy[part], u, reach)
+    field = np.zeros((len(radii), len(u)))
+    for part in parts:
+        _, cell, d = met(part)
+        for at, r in enumerate(radii):
+            near = d <= r
+            field[at] += np.bincount(cell[near], weights=_share(d[near], r, kind), minlength=len(u))
+    out = np.zeros((len(offsets), len(radii), len(alphas)))
+    for part in parts:
+        m = len(xy[part])
+        (own, cell, d), (i, _, e) = met(part), _links(xy[part], xy, reach)
+        for at, r in enumerate(radii):
+            near, close = d <= r, (e <= r) & (e > 0)
+            o, c, share = own[near], cell[near], _share(d[near], r, kind)
+            s = np.bincount(i[close], weights=_share(e[close], r, kind), minlength=m)
+            for image, (b, bu) in enumerate(offsets):
+                for ia, alpha in enumerate(alphas):
+                    a = bu + alpha * field[at]
+                    peak = a.max()
+                    changed = a[c] - alpha * share
+                    top = np.full(m, peak)
+                    np.maximum.at(top, o, changed)
+                    rest = np.exp(peak - top) * np.exp(a - peak).sum() + np.bincount(o, weights=np.exp(changed - top[o]) - np.exp(a[c] - top[o]), minlength=m)
+                    z = math.log(area) + top + np.log(np.maximum(rest, 1e-300))
+                    out[image, at, ia] += (b[part] + alpha * s - z).sum()
     return out
 
 
 def _bilinear(image: np.ndarray, window: Window, xy: np.ndarray) -> np.ndarray:
-    ny, nx = image.shape
-    c = np.clip((xy[:, 0] - window[0]) / max(window[2] - window[0], 1e-10) * (nx - 1), 0, nx - 1 - 1e-6)
-    r = np.clip((xy[:, 1] - window[1]) / max(window[3] - window[1], 1e-10) * (ny - 1), 0, ny - 1 - 1e-6)
-    x0, y0 = np.floor(c).astype(int), np.floor(r).astype(int)
-    x1, y1, dx, dy = np.minimum(x0 + 1, nx - 1), np.minimum(y0 + 1, ny - 1), c - x0, r - y0
-    return (image[y0, x0] * (1 - dx) + image[y0, x1] * dx) * (1 - dy) + (image[y1, x0] * (1 - dx) + image[y1, x1] * dx) * dy
+    """Values between cells: the two nearest rows and columns of the image, weighted by nearness."""
+
+    def axis(v: np.ndarray, low: float, high: float, n: int) -> tuple[np.ndarray, np.ndarray]:
+        place = np.clip((v - low) / max(high - low, 1e-10) * (n - 1), 0, n - 1 - 1e-6)
+        lower = place.astype(int)
+        return np.stack([lower, np.minimum(lower + 1, n - 1)]), np.stack([1 - (place - lower), place - lower])
+
+    columns, across = axis(xy[:, 0], window[0], window[2], image.shape[1])
+    rows, along = axis(xy[:, 1], window[1], window[3], image.shape[0])
+    return np.einsum("rn,cn,rcn->n", along, across, image[rows[:, None], columns[None, :]])
 
 
 def _cells(q: Quadrature, r: float) -> tuple[np.ndarray, float, Window]:
@@ -108,18 +139,28 @@ def _cells(q: Quadrature, r: float) -> tuple[np.ndarray, float, Window]:
 
 
 def _profiler(images: list[tuple[float, np.ndarray]], q: Quadrature, radii: Sequence[float], alphas: Sequence[float], kind: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    log_at = lambda image, places: np.log(np.maximum(_bilinear(image, q.window, places), 1e-10))
+    # radii that share their cells and window go together
+    shared: dict[Window, tuple[np.ndarray, float, list[int]]] = {}
+    for ir, r in enumerate(radii):
+        u, area, inner = _cells(q, r)
+        if len(u):
+            shared.setdefault(inner, (u, area, []))[2].append(ir)
+    groups = [(inner, u, area, at, [log_at(image, u) for _, image in images]) for inner, (u, area, at) in shared.items()]
+
     def profile(frame: pd.DataFrame) -> pd.DataFrame:
         xy = frame[["x", "y"]].to_numpy(float)
         rows = []
-        for ir, r in enumerate(radii):
-            u, area, inner = _cells(q, r)
+        for inner, u, area, at, at_cells in groups:
             inside = xy[(xy[:, 0] >= inner[0]) & (xy[:, 0] <= inner[2]) & (xy[:, 1] >= inner[1]) & (xy[:, 1] <= inner[3])]
-            if not len(inside) or not len(u):
+            if not len(inside):
                 continue
-            for h, image in images:
-                b, bu = (np.log(np.maximum(_bilinear(image, q.window, p), 1e-10)) for p in (inside, u))
-                values = _pattern_profile(inside, b, u, bu, area, r, alphas, kind)
-                rows += [(h, ir, float(r), ia, float(a), v) for ia, (a, v) in enumerate(zip(alphas, values, strict=True))]
+            offsets = [(log_at(image, inside), bu) for (_, image), bu in zip(images, at_cells, strict=True)]
+            values = _pattern_profile(inside, offsets, u, area, [radii[ir] for ir in at], alphas, kind)
+            rows += [
+                (h, ir, float(radii[ir]), ia, float(alpha), float(values[g, k, ia]))
+                for g, (h, _) in enumerate(images) for k, ir in enumerate(at) for ia, alpha in enumerate(alphas)
+            ]
         return pd.DataFrame(rows, columns=["h", "ir", "r", "ia", "alpha", "logcpl"])
 
     return profile

@@ -4,6 +4,7 @@ import itertools
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,8 +142,8 @@ def _direct_cpl(xy, b, u, bu, area, r, alpha, kind):
         return np.where(d <= r, 1.0 if kind == "strauss" else 2 * np.log(np.maximum(np.sin(np.pi * d / (2 * r)), 1e-12)), 0.0)
 
     dxu = delta(np.linalg.norm(xy[:, None] - u[None], axis=2))
-    dxx = delta(np.linalg.norm(xy[:, None] - xy[None], axis=2))
-    np.fill_diagonal(dxx, 0.0)
+    apart = np.linalg.norm(xy[:, None] - xy[None], axis=2)
+    dxx = np.where(apart > 0, delta(apart), 0.0)  # neither a point nor its twins
     s = dxu.sum(0)
     return sum(b[i] + alpha * dxx[i].sum() - np.log(area * np.exp(bu + alpha * (s - dxu[i])).sum()) for i in range(len(xy)))
 
@@ -161,6 +162,23 @@ def test_profile_equals_direct_sum_and_dataframe_form(spark, kind, alpha):
     assert gibbs.cpl(pts, raster.drop("h"), q, 3.0, alpha, kind).first()["logcpl"] == pytest.approx(want)
 
 
+@pytest.mark.parametrize("kind", ["strauss", "dgs"])
+@pytest.mark.parametrize("erode, pin, fixed", [(False, True, None), (True, True, None), (True, True, 2.0), (True, False, None)])
+def test_profile_in_parts_equals_direct_sum(monkeypatch, kind, erode, pin, fixed):
+    monkeypatch.setattr(gibbs, "DISTANCES", 160)
+    rng = np.random.default_rng(5)
+    xy = np.r_[rng.random((24, 2)) * [20, 10], [[10.0, 5.0], [10.0, 5.0]]]
+    q = gibbs.Quadrature((0.0, 0.0, 20.0, 10.0), 8, 4, erode, pin, fixed)
+    images, radii, alphas = [(1.0, rng.random((4, 8)) + 0.5), (2.0, rng.random((4, 8)) + 0.5)], [1.0, 3.0], [-0.5, 0.0, 1.5]
+    got = gibbs._profiler(images, q, radii, alphas, kind)(pd.DataFrame(xy, columns=["x", "y"]))
+    assert len(got) == 12
+    for row in got.itertuples():
+        u, area, inner = gibbs._cells(q, row.r)
+        inside = xy[(xy >= inner[:2]).all(axis=1) & (xy <= inner[2:]).all(axis=1)]
+        b, bu = (np.log(gibbs._bilinear(dict(images)[row.h], q.window, p)) for p in (inside, u))
+        assert row.logcpl == pytest.approx(_direct_cpl(inside, b, u, bu, area, row.r, row.alpha, kind))
+
+
 def test_no_interaction_is_poisson(spark):
     pts, q = pattern(spark, [(2, 2), (3, 3), (9, 4)]), gibbs.Quadrature((0.0, 0.0, 10.0, 10.0), 4, 4)
     raster = spark.createDataFrame([(1.0, x, y, 2.0) for y in range(4) for x in range(4)], "h double, ix int, iy int, value double")

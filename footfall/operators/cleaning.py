@@ -108,7 +108,7 @@ def one_row_per_snapshot(df: DataFrame, time: str, columns: Sequence[str]) -> Da
 
 def first_n_patterns(df: DataFrame, key: str, n: int) -> DataFrame:
     """Rows of the first n patterns in the order of the key."""
-    return df.join(F.broadcast(df.select(key).distinct().orderBy(key).limit(n)), key, "left_semi")
+    return df.join(positions(df.select(key).distinct(), [key], "__at").where(F.col("__at") < n).select(key), key, "left_semi")
 
 
 def _turn(ident: str, seed: int):

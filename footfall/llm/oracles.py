@@ -108,3 +108,19 @@ def urls_sql() -> str:
     sc AS (SELECT host, {scores} FROM walk WHERE i = {urls.ROUNDS} GROUP BY 1)
     SELECT page_id, r.host, path, rule, coalesce(ruled, CASE WHEN distrust > {urls.RATIO} * trust AND distrust > {urls.LIFT} * reach THEN 'block' ELSE 'allow' END) AS verdict
     FROM r LEFT JOIN sc ON sc.host = r.host"""
+
+
+#: Words of a text as the decontamination contract has them.
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+DECONTAMINATION = rf"""
+WITH b AS (SELECT item_id, list_filter(string_split_regex({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(w[i:i + 9], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+d AS (SELECT row_number() OVER () AS row, doc_id, list_filter(string_split_regex({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM documents),
+sizes AS (SELECT DISTINCT size FROM win),
+p AS (SELECT row, i, size, array_to_string(w[i:i + size - 1], ' ') AS g FROM (SELECT row, w, unnest(range(1, len(w) + 1)) AS i FROM d) CROSS JOIN sizes WHERE i + size - 1 <= len(w)),
+o AS (SELECT row, i, size, item_id FROM p JOIN win USING (size, g)),
+h AS (SELECT row, count(DISTINCT k) AS n_hit FROM (SELECT row, unnest(range(i, i + size)) AS k FROM o) GROUP BY row),
+n AS (SELECT row, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS names FROM o GROUP BY row)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (row) LEFT JOIN n USING (row)
+"""

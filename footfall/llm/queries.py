@@ -1,11 +1,11 @@
-"""The registered queries of the ten operators: thin, over whole tables, with production parameters."""
+"""The registered queries of the operators: thin, over whole tables, with production parameters."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, neardup, oracles, packing, quality, rules, secret_scan, sharding, topk, urls
+from . import contamination, licenses, mixing, neardup, oracles, packing, quality, rules, secret_scan, sharding, topk, urls
 from .common import cut, scratch_path, table
 
 N_SHARDS = 40
@@ -78,10 +78,16 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op13_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.judged(contamination.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_topk, op2_mixing, op3_sharding, op4_quality, op5_rules, op6_neardup, op7_secrets, op8_packing, op9_licenses, op10_urls,
+    op13_contamination,
 )}
 ORACLE_SQL: dict[str, str] = {
     "op1_topk": oracles.TOPK, "op5_rules": oracles.rules_sql(), "op6_neardup": oracles.NEARDUP,
     "op9_licenses": oracles.licenses_sql(), "op10_urls": oracles.urls_sql(),
+    "op13_contamination": oracles.DECONTAMINATION,
 }

@@ -54,15 +54,16 @@ class FMIndex:
         if n_symbols + len(breaks) >= MOST_SYMBOLS:
             raise ValueError("too many symbols for one index")
         order = suffix_array(unique)
-        bwt = seq[order - 1]
+        bwt = seq[order - 1].astype(np.int32)
         self.starts = np.concatenate([[0], np.cumsum(np.bincount(seq, minlength=n_symbols + 1))])
         self.levels = range(max(1, int(n_symbols).bit_length()) - 1, -1, -1)
         self.ones, self.zeros = {}, {}
         for b in self.levels:
-            bit = bwt >> b & 1
-            self.ones[b] = np.concatenate([[0], np.cumsum(bit)]).astype(np.int32)
+            bit = (bwt >> b & 1).view(np.uint32).astype(bool)
+            self.ones[b] = np.zeros(n + 1, np.int32)
+            np.cumsum(bit, dtype=np.int32, out=self.ones[b][1:])
             self.zeros[b] = n - int(self.ones[b][-1])
-            bwt = np.concatenate([bwt[bit == 0], bwt[bit == 1]])
+            bwt = np.concatenate([bwt[~bit], bwt[bit]])
         self.block = self._through(np.arange(n_symbols + 1), np.zeros(n_symbols + 1, np.int64))  # where a symbol's own begin
         sampled = (order % SAMPLE == 0) | (seq[order - 1] <= 1)
         self.sampled, self.place = sampled, np.cumsum(sampled) - 1

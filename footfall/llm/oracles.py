@@ -124,3 +124,34 @@ n AS (SELECT row, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_i
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (row) LEFT JOIN n USING (row)
 """
+
+#: The checksum by a table of 256 steps; the edits as (state, edits that end with a row's own, its symbol's group, state).
+CONVERSATIONS = r"""
+WITH RECURSIVE steps AS (SELECT list(list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+base AS (SELECT row_number() OVER () AS row, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+sums AS (SELECT base.*, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(k, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS f FROM base CROSS JOIN steps),
+dam AS (SELECT row, conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role, CASE WHEN f = 1 THEN '' WHEN f = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(range(CASE WHEN f = 3 THEN 2 ELSE 1 END)) AS copy FROM sums WHERE f <> 0),
+seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, row, copy) AS nth,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, row, copy) AS pos, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM dam),
+marked AS (SELECT conv_id, turn, role, text, pos, role[1:1] AS ini, CASE WHEN t = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN right(t, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM seen),
+pairs AS (SELECT *, lag(ini) OVER (PARTITION BY conv_id ORDER BY pos) AS prev FROM marked),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, sum((fault = 'blank')::INT) AS blank, sum((fault = 'duplicate')::INT) AS duplicate, sum((fault = 'truncated')::INT) AS truncated,
+           sum((prev IS NOT NULL AND prev || ini NOT IN ('su', 'ua', 'au'))::INT) AS illegal, max(pos) AS last FROM pairs GROUP BY conv_id),
+ins(q, made, q2, added) AS (VALUES (0, '', 0, []), (1, '', 1, []), (2, '', 2, []), (3, '', 3, []), (0, 'I', 2, ['user:']), (1, 'I', 2, ['user:']), (3, 'I', 2, ['user:']), (2, 'I', 3, ['assistant:']), (0, 'II', 3, ['user:', 'assistant:']), (1, 'II', 3, ['user:', 'assistant:'])),
+own(q, edit, ini, q2, becomes) AS (SELECT q, 'D', '*', q, '' FROM range(4) r(q) UNION ALL (VALUES (0, 'K', 's', 1, ''), (0, 'K', 'u', 2, ''), (1, 'K', 'u', 2, ''), (3, 'K', 'u', 2, ''), (2, 'K', 'a', 3, ''),
+    (0, 'R', '*', 2, 'user'), (1, 'R', '*', 2, 'user'), (3, 'R', '*', 2, 'user'), (2, 'R', '*', 3, 'assistant'))),
+moves AS (SELECT ins.q, ins.made || own.edit AS made, own.ini, own.edit, own.q2, added, becomes, 2 * length(ins.made) + CASE own.edit WHEN 'D' THEN 3 WHEN 'R' THEN 2 ELSE 0 END AS cost FROM ins JOIN own ON own.q = ins.q2),
+walk AS (SELECT DISTINCT conv_id, 0::BIGINT AS pos, 0 AS q, 0::BIGINT AS cost, '' AS audit, []::VARCHAR[] AS lines FROM marked
+         UNION ALL SELECT conv_id, pos, q2, cost, audit, lines FROM (
+            SELECT w.conv_id, m.pos, v.q2, w.cost + v.cost + CASE WHEN m.fault = 'truncated' AND v.edit <> 'D' THEN 1 ELSE 0 END AS cost, w.audit || v.made AS audit,
+                list_concat(list_concat(w.lines, v.added), CASE v.edit WHEN 'D' THEN [] WHEN 'K' THEN [m.role || ':' || m.text] ELSE [v.becomes || ':' || m.text] END) AS lines,
+                row_number() OVER (PARTITION BY w.conv_id, v.q2 ORDER BY w.cost + v.cost + CASE WHEN m.fault = 'truncated' AND v.edit <> 'D' THEN 1 ELSE 0 END, w.audit || v.made) AS rk
+            FROM walk w JOIN marked m ON m.conv_id IS NOT DISTINCT FROM w.conv_id AND m.pos = w.pos + 1 JOIN moves v ON v.q = w.q AND (v.ini = '*' OR v.ini = m.ini) AND (v.edit = 'D' OR m.fault NOT IN ('blank', 'duplicate'))) WHERE rk = 1),
+ended AS (SELECT w.conv_id, w.cost + 2 * length(i.made) AS cost, w.audit || i.made AS audit, list_concat(w.lines, i.added) AS lines,
+          row_number() OVER (PARTITION BY w.conv_id ORDER BY w.cost + 2 * length(i.made), w.audit || i.made) AS rk
+          FROM walk w JOIN counts c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.last = w.pos JOIN ins i ON i.q = w.q WHERE i.q2 IN (0, 3))
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+    coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN (SELECT * FROM ended WHERE rk = 1) e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
+"""

@@ -155,3 +155,19 @@ SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT
     coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN (SELECT * FROM ended WHERE rk = 1) e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
 """
+
+PHRASES = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) AS ws FROM w CROSS JOIN range(1, 5) t(k) WHERE len(w) >= k),
+f AS (SELECT lang, k, ws, array_to_string(ws, ' ') AS phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE k > 1 AND f >= 30),
+inner_ AS (SELECT c.lang, array_to_string(c.ws[i:i + m - 1], ' ') AS phrase, max(f) AS holder FROM c CROSS JOIN range(2, 4) a(m) CROSS JOIN range(1, 4) b(i) WHERE m < k AND i + m - 1 <= k GROUP BY 1, 2),
+kept AS (SELECT c.* FROM c LEFT JOIN inner_ USING (lang, phrase) WHERE holder IS NULL OR 100::HUGEINT * holder < 80::HUGEINT * f),
+cuts AS (SELECT c.lang, c.phrase, c.f AS a, x.f AS l, y.f AS r, i, (2000000::HUGEINT * c.f // (x.f::HUGEINT + y.f))::BIGINT AS score
+         FROM (SELECT *, unnest(range(1, k)) AS i FROM kept) c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[:i], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[i + 1:], ' ')),
+low AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) AS rk FROM cuts) WHERE rk = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM low)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, conversations, licenses, mixing, neardup, oracles, packing, quality, rules, secret_scan, sharding, topk, urls
+from . import contamination, conversations, licenses, mixing, neardup, oracles, packing, phrases, quality, rules, secret_scan, sharding, topk, urls
 from .common import cut, scratch_path, table
 
 N_SHARDS = 40
@@ -78,6 +78,10 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
 def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = table(spark, sf_dir, "conversations")
     return conversations.report_all(found, conversations.damaged(found))
@@ -89,10 +93,10 @@ def op13_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_topk, op2_mixing, op3_sharding, op4_quality, op5_rules, op6_neardup, op7_secrets, op8_packing, op9_licenses, op10_urls,
-    op12_conversations, op13_contamination,
+    op11_phrases, op12_conversations, op13_contamination,
 )}
 ORACLE_SQL: dict[str, str] = {
     "op1_topk": oracles.TOPK, "op5_rules": oracles.rules_sql(), "op6_neardup": oracles.NEARDUP,
     "op9_licenses": oracles.licenses_sql(), "op10_urls": oracles.urls_sql(),
-    "op12_conversations": oracles.CONVERSATIONS, "op13_contamination": oracles.DECONTAMINATION,
+    "op11_phrases": oracles.PHRASES, "op12_conversations": oracles.CONVERSATIONS, "op13_contamination": oracles.DECONTAMINATION,
 }

@@ -185,8 +185,8 @@ def judged(found: DataFrame) -> DataFrame:
 
 
 def without_spans(text: Column, spans: Column) -> Column:
-    """The text without its spans."""
+    """The text without its spans; null stays null."""
     starts = F.concat(F.array(F.lit(0).cast("long")), F.transform(spans, lambda s: s["end"]))
     ends = F.concat(F.transform(spans, lambda s: s["start"]), F.array(F.length(text).cast("long")))
-    return F.array_join(F.zip_with(starts, ends, lambda a, b: F.substring(text, (a + 1).cast("int"), (b - a).cast("int"))), "")
+    return F.when(text.isNotNull(), F.array_join(F.zip_with(starts, ends, lambda a, b: F.substring(text, (a + 1).cast("int"), (b - a).cast("int"))), ""))
 

@@ -33,9 +33,9 @@ LONGEST = 4
 MIN_COUNT = 30
 UNKNOWN = "und"
 #: Bytes of text whose grams a task counts before it sends them, and bytes of text to a bucket.
-FLUSH, BUCKET_BYTES = 6 << 20, 16 << 20
+FLUSH, BUCKET_BYTES = 6 << 20, 4 << 20
 #: Grams that are spelled out at once.
-SPELLED = 1 << 18
+SPELLED = 1 << 16
 #: Parts of a language in which its best phrases are found first.
 SALTS = 1024
 
@@ -180,8 +180,8 @@ def _flowed(blocks: DataFrame, level: int, buckets: int, least: int) -> DataFram
         last = offsets[1:].copy()
         ends = np.flatnonzero(whole)
         last[ends] = spaces[np.searchsorted(spaces, offsets[1:][ends]) - 1]  # without the last word
-        for at in range(0, len(sizes), 4 * SPELLED):
-            part = slice(at, at + 4 * SPELLED)
+        for at in range(0, len(sizes), SPELLED):
+            part = slice(at, at + SPELLED)
             held.append(_summed(_taken(values, offsets[:-1][part], last[part]), counts[part]))
         grams, counts = _summed(pa.chunked_array([g for g, _ in held]), np.concatenate([n for _, n in held]))
         yield from _blocks(lang, 0, grams, counts, buckets)
@@ -198,6 +198,7 @@ def _flowed(blocks: DataFrame, level: int, buckets: int, least: int) -> DataFram
                 if held and key != (lang, bucket):
                     yield from close(key[0], held)
                     held = []
+                    pa.default_memory_pool().release_unused()
                 key = (lang, bucket)
                 held.append(_read(grams, counts))
         if held:

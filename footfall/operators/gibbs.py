@@ -10,20 +10,21 @@ over quadrature cells u, where delta_iu is i's own share of s_u (cells beyond r
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import Window
-from . import cleaning, intensity, pairs
+from . import cleaning, intensity, pairs, ranges
 from .profiles import arg_max
 
 KEYS = pairs.KEYS
 SIN_FLOOR = 1e-12
+SUMS = "h double, ir int, ia int, logcpl double"
 #: Distances that a task holds at once.
 DISTANCES = 1 << 22
 #: Candidate grids; coefficients come from whole numbers, so 1.0 is among them exactly.
@@ -69,45 +70,223 @@ def _share(d: np.ndarray, r: float, kind: str) -> np.ndarray:
 
 
 def _links(xy: np.ndarray, others: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """i, j and d of every point and every other place at distance r or less."""
-    d = np.sqrt((xy[:, None, 0] - others[None, :, 0]) ** 2 + (xy[:, None, 1] - others[None, :, 1]) ** 2)
-    i, j = np.nonzero(d <= r)
-    return i, j, d[i, j]
-
-
-def _pattern_profile(xy: np.ndarray, offsets: Sequence[tuple[np.ndarray, np.ndarray]], u: np.ndarray, area: float, radii: Sequence[float], alphas: Sequence[float], kind: str) -> np.ndarray:
-    """Log-pseudolikelihood of one pattern by intensity (offsets: log-intensities at the points and at the cells), radius
-    and alpha. Distances are taken once, at the greatest radius, and for some points at a time: only links are kept, of
-    one part of the points. Only cells within r of a point differ from the pattern's common sum; sums are shifted by
-    their greatest term."""
-    reach, size = max(radii), max(1, DISTANCES // max(len(u), len(xy)))
-    parts = [slice(at, at + size) for at in range(0, len(xy), size)]
-    first = _links(xy[parts[0]], u, reach)
-    met = lambda part: first if part is parts[0] else _links(xy[part], u, reach)
-    field = np.zeros((len(radii), len(u)))
-    for part in parts:
-        _, cell, d = met(part)
-        for at, r in enumerate(radii):
-            near = d <= r
-            field[at] += np.bincount(cell[near], weights=_share(d[near], r, kind), minlength=len(u))
-    out = np.zeros((len(offsets), len(radii), len(alphas)))
-    for part in parts:
-        m = len(xy[part])
-        (own, cell, d), (i, _, e) = met(part), _links(xy[part], xy, reach)
-        for at, r in enumerate(radii):
-            near, close = d <= r, (e <= r) & (e > 0)
-            o, c, share = own[near], cell[near], _share(d[near], r, kind)
-            s = np.bincount(i[close], weights=_share(e[close], r, kind), minlength=m)
-            for image, (b, bu) in enumerate(offsets):
-                for ia, alpha in enumerate(alphas):
-                    a = bu + alpha * field[at]
-                    peak = a.max()
+    """i, j and d of every point and every other place at distance r or less, of one part of the points at a time."""
+    size, found = max(1, DISTANCES // max(1, len(others))), []
+    for at in range(0, len(xy), size):
+        part = xy[at : at + size]
+        d = np.sqrt((part[:, None, 0] - others[None, :, 0]) ** 2 + (part[:, None, 1] - others[None, :, 1]) ** 2)
+        i, j = np.nonzero(d <= r)
+        found.append((at + i, j, d[i, j]))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, int), np.empty(0, int), np.empty(0))
+
+
+class _Group(NamedTuple):
+    """Radii that share their window and cells: cell centres and area, places in the list of radii, and the log-intensity of
+    every image at the cells."""
+
+    inner: Window
+    u: np.ndarray
+    area: float
+    at: list[int]
+    offsets: list[np.ndarray]
+
+
+class _Profiler:
+    """What tasks do with patterns, or with tiles of them."""
+
+    def __init__(self, images: list[tuple[float, np.ndarray]], q: Quadrature, radii: Sequence[float], alphas: Sequence[float], kind: str):
+        self.images, self.window, self.radii, self.alphas, self.kind = images, q.window, list(map(float, radii)), list(map(float, alphas)), kind
+        shared: dict[Window, tuple[np.ndarray, float, list[int]]] = {}
+        for ir, r in enumerate(self.radii):
+            u, area, inner = _cells(q, r)
+            if len(u):
+                shared.setdefault(inner, (u, area, []))[2].append(ir)
+        self.groups = [_Group(inner, u, area, at, [self.log_at(image, u) for _, image in images]) for inner, (u, area, at) in shared.items()]
+
+    def log_at(self, image: np.ndarray, places: np.ndarray) -> np.ndarray:
+        return np.log(np.maximum(_bilinear(image, self.window, places), 1e-10))
+
+    def reach(self, g: int) -> float:
+        return max(self.radii[ir] for ir in self.groups[g].at)
+
+    def field(self, g: int, xy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cells within reach of the points, and the sums of their shares there for each radius of the group."""
+        group, reach = self.groups[g], self.reach(g)
+        low, high = xy.min(axis=0) - reach, xy.max(axis=0) + reach
+        near = np.flatnonzero(((group.u >= low) & (group.u <= high)).all(axis=1))
+        _, cell, d = _links(xy, group.u[near], reach)
+        out = np.zeros((len(group.at), len(near)))
+        for k, ir in enumerate(group.at):
+            close = d <= self.radii[ir]
+            out[k] = np.bincount(cell[close], weights=_share(d[close], self.radii[ir], self.kind), minlength=len(near))
+        return near, out
+
+    def common(self, g: int, field: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Greatest term, and the sum of all terms over it, of a pattern's cells by image, radius and alpha."""
+        group = self.groups[g]
+        shape = (len(self.images), len(group.at), len(self.alphas))
+        peaks, totals = np.zeros(shape), np.zeros(shape)
+        for image, bu in enumerate(group.offsets):
+            for k in range(len(group.at)):
+                for ia, alpha in enumerate(self.alphas):
+                    a = bu + alpha * field[k]
+                    peaks[image, k, ia] = a.max()
+                    totals[image, k, ia] = np.exp(a - a.max()).sum()
+        return peaks, totals
+
+    def neighbours(self, g: int, xy: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """Interaction of each point with the others, for each radius of the group. Places that coincide are left out."""
+        group = self.groups[g]
+        i, _, e = _links(xy, others, self.reach(g))
+        out = np.zeros((len(group.at), len(xy)))
+        for k, ir in enumerate(group.at):
+            close = (e <= self.radii[ir]) & (e > 0)
+            out[k] = np.bincount(i[close], weights=_share(e[close], self.radii[ir], self.kind), minlength=len(xy))
+        return out
+
+    def values(self, g: int, xy: np.ndarray, s: np.ndarray, cells: np.ndarray, field: np.ndarray, peaks: np.ndarray, totals: np.ndarray) -> np.ndarray:
+        """Log-pseudolikelihood of the points by image, radius of the group and alpha. Only cells within r of a point differ
+        from the pattern's common sum; sums are shifted by their greatest term."""
+        group = self.groups[g]
+        own, cell, d = _links(xy, group.u[cells], self.reach(g))
+        out = np.zeros(peaks.shape)
+        m = len(xy)
+        for k, ir in enumerate(group.at):
+            near = d <= self.radii[ir]
+            o, c, share = own[near], cell[near], _share(d[near], self.radii[ir], self.kind)
+            for image, (_, values) in enumerate(self.images):
+                b, bu = self.log_at(values, xy).sum(), group.offsets[image][cells]
+                for ia, alpha in enumerate(self.alphas):
+                    a, peak = bu + alpha * field[k], peaks[image, k, ia]
                     changed = a[c] - alpha * share
                     top = np.full(m, peak)
                     np.maximum.at(top, o, changed)
-                    rest = np.exp(peak - top) * np.exp(a - peak).sum() + np.bincount(o, weights=np.exp(changed - top[o]) - np.exp(a[c] - top[o]), minlength=m)
-                    z = math.log(area) + top + np.log(np.maximum(rest, 1e-300))
-                    out[image, at, ia] += (b[part] + alpha * s - z).sum()
+                    rest = np.exp(peak - top) * totals[image, k, ia] + np.bincount(o, weights=np.exp(changed - top[o]) - np.exp(a[c] - top[o]), minlength=m)
+                    z = math.log(group.area) * m + top.sum() + np.log(np.maximum(rest, 1e-300)).sum()
+                    out[image, k, ia] = b + alpha * s[k].sum() - z
+        return out
+
+    def rows(self, sums: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """Sums by group as rows."""
+        for g, values in sums.items():
+            at = np.indices(values.shape).reshape(3, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([h for h, _ in self.images])[at[0]]), pa.array(np.array(self.groups[g].at, np.int32)[at[1]]), pa.array(at[2].astype(np.int32)), pa.array(values.ravel())], ["h", "ir", "ia", "logcpl"])
+
+
+def _places(pts: pa.Array, row: int) -> np.ndarray:
+    part = slice(pts.offsets[row].as_py(), pts.offsets[row + 1].as_py())
+    return np.stack([pts.values.field(c).to_numpy(zero_copy_only=False)[part] for c in ("x", "y")], axis=1)
+
+
+def _whole_patterns(points: DataFrame, keys: Sequence[str], work: _Profiler) -> DataFrame:
+    """Sums of tasks over patterns that are small enough for one of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for row in range(batch.num_rows):
+                xy = _places(batch.column("pts"), row)
+                for g, group in enumerate(work.groups):
+                    x0, y0, x1, y1 = group.inner
+                    inside = xy[(xy[:, 0] >= x0) & (xy[:, 0] <= x1) & (xy[:, 1] >= y0) & (xy[:, 1] <= y1)]
+                    if not len(inside):
+                        continue
+                    cells, part = work.field(g, inside)
+                    field = np.zeros((len(group.at), len(group.u)))
+                    field[:, cells] = part
+                    value = work.values(g, inside, work.neighbours(g, inside, inside), cells, part, *work.common(g, field))
+                    sums[g] = sums[g] + value if g in sums else value
+        yield from work.rows(sums)
+
+    return ranges.gathered(points, keys, ["x", "y"]).mapInArrow(run, SUMS)
+
+
+def _tiles_of_patterns(points: DataFrame, keys: Sequence[str], work: _Profiler) -> DataFrame:
+    """The same for patterns of any size, in two phases. First each tile's shares are added up by pattern and cell, and the
+    pattern's common sums follow from its cells. Then each tile meets the tiles within reach of it, one by one, and the
+    cells within reach with their sums."""
+    keys = [*keys, "g"]
+    types = {f.name: f.dataType.simpleString() for f in points.schema.fields} | {"g": "int"}
+    typed = lambda cs: ", ".join(f"`{c}` {types[c]}" for c in cs)
+    fits = [F.when(F.col("x").between(g.inner[0], g.inner[2]) & F.col("y").between(g.inner[1], g.inner[3]), i) for i, g in enumerate(work.groups)]
+    inside = points.withColumn("g", F.explode(F.array_compact(F.array(*fits))))
+    tiles = ranges.tiled(inside, ranges.crowded(inside, keys, 0), keys).groupBy(*keys, "tile")
+    own = tiles.agg(F.collect_list(F.struct("x", "y")).alias("pts"))  # TILE points at most
+
+    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                cells, part = work.field(batch.column("g")[row].as_py(), _places(batch.column("pts"), row))
+                if len(cells):
+                    same = pa.array(np.full(part.size, row))
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(same) for c in keys), pa.array(np.tile(cells, len(part)).astype(np.int32)), pa.array(np.repeat(np.arange(len(part), dtype=np.int32), len(cells))), pa.array(part.ravel())], [*keys, "cell", "k", "s"])
+
+    summed = own.mapInArrow(shares, f"{typed(keys)}, cell int, k int, s double").groupBy(*keys, "cell", "k").agg(F.sum("s").alias("s"))
+    field = summed.groupBy(*keys, "cell").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "s"))), lambda x: x["s"]).alias("s"))
+
+    def commons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                g, cells = batch.column("g")[row].as_py(), batch.column("pts")[row].as_py()
+                dense = np.zeros((len(work.groups[g].at), len(work.groups[g].u)))
+                for c in cells:
+                    dense[:, c["cell"]] = c["s"]
+                found = [pa.array([x.ravel()], pa.list_(pa.float64())) for x in work.common(g, dense)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(row, 1) for c in keys), *found], [*keys, "peaks", "totals"])
+
+    # as many rows as the grid has cells
+    common = ranges.gathered(field, keys, ["cell", "s"]).mapInArrow(commons, f"{typed(keys)}, peaks array<double>, totals array<double>")
+    reach = F.get(F.array(*[F.lit(work.reach(g)) for g in range(len(work.groups))]), F.col("g"))
+    box = tiles.agg(*[f(c).alias(n) for c in ("x", "y") for n, f in ((f"{c}0", F.min), (f"{c}1", F.max))]).withColumn("reach", reach)
+    centres = spark_cells(points.sparkSession, work)
+    halo = box.join(centres, "g").where("ux between x0 - reach and x1 + reach and uy between y0 - reach and y1 + reach").select(*keys, "tile", "cell")
+    cells = halo.join(field, [*keys, "cell"]).groupBy(*keys, "tile").agg(F.collect_list(F.struct("cell", "s")).alias("cells"))
+    other = box.select(*keys, *[F.col(c).alias(f"{c}b") for c in ("tile", "x0", "x1", "y0", "y1")])
+    apart = lambda v: F.greatest(F.lit(0.0), F.col(f"{v}0b") - F.col(f"{v}1"), F.col(f"{v}0") - F.col(f"{v}1b"))
+    met = box.join(other, keys).where("tile <> tileb").where(apart("x") * apart("x") + apart("y") * apart("y") <= F.col("reach") * F.col("reach") * (1 + ranges.SLACK))
+    empty = "cast(null as array<double>)"
+    heads = own.join(common, keys, "left").join(cells, [*keys, "tile"], "left").select(*keys, "tile", F.lit(0).alias("role"), "pts", "cells", "peaks", "totals")
+    more = met.select(*keys, F.col("tile").alias("to"), F.col("tileb").alias("tile")).join(own, [*keys, "tile"]).select(
+        *keys, F.col("to").alias("tile"), F.lit(1).alias("role"), "pts", F.expr("cast(null as array<struct<cell:int,s:array<double>>>)").alias("cells"), F.expr(empty).alias("peaks"), F.expr(empty).alias("totals"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        held: tuple | None = None
+
+        def close() -> None:
+            g, xy, s, near, peaks, totals = held
+            order = np.array([c["cell"] for c in near], int)
+            part = np.array([c["s"] for c in near], float).reshape(len(near), len(work.groups[g].at)).T
+            shape = (len(work.images), len(work.groups[g].at), len(work.alphas))
+            if peaks is None:
+                peaks, totals = work.common(g, np.zeros((shape[1], len(work.groups[g].u))))
+            value = work.values(g, xy, s, order, part, np.reshape(peaks, shape), np.reshape(totals, shape))
+            sums[g] = sums[g] + value if g in sums else value
+
+        for batch in batches:
+            for row, (role, g) in enumerate(zip(batch.column("role").to_pylist(), batch.column("g").to_pylist())):
+                xy = _places(batch.column("pts"), row)
+                if role:
+                    held[2][:] += work.neighbours(g, held[1], xy)
+                    continue
+                if held is not None:
+                    close()
+                held = (g, xy, work.neighbours(g, xy, xy), batch.column("cells")[row].as_py() or [], batch.column("peaks")[row].as_py(), batch.column("totals")[row].as_py())
+        if held is not None:
+            close()
+        yield from work.rows(sums)
+
+    return heads.unionByName(more).repartition(*keys, "tile").sortWithinPartitions(*keys, "tile", "role").mapInArrow(run, SUMS)
+
+
+def spark_cells(spark: SparkSession, work: _Profiler) -> DataFrame:
+    """(g, cell, ux, uy): the centres of each group's cells, by the rule of its grid."""
+    out = None
+    for g, group in enumerate(work.groups):
+        xs, ys = np.unique(group.u[:, 0]), np.unique(group.u[:, 1])
+        pick = lambda values, at: F.get(F.array(*[F.lit(float(v)) for v in values]), at.cast("int"))
+        one = spark.range(len(group.u)).select(F.lit(g).alias("g"), F.col("id").cast("int").alias("cell"), pick(xs, F.col("id") % len(xs)).alias("ux"), pick(ys, F.floor(F.col("id") / len(xs))).alias("uy"))
+        out = one if out is None else out.unionByName(one)
     return out
 
 
@@ -138,44 +317,27 @@ def _cells(q: Quadrature, r: float) -> tuple[np.ndarray, float, Window]:
     return u[keep], width * height, inner
 
 
-def _profiler(images: list[tuple[float, np.ndarray]], q: Quadrature, radii: Sequence[float], alphas: Sequence[float], kind: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    log_at = lambda image, places: np.log(np.maximum(_bilinear(image, q.window, places), 1e-10))
-    # radii that share their cells and window go together
-    shared: dict[Window, tuple[np.ndarray, float, list[int]]] = {}
-    for ir, r in enumerate(radii):
-        u, area, inner = _cells(q, r)
-        if len(u):
-            shared.setdefault(inner, (u, area, []))[2].append(ir)
-    groups = [(inner, u, area, at, [log_at(image, u) for _, image in images]) for inner, (u, area, at) in shared.items()]
-
-    def profile(frame: pd.DataFrame) -> pd.DataFrame:
-        xy = frame[["x", "y"]].to_numpy(float)
-        rows = []
-        for inner, u, area, at, at_cells in groups:
-            inside = xy[(xy[:, 0] >= inner[0]) & (xy[:, 0] <= inner[2]) & (xy[:, 1] >= inner[1]) & (xy[:, 1] <= inner[3])]
-            if not len(inside):
-                continue
-            offsets = [(log_at(image, inside), bu) for (_, image), bu in zip(images, at_cells, strict=True)]
-            values = _pattern_profile(inside, offsets, u, area, [radii[ir] for ir in at], alphas, kind)
-            rows += [
-                (h, ir, float(radii[ir]), ia, float(alpha), float(values[g, k, ia]))
-                for g, (h, _) in enumerate(images) for k, ir in enumerate(at) for ia, alpha in enumerate(alphas)
-            ]
-        return pd.DataFrame(rows, columns=["h", "ir", "r", "ia", "alpha", "logcpl"])
-
-    return profile
-
-
 def profile(points: DataFrame, raster: DataFrame, q: Quadrature, radii: Sequence[float], alphas: Sequence[float], kind: str, keys: Sequence[str] = KEYS) -> DataFrame:
     """(h, ir, r, ia, alpha, logcpl): log-pseudolikelihood of all patterns for every candidate and every raster (h, ix, iy,
-    value). Patterns are the unit of work; a raster is one small image, sent to the tasks; sums by candidate follow."""
+    value). A raster is one small image, sent to the tasks. Patterns of ranges.TILE points or fewer are the unit of work;
+    larger ones are taken apart in tiles. Tasks add up what they have, and sums by candidate follow."""
     rows = raster.select("h", "iy", "ix", "value").collect()  # nx * ny values for each raster
     images: dict[float, np.ndarray] = {}
     for row in rows:
         images.setdefault(row["h"], np.zeros((q.ny, q.nx)))[row["iy"], row["ix"]] = row["value"]
-    work = _profiler(sorted(images.items()), q, list(radii), list(alphas), kind)
-    parts = points.select(*keys, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).groupBy(*keys).applyInPandas(work, "h double, ir int, r double, ia int, alpha double, logcpl double")
-    return parts.groupBy("h", "ir", "r", "ia", "alpha").agg(F.sum("logcpl").alias("logcpl"))
+    work = _Profiler(sorted(images.items()), q, radii, alphas, kind)
+    if not work.groups:
+        return points.sparkSession.createDataFrame([], "h double, ir int, r double, ia int, alpha double, logcpl double")
+    ident = F.col("point_id") if "point_id" in points.columns else F.xxhash64("x", "y")
+    inside = ranges.finite_points(points).select(*keys, ident.alias("point_id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    frames = ranges.crowded(inside, keys, ranges.TILE)
+    if frames.isEmpty():
+        found = _whole_patterns(inside, keys, work)
+    else:
+        large = frames.select(*keys)
+        found = _whole_patterns(inside.join(large, list(keys), "left_anti"), keys, work).unionByName(_tiles_of_patterns(inside.join(large, list(keys), "left_semi"), keys, work))
+    listed = lambda values, at: F.get(F.array(*[F.lit(float(v)) for v in values]), F.col(at))
+    return found.groupBy("h", "ir", "ia").agg(F.sum("logcpl").alias("logcpl")).select("h", "ir", listed(radii, "ir").alias("r"), "ia", listed(alphas, "ia").alias("alpha"), "logcpl")
 
 
 def best(surface: DataFrame) -> tuple[float, float, float]:

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.scalars import occupancy_class
-from . import pairs
-from .cleaning import more_than_k, one_row_per_snapshot, with_size
+from . import pairs, ranges
+from .cleaning import one_row_per_snapshot, with_size
 
 KEYS = pairs.KEYS
 INF = float("inf")
@@ -82,8 +82,7 @@ def nn_distance_density(near: DataFrame, breaks: Sequence[float], units_per_m: f
     distances outside are dropped before normalising; classes without any are absent, empty bins are 0."""
     edges = F.array(*[F.lit(float(b)) for b in breaks])
     inside = _by_class(near, units_per_m, occupancy_breaks).where(F.col("d").between(float(breaks[0]), float(breaks[-1])))
-    # the number of inner breaks below d
-    at = F.size(F.filter(F.array(*[F.lit(float(b)) for b in breaks[1:-1]]), lambda b: b < F.col("d"))) if len(breaks) > 2 else F.lit(0)
+    at = pairs.first_radius(F.col("d"), [float(b) for b in breaks[1:]])
     counts = inside.groupBy("source", "occupancy", at.alias("bin")).agg(F.count("*").alias("c"))
     totals = counts.groupBy("source", "occupancy").agg(F.sum("c").alias("total"))
     dense = totals.select("source", "occupancy", "total", F.explode(F.sequence(F.lit(0), F.lit(len(breaks) - 2))).alias("bin"))
@@ -118,42 +117,54 @@ def log_spaced(low: float, high: float, n: int) -> list[float]:
     return [low * (high / low) ** (i / (n - 1)) for i in range(n)]
 
 
-def ball_count(points: DataFrame, radii: Sequence[float], by_occupancy: bool = False, units_per_m: float = 1000, occupancy_breaks: tuple[int, int] = (30, 60)) -> DataFrame:
+def radius_profile(points: DataFrame, radii: Sequence[float], units_per_m: float = 1000, weight: str | None = None) -> DataFrame:
+    """What ball counts and L-functions share: ranges.range_profile() at radii in metres, with column r in metres too."""
+    rs = sorted(r * units_per_m for r in set(map(float, radii)))
+    listed = F.get(F.array(*[F.lit(r / units_per_m) for r in rs]), F.col("ir"))
+    return ranges.range_profile(points, rs, KEYS, weight).withColumn("r", listed)
+
+
+def _at_radii(profile: DataFrame, radii: Sequence[float], units_per_m: float) -> DataFrame:
+    """The rows of a profile at some of its radii: an array lookup of a list fixed by the caller."""
+    return profile.where(F.col("r").isin([float(r) * units_per_m / units_per_m for r in radii]))
+
+
+def _count_stats() -> tuple[Column, Column]:
+    """Mean and standard error of counts from their number, sum and sum of squares, which are whole numbers."""
+    n, one, two = (F.sum(c).cast("decimal(38,0)") for c in ("n", "c1", "c2"))
+    scale = n.cast("double")
+    spread = (n * two - one * one).cast("double") / scale / F.nullif(scale - 1, F.lit(0.0))
+    return one.cast("double") / scale, F.sqrt(spread) / F.sqrt(scale)
+
+
+def ball_count(points: DataFrame | None, radii: Sequence[float], by_occupancy: bool = False, units_per_m: float = 1000, occupancy_breaks: tuple[int, int] = (30, 60), profile: DataFrame | None = None) -> DataFrame:
     """Mean number of other points within r of a point, and its standard error, over all points of all patterns, or by
-    class. Sums and squared sums by class are all that meets, so no pattern or source is gathered."""
+    class. Sums and squared sums by pattern are all that meets. profile: of radius_profile(), in place of points."""
+    found = profile if profile is not None else radius_profile(points, radii, units_per_m)
     group = occupancy_class(F.col("n"), occupancy_breaks) if by_occupancy else F.lit("all")
-    sized = with_size(points, KEYS).withColumn("occupancy", group)
-    rs = sorted(r * units_per_m for r in radii)
-    counts = pairs.neighbour_counts(points, rs).join(sized.select(*KEYS, "point_id", "occupancy"), [*KEYS, "point_id"])
-    return counts.groupBy("source", "occupancy", "r").agg(F.avg("c").alias("mean"), (F.stddev_samp("c") / F.sqrt(F.count("*").cast("double"))).alias("se")).select(
-        "source", "occupancy", (F.col("r") / units_per_m).alias("r"), "mean", "se")
+    mean, se = _count_stats()
+    return _at_radii(found, radii, units_per_m).groupBy("source", group.alias("occupancy"), "r").agg(mean.alias("mean"), se.alias("se"))
 
 
-def average_l(points: DataFrame, radii: Sequence[float], area: float, units_per_m: float = 1000, weight: str | None = None) -> DataFrame:
+def ball_counts(profile: DataFrame, radii: Sequence[float], units_per_m: float = 1000, occupancy_breaks: tuple[int, int] = (30, 60)) -> DataFrame:
+    """ball_count() over all points and by class from one profile: occupancy is `all` or a class."""
+    rows = _at_radii(profile, radii, units_per_m).withColumn("class", occupancy_class(F.col("n"), occupancy_breaks))
+    mean, se = _count_stats()
+    sets = rows.groupingSets([["source", "r"], ["source", "r", "class"]], "source", "r", "class").agg(mean.alias("mean"), se.alias("se"))
+    return sets.select("source", F.coalesce("class", F.lit("all")).alias("occupancy"), "r", "mean", "se")
+
+
+def average_l(points: DataFrame | None, radii: Sequence[float], area: float, units_per_m: float = 1000, weight: str | None = None, profile: DataFrame | None = None) -> DataFrame:
     """L-function without edge correction, averaged over the patterns of a source, in metres.
 
     Without weight: K = area / (n (n - 1)) * ordered pairs within r. With weight, a column of 1 / intensity at each point:
     K = (1 / area) * sum of w_i w_j over pairs, times area / sum_i w_i per pattern. Patterns of fewer than two points have
-    no L and are left out.
+    no L and are left out. profile: of radius_profile(), with the weight where one is given, in place of points.
     """
-    rs = sorted(float(r) * units_per_m for r in radii)
-    grown = more_than_k(points, KEYS, 1)
-    near = pairs.ordered_pairs(grown, rs[-1])
-    if weight:
-        own = grown.select(*KEYS, F.col("point_id").alias("i"), F.col(weight).alias("wi"))
-        near = near.join(own, [*KEYS, "i"]).join(own.withColumnsRenamed({"i": "j", "wi": "wj"}), [*KEYS, "j"])
-        pair, scale = F.col("wi") * F.col("wj"), F.lit(area) / F.sum(weight) / F.lit(area)
-    else:
-        pair, scale = F.lit(1.0), F.lit(area) / (F.count("*") * (F.count("*") - 1))
-    first = pairs.first_radius(F.sqrt("d2"), rs)
-    hits = near.groupBy(*KEYS, first.alias("ir")).agg(F.sum(pair).alias("s")).where("ir is not null")
-    listed = hits.groupBy(*KEYS).agg(F.map_from_entries(F.collect_list(F.struct("ir", "s"))).alias("by_radius"))  # as long as the list of radii
-    patterns = grown.groupBy(*KEYS).agg(scale.alias("scale")).join(listed, list(KEYS), "left")
-    running = F.expr(f"transform(sequence(0, {len(rs) - 1}), i -> coalesce(element_at(by_radius, i), 0D))")
-    sums = F.expr("aggregate(steps, cast(array() as array<double>), (a, x) -> concat(a, array(x + coalesce(try_element_at(a, -1), 0D))))")
-    k = patterns.withColumn("steps", running).select("source", "scale", F.posexplode(sums).alias("ir", "s"))
-    radius = F.element_at(F.array(*[F.lit(r) for r in rs]), F.col("ir") + 1) / units_per_m
-    return k.groupBy("source", "ir").agg((F.avg(F.sqrt(F.col("scale") * F.col("s") / 3.141592653589793)) / units_per_m).alias("L")).select("source", radius.alias("r"), "L")
+    found = profile if profile is not None else radius_profile(points, radii, units_per_m, weight)
+    k = F.lit(area) / F.col("w") / F.lit(area) * F.col("v") if weight else F.lit(area) / (F.col("n") * (F.col("n") - 1)) * F.col("c1")
+    rows = _at_radii(found, radii, units_per_m).where("n > 1")
+    return rows.groupBy("source", "r").agg((F.avg(F.sqrt(k / 3.141592653589793)) / units_per_m).alias("L"))
 
 
 def cv_summary(results: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -197,28 +208,33 @@ def for_log_axis(df: DataFrame, r: str = "r") -> DataFrame:
     return df.where(F.col(r) > 0)
 
 
-def validation_metrics(points: DataFrame, area: float, weight: str | None = None, units_per_m: float = 1000, lattice: bool = False, nn_max: tuple[float, float] = (5.0, 6.0), min_reps: int = 5, n_sources: int = 2) -> dict[str, DataFrame]:
+def validation_metrics(points: DataFrame, area: float, weight: str | None = None, units_per_m: float = 1000, lattice: bool = False, nn_max: tuple[float, float] = (5.0, 6.0), min_reps: int = 5, n_sources: int = 2, store: Callable[[DataFrame, str], DataFrame] | None = None) -> dict[str, DataFrame]:
     """The bundle: NN by occupancy and NN density for k = 1, 2, ball counts over all and by class, L hom. and inhom.
 
-    lattice: smoothed densities and coarser L radii, for patterns on a grid. The k-NN tables are computed once each and
-    kept while the bundle is written.
+    lattice: smoothed densities and coarser L radii, for patterns on a grid. All neighbour distances come from one search,
+    and ball counts and L-functions from one profile of the pairs. store(df, name) writes these two and reads them again,
+    so that every metric shares them.
     """
     radii = [round(0.05 * i, 10) for i in range(51)] if lattice else [round(0.01 * i, 10) for i in range(301)]
+    balls = log_spaced(0.5, 50.0, 50)
+    store = store or (lambda df, name: df)
+    nearest = store(pairs.knn_distances(points, (1, 2)), "nearest")
+    profile = store(radius_profile(points, [*radii, *balls], units_per_m, weight), "profile")
     out = {}
     for k, most in zip((1, 2), nn_max, strict=True):
-        near = pairs.knn_distance(points, k).persist()
+        near = nearest.where(F.col("k") == k).drop("k")
         out[f"nn{k}_by_occupancy"] = nn_by_occupancy(points, k, min_reps, units_per_m, n_sources, near)
         if lattice:
             out[f"nn{k}_density"] = nn_distance_kde(near, (0.0, most), {"low": 1.5, "med": 1.5, "high": 2.25}, units_per_m=units_per_m)
         else:
             out[f"nn{k}_density"] = nn_distance_density(near, [most * i / 99 for i in range(100)], units_per_m)
-    balls = log_spaced(0.5, 50.0, 50)
-    out["ball_count"] = ball_count(points, balls, False, units_per_m)
-    out["ball_count_occ"] = ball_count(points, balls, True, units_per_m)
-    both = average_l(points, radii, area, units_per_m).withColumn("correction", F.lit("hom."))
+    both = ball_counts(profile, balls, units_per_m)
+    out["ball_count"] = both.where("occupancy = 'all'")
+    out["ball_count_occ"] = both.where("occupancy <> 'all'")
+    curves = average_l(None, radii, area, units_per_m, profile=profile).withColumn("correction", F.lit("hom."))
     if weight:
-        both = both.unionByName(average_l(points, radii, area, units_per_m, weight).withColumn("correction", F.lit("inhom.")))
-    out["L"] = both
+        curves = curves.unionByName(average_l(None, radii, area, units_per_m, weight, profile).withColumn("correction", F.lit("inhom.")))
+    out["L"] = curves
     return out
 
 

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-KEYS = ("source", "pattern_id")
-#: Patterns of so many places or fewer are one square; larger ones halve their squares DEPTH times at most.
+from . import ranges
+
+KEYS = ranges.KEYS
+#: Patterns of so many points or fewer are searched whole; larger ones halve their squares DEPTH times at most.
 SMALL, DEPTH = 512, 20
 
 
@@ -43,23 +47,65 @@ def close_pairs(points: DataFrame, rmax: float, keys: Sequence[str] = KEYS) -> D
     return ordered_pairs(points, rmax, keys).where("i < j").select(*keys, "i", "j", F.sqrt("d2").alias("d"))
 
 
+def _nearest_of_few(points: DataFrame, ks: Sequence[int], keys: Sequence[str]) -> DataFrame:
+    """(keys, point_id, k, d2) within patterns of SMALL points or fewer: one pass over whole patterns."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pts = batch.column("pts")
+            at, flat = pts.offsets.to_numpy(), pts.values
+            xs, ys = (flat.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("x", "y"))
+            row, point, rank, found = [], [], [], []
+            for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
+                d2 = (xs[a:b, None] - xs[a:b]) ** 2 + (ys[a:b, None] - ys[a:b]) ** 2
+                np.fill_diagonal(d2, np.inf)
+                have = [k for k in ks if k < b - a]
+                if not have:
+                    continue
+                d2.partition([k - 1 for k in have], axis=1)
+                for k in have:
+                    row.append(np.full(b - a, i)), point.append(np.arange(a, b)), rank.append(np.full(b - a, k, np.int32)), found.append(d2[:, k - 1])
+            if row:
+                taken = pa.array(np.concatenate(row))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(taken) for c in keys), flat.field("point_id").take(pa.array(np.concatenate(point))), pa.array(np.concatenate(rank)), pa.array(np.concatenate(found))], [*keys, "point_id", "k", "d2"])
+
+    kinds = ", ".join(f"`{c}` {points.schema[c].dataType.simpleString()}" for c in [*keys, "point_id"])
+    return ranges.gathered(points, keys, ["point_id", "x", "y"]).mapInArrow(search, f"{kinds}, k int, d2 double")
+
+
+def knn_distances(points: DataFrame, ks: Sequence[int], keys: Sequence[str] = KEYS) -> DataFrame:
+    """(keys, point_id, k, d) distance to the k-th nearest other point for each k, in patterns of more than k points.
+
+    Patterns of SMALL points or fewer are taken whole. The places of larger ones are searched in squares that halve from
+    level to level. A place's level is the deepest one at which its own square holds more than k points (the greatest k),
+    so the k-th neighbour lies within that square's diagonal, two squares around it at most. As the next level's squares
+    hold k points or fewer, 4 k places share a square and its level at most, and each place is compared with 100 k others a
+    level at most, however crowded its pattern is. Coincident points count as one place with a weight. Points with a null
+    or non-finite coordinate take no part.
+    """
+    keys, ks = list(keys), sorted(set(ks))
+    points = ranges.finite_points(points).select(*keys, "point_id", "x", "y")
+    frames = ranges.crowded(points, keys, SMALL)
+    if frames.isEmpty():
+        found = _nearest_of_few(points, ks, keys)
+    else:
+        few = points.join(frames.select(*keys), keys, "left_anti")
+        found = _nearest_of_few(few, ks, keys).unionByName(_nearest_of_many(points.join(frames.select(*keys), keys, "left_semi"), ks, keys))
+    return found.select(*keys, "point_id", "k", F.sqrt("d2").alias("d"))
+
+
 def knn_distance(points: DataFrame, k: int, keys: Sequence[str] = KEYS) -> DataFrame:
-    """(keys, point_id, d) distance to the k-th nearest other point, for patterns of more than k points.
+    """(keys, point_id, d): knn_distances() for one k."""
+    return knn_distances(points, [k], keys).drop("k")
 
-    Places are searched in squares that halve from level to level. A place's level is the deepest one at which its own
-    square holds more than k points, so the k-th neighbour lies within that square's diagonal, two squares around it at
-    most. As the next level's squares hold k points or fewer, 4 k places share a square and its level at most, and each
-    place is compared with 100 k others a level at most, however crowded its pattern is. Coincident points count as one
-    place with a weight. Points with a null or non-finite coordinate take no part.
-    """
-    keys = list(keys)
-    finite = lambda c: F.abs(F.col(c).cast("double")) < float("inf")
-    points = points.where(finite("x") & finite("y"))
+
+def _nearest_of_many(points: DataFrame, ks: Sequence[int], keys: Sequence[str]) -> DataFrame:
+    k = max(ks)
     places = points.groupBy(*keys, "x", "y").agg(F.count("*").alias("w"))
     frame = places.groupBy(*keys).agg(
-        F.min("x").alias("x0"), F.min("y").alias("y0"), F.sum("w").alias("n"), F.count("*").alias("m"),
+        F.min("x").alias("x0"), F.min("y").alias("y0"), F.count("*").alias("m"),
         F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).cast("double").alias("extent"),
-    ).where(F.col("n") > k).withColumn("depth", F.when(F.col("m") > SMALL, F.lit(DEPTH)).otherwise(F.lit(0))).drop("n", "m")
+    ).withColumn("depth", F.when(F.col("m") > SMALL, F.lit(DEPTH)).otherwise(F.lit(0))).drop("m")
     share = lambda c, low: F.coalesce((F.col(c) - F.col(low)) / F.nullif(F.col("extent"), F.lit(0.0)), F.lit(0.0))
     placed = places.join(frame, keys).select(*keys, "x", "y", "w", "depth", share("x", "x0").alias("u"), share("y", "y0").alias("v"))
 
@@ -86,9 +132,10 @@ def knn_distance(points: DataFrame, k: int, keys: Sequence[str] = KEYS) -> DataF
     near = W.partitionBy(*keys, "xi", "yi").orderBy("d2")
     nearest = pairs.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k)
     held = F.col("wi") - 1 + F.sum("wj").over(near.rowsBetween(W.unboundedPreceding, W.currentRow))
-    reached = nearest.withColumn("held", held).where(F.col("held") >= k).groupBy(*keys, F.col("xi").alias("x"), F.col("yi").alias("y")).agg(F.min("d2").alias("d2"))
-    twins = searched.where(F.col("w") > k).select(*keys, "x", "y", F.lit(0.0).alias("d2"))
-    return points.select(*keys, "x", "y", "point_id").join(reached.unionByName(twins), [*keys, "x", "y"]).select(*keys, "point_id", F.sqrt("d2").alias("d"))
+    wanted = F.explode(F.array(*map(F.lit, ks)))
+    reached = nearest.withColumn("held", held).withColumn("k", wanted).where("held >= k and k >= wi").groupBy(*keys, F.col("xi").alias("x"), F.col("yi").alias("y"), "k").agg(F.min("d2").cast("double").alias("d2"))
+    twins = searched.withColumn("k", wanted).where("w > k").select(*keys, "x", "y", "k", F.lit(0.0).alias("d2"))
+    return points.join(reached.unionByName(twins), [*keys, "x", "y"]).select(*keys, "point_id", "k", "d2")
 
 
 def first_radius(d: Column, radii: Sequence[float]) -> Column:
@@ -113,19 +160,14 @@ def first_radius(d: Column, radii: Sequence[float]) -> Column:
 
 
 def neighbour_counts(points: DataFrame, radii: Sequence[float], keys: Sequence[str] = KEYS) -> DataFrame:
-    """(keys, point_id, ir, r, c): the number of other points within each radius, zeros included.
-
-    Each pair is counted once, at the first radius that holds it; running sums along the radii follow.
-    """
-    rs = sorted(radii)
-    hits = ordered_pairs(points, rs[-1], keys).withColumn("ir", first_radius(F.sqrt("d2"), rs)).where("ir is not null").groupBy(*keys, F.col("i").alias("point_id"), "ir").agg(F.count("*").alias("c"))
-    listed = hits.groupBy(*keys, "point_id").agg(F.map_from_entries(F.collect_list(F.struct("ir", "c"))).alias("by_radius"))  # as long as the list of radii
-    per_point = points.select(*keys, "point_id").join(listed, [*keys, "point_id"], "left")
-    step = F.explode(F.sequence(F.lit(0), F.lit(len(rs) - 1)))
-    spread = per_point.select("*", step.alias("ir"))
-    upto = F.aggregate(F.sequence(F.lit(0), F.col("ir")), F.lit(0).cast("long"), lambda a, i: a + F.coalesce(F.element_at("by_radius", i), F.lit(0).cast("long")))
-    radius = F.element_at(F.array(*[F.lit(float(r)) for r in rs]), F.col("ir") + 1)
-    return spread.select(*keys, "point_id", "ir", radius.alias("r"), F.coalesce(upto, F.lit(0).cast("long")).alias("c"))
+    """(keys, point_id, ir, r, c): the number of other points within each radius, zeros included. Points with a null or
+    non-finite coordinate have no neighbours."""
+    rs = sorted(float(r) for r in radii)
+    counted = ranges.range_counts(points, rs, keys)
+    finite = lambda c: F.coalesce(F.abs(F.col(c).cast("double")) < float("inf"), F.lit(False))
+    lost = points.where(~(finite("x") & finite("y"))).select(*keys, "point_id", F.array_repeat(F.lit(0).cast("long"), len(rs)).alias("counts"))
+    radius = F.get(F.array(*map(F.lit, rs)), F.col("ir"))
+    return counted.unionByName(lost).select(*keys, "point_id", F.posexplode("counts").alias("ir", "c")).select(*keys, "point_id", "ir", radius.alias("r"), "c")
 
 
 def cross_pairs(points: DataFrame, window: tuple[float, float, float, float], nx: int, ny: int, r: float, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -206,18 +206,51 @@ def power_law_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.zoom(metrics.power_law_refs(metrics.for_log_axis(radii), [(0.5, 2.0), (1.5, 1.0)]), {"r": (0.5, 2.0)}))
 
 
-@query()
+def _bundle_sql() -> str:
+    """Every metric of the bundle by itself: pairs by the first radius that holds them, and sums along the radii."""
+    curve, balls = [round(0.01 * i, 10) for i in range(301)], metrics.log_spaced(0.5, 50.0, 50)
+    listed = lambda values: "(VALUES " + ", ".join(f"({r!r}::DOUBLE)" for r in values) + ") t(r)"
+    nn = lambda k: f"""SELECT 'nn{k}_by_occupancy' AS metric, source, CAST(n AS VARCHAR) AS level, NULL::DOUBLE AS r, avg(nn) AS value, stddev_samp(nn) / sqrt(count(*)) AS se
+        FROM per{k} WHERE n IN (SELECT n FROM (SELECT n, source, count(*) AS c FROM per{k} GROUP BY 1, 2) GROUP BY n HAVING count(*) = 2 AND min(c) >= {MIN_REPS}) GROUP BY n, source"""
+    density = lambda k: f"""SELECT 'nn{k}_density', t.source, t.occupancy, (e.lo + hi) / 2, coalesce(c.c, 0) / (total * (hi - e.lo)), NULL FROM (SELECT source, occupancy, sum(c) AS total FROM cnt{k} GROUP BY 1, 2) t CROSS JOIN edges{k} e
+        LEFT JOIN cnt{k} c ON c.source = t.source AND c.occupancy = t.occupancy AND c.lo = e.lo"""
+    ball = lambda level, name: f"SELECT '{name}', source, {level}, r, avg(c), stddev_samp(c) / sqrt(count(*)) FROM counts JOIN sizes USING (source, pattern_id) GROUP BY ALL"
+    views = {
+        "visits": _VISITS, "w": "SELECT source, pattern_id, point_id, 1 / lam AS w FROM cells JOIN visits USING (grid_index)",
+        "balls": f"SELECT r FROM {listed(balls)}", "curve": f"SELECT r FROM {listed(curve)}",
+        "at_ball": "SELECT p.source, p.pattern_id, p.i, b.r, count(*) AS c FROM (SELECT *, sqrt(d2) / 1000 AS d FROM pairs) p ASOF JOIN balls b ON p.d <= b.r GROUP BY ALL",
+        "counts": "SELECT p.source, p.pattern_id, p.point_id, b.r, coalesce(sum(a.c), 0) AS c FROM pts p CROSS JOIN balls b LEFT JOIN at_ball a ON a.source = p.source AND a.pattern_id = p.pattern_id AND a.i = p.point_id AND a.r <= b.r GROUP BY ALL",
+        "at_curve": "SELECT p.source, p.pattern_id, b.r, count(*) AS c, sum(x.w * y.w) AS v FROM (SELECT *, sqrt(d2) / 1000 AS d FROM pairs) p JOIN w x ON x.point_id = p.i JOIN w y ON y.point_id = p.j ASOF JOIN curve b ON p.d <= b.r GROUP BY ALL",
+        "whole": "SELECT source, pattern_id, count(*) AS n, sum(w) AS tot FROM w GROUP BY ALL HAVING count(*) > 1",
+        "sums": "SELECT z.source, z.pattern_id, n, tot, b.r, coalesce(sum(c), 0) AS c, coalesce(sum(v), 0) AS v FROM whole z CROSS JOIN curve b LEFT JOIN at_curve a ON a.source = z.source AND a.pattern_id = z.pattern_id AND a.r <= b.r GROUP BY ALL",
+    }
+    for k, most in ((1, 5.0), (2, 6.0)):
+        views[f"per{k}"] = f"SELECT source, pattern_id, count(*) AS n, avg(d) / 1000 AS nn FROM near{k} GROUP BY 1, 2"
+        views[f"edges{k}"] = "SELECT lo, hi FROM (VALUES " + ", ".join(f"({most * i / 99!r}::DOUBLE, {most * (i + 1) / 99!r}::DOUBLE)" for i in range(99)) + ") t(lo, hi)"
+        views[f"cnt{k}"] = f"SELECT source, {CLASS} AS occupancy, lo, count(*) AS c FROM near{k} JOIN sizes USING (source, pattern_id) JOIN edges{k} ON (d / 1000 > lo AND d / 1000 <= hi) OR (lo = 0 AND d = 0) GROUP BY ALL"
+    body = " UNION ALL ".join([
+        nn(1), nn(2), density(1), density(2), ball("'all'", "ball_count"), ball(CLASS, "ball_count_occ"),
+        f"SELECT 'L', source, 'hom.', r, avg(sqrt({AREA!r} / (n * (n - 1)) * c / pi())) / 1000, NULL FROM sums GROUP BY source, r",
+        f"SELECT 'L', source, 'inhom.', r, avg(sqrt({AREA!r} / tot / {AREA!r} * v / pi())) / 1000, NULL FROM sums GROUP BY source, r",
+    ])
+    return sql(f"SELECT metric, source, level, round(r, 6) AS r, round(value, 6) AS value, round(se, 6) AS se FROM ({body})", "near1", "near2", "pairs", "sizes", "cells", **views)
+
+
+@query(_bundle_sql())
 def validation_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of each metric table of the bundle, written and read again."""
+    """All rows of the bundle's metrics, written and read again, in one table."""
     from ..sources.tables import write_metrics
-    from .support import work_path
+    from .support import stored, work_path
 
     placed = fx.cells(fx.points(spark, sf_dir))
     visits = placed.groupBy("grid_index").agg((F.count("*") / 1e6).alias("lambda"))
     weighted = placed.join(visits, "grid_index").withColumn("w", 1 / F.col("lambda"))
-    stored = write_metrics(metrics.validation_metrics(weighted, AREA, "w", min_reps=MIN_REPS), work_path(spark, "metrics"))
+    tables = write_metrics(metrics.validation_metrics(weighted, AREA, "w", min_reps=MIN_REPS, store=stored), work_path(spark, "metrics"))
+    level = {"L": "correction", "nn1_by_occupancy": "n", "nn2_by_occupancy": "n"}
     out = None
-    for name, df in stored.items():
-        one = df.agg(F.lit(name).alias("metric"), F.count("*").alias("rows"))
+    for name, df in tables.items():
+        value = next(c for c in ("mean", "density", "L") if c in df.columns)
+        more = [F.col(c) if c in df.columns else F.lit(None).cast("double").alias(c) for c in ("r", "se")]
+        one = df.select(F.lit(name).alias("metric"), "source", F.col(level.get(name, "occupancy")).cast("string").alias("level"), F.col(value).alias("value"), *more)
         out = one if out is None else out.unionByName(one)
-    return out
+    return rounded(out)

@@ -18,6 +18,7 @@ gives no phrases. Other columns take no part.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +48,7 @@ _SCHEMA = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("level", pa
 _CODEC = pa.Codec("zstd", 1)
 
 
-def _pack(data: bytes | pa.Buffer) -> bytes:
+def _pack(data: bytes) -> bytes:
     return len(data).to_bytes(8, "little") + _CODEC.compress(data, asbytes=True)
 
 
@@ -55,85 +56,117 @@ def _unpack(data: bytes) -> pa.Buffer:
     return _CODEC.decompress(data[8:], int.from_bytes(data[:8], "little"))
 
 
-def _strings(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(values)])
-
-
-def _parts(grams: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of the grams, and where each begins and ends."""
-    grams = grams.combine_chunks() if isinstance(grams, pa.ChunkedArray) else grams
-    if not len(grams):
-        return np.empty(0, np.uint8), np.zeros(1, np.int64)
-    offsets = np.frombuffer(grams.buffers()[1], np.int64)[grams.offset : grams.offset + len(grams) + 1]
-    return np.frombuffer(grams.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
-
-
-def _summed(grams: pa.Array, counts: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-    found = pa.table({"g": grams, "n": counts}).group_by("g", use_threads=False).aggregate([("n", "sum")])
-    return found.column("g").combine_chunks(), found.column("n_sum").to_numpy()
-
-
-def _sizes(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Words of each gram."""
-    spaces = np.concatenate([[0], np.cumsum(values == 32)])
-    return 1 + spaces[offsets[1:]] - spaces[offsets[:-1]]
-
-
-def _taken(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.Array:
-    """The slices values[first:last] as strings."""
-    size = last - first
-    offsets = np.concatenate([[0], np.cumsum(size)])
-    at = np.arange(offsets[-1]) + np.repeat(first - offsets[:-1], size)
-    return _strings(values[at], offsets)
-
-
-def grams_of(texts: list[str | None]) -> tuple[pa.Array, np.ndarray]:
+class Grams(NamedTuple):
+    """Distinct grams by their hashes, ascending: their bytes, each with a line end, where the line ends are, and how often
+    each gram occurs."""
+
+    lines: np.ndarray
+    ends: np.ndarray
+    counts: np.ndarray
+    hashes: np.ndarray
+
+    @property
+    def starts(self) -> np.ndarray:
+        return np.concatenate([[0], self.ends[:-1] + 1])[: len(self.ends)]
+
+
+def _spelled(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The slices values[first:last] as lines, and where their line ends are; some at a time."""
+    size = last - first + 1
+    ends = np.cumsum(size) - 1
+    out = np.empty(ends[-1] + 1 if len(ends) else 0, np.uint8)
+    for a in range(0, len(first), SPELLED):
+        b = min(a + SPELLED, len(first))
+        low, high = ends[a] - size[a] + 1, ends[b - 1] + 1
+        at = np.arange(low, high) + np.repeat(first[a:b] - ends[a:b] + size[a:b] - 1, size[a:b])
+        out[low:high] = values[np.minimum(at, len(values) - 1)]
+    out[ends] = 10
+    return out, ends
+
+
+def _alike(values: np.ndarray, first: np.ndarray, last: np.ndarray, one: np.ndarray, other: np.ndarray) -> bool:
+    """Whether each slice of `one` is the slice of `other` beside it."""
+    size = last[one] - first[one]
+    if (size != last[other] - first[other]).any():
+        return False
+    for a in range(0, len(one), SPELLED):
+        n = size[a : a + SPELLED]
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        if (values[at + np.repeat(first[one[a : a + SPELLED]], n)] != values[at + np.repeat(first[other[a : a + SPELLED]], n)]).any():
+            return False
+    return True
+
+
+def _distinct(values: np.ndarray, first: np.ndarray, last: np.ndarray, counts: np.ndarray) -> Grams:
+    """The distinct slices values[first:last] with their summed counts. Slices of one hash are compared; should two differ,
+    they are told apart by their bytes."""
+    hashes = run_hashes(values, first, last)
+    order = np.argsort(hashes)
+    new = np.ones(len(order), bool)
+    new[1:] = np.diff(hashes[order]) != 0
+    again = np.flatnonzero(~new)
+    if not _alike(values, first, last, order[again], order[again - 1]):
+        data = values.tobytes()
+        order = np.array(sorted(range(len(first)), key=lambda i: (hashes[i], data[first[i] : last[i]])), np.int64)
+        texts = [data[first[i] : last[i]] for i in order]
+        new = np.array([i == 0 or texts[i] != texts[i - 1] for i in range(len(texts))], bool)
+    starts = np.flatnonzero(new)
+    one = order[starts]
+    lines, ends = _spelled(values, first[one], last[one])
+    return Grams(lines, ends, np.add.reduceat(counts[order], starts) if len(starts) else counts[:0], hashes[one])
+
+
+def _merged(parts: list[Grams]) -> Grams:
+    lines = np.concatenate([p.lines for p in parts])
+    base = np.cumsum([0, *(len(p.lines) for p in parts[:-1])])
+    starts = np.concatenate([p.starts + x for p, x in zip(parts, base)])
+    ends = np.concatenate([p.ends + x for p, x in zip(parts, base)])
+    return _distinct(lines, starts, ends, np.concatenate([p.counts for p in parts]))
+
+
+def _chosen(grams: Grams, at: np.ndarray) -> Grams:
+    return Grams(*_spelled(grams.lines, grams.starts[at], grams.ends[at]), grams.counts[at], grams.hashes[at])
+
+
+def grams_of(texts: list[str | None]) -> Grams | None:
     """Every distinct gram of the texts, words joined by one space, and how often it occurs."""
-    all_grams, all_counts = [], []
+    found = []
     for _, data in pieces([t if isinstance(t, str) else "" for t in texts]):
         low = np.frombuffer(data, np.uint8)
         low = low + 32 * ((low >= 65) & (low <= 90)).view(np.uint8)
         broken, space = _BREAK[low], _SPACE[low]
-        edge = np.flatnonzero(np.diff((~(broken | space)).view(np.int8), prepend=0, append=0))
+        keep = ~(broken | space)
+        edge = np.flatnonzero(np.diff(keep.view(np.int8), prepend=0, append=0))
         first, last = edge[0::2], edge[1::2]
         if not len(first):
             continue
         piece = np.cumsum(broken)[first]
         # the words again, each with one space behind
-        keep = ~(broken | space)
         keep[last] = True
         text = np.where(broken | space, np.uint8(32), low)[keep]
         begin = np.concatenate([[0], np.cumsum(last - first + 1)])[:-1]
         end = begin + (last - first)
-        stop = np.minimum(np.arange(len(first)) + LONGEST - 1, np.searchsorted(piece, piece, side="right") - 1)
-        for at in range(0, len(first), SPELLED):
-            part = slice(at, at + SPELLED)
-            grams, counts = _summed(_taken(text, begin[part], end[stop[part]]), np.ones(len(begin[part]), np.int64))
-            all_grams.append(grams), all_counts.append(counts)
-    if not all_grams:
-        return pa.array([], pa.large_binary()), np.empty(0, np.int64)
-    return _summed(pa.chunked_array(all_grams), np.concatenate(all_counts))
-
-
-def _blocks(lang: str, level: int, grams: pa.Array, counts: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """The grams by buckets, one block each."""
-    values, offsets = _parts(grams)
-    if not len(counts):
+        change = np.append(np.flatnonzero(np.diff(piece)), len(piece) - 1)  # the last word of each piece
+        stop = np.minimum(np.arange(len(first)) + LONGEST - 1, np.repeat(change, np.diff(change, prepend=-1)))
+        found.append(_distinct(text, begin, end[stop], np.ones(len(begin), np.int64)))
+    return _merged(found) if found else None
+
+
+def _blocks(lang: str, level: int, grams: Grams, buckets: int) -> Iterator[pa.RecordBatch]:
+    """The grams by buckets, ranges of their hashes, one block each."""
+    if not len(grams.counts):
         return
-    bucket = (run_hashes(values, offsets[:-1], offsets[1:]) >> np.uint64(20)) % np.uint64(buckets)
-    turn = np.argsort(bucket, kind="stable")
-    grams, counts, bucket = grams.take(pa.array(turn)), counts[turn], bucket[turn]
+    bucket = ((grams.hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
     edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
+    starts = np.append(grams.starts, len(grams.lines))
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-        joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array([0, b - a], pa.int64()), grams[a:b]), pa.scalar(b"\n", pa.large_binary()))[0].as_buffer()
-        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((lang, int(bucket[a]), level, _pack(joined), _pack(counts[a:b].tobytes())), _SCHEMA.types)], schema=_SCHEMA)
+        row = (lang, int(bucket[a]), level, _pack(grams.lines[starts[a] : starts[b]].tobytes()), _pack(grams.counts[a:b].tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _SCHEMA.types)], schema=_SCHEMA)
 
 
-def _read(blobs: bytes, counts: bytes) -> tuple[pa.Array, np.ndarray]:
-    values = np.append(np.frombuffer(_unpack(blobs), np.uint8), np.uint8(10))
-    ends = np.flatnonzero(values == 10)
-    offsets = np.concatenate([[0], ends - np.arange(len(ends))])
-    return _strings(values[values != 10], offsets), np.frombuffer(_unpack(counts), np.int64)
+def _read(blobs: bytes, counts: bytes) -> Grams:
+    lines = np.frombuffer(_unpack(blobs), np.uint8)
+    return Grams(lines, np.flatnonzero(lines == 10), np.frombuffer(_unpack(counts), np.int64), np.empty(0, np.uint64))
 
 
 def _counted_texts(docs: DataFrame, buckets: int) -> DataFrame:
@@ -145,7 +178,9 @@ def _counted_texts(docs: DataFrame, buckets: int) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             for lang, texts in held.items():
-                yield from _blocks(lang, 0, *grams_of(texts), buckets)
+                found = grams_of(texts)
+                if found:
+                    yield from _blocks(lang, 0, found, buckets)
             held.clear()
 
         for batch in batches:
@@ -165,26 +200,19 @@ def _flowed(blocks: DataFrame, level: int, buckets: int, least: int) -> DataFram
     they are, marked by level, and all hand their counts to their first level - 1 words; shorter ones go on. Of single words
     the sum is kept too, as the empty gram."""
 
-    def close(lang: str, held: list) -> Iterator[pa.RecordBatch]:
-        grams, counts = _summed(pa.chunked_array([g for g, _ in held]), np.concatenate([n for _, n in held]))
+    def close(lang: str, held: list[Grams]) -> Iterator[pa.RecordBatch]:
+        grams = _merged(held)
         held.clear()
-        values, offsets = _parts(grams)
-        sizes = _sizes(values, offsets)
-        whole = sizes == level
-        frequent = np.flatnonzero(whole & (counts >= least))
-        yield from _blocks(lang, level, grams.take(pa.array(frequent)), counts[frequent], 1)
+        spaces = np.flatnonzero(grams.lines == 32)
+        upto = np.searchsorted(spaces, grams.ends)
+        whole = np.diff(upto, prepend=0) == level - 1
+        yield from _blocks(lang, level, _chosen(grams, np.flatnonzero(whole & (grams.counts >= least))), 1)
         if level == 1:
-            yield from _blocks(lang, 1, pa.array([b""], pa.large_binary()), np.array([counts.sum()]), 1)
+            total = np.array([grams.counts.sum()])
+            yield from _blocks(lang, 1, Grams(np.full(1, 10, np.uint8), np.zeros(1, np.int64), total, np.zeros(1, np.uint64)), 1)
             return
-        spaces = np.flatnonzero(values == 32)
-        last = offsets[1:].copy()
-        ends = np.flatnonzero(whole)
-        last[ends] = spaces[np.searchsorted(spaces, offsets[1:][ends]) - 1]  # without the last word
-        for at in range(0, len(sizes), SPELLED):
-            part = slice(at, at + SPELLED)
-            held.append(_summed(_taken(values, offsets[:-1][part], last[part]), counts[part]))
-        grams, counts = _summed(pa.chunked_array([g for g, _ in held]), np.concatenate([n for _, n in held]))
-        yield from _blocks(lang, 0, grams, counts, buckets)
+        last = np.where(whole, spaces[upto - 1] if len(spaces) else 0, grams.ends)  # without the last word
+        yield from _blocks(lang, 0, _distinct(grams.lines, grams.starts, last, grams.counts), buckets)
 
     def flow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
@@ -213,7 +241,7 @@ def counts(docs: DataFrame, least: int = MIN_COUNT) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    buckets = -(-max(size, 1) // BUCKET_BYTES)
     blocks = _counted_texts(docs, buckets)
     for level in range(LONGEST, 0, -1):
         blocks = _flowed(blocks, level, buckets, least)
@@ -221,9 +249,10 @@ def counts(docs: DataFrame, least: int = MIN_COUNT) -> DataFrame:
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang, level, blob, numbers in zip(*(batch.column(c).to_pylist() for c in ("lang", "level", "grams", "counts"))):
-                grams, n = _read(blob, numbers)
-                sizes = np.where(pc.binary_length(grams).to_numpy() > 0, level, 0)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), grams.cast(pa.large_string()).cast(pa.string()), pa.array(sizes, pa.int32()), pa.array(n)], ["lang", "phrase", "k", "f"])
+                grams = _read(blob, numbers)
+                phrases = grams.lines.tobytes().decode().split("\n")[:-1]
+                sizes = np.where(np.diff(grams.ends, prepend=-1) > 1, level, 0)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.string()), pa.array(sizes, pa.int32()), pa.array(grams.counts)], ["lang", "phrase", "k", "f"])
 
     return cut(blocks.mapInArrow(spell, "lang string, phrase string, k int, f long"), "phrases")
 

@@ -41,22 +41,121 @@ def edge_factor(x: Column, y: Column, window: Window, h: Column) -> Column:
     return span(x, window[0], window[2]) * span(y, window[1], window[3])
 
 
-def _kernel_sums(u: np.ndarray, hs: Sequence[float]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+#: Box moments leave out less than this share of a kernel's greatest value, a point.
+MISSED = 1e-15
+#: Points to a box from which its moments pay.
+FULL_BOX = 4
+#: Side of a box in bandwidths; half of it over sqrt(2) bandwidths, times sqrt(2), is what the bound goes by.
+BOX_SIDE = 1.0
+
+
+def moment_order(missed: float = MISSED) -> int:
+    """Terms an axis after which the expansion of a kernel about a box misses less than `missed` of the kernel's greatest value:
+    the n-th Hermite function is at most 1.09 sqrt(2^n n!), and a point lies at most BOX_SIDE / (2 sqrt 2) from the centre in
+    its units, so the tail is at most 1.09 sum (BOX_SIDE / 2)^n / sqrt(n!), and both axes miss twice that."""
+    term = lambda n: 2 * 1.09 * (BOX_SIDE / 2) ** n / math.sqrt(math.factorial(n))
+    order = 1
+    while sum(term(n) for n in range(order, order + 60)) > missed:
+        order += 1
+    return order
+
+
+def hermite(t: np.ndarray, order: int) -> np.ndarray:
+    """The first Hermite functions (-1)^n d^n/dt^n exp(-t^2), one row each."""
+    out = np.empty((order, len(t)))
+    out[0] = np.exp(-t * t)
+    if order > 1:
+        out[1] = 2 * t * out[0]
+    for n in range(1, order - 1):
+        out[n + 1] = 2 * t * out[n] - 2 * n * out[n - 1]
+    return out
+
+
+class KernelSums:
+    """Gaussian kernels of points, summed at all places of a grid (axes gx and gy) for one bandwidth.
+
+    Points are gathered in boxes of the bandwidth's size as moments, which add up; a box's moments times the Hermite functions
+    at the axes are its kernels at all cells. So a point costs the moments, and the cells are met once, when the sums are
+    asked for. Points of thinly filled boxes are met with the axes at once, or, where the bandwidth is small, with the few
+    cells that they reach."""
+
+    def __init__(self, gx: np.ndarray, gy: np.ndarray, h: float):
+        self.gx, self.gy, self.h = gx, gy, h
+        self.order, self.unit = moment_order(), math.sqrt(2.0) * h
+        self.factorials = np.array([math.factorial(n) for n in range(self.order)], float)
+        self.boxes: dict[tuple[int, int], np.ndarray] = {}
+        self.direct = np.zeros((len(gy), len(gx)))
+
+    def add(self, x: np.ndarray, y: np.ndarray) -> None:
+        side = BOX_SIDE * self.h
+        box = np.stack([np.floor(x / side), np.floor(y / side)], axis=1).astype(np.int64)
+        turn = np.lexsort((box[:, 1], box[:, 0]))
+        box, x, y = box[turn], x[turn], y[turn]
+        starts = np.flatnonzero(np.append(True, (box[1:] != box[:-1]).any(axis=1))) if len(box) else np.empty(0, int)
+        stops = np.append(starts[1:], len(box)).astype(int)
+        full = (stops - starts >= FULL_BOX) & (self.direct.size > self.order**2)  # a grid of few cells costs less than moments
+        thin = np.repeat(~full, stops - starts)
+        for a, b in zip(starts[full].tolist(), stops[full].tolist()):
+            bx, by = box[a]
+            px = self._powers((x[a:b] - (bx + 0.5) * side) / self.unit)
+            py = self._powers((y[a:b] - (by + 0.5) * side) / self.unit)
+            key = int(bx), int(by)
+            self.boxes[key] = self.boxes.get(key, 0.0) + px @ py.T
+        xs, ys = x[thin], y[thin]
+        for at in range(0, len(xs), 1024):
+            self._meet(xs[at : at + 1024], ys[at : at + 1024])
+
+    def _meet(self, x: np.ndarray, y: np.ndarray) -> None:
+        reach = self.h * math.sqrt(2 * math.log(10 / MISSED))  # beyond it a kernel is less than what may be missed
+        ix, iy = self._within(x, self.gx, reach), self._within(y, self.gy, reach)
+        ex = np.exp(-(((x[:, None] - self.gx[np.clip(ix, 0, len(self.gx) - 1)]) / self.unit) ** 2))
+        ey = np.exp(-(((y[:, None] - self.gy[np.clip(iy, 0, len(self.gy) - 1)]) / self.unit) ** 2))
+        if ix.shape[1] == len(self.gx) and iy.shape[1] == len(self.gy):
+            self.direct += ey.T @ ex
+            return
+        ex *= (ix >= 0) & (ix < len(self.gx))
+        ey *= (iy >= 0) & (iy < len(self.gy))
+        cell = np.clip(iy, 0, len(self.gy) - 1)[:, :, None] * len(self.gx) + np.clip(ix, 0, len(self.gx) - 1)[:, None, :]
+        self.direct += np.bincount(cell.ravel(), (ey[:, :, None] * ex[:, None, :]).ravel(), self.direct.size).reshape(self.direct.shape)
+
+    @staticmethod
+    def _within(v: np.ndarray, axis: np.ndarray, reach: float) -> np.ndarray:
+        """Places on the axis that a point may reach, one row a point; some may lie outside the axis."""
+        step = (axis[-1] - axis[0]) / max(1, len(axis) - 1)
+        width = 2 * math.ceil(reach / step) + 1 if step else 1
+        if width * 2 >= len(axis):
+            return np.broadcast_to(np.arange(len(axis)), (len(v), len(axis)))
+        return np.rint((v - axis[0]) / step).astype(np.int64)[:, None] + np.arange(width) - width // 2
+
+    def _powers(self, t: np.ndarray) -> np.ndarray:
+        return np.power(t[None, :], np.arange(self.order)[:, None]) / self.factorials[:, None]
+
+    def values(self) -> np.ndarray:
+        """The sums by cell, row by row."""
+        side, total = BOX_SIDE * self.h, self.direct.copy()
+        rows: dict[int, np.ndarray] = {}
+        for (bx, by), moments in self.boxes.items():
+            along = hermite((self.gx - (bx + 0.5) * side) / self.unit, self.order)
+            rows[by] = rows.get(by, 0.0) + moments.T @ along
+        for by, part in rows.items():
+            total += hermite((self.gy - (by + 0.5) * side) / self.unit, self.order).T @ part
+        return np.maximum(total, 0.0).ravel() / (2 * math.pi * self.h * self.h)
+
+
+def _kernel_sums(window: Window, nx: int, ny: int, hs: Sequence[float]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Each task's sums, over its points, of Gaussian kernels at all cells, by group and bandwidth."""
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, np.ndarray] = {}
+        u = centres(window, nx, ny)
+        gx, gy = u[:nx, 0], u[::nx, 1]
+        sums: dict[int, list[KernelSums]] = {}
         for frame in frames:
             for group, part in frame.groupby("grp"):
-                total = sums.setdefault(int(group), np.zeros((len(hs), len(u))))
-                for start in range(0, len(part), 256):
-                    xy = part[["x", "y"]].to_numpy(float)[start : start + 256]
-                    d2 = (xy[:, None, 0] - u[None, :, 0]) ** 2 + (xy[:, None, 1] - u[None, :, 1]) ** 2
-                    for k, h in enumerate(hs):
-                        total[k] += np.exp(-d2 / (2 * h * h)).sum(axis=0) / (2 * math.pi * h * h)
-        for group, total in sums.items():
-            for k, h in enumerate(hs):
-                yield pd.DataFrame({"grp": group, "h": float(h), "grid_index": np.arange(len(u), dtype=np.int32), "s": total[k]})
+                for kernel in sums.setdefault(int(group), [KernelSums(gx, gy, float(h)) for h in hs]):
+                    kernel.add(part["x"].to_numpy(float), part["y"].to_numpy(float))
+        for group, kernels in sums.items():
+            for kernel in kernels:
+                yield pd.DataFrame({"grp": group, "h": kernel.h, "grid_index": np.arange(nx * ny, dtype=np.int32), "s": kernel.values()})
 
     return batches
 
@@ -64,7 +163,7 @@ def _kernel_sums(u: np.ndarray, hs: Sequence[float]) -> Callable[[Iterator[pd.Da
 def kde_sums(points: DataFrame, window: Window, nx: int, ny: int, hs: Sequence[float], group: Column | None = None) -> DataFrame:
     """(grp, h, grid_index, s): Gaussian kernels of the points inside the window summed at the cell centres."""
     inside = cleaning.crop(points, window).select((group if group is not None else F.lit(0)).cast("int").alias("grp"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    return inside.mapInPandas(_kernel_sums(centres(window, nx, ny), list(hs)), "grp int, h double, grid_index int, s double").groupBy("grp", "h", "grid_index").agg(F.sum("s").alias("s"))
+    return inside.mapInPandas(_kernel_sums(window, nx, ny, list(hs)), "grp int, h double, grid_index int, s double").groupBy("grp", "h", "grid_index").agg(F.sum("s").alias("s"))
 
 
 def kde_intensity(points: DataFrame, window: Window, nx: int, ny: int, hs: Sequence[float], edge: bool = True) -> DataFrame:

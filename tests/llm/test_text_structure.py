@@ -233,4 +233,4 @@ def test_phrases_brute_force(spark):
         assert len(w) == r["n_edges"] + 3
         edges.update((r["lang"], " ".join(w[i : i + 4]), r["weight"]) for i in range(r["n_edges"]))
     assert edges == Counter((r["lang"], r["phrase"], r["f"]) for r in counted.where("k = 4").collect())
-    assert max(r["n_edges"] for r in compacted) >= 7  # the passage, from its first whole edge to its last
+    assert max(r["n_edges"] for r in compacted) >= 6  # the passage, but for its last word, which others follow at once

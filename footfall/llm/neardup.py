@@ -16,6 +16,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_hexdigest, xxh64_intdigest
@@ -89,21 +90,23 @@ def signed(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, print (of the whole set; null without shingles), symbols (24 ints), s0-s2 (their low bytes,
     eight to a long) and odd (the sketch) for every row."""
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    kinds = (pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64())
+    names = ["n_shingles", "print", "symbols", "odd", "s0", "s1", "s2"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # doc_id stays an Arrow column: as a number of pandas, one null would round the others
             rows = []
-            for found in shingles(frame["text"]):
+            for found in shingles(batch.column("text").to_pylist()):
                 symbols = signature(found)
                 low = (symbols & 0xFF).astype(np.uint8).tobytes()
                 packed = np.frombuffer(low, "<i8").tolist()
                 rows.append((len(found), xxh3_128_hexdigest(found.tobytes()) if len(found) else None, symbols.view(np.int32), odd_sketch(found), *packed))
-            out = pd.DataFrame(rows, columns=["n_shingles", "print", "symbols", "odd", "s0", "s1", "s2"])
-            out.insert(0, "doc_id", frame["doc_id"].array)
-            yield out
+            columns = zip(*rows) if rows else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, columns, kinds)], ["doc_id", *names])
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
-        batches, "doc_id long, n_shingles long, print string, symbols array<int>, odd array<long>, s0 long, s1 long, s2 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+        work, "doc_id long, n_shingles long, print string, symbols array<int>, odd array<long>, s0 long, s1 long, s2 long")
 
 
 def distance(a: str, b: str) -> Column:

@@ -23,6 +23,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -223,13 +224,13 @@ def encoded(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """doc_id and ids (without the end mark, as bytes) of every row of docs, in any order."""
     small_batches(docs.sparkSession)
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _known(tokenizer_path)
-        for frame in frames:
-            texts = [t if isinstance(t, str) else "" for t in frame["text"]]
-            yield pd.DataFrame({"doc_id": frame["doc_id"].array, "ids": known.texts(texts)})
+        for batch in batches:  # doc_id stays an Arrow column: as a number of pandas, one null would round the others
+            texts = [t if isinstance(t, str) else "" for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(known.texts(texts), pa.binary())], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(batches, "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, ids binary")
 
 
 class Terms(NamedTuple):
@@ -346,14 +347,15 @@ def dealt(ids: DataFrame, corpus: Corpus, ends: np.ndarray, dtype: np.dtype, tas
     spread = np.minimum((before + np.maximum(sizes, 1) - 1) // each, n_tasks - 1).astype(np.int64) - first + 1
     places = spark.sparkContext.broadcast((first, spread))
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, spread = places.value
-        for frame in frames:
-            deal = frame["deal"].to_numpy()
-            top = top_terms(terms(frame["ids"], ends, dtype), deal.copy(), sent.value)
-            yield frame.assign(term=top, task=(first[top] + (deal >> 20) % spread[top]).astype(np.int32))
+        for batch in batches:
+            deal = batch.column("deal").to_numpy()
+            top = top_terms(terms(batch.column("ids").to_pylist(), ends, dtype), deal.copy(), sent.value)
+            task = (first[top] + (deal >> 20) % spread[top]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(top), pa.array(task)], [*batch.schema.names, "term", "task"])
 
-    placed = rows.mapInPandas(batches, "doc_id long, ids binary, deal long, term long, task int")
+    placed = rows.mapInArrow(work, "doc_id long, ids binary, deal long, term long, task int")
     return placed.repartitionById(n_tasks, "task").sortWithinPartitions("term", "deal").select("doc_id", "ids")
 
 
@@ -463,26 +465,28 @@ def pack(docs: DataFrame, tokenizer_path: str, shard_tokens: int = SHARD_TOKENS,
     corpus = corpus_statistics(ids, ends, dtype)
     sent = docs.sparkSession.sparkContext.broadcast(corpus)
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequences = TaskContext.get().partitionId() << 32
-        for doc_ids, held in _shards(frames, shard_tokens * dtype.itemsize):
+        for doc_ids, held in _shards(batches, shard_tokens * dtype.itemsize):
             rows = pack_shard(held, ends, dtype, sent.value)
-            rows.insert(0, "doc_id", pd.array([None if pd.isna(d) else int(d) for d in doc_ids], "Int64")[rows["row"].to_numpy()])
             rows["sequence_id"] = sequences + rows["sequence"]
             sequences += int(rows["sequence"].max()) + 1
-            yield rows[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]]
+            owner = pa.array(doc_ids, pa.int64()).take(pa.array(rows["row"].to_numpy()))
+            yield pa.RecordBatch.from_arrays([owner, *(pa.array(rows[c].to_numpy(np.int64)) for c in names)], ["doc_id", *names])
 
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return dealt(ids, corpus, ends, dtype, task_tokens).mapInPandas(batches, schema)
+    schema = "doc_id long, " + ", ".join(f"{c} long" for c in names)
+    return dealt(ids, corpus, ends, dtype, task_tokens).mapInArrow(work, schema)
 
 
-def _shards(frames: Iterator[pd.DataFrame], most: int) -> Iterator[tuple[list, list[bytes]]]:
+def _shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list, list[bytes]]]:
     """doc_ids and ids of one shard after the other, of `most` bytes or little more."""
     doc_ids: list = []
     held: list[bytes] = []
     size = 0
-    for frame in frames:
-        for doc_id, ids in zip(frame["doc_id"].array, frame["ids"], strict=True):
+    for batch in batches:
+        for doc_id, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
             doc_ids.append(doc_id)
             held.append(ids)
             size += len(ids) + 2

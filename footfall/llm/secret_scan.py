@@ -13,8 +13,9 @@ import json
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import small_batches
 
@@ -32,13 +33,15 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]*)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 #: An armoured key; its lines may be ended by an escaped \n, as in JSON, and headers may say how it is encrypted.
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:[A-Za-z0-9+/=:,.\s-]|\\[nrt])*?)-----END \1-----")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:(?!-----)(?:[A-Za-z0-9+/=:,.\s-]|\\[nrt]))*+)-----END \1-----")
 PEM_HEADERS = re.compile(r"Proc-Type: 4,ENCRYPTED\s+DEK-Info: [A-Z0-9-]+,[0-9A-Fa-f]+\s")
 ESCAPED = re.compile(r"\\[nrt]|\s")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
 #: What follows a line of base64 when it goes on in the next.
 NEXT_LINE = re.compile(r"(?:\r?\n|(?:\\r)?\\n)[ \t]*([A-Za-z0-9+/]+={0,2})")
 HEX_ANY = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{64,}|[0-9A-F]{64,})(?![0-9A-Za-z])")
+#: How the base64 of an OpenSSH container begins.
+SSH_MAGIC = "b3BlbnNzaC1rZXktdjE"
 #: Object identifiers of password-based encryption (PKCS#5 and PKCS#12), as encoded.
 PBE = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 
@@ -153,37 +156,69 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out + [("hex", *m.span()) for m in HEX.finditer(text)]
 
 
+def _stated(head: bytes) -> int:
+    """Bytes of the DER element that begins with head, by its own header."""
+    n = head[1] & 0x7F if head[1] & 0x80 else 0
+    return 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1])
+
+
 def _wrapped(text: str, first: re.Match) -> tuple[str, int, int] | None:
     """A key whose base64 begins with the candidate and goes on in the lines below it. How much of them belongs to it
-    follows from the length that a DER key states; an OpenSSH container ends with its lines."""
-    pieces, at = [(first.start(), first[0])], first.end()
-    while following := NEXT_LINE.match(text, at):
+    follows from the length that a DER key states, and no more is read; an OpenSSH container ends with its lines, or where
+    another begins."""
+    ssh = first[0].startswith(SSH_MAGIC)
+    head = decode_base64(first[0][:16]) or b""
+    if not ssh and (head[:1] != b"\x30" or len(head) < 7):
+        return None
+    size = 0 if ssh else _stated(head)
+    wanted = -(-size // 3) * 4 - (-size % 3)  # characters without padding
+    if not ssh and wanted > len(text) - first.start():
+        return None
+    pieces, at, held = [(first.start(), first[0])], first.end(), len(first[0])
+    while (ssh or held < wanted) and (following := NEXT_LINE.match(text, at)):
+        if ssh and following[1].startswith(SSH_MAGIC):
+            break
         pieces.append((following.start(1), following[1]))
-        at = following.end()
+        at, held = following.end(), held + len(following[1])
         if following[1].endswith("="):
             break
     if len(pieces) == 1:
         return None
     joined = "".join(p for _, p in pieces).rstrip("=")
+    if not ssh:
+        joined = joined[:wanted]
     whole = decode_base64(joined[: len(joined) - (len(joined) % 4 == 1)]) or b""
-    if whole[:1] == b"\x30" and len(whole) > 6:
-        n = whole[1] & 0x7F if whole[1] & 0x80 else 0
-        kind, size = "der", 2 + n + (int.from_bytes(whole[2 : 2 + n], "big") if n else whole[1])
-        if not der_key(whole[:size]):
+    if ssh:
+        if not ssh_key(whole):
             return None
-    elif ssh_key(whole):
-        kind, size = "ssh", ssh_size(whole)
-    else:
+        size = ssh_size(whole)
+        wanted = -(-size // 3) * 4 - (-size % 3)
+    elif not der_key(whole[:size]):
         return None
-    wanted = -(-size // 3) * 4 - (-size % 3)  # characters without padding
     for start, piece in pieces:
         if wanted <= len(piece):
             padding = piece[wanted:]
-            return kind, first.start(), start + wanted + len(padding) - len(padding.lstrip("="))
+            return "ssh" if ssh else "der", first.start(), start + wanted + len(padding) - len(padding.lstrip("="))
         wanted -= len(piece)
     return None
 
 
+class _Covered:
+    """Spans that are taken, asked in ascending order of their starts."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.spans, self.at, self.end = sorted(spans), 0, -1
+
+    def add(self, end: int) -> None:
+        self.end = max(self.end, end)
+
+    def holds(self, start: int, end: int) -> bool:
+        while self.at < len(self.spans) and self.spans[self.at][0] <= start:
+            self.add(self.spans[self.at][1])
+            self.at += 1
+        return end <= self.end
+
+
 def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans whose decoded structure is that of a key or token."""
     out = []
@@ -196,19 +231,17 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
             # under a legacy header the body is whole blocks of a cipher
             if body and (len(body) >= 64 and len(body) % 8 == 0 if headers else der_key(body) or ssh_key(body)):
                 out.append(("pem", *m.span()))
-    inside = [(s, e) for _, s, e in out]
     for pattern, decode in ((BASE64, decode_base64), (HEX_ANY, bytes.fromhex)):
+        taken = _Covered([(s, e) for _, s, e in out])
         for m in pattern.finditer(text):
             found = m[0]
-            if pattern is HEX_ANY and len(found) % 2 or any(s <= m.start() and m.end() <= e for s, e in inside):
-                continue
             # a DER sequence starts with 0x30, the ssh container with its magic
-            if found[:1] not in ("M", "b", "3", "6"):
+            if found[:1] not in ("M", "b", "3", "6") or pattern is HEX_ANY and len(found) % 2 or taken.holds(*m.span()):
                 continue
             longer = _wrapped(text, m) if pattern is BASE64 and text[m.end() : m.end() + 1] in ("\n", "\r", "\\") else None
             if longer:
                 out.append(longer)
-                inside.append(longer[1:])
+                taken.add(longer[2])
             elif (data := decode(found)) and der_key(data):
                 out.append(("der", *m.span()))
             elif data and ssh_key(data):
@@ -242,19 +275,22 @@ def scan(docs: DataFrame) -> DataFrame:
     read, whole.
     """
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    names = ["n_assign", "n_access", "n_hex", "base_sha256", "spans"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # doc_id stays an Arrow column: as a number of pandas, one null would round the others
             rows = []
-            for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
-                text = text if isinstance(text, str) else ""
+            for text in batch.column("text").to_pylist():
+                text = text or ""
                 base = base_spans(text)
                 kinds = [k for k, _, _ in base]
                 digest = hashlib.sha256(joined(base).encode()).hexdigest()
-                rows.append((doc_id, kinds.count("assign"), kinds.count("access"), kinds.count("hex"), digest, joined(base + confirmed_spans(text))))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]).astype({"doc_id": frame["doc_id"].dtype})
+                rows.append((kinds.count("assign"), kinds.count("access"), kinds.count("hex"), digest, joined(base + confirmed_spans(text))))
+            columns = zip(*rows) if rows else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, columns, [*[pa.int64()] * 3, *[pa.string()] * 2])], ["doc_id", *names])
 
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInPandas(batches, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -262,16 +298,17 @@ def redact(docs: DataFrame) -> DataFrame:
 
     Texts without secrets, nulls included, are unchanged.
     """
-    names = docs.columns
-
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            texts = [redacted(t, s) if isinstance(t, str) and (s := base_spans(t) + confirmed_spans(t)) else t for t in frame["text"]]
-            changed = [i for i, (old, new) in enumerate(zip(frame["text"], texts, strict=True)) if old is not new]
-            frame = frame.assign(text=pd.Series(texts, index=frame.index, dtype=object))
-            if changed and "n_chars" in frame:
-                frame.loc[frame.index[changed], "n_chars"] = [len(texts[i]) for i in changed]
-            yield frame[names]
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # the other columns stay as they are
+            at = batch.schema.get_field_index("text")
+            before = batch.column(at).to_pylist()
+            after = [redacted(t, s) if t and (s := base_spans(t) + confirmed_spans(t)) else t for t in before]
+            batch = batch.set_column(at, batch.schema.field(at), pa.array(after, batch.schema.field(at).type))
+            count = batch.schema.get_field_index("n_chars")
+            if count >= 0 and any(old is not new for old, new in zip(before, after)):
+                sizes = [n if old is new else len(new) for n, old, new in zip(batch.column(count).to_pylist(), before, after)]
+                batch = batch.set_column(count, batch.schema.field(count), pa.array(sizes, batch.schema.field(count).type))
+            yield batch
 
     small_batches(docs.sparkSession)
-    return docs.mapInPandas(batches, docs.schema)
+    return docs.mapInArrow(work, docs.schema)

@@ -24,7 +24,7 @@ from .profiles import arg_max
 
 KEYS = pairs.KEYS
 SIN_FLOOR = 1e-12
-SUMS = "h double, ir int, ia int, logcpl double"
+SUMS = "set int, h double, ir int, ia int, logcpl double"
 #: Distances that a task holds at once.
 DISTANCES = 1 << 22
 #: Candidate grids; coefficients come from whole numbers, so 1.0 is among them exactly.
@@ -81,14 +81,12 @@ def _links(xy: np.ndarray, others: np.ndarray, r: float) -> tuple[np.ndarray, np
 
 
 class _Group(NamedTuple):
-    """Radii that share their window and cells: cell centres and area, places in the list of radii, and the log-intensity of
-    every image at the cells."""
+    """Radii that share their window and cells: cell centres and area, and places in the list of radii."""
 
     inner: Window
     u: np.ndarray
     area: float
     at: list[int]
-    offsets: list[np.ndarray]
 
 
 class _Profiler:
@@ -101,7 +99,14 @@ class _Profiler:
             u, area, inner = _cells(q, r)
             if len(u):
                 shared.setdefault(inner, (u, area, []))[2].append(ir)
-        self.groups = [_Group(inner, u, area, at, [self.log_at(image, u) for _, image in images]) for inner, (u, area, at) in shared.items()]
+        self.groups = [_Group(inner, u, area, at) for inner, (u, area, at) in shared.items()]
+        self.at_cells: dict[int, list[np.ndarray]] = {}
+
+    def offsets(self, g: int) -> list[np.ndarray]:
+        """Log-intensity of every image at the cells, found where it is needed first."""
+        if g not in self.at_cells:
+            self.at_cells[g] = [self.log_at(image, self.groups[g].u) for _, image in self.images]
+        return self.at_cells[g]
 
     def log_at(self, image: np.ndarray, places: np.ndarray) -> np.ndarray:
         return np.log(np.maximum(_bilinear(image, self.window, places), 1e-10))
@@ -121,17 +126,22 @@ class _Profiler:
             out[k] = np.bincount(cell[close], weights=_share(d[close], self.radii[ir], self.kind), minlength=len(near))
         return near, out
 
+    def alpha_parts(self, n: int) -> Iterator[slice]:
+        """Alphas in parts of about DISTANCES numbers for n places."""
+        size = max(1, DISTANCES // max(1, n))
+        return (slice(at, at + size) for at in range(0, len(self.alphas), size))
+
     def common(self, g: int, field: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Greatest term, and the sum of all terms over it, of a pattern's cells by image, radius and alpha."""
-        group = self.groups[g]
-        shape = (len(self.images), len(group.at), len(self.alphas))
+        group, alphas = self.groups[g], np.array(self.alphas)
+        shape = (len(self.images), len(group.at), len(alphas))
         peaks, totals = np.zeros(shape), np.zeros(shape)
-        for image, bu in enumerate(group.offsets):
+        for image, bu in enumerate(self.offsets(g)):
             for k in range(len(group.at)):
-                for ia, alpha in enumerate(self.alphas):
-                    a = bu + alpha * field[k]
-                    peaks[image, k, ia] = a.max()
-                    totals[image, k, ia] = np.exp(a - a.max()).sum()
+                for part in self.alpha_parts(len(bu)):
+                    a = bu + alphas[part, None] * field[k]
+                    peaks[image, k, part] = a.max(axis=1)
+                    totals[image, k, part] = np.exp(a - a.max(axis=1)[:, None]).sum(axis=1)
         return peaks, totals
 
     def neighbours(self, g: int, xy: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -147,30 +157,35 @@ class _Profiler:
     def values(self, g: int, xy: np.ndarray, s: np.ndarray, cells: np.ndarray, field: np.ndarray, peaks: np.ndarray, totals: np.ndarray) -> np.ndarray:
         """Log-pseudolikelihood of the points by image, radius of the group and alpha. Only cells within r of a point differ
         from the pattern's common sum; sums are shifted by their greatest term."""
-        group = self.groups[g]
+        group, alphas, m = self.groups[g], np.array(self.alphas), len(xy)
         own, cell, d = _links(xy, group.u[cells], self.reach(g))
         out = np.zeros(peaks.shape)
-        m = len(xy)
         for k, ir in enumerate(group.at):
             near = d <= self.radii[ir]
             o, c, share = own[near], cell[near], _share(d[near], self.radii[ir], self.kind)
+            starts = np.flatnonzero(np.diff(o, prepend=-1))  # links stand by points
             for image, (_, values) in enumerate(self.images):
-                b, bu = self.log_at(values, xy).sum(), group.offsets[image][cells]
-                for ia, alpha in enumerate(self.alphas):
-                    a, peak = bu + alpha * field[k], peaks[image, k, ia]
-                    changed = a[c] - alpha * share
-                    top = np.full(m, peak)
-                    np.maximum.at(top, o, changed)
-                    rest = np.exp(peak - top) * totals[image, k, ia] + np.bincount(o, weights=np.exp(changed - top[o]) - np.exp(a[c] - top[o]), minlength=m)
-                    z = math.log(group.area) * m + top.sum() + np.log(np.maximum(rest, 1e-300)).sum()
-                    out[image, k, ia] = b + alpha * s[k].sum() - z
+                b, bu = self.log_at(values, xy).sum(), self.offsets(g)[image][cells]
+                for part in self.alpha_parts(max(len(o), len(cells))):
+                    al, peak, total = alphas[part], peaks[image, k, part], totals[image, k, part]
+                    top, less = peak, np.zeros((len(starts), len(al)))
+                    if len(o):
+                        a = bu[:, None] + field[k][:, None] * al
+                        changed = a[c] - share[:, None] * al
+                        top = np.maximum(peak, changed.max(axis=0))
+                        less = np.add.reduceat(np.exp(changed - top) - np.exp(a - top)[c], starts, axis=0)
+                    whole = np.exp(peak - top) * total
+                    logs = np.log(np.maximum(whole + less, 1e-300)).sum(axis=0) + (m - len(starts)) * np.log(np.maximum(whole, 1e-300))
+                    out[image, k, part] = b + al * s[k].sum() - m * (math.log(group.area) + top) - logs
         return out
 
-    def rows(self, sums: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        """Sums by group as rows."""
-        for g, values in sums.items():
-            at = np.indices(values.shape).reshape(3, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array([h for h, _ in self.images])[at[0]]), pa.array(np.array(self.groups[g].at, np.int32)[at[1]]), pa.array(at[2].astype(np.int32)), pa.array(values.ravel())], ["h", "ir", "ia", "logcpl"])
+
+def _rows(works: dict[int, _Profiler], sums: dict[tuple[int, int], np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Sums by set and group of radii as rows."""
+    for (s, g), values in sums.items():
+        at, work = np.indices(values.shape).reshape(3, -1), works[s]
+        columns = [np.full(values.size, s, np.int32), np.array([h for h, _ in work.images])[at[0]], np.array(work.groups[g].at, np.int32)[at[1]], at[2].astype(np.int32), values.ravel()]
+        yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["set", "h", "ir", "ia", "logcpl"])
 
 
 def _places(pts: pa.Array, row: int) -> np.ndarray:
@@ -178,14 +193,14 @@ def _places(pts: pa.Array, row: int) -> np.ndarray:
     return np.stack([pts.values.field(c).to_numpy(zero_copy_only=False)[part] for c in ("x", "y")], axis=1)
 
 
-def _whole_patterns(points: DataFrame, keys: Sequence[str], work: _Profiler) -> DataFrame:
+def _whole_patterns(points: DataFrame, keys: Sequence[str], works: dict[int, _Profiler]) -> DataFrame:
     """Sums of tasks over patterns that are small enough for one of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        sums: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            for row in range(batch.num_rows):
-                xy = _places(batch.column("pts"), row)
+            for row, s in enumerate(batch.column("set").to_pylist()):
+                xy, work = _places(batch.column("pts"), row), works[s]
                 for g, group in enumerate(work.groups):
                     x0, y0, x1, y1 = group.inner
                     inside = xy[(xy[:, 0] >= x0) & (xy[:, 0] <= x1) & (xy[:, 1] >= y0) & (xy[:, 1] <= y1)]
@@ -195,20 +210,20 @@ def _whole_patterns(points: DataFrame, keys: Sequence[str], work: _Profiler) ->
                     field = np.zeros((len(group.at), len(group.u)))
                     field[:, cells] = part
                     value = work.values(g, inside, work.neighbours(g, inside, inside), cells, part, *work.common(g, field))
-                    sums[g] = sums[g] + value if g in sums else value
-        yield from work.rows(sums)
+                    sums[s, g] = sums[s, g] + value if (s, g) in sums else value
+        yield from _rows(works, sums)
 
-    return ranges.gathered(points, keys, ["x", "y"]).mapInArrow(run, SUMS)
+    return ranges.gathered(points, [*keys, "set"], ["x", "y"]).mapInArrow(run, SUMS)
 
 
-def _tiles_of_patterns(points: DataFrame, keys: Sequence[str], work: _Profiler) -> DataFrame:
+def _tiles_of_patterns(points: DataFrame, keys: Sequence[str], works: dict[int, _Profiler]) -> DataFrame:
     """The same for patterns of any size, in two phases. First each tile's shares are added up by pattern and cell, and the
     pattern's common sums follow from its cells. Then each tile meets the tiles within reach of it, one by one, and the
     cells within reach with their sums."""
-    keys = [*keys, "g"]
+    keys = [*keys, "set", "g"]
     types = {f.name: f.dataType.simpleString() for f in points.schema.fields} | {"g": "int"}
     typed = lambda cs: ", ".join(f"`{c}` {types[c]}" for c in cs)
-    fits = [F.when(F.col("x").between(g.inner[0], g.inner[2]) & F.col("y").between(g.inner[1], g.inner[3]), i) for i, g in enumerate(work.groups)]
+    fits = [F.when((F.col("set") == s) & F.col("x").between(g.inner[0], g.inner[2]) & F.col("y").between(g.inner[1], g.inner[3]), i) for s, work in works.items() for i, g in enumerate(work.groups)]
     inside = points.withColumn("g", F.explode(F.array_compact(F.array(*fits))))
     tiles = ranges.tiled(inside, ranges.crowded(inside, keys, 0), keys).groupBy(*keys, "tile")
     own = tiles.agg(F.collect_list(F.struct("x", "y")).alias("pts"))  # TILE points at most
@@ -216,7 +231,7 @@ def _tiles_of_patterns(points: DataFrame, keys: Sequence[str], work: _Profiler)
     def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                cells, part = work.field(batch.column("g")[row].as_py(), _places(batch.column("pts"), row))
+                cells, part = works[batch.column("set")[row].as_py()].field(batch.column("g")[row].as_py(), _places(batch.column("pts"), row))
                 if len(cells):
                     same = pa.array(np.full(part.size, row))
                     yield pa.RecordBatch.from_arrays([*(batch.column(c).take(same) for c in keys), pa.array(np.tile(cells, len(part)).astype(np.int32)), pa.array(np.repeat(np.arange(len(part), dtype=np.int32), len(cells))), pa.array(part.ravel())], [*keys, "cell", "k", "s"])
@@ -227,7 +242,7 @@ def _tiles_of_patterns(points: DataFrame, keys: Sequence[str], work: _Profiler)
     def commons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                g, cells = batch.column("g")[row].as_py(), batch.column("pts")[row].as_py()
+                g, cells, work = batch.column("g")[row].as_py(), batch.column("pts")[row].as_py(), works[batch.column("set")[row].as_py()]
                 dense = np.zeros((len(work.groups[g].at), len(work.groups[g].u)))
                 for c in cells:
                     dense[:, c["cell"]] = c["s"]
@@ -236,10 +251,10 @@ def _tiles_of_patterns(points: DataFrame, keys: Sequence[str], work: _Profiler)
 
     # as many rows as the grid has cells
     common = ranges.gathered(field, keys, ["cell", "s"]).mapInArrow(commons, f"{typed(keys)}, peaks array<double>, totals array<double>")
-    reach = F.get(F.array(*[F.lit(work.reach(g)) for g in range(len(work.groups))]), F.col("g"))
+    reach = F.coalesce(*[F.when((F.col("set") == s) & (F.col("g") == g), F.lit(work.reach(g))) for s, work in works.items() for g in range(len(work.groups))])
     box = tiles.agg(*[f(c).alias(n) for c in ("x", "y") for n, f in ((f"{c}0", F.min), (f"{c}1", F.max))]).withColumn("reach", reach)
-    centres = spark_cells(points.sparkSession, work)
-    halo = box.join(centres, "g").where("ux between x0 - reach and x1 + reach and uy between y0 - reach and y1 + reach").select(*keys, "tile", "cell")
+    centres = spark_cells(points.sparkSession, works)
+    halo = box.join(centres, ["set", "g"]).where("ux between x0 - reach and x1 + reach and uy between y0 - reach and y1 + reach").select(*keys, "tile", "cell")
     cells = halo.join(field, [*keys, "cell"]).groupBy(*keys, "tile").agg(F.collect_list(F.struct("cell", "s")).alias("cells"))
     other = box.select(*keys, *[F.col(c).alias(f"{c}b") for c in ("tile", "x0", "x1", "y0", "y1")])
     apart = lambda v: F.greatest(F.lit(0.0), F.col(f"{v}0b") - F.col(f"{v}1"), F.col(f"{v}0") - F.col(f"{v}1b"))
@@ -250,43 +265,45 @@ def _tiles_of_patterns(points: DataFrame, keys: Sequence[str], work: _Profiler)
         *keys, F.col("to").alias("tile"), F.lit(1).alias("role"), "pts", F.expr("cast(null as array<struct<cell:int,s:array<double>>>)").alias("cells"), F.expr(empty).alias("peaks"), F.expr(empty).alias("totals"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        sums: dict[tuple[int, int], np.ndarray] = {}
         held: tuple | None = None
 
         def close() -> None:
-            g, xy, s, near, peaks, totals = held
+            (at, g), xy, s, near, peaks, totals = held
+            work = works[at]
             order = np.array([c["cell"] for c in near], int)
             part = np.array([c["s"] for c in near], float).reshape(len(near), len(work.groups[g].at)).T
             shape = (len(work.images), len(work.groups[g].at), len(work.alphas))
             if peaks is None:
                 peaks, totals = work.common(g, np.zeros((shape[1], len(work.groups[g].u))))
             value = work.values(g, xy, s, order, part, np.reshape(peaks, shape), np.reshape(totals, shape))
-            sums[g] = sums[g] + value if g in sums else value
+            sums[at, g] = sums[at, g] + value if (at, g) in sums else value
 
         for batch in batches:
-            for row, (role, g) in enumerate(zip(batch.column("role").to_pylist(), batch.column("g").to_pylist())):
-                xy = _places(batch.column("pts"), row)
+            for row, (role, s, g) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("role", "set", "g")))):
+                xy, work = _places(batch.column("pts"), row), works[s]
                 if role:
                     held[2][:] += work.neighbours(g, held[1], xy)
                     continue
                 if held is not None:
                     close()
-                held = (g, xy, work.neighbours(g, xy, xy), batch.column("cells")[row].as_py() or [], batch.column("peaks")[row].as_py(), batch.column("totals")[row].as_py())
+                held = ((s, g), xy, work.neighbours(g, xy, xy), batch.column("cells")[row].as_py() or [], batch.column("peaks")[row].as_py(), batch.column("totals")[row].as_py())
         if held is not None:
             close()
-        yield from work.rows(sums)
+        yield from _rows(works, sums)
 
-    return heads.unionByName(more).repartition(*keys, "tile").sortWithinPartitions(*keys, "tile", "role").mapInArrow(run, SUMS)
+    return ranges.dealt(heads.unionByName(more), [*keys, "tile"]).sortWithinPartitions(*keys, "tile", "role").mapInArrow(run, SUMS)
 
 
-def spark_cells(spark: SparkSession, work: _Profiler) -> DataFrame:
-    """(g, cell, ux, uy): the centres of each group's cells, by the rule of its grid."""
+def spark_cells(spark: SparkSession, works: dict[int, _Profiler]) -> DataFrame:
+    """(set, g, cell, ux, uy): the centres of each group's cells, by the rule of its grid."""
     out = None
-    for g, group in enumerate(work.groups):
-        xs, ys = np.unique(group.u[:, 0]), np.unique(group.u[:, 1])
-        pick = lambda values, at: F.get(F.array(*[F.lit(float(v)) for v in values]), at.cast("int"))
-        one = spark.range(len(group.u)).select(F.lit(g).alias("g"), F.col("id").cast("int").alias("cell"), pick(xs, F.col("id") % len(xs)).alias("ux"), pick(ys, F.floor(F.col("id") / len(xs))).alias("uy"))
-        out = one if out is None else out.unionByName(one)
+    for s, work in works.items():
+        for g, group in enumerate(work.groups):
+            xs, ys = np.unique(group.u[:, 0]), np.unique(group.u[:, 1])
+            pick = lambda values, at: F.get(F.array(*[F.lit(float(v)) for v in values]), at.cast("int"))
+            one = spark.range(len(group.u)).select(F.lit(s).alias("set"), F.lit(g).alias("g"), F.col("id").cast("int").alias("cell"), pick(xs, F.col("id") % len(xs)).alias("ux"), pick(ys, F.floor(F.col("id") / len(xs))).alias("uy"))
+            out = one if out is None else out.unionByName(one)
     return out
 
 
@@ -317,27 +334,45 @@ def _cells(q: Quadrature, r: float) -> tuple[np.ndarray, float, Window]:
     return u[keep], width * height, inner
 
 
-def profile(points: DataFrame, raster: DataFrame, q: Quadrature, radii: Sequence[float], alphas: Sequence[float], kind: str, keys: Sequence[str] = KEYS) -> DataFrame:
-    """(h, ir, r, ia, alpha, logcpl): log-pseudolikelihood of all patterns for every candidate and every raster (h, ix, iy,
-    value). A raster is one small image, sent to the tasks. Patterns of ranges.TILE points or fewer are the unit of work;
-    larger ones are taken apart in tiles. Tasks add up what they have, and sums by candidate follow."""
-    rows = raster.select("h", "iy", "ix", "value").collect()  # nx * ny values for each raster
-    images: dict[float, np.ndarray] = {}
-    for row in rows:
-        images.setdefault(row["h"], np.zeros((q.ny, q.nx)))[row["iy"], row["ix"]] = row["value"]
-    work = _Profiler(sorted(images.items()), q, radii, alphas, kind)
-    if not work.groups:
-        return points.sparkSession.createDataFrame([], "h double, ir int, r double, ia int, alpha double, logcpl double")
+def _images(raster: DataFrame, q: Quadrature) -> list[tuple[float, np.ndarray]]:
+    rows = raster.select("h", (F.col("iy") * q.nx + F.col("ix")).alias("at"), "value").toArrow()  # nx * ny values for each raster
+    h, at, value = (rows.column(c).to_numpy() for c in ("h", "at", "value"))
+    images = {}
+    for x in np.unique(h):
+        image = np.zeros(q.nx * q.ny)
+        image[at[h == x]] = value[h == x]
+        images[float(x)] = image.reshape(q.ny, q.nx)
+    return sorted(images.items())
+
+
+def profile_sets(points: DataFrame, works: dict[int, _Profiler], keys: Sequence[str] = KEYS) -> DataFrame:
+    """(set, h, ir, ia, logcpl): sums over the patterns of each set (a column of points) of their log-pseudolikelihoods under
+    that set's own images and candidates, in one job. Patterns of ranges.TILE points or fewer are the unit of work; larger
+    ones are taken apart in tiles. Tasks add up what they have, and sums by candidate follow."""
+    works = {s: work for s, work in works.items() if work.groups and work.images}
+    if not works:
+        return points.sparkSession.createDataFrame([], SUMS)
     ident = F.col("point_id") if "point_id" in points.columns else F.xxhash64("x", "y")
-    inside = ranges.finite_points(points).select(*keys, ident.alias("point_id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    inside = ranges.finite_points(points).where(F.col("set").isin(list(works))).select(*keys, "set", ident.alias("point_id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     frames = ranges.crowded(inside, keys, ranges.TILE)
     if frames.isEmpty():
-        found = _whole_patterns(inside, keys, work)
+        found = _whole_patterns(inside, keys, works)
     else:
         large = frames.select(*keys)
-        found = _whole_patterns(inside.join(large, list(keys), "left_anti"), keys, work).unionByName(_tiles_of_patterns(inside.join(large, list(keys), "left_semi"), keys, work))
+        found = _whole_patterns(inside.join(large, list(keys), "left_anti"), keys, works).unionByName(_tiles_of_patterns(inside.join(large, list(keys), "left_semi"), keys, works))
+    return found.groupBy("set", "h", "ir", "ia").agg(F.sum("logcpl").alias("logcpl"))
+
+
+def _named(found: DataFrame, radii: Sequence[float], alphas: Sequence[float]) -> DataFrame:
     listed = lambda values, at: F.get(F.array(*[F.lit(float(v)) for v in values]), F.col(at))
-    return found.groupBy("h", "ir", "ia").agg(F.sum("logcpl").alias("logcpl")).select("h", "ir", listed(radii, "ir").alias("r"), "ia", listed(alphas, "ia").alias("alpha"), "logcpl")
+    return found.select("h", "ir", listed(radii, "ir").alias("r"), "ia", listed(alphas, "ia").alias("alpha"), "logcpl")
+
+
+def profile(points: DataFrame, raster: DataFrame, q: Quadrature, radii: Sequence[float], alphas: Sequence[float], kind: str, keys: Sequence[str] = KEYS) -> DataFrame:
+    """(h, ir, r, ia, alpha, logcpl): log-pseudolikelihood of all patterns for every candidate and every raster (h, ix, iy,
+    value). A raster is one small image, sent to the tasks."""
+    work = _Profiler(_images(raster, q), q, radii, alphas, kind)
+    return _named(profile_sets(points.withColumn("set", F.lit(0)), {0: work}, keys), radii, alphas)
 
 
 def best(surface: DataFrame) -> tuple[float, float, float]:
@@ -394,48 +429,79 @@ def reestimate(points: DataFrame, h: float, q: Quadrature, kind: str, c: Candida
     return r, alpha, surface
 
 
-def run_fold(train: DataFrame, test: DataFrame, pilot: float | None, q: Quadrature, kind: str, c: Candidates, max_n: int = 2000) -> list[tuple]:
-    """(idx, h, logcpl, h0, r0, alpha0) of one fold: pilot bandwidth, profile, then the candidates c * h0 on the test
-    patterns."""
-    h0 = pilot or intensity.lcv_bandwidth(train, c.pilots, max_n=max_n)
-    r0, alpha0, surface = reestimate(train, h0, q, kind, c)
-    surface.unpersist()
-    hs = [h0 * x for x in c.coeffs]
-    scores = {row["h"]: row["logcpl"] for row in evaluate_bandwidths(train, test, hs, r0, alpha0, q, kind).collect()}
-    return [(i, h, scores.get(h, float("-inf")), h0, r0, alpha0) for i, h in enumerate(hs)]
+def training_images(folded: DataFrame, q: Quadrature, wanted: Sequence[tuple[int, float]]) -> dict[tuple[int, float], np.ndarray]:
+    """For each (fold, h) the intensity of the points outside the fold, at bandwidth h: all in one job. An image is small."""
+    sums = intensity.training_sums(folded, q.window, q.nx, q.ny, wanted).toArrow()
+    fold, h, at, value = (sums.column(c).to_numpy() for c in ("fold", "h", "grid_index", "s"))
+    out = {}
+    for f, x in wanted:
+        image, mine = np.zeros(q.nx * q.ny), (fold == f) & (h == x)
+        image[at[mine]] = value[mine]
+        out[f, x] = (image / intensity.edge_values(q.window, q.nx, q.ny, x)).reshape(q.ny, q.nx)
+    return out
+
+
+def run_folds(folded: DataFrame, k: int, pilots: dict[int, float], q: Quadrature, kind: str, c: Candidates) -> list[tuple]:
+    """(fold, idx, h, logcpl, h0, r0, alpha0): in every fold the interaction that its training patterns profile best at its
+    pilot bandwidth h0, and the score of its own patterns under each candidate bandwidth c * h0. The folds are a column: a
+    stage is one job, whatever their number."""
+    folds = range(k)
+    first = training_images(folded, q, [(f, pilots[f]) for f in folds])
+    # a pattern is profiled under the images of all folds but its own, whose label stands for h
+    works = {g: _Profiler([(float(f), first[f, pilots[f]]) for f in folds if f != g], q, c.radii, c.alphas, kind) for g in folds}
+    as_set = folded.withColumn("set", F.col("fold"))
+    surfaces = _named(profile_sets(as_set, works).groupBy("h", "ir", "ia").agg(F.sum("logcpl").alias("logcpl")), c.radii, c.alphas)
+    tops = arg_max(surfaces.withColumn("idx", F.col("ir") * 1_000_000 + F.col("ia")), "logcpl", "idx", ["h"]).collect()
+    fitted = {int(row["h"]): (row["r"], row["alpha"]) for row in tops}
+    if len(fitted) < k:
+        raise ValueError("no pattern to fit")
+    hs = {f: [pilots[f] * x for x in c.coeffs] for f in folds}
+    images = training_images(folded, q, [(f, h) for f in folds for h in dict.fromkeys(hs[f])])
+    works = {f: _Profiler([(h, images[f, h]) for h in dict.fromkeys(hs[f])], q, [fitted[f][0]], [fitted[f][1]], kind) for f in folds}
+    scores = {(row["set"], row["h"]): row["logcpl"] for row in profile_sets(as_set, works).collect()}
+    return [(f, i, h, scores.get((f, h), float("-inf")), pilots[f], *fitted[f]) for f in folds for i, h in enumerate(hs[f])]
 
 
-def cross_validate(points: DataFrame, q: Quadrature, kind: str, c: Candidates, k: int = 5, pilot: float | None = None, seed: int = 1, max_n: int = 2000) -> dict:
+def cross_validate(points: DataFrame, q: Quadrature, kind: str, c: Candidates, k: int = 5, pilot: float | None = None, seed: int = 1, max_n: int = 2000, known: dict | None = None) -> dict:
     """Folds over patterns; scores summed by coefficient; the best coefficient times the pilot (the one passed on, or that
-    of all data); r and alpha at the pilot and at the chosen bandwidth. Only scalars come to the driver."""
+    of all data); r and alpha at the pilot and at the chosen bandwidth. Only scalars and images come to the driver, and the
+    number of jobs does not depend on k. surface0 and surface1 are persisted for the caller to release. known: an earlier
+    result on the same points, whose pilots, and interaction at the pilot of all data, hold again."""
     spark = points.sparkSession
     folded = cleaning.assign_folds(points, "pattern_id", k, seed).persist()
-    rows = []
-    for fold in range(k):
-        train, test = cleaning.members(folded, [fold], train=True), cleaning.members(folded, [fold])
-        rows += [(fold, *x) for x in run_fold(train, test, pilot, q, kind, c, max_n)]
-    results = spark.createDataFrame(rows, "fold int, idx int, h double, logcpl double, h0 double, r0 double, alpha0 double")
     from .metrics import sum_over_folds
 
-    chosen = arg_max(sum_over_folds(results, "idx", "h", "logcpl"), "logcpl", "idx").first()
-    overall = intensity.lcv_bandwidth(points, c.pilots, max_n=max_n)
-    base = pilot or overall
-    h = c.coeffs[chosen["idx"]] * base
-    r0, alpha0, at_pilot = reestimate(points, overall, q, kind, c)
-    r1, alpha1, at_best = (r0, alpha0, at_pilot) if h == overall else reestimate(points, h, q, kind, c)
-    folded.unpersist()
-    return {"folds": results, "pilot": overall, "h": h, "r0": r0, "alpha0": alpha0, "r1": r1, "alpha1": alpha1, "surface0": at_pilot, "surface1": at_best}
+    try:
+        chosen_by_fold = known["pilots"] if known else intensity.lcv_bandwidths(folded, k, c.pilots, max_n=max_n)  # the last is that of all points
+        overall = chosen_by_fold[-1]
+        pilots = {f: pilot or chosen_by_fold[f] for f in range(k)}
+        rows = run_folds(folded, k, pilots, q, kind, c)
+        results = spark.createDataFrame(rows, "fold int, idx int, h double, logcpl double, h0 double, r0 double, alpha0 double")
+        chosen = arg_max(sum_over_folds(results, "idx", "h", "logcpl"), "logcpl", "idx").first()
+        h = c.coeffs[chosen["idx"]] * (pilot or overall)
+        r0, alpha0, at_pilot = (known["r0"], known["alpha0"], known["surface0"]) if known else reestimate(points, overall, q, kind, c)
+        r1, alpha1, at_best = (r0, alpha0, at_pilot) if h == overall else reestimate(points, h, q, kind, c)
+    finally:
+        folded.unpersist()
+    return {"folds": results, "pilots": chosen_by_fold, "pilot": overall, "h": h, "r0": r0, "alpha0": alpha0, "r1": r1, "alpha1": alpha1, "surface0": at_pilot, "surface1": at_best}
 
 
 def refine(points: DataFrame, q: Quadrature, kind: str, c: Candidates, n_iter: int = 10, k: int = 5, seed: int = 1, max_n: int = 2000) -> DataFrame:
-    """(iteration, h, r, alpha): cross-validation repeated from the last bandwidth; row 0 holds the pilot's values."""
-    path, pilot = [], None
+    """(iteration, h, r, alpha): cross-validation repeated from the last bandwidth; row 0 holds the pilot's values. A bandwidth
+    that is chosen again is chosen ever after, so nothing is computed anew from there on."""
+    path, found, settled = [], None, False
     for i in range(n_iter):
-        found = cross_validate(points, q, kind, c, k, pilot, seed, max_n)
+        if settled:
+            path.append((i + 1, *path[-1][1:]))
+            continue
+        before = found and found["h"]
+        found = cross_validate(points, q, kind, c, k, before, seed, max_n, found)
+        settled = found["h"] == before
         if i == 0:
             path.append((0, float(found["pilot"]), float(found["r0"]), float(found["alpha0"])))
         path.append((i + 1, float(found["h"]), float(found["r1"]), float(found["alpha1"])))
-        pilot = found["h"]
-        for name in ("surface0", "surface1"):
-            found[name].unpersist()
+        if found["surface1"] is not found["surface0"]:
+            found["surface1"].unpersist()
+    if found:
+        found["surface0"].unpersist()
     return points.sparkSession.createDataFrame(path, "iteration int, h double, r double, alpha double")

@@ -166,6 +166,38 @@ def kde_sums(points: DataFrame, window: Window, nx: int, ny: int, hs: Sequence[f
     return inside.mapInPandas(_kernel_sums(window, nx, ny, list(hs)), "grp int, h double, grid_index int, s double").groupBy("grp", "h", "grid_index").agg(F.sum("s").alias("s"))
 
 
+def training_sums(folded: DataFrame, window: Window, nx: int, ny: int, wanted: Sequence[tuple[int, float]]) -> DataFrame:
+    """(fold, h, grid_index, s): for each wanted (fold, h) the kernels of the points of the other folds (column fold), in one
+    pass: a task sums its points by fold and bandwidth, and hands on what lies outside each wanted fold."""
+    hs = sorted({float(h) for _, h in wanted})
+
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        u = centres(window, nx, ny)
+        gx, gy = u[:nx, 0], u[::nx, 1]
+        sums: dict[tuple[int, float], KernelSums] = {}
+        for frame in frames:
+            for fold, part in frame.groupby("fold"):
+                for h in hs:
+                    if any(f != fold and x == h for f, x in wanted):
+                        sums.setdefault((int(fold), h), KernelSums(gx, gy, h)).add(part["x"].to_numpy(float), part["y"].to_numpy(float))
+        values = {key: kernel.values() for key, kernel in sums.items()}
+        for f, h in dict.fromkeys(wanted):
+            outside = [v for (g, x), v in values.items() if g != f and x == h]
+            if outside:
+                yield pd.DataFrame({"fold": np.int32(f), "h": float(h), "grid_index": np.arange(nx * ny, dtype=np.int32), "s": sum(outside)})
+
+    inside = cleaning.crop(folded, window).select(F.col("fold").cast("int").alias("fold"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    return inside.mapInPandas(batches, "fold int, h double, grid_index int, s double").groupBy("fold", "h", "grid_index").agg(F.sum("s").alias("s"))
+
+
+def edge_values(window: Window, nx: int, ny: int, h: float) -> np.ndarray:
+    """edge_factor() at the cell centres, 1e-10 at least: a product of one number for each row and column."""
+    u = centres(window, nx, ny)
+    cdf = lambda z: np.array([0.5 * (1 + math.erf(v / math.sqrt(2))) for v in z])
+    span = lambda v, low, high: cdf((high - v) / h) - cdf((low - v) / h)
+    return np.maximum(np.outer(span(u[::nx, 1], window[1], window[3]), span(u[:nx, 0], window[0], window[2])).ravel(), EPS)
+
+
 def kde_intensity(points: DataFrame, window: Window, nx: int, ny: int, hs: Sequence[float], edge: bool = True) -> DataFrame:
     """(h, grid_index, ix, iy, x, y, value): kernel sums of all patterns pooled, divided by the edge factor; 0 without
     points."""
@@ -209,6 +241,41 @@ def lcv_bandwidth(points: DataFrame, hs: Sequence[float], d: int = 2, max_n: int
     return best["h"]
 
 
+#: Parts of a fold in which its sample is drawn first.
+SALTS = 64
+
+
+def lcv_bandwidths(folded: DataFrame, k: int, hs: Sequence[float], max_n: int = 2000, seed: int = 1, ident: str = "point_id") -> list[float]:
+    """lcv_bandwidth() of the points outside each of the k folds (column fold), and last that of all points: one job for the
+    samples, which are as large as max_n allows, and one for all scores."""
+    turn = folded.select("fold", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), ident, F.md5(F.concat(F.lit(f"{seed}-"), F.col(ident).cast("string"))).alias("turn"))
+    order = ["turn", ident]
+    some = turn.withColumn("salt", F.pmod(F.xxhash64(ident), F.lit(SALTS))).withColumn("nth", F.row_number().over(W.partitionBy("fold", "salt").orderBy(*order))).where(F.col("nth") <= max_n)
+    firsts = some.withColumn("nth", F.row_number().over(W.partitionBy("fold").orderBy(*order))).where(F.col("nth") <= max_n)
+    rows = sorted(firsts.select(*order, "fold", "x", "y").collect(), key=lambda r: (r["turn"], r[ident]))  # k * max_n at most
+    samples = [np.array([(r["x"], r["y"]) for r in rows if r["fold"] != f][:max_n], float).reshape(-1, 2) for f in [*range(k), None]]
+    if not len(samples[-1]):
+        raise ValueError("no points to choose a bandwidth from")
+    widths = [float(h) for h in hs]
+
+    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for sample, part in frame.groupby("sample"):
+                x, at = samples[int(sample)], part["id"].to_numpy()
+                d2 = ((x[at][:, None, :] - x[None, :, :]) ** 2).sum(axis=2)
+                d2[np.arange(len(at)), at] = np.inf
+                logs = [np.log(np.maximum(np.exp(-d2 / (2 * h * h)).sum(axis=1) / (2 * math.pi * h * h * max(1, len(x) - 1)), 1e-300)).sum() for h in widths]
+                yield pd.DataFrame({"idx": np.arange(len(widths), dtype=np.int32), "h": widths, "score": logs, "n": len(at), "sample": int(sample)})
+
+    todo = folded.sparkSession.createDataFrame([(s, i) for s, x in enumerate(samples) for i in range(len(x))], "sample long, id long")
+    found = todo.repartition(max(1, sum(map(len, samples)) // 256), "sample", "id").mapInPandas(score, "idx int, h double, score double, n long, sample long")
+    means = found.groupBy("sample", "idx", "h").agg((F.sum("score") / F.sum("n")).alias("score"))
+    best = {row["sample"]: row["h"] for row in arg_max(means, "score", "idx", ["sample"]).collect()}
+    if len(best) < k + 1:
+        raise ValueError("no points to choose a bandwidth from")
+    return [best[s] for s in range(k + 1)]
+
+
 def lattice_weights(spark: SparkSession, n: int, hs: Sequence[float]) -> DataFrame:
     """(h, i, j, w): Gaussian weights between the places of a lattice axis, each row i normalised to 1."""
     cells = spark.range(n * n).select(F.expr(f"cast(id div {n} as int)").alias("i"), (F.col("id") % n).cast("int").alias("j"))

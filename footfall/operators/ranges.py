@@ -186,13 +186,13 @@ def _rows(points: DataFrame, radii: Sequence[float], keys: Sequence[str], weight
     w = F.coalesce(F.col(weight).cast("double"), F.lit(0.0)) if weight else F.lit(0.0)
     inside = finite_points(points).select(*keys, "point_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), w.alias("w"))
     fields = F.struct("point_id", "x", "y", *(["w"] if weight else []))
-    gathered = lambda df: df.agg(F.collect_list(fields).alias("pts"))  # TILE points at most
-    alone = lambda df: gathered(df.groupBy(*keys)).select(*keys, F.lit("").alias("tile"), F.lit(0).alias("role"), F.expr(f"cast(null as {REST})").alias("rest"), "pts")
+    listed = lambda df: df.agg(F.collect_list(fields).alias("pts"))  # TILE points at most
+    alone = lambda df: listed(dealt(df, keys).groupBy(*keys)).select(*keys, F.lit("").alias("tile"), F.lit(0).alias("role"), F.expr(f"cast(null as {REST})").alias("rest"), "pts")
     frames = crowded(inside, keys, TILE)
     if frames.isEmpty():
         return alone(inside)
     tiles = tiled(inside, frames, keys).groupBy(*keys, "tile")
-    own = gathered(tiles)
+    own = listed(tiles)
     box = tiles.agg(*[f(c).alias(n) for c in ("x", "y") for n, f in ((f"{c}0", F.min), (f"{c}1", F.max))], F.count("*").alias("n"), F.sum("w").alias("w"))
     a, b = box.select(*keys, *[F.col(c).alias(f"{c}a") for c in box.columns[len(keys) :]]), box.select(*keys, *[F.col(c).alias(f"{c}b") for c in box.columns[len(keys) :]])
     gap = lambda v: F.greatest(F.lit(0.0), F.col(f"{v}0b") - F.col(f"{v}1a"), F.col(f"{v}0a") - F.col(f"{v}1b"))
@@ -205,7 +205,7 @@ def _rows(points: DataFrame, radii: Sequence[float], keys: Sequence[str], weight
     rest = told.groupBy(*keys, F.col("tilea").alias("tile")).agg(F.collect_list(F.struct("k", "n", "w")).alias("rest"))  # as long as the list of radii
     heads = own.join(rest, [*keys, "tile"], "left").select(*keys, "tile", F.lit(0).alias("role"), "rest", "pts")
     more = met.where("none < k").select(*keys, F.col("tilea"), F.col("tileb").alias("tile")).join(own, [*keys, "tile"]).select(*keys, F.col("tilea").alias("tile"), F.lit(1).alias("role"), F.expr(f"cast(null as {REST})").alias("rest"), "pts")
-    spread = heads.unionByName(more).repartition(*keys, "tile").sortWithinPartitions(*keys, "tile", "role")
+    spread = dealt(heads.unionByName(more), [*keys, "tile"]).sortWithinPartitions(*keys, "tile", "role")
     return spread.unionByName(alone(inside.join(frames.select(*keys), keys, "left_anti")))
 
 
@@ -266,6 +266,12 @@ def range_profile(points: DataFrame, radii: Sequence[float], keys: Sequence[str]
     return found.select(*keys, "m", *(["w"] if weight else []), each).groupBy(*keys, "ir").agg(*totals)
 
 
+def dealt(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """df by keys, in as many partitions as the session has for shuffles, which no later step joins for their size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def gathered(points: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
-    """(keys, pts): the fields of each pattern's points together; for patterns known to be small."""
-    return points.groupBy(*keys).agg(F.collect_list(F.struct(*fields)).alias("pts"))
+    """(keys, pts): the fields of each pattern's points together; for patterns known to be small. The work on a row is far
+    more than its bytes tell, so partitions are as many as the session has for shuffles, and not joined."""
+    return dealt(points, keys).groupBy(*keys).agg(F.collect_list(F.struct(*fields)).alias("pts"))

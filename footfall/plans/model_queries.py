@@ -236,10 +236,6 @@ def dgs_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _profile(spark, sf_dir, "dgs")
 
 
-def _few(kind: str) -> gibbs.Candidates:
-    return gibbs.Candidates([0.5, 1.0, 1.5], [300.0, 600.0, 1200.0], RADII, ALPHAS[kind])
-
-
 @query()
 def strauss_bandwidths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model patterns scored under intensities of the data patterns."""
@@ -250,12 +246,22 @@ def strauss_bandwidths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def strauss_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gibbs.refine(fx.points(spark, sf_dir), QUAD, "strauss", _few("strauss"), n_iter=2, k=2)
+    """All candidates, folds and iterations, over the coarse cells."""
+    return rounded(gibbs.refine(fx.points(spark, sf_dir), QUAD, "strauss", gibbs.candidates("strauss")))
+
+
+@query()
+def dgs_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(gibbs.refine(fx.points(spark, sf_dir), QUAD, "dgs", gibbs.candidates("dgs")))
 
 
 @query()
 def dgs_cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(gibbs.cross_validate(fx.points(spark, sf_dir), QUAD, "dgs", _few("dgs"), k=2)["folds"], 4)
+    """Scores of all candidate bandwidths in all folds."""
+    found = gibbs.cross_validate(fx.points(spark, sf_dir), QUAD, "dgs", gibbs.candidates("dgs"))
+    for name in ("surface0", "surface1"):
+        found[name].unpersist()
+    return rounded(found["folds"], 4)
 
 
 def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:

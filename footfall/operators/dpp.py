@@ -47,21 +47,34 @@ def log_det(matrix: np.ndarray, jitter: float) -> float:
         return 0.0
 
 
-def _sample_logdets(sigmas: Sequence[float], jitter: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+#: Interaction ranges to try: for all rasters alike, or for each by its h.
+Sigmas = Sequence[float] | dict[float, Sequence[float]]
+
+
+def _sigmas_at(sigmas: Sigmas, h: float) -> list[float]:
+    return [float(s) for s in (sigmas[h] if isinstance(sigmas, dict) else sigmas)]
+
+
+def _sample_logdets(sigmas: Sigmas, jitter: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def of_sample(frame: pd.DataFrame) -> pd.DataFrame:
         ix, iy, rho = (frame[c].to_numpy(float) for c in ("ix", "iy", "rho"))
         h = float(frame["h"].iloc[0])
-        return pd.DataFrame({"h": h, "isig": np.arange(len(sigmas), dtype=np.int32), "sigma": sigmas, "k": len(frame), "logdet": [log_det(_kernel(ix, iy, rho, s), jitter) for s in sigmas]})
+        own = _sigmas_at(sigmas, h)
+        return pd.DataFrame({"h": h, "isig": np.arange(len(own), dtype=np.int32), "sigma": own, "k": len(frame), "logdet": [log_det(_kernel(ix, iy, rho, s), jitter) for s in own]})
 
     return of_sample
 
 
-def sample_logdet(samples: DataFrame, rho: DataFrame, sigmas: Sequence[float], jitter: float = SCORE_JITTER, keys: Sequence[str] = KEYS) -> DataFrame:
+def sample_logdet(samples: DataFrame, rho: DataFrame, sigmas: Sigmas, jitter: float = SCORE_JITTER, keys: Sequence[str] = KEYS, uses: DataFrame | None = None) -> DataFrame:
     """(h, isig, sigma, k, logdet), one row per sample, raster and sigma. samples: keys, cell; rho: h, cell, ix, iy, rho.
-    A sample's matrix is as small as the sample."""
-    # rho has one row per cell and raster, a small grid
-    joined = samples.select(*keys, "cell").join(F.broadcast(rho.select("h", "cell", "ix", "iy", "rho")), "cell")
-    return joined.groupBy(*keys, "h").applyInPandas(_sample_logdets(list(map(float, sigmas)), jitter), "h double, isig int, sigma double, k int, logdet double")
+    uses: (fold, h), the rasters that samples of a fold are met with; else all. A sample's matrix is as small as the
+    sample."""
+    rasters = rho.select("h", "cell", "ix", "iy", "rho")
+    if uses is None:
+        joined = samples.select(*keys, "cell").join(rasters, "cell")
+    else:
+        joined = samples.select(*keys, "fold", "cell").join(uses, "fold").drop("fold").join(rasters, ["h", "cell"])
+    return joined.groupBy(*keys, "h").applyInPandas(_sample_logdets(sigmas, jitter), "h double, isig int, sigma double, k int, logdet double")
 
 
 def _normalisers(grid: dict[float, tuple[np.ndarray, np.ndarray, np.ndarray]], most: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -76,22 +89,23 @@ def _normalisers(grid: dict[float, tuple[np.ndarray, np.ndarray, np.ndarray]], m
     return batches
 
 
-def normalisers(rho: DataFrame, sigmas: Sequence[float], most: int) -> DataFrame:
+def normalisers(rho: DataFrame, sigmas: Sigmas, most: int) -> DataFrame:
     """(h, isig, k, norm): ln e_k of the kernel's eigenvalues, and at k = -1 ln det(I + L). One task per candidate; the
     grid's size does not depend on the data."""
     rows = rho.select("h", "cell", "ix", "iy", "rho").orderBy("h", "cell").toPandas()  # one row per cell and raster
     grid = {h: tuple(part[c].to_numpy(float) for c in ("ix", "iy", "rho")) for h, part in rows.groupby("h")}
     spark = rho.sparkSession
-    todo = [(h, i, float(s)) for h in grid for i, s in enumerate(sigmas)]
+    todo = [(h, i, s) for h in grid for i, s in enumerate(_sigmas_at(sigmas, h))]
     return spark.createDataFrame(todo, "h double, isig int, sigma double").repartition(len(todo)).mapInPandas(_normalisers(grid, most), "h double, isig int, k int, norm double")
 
 
-def loglik(samples: DataFrame, rho: DataFrame, sigmas: Sequence[float], conditioned: bool, jitter: float = SCORE_JITTER, keys: Sequence[str] = KEYS) -> DataFrame:
+def loglik(samples: DataFrame, rho: DataFrame, sigmas: Sigmas, conditioned: bool, jitter: float = SCORE_JITTER, keys: Sequence[str] = KEYS, uses: DataFrame | None = None) -> DataFrame:
     """(h, isig, sigma, ll, logdet, logz) for every raster and sigma; conditioned on the sample sizes (sum over sizes of
-    count * ln e_k) or not (number of samples * ln det(I + L))."""
-    by_size = sample_logdet(samples, rho, sigmas, jitter, keys).groupBy("h", "isig", "sigma", "k").agg(F.sum("logdet").alias("logdet"), F.count("*").alias("n")).persist()
-    most = by_size.agg(F.max("k")).first()[0] or 0
-    norms = normalisers(rho, sigmas, most)
+    count * ln e_k) or not (number of samples * ln det(I + L)). uses: as of sample_logdet()."""
+    by_size = sample_logdet(samples, rho, sigmas, jitter, keys, uses).groupBy("h", "isig", "sigma", "k").agg(F.sum("logdet").alias("logdet"), F.count("*").alias("n"))
+    # a sample's size is known before its determinants
+    most = samples.groupBy(*keys).agg(F.count("*").alias("k")).agg(F.max("k")).first()[0] or 0
+    norms = normalisers(rho, sigmas, int(most))
     if conditioned:
         joined = by_size.join(norms, ["h", "isig", "k"])
     else:
@@ -151,42 +165,80 @@ def pilot_bandwidth(placed: DataFrame, nx: int, ny: int, hs: Sequence[float] = P
     return arg_max(intensity.select_bandwidth_discrete(placed, nx, ny, hs, k_folds), "ll", "idx").first()["h"]
 
 
+class _Folds:
+    """Patterns dealt to folds, and what cross-validation asks of them. A raster is named by a number in place of h, so that
+    one job meets the rasters of all folds."""
+
+    def __init__(self, placed: DataFrame, nx: int, ny: int, k: int, seed: int, mask: DataFrame | None, keys: Sequence[str]):
+        self.nx, self.ny, self.k, self.mask, self.keys = nx, ny, k, mask, list(keys)
+        self.folded = cleaning.assign_folds(placed, "pattern_id", k, seed).persist()
+        fold = self.folded.select("pattern_id", "fold").distinct()
+        self.samples = samples_of(self.folded, nx, keys, mask).join(fold, "pattern_id").persist()
+        counts = self.folded.groupBy("fold", "ix", "iy").agg(F.count("*").alias("c"))
+        self.train = intensity.outside_of_folds(counts, k, ["ix", "iy"])
+
+    def rho(self, wanted: list[tuple[int, float]]) -> DataFrame:
+        """Rasters of the points outside each fold, as rho, for (fold, h) by their place in the list."""
+        spark = self.folded.sparkSession
+        named = spark.createDataFrame([(f, h, float(i)) for i, (f, h) in enumerate(wanted)], "outer int, h double, name double")
+        hs = sorted({h for _, h in wanted})
+        raster = intensity.estimate_intensity(self.train, self.nx, self.ny, hs, ["outer"], self.mask, wanted=named.select("outer", "h").distinct())
+        inside = None if self.mask is None else self.mask.where("not masked")
+        return raster_to_rho(raster.join(named, ["outer", "h"]).drop("outer", "h").withColumnRenamed("name", "h"), self.nx, inside)
+
+    def uses(self, rasters: list[int], own: bool) -> DataFrame:
+        """(fold, h): which raster, of those whose folds are listed, the samples of a fold meet: its own, or all others."""
+        rows = [(g, float(i)) for i, f in enumerate(rasters) for g in range(self.k) if (g == f) == own]
+        return self.folded.sparkSession.createDataFrame(rows, "fold int, h double")
+
+    def release(self) -> None:
+        self.samples.unpersist()
+        self.folded.unpersist()
+
+
 def cross_validate(placed: DataFrame, nx: int, ny: int, k: int = 5, pilot: float | None = None, conditioned: bool = False, sigma: float | None = None, mask: DataFrame | None = None, coeffs: Sequence[float] = COEFFS, sigmas: Sequence[float] = SIGMAS, pilots: Sequence[float] = PILOTS, seed: int = 1, uniform: bool = False, keys: Sequence[str] = KEYS) -> dict:
     """Folds over patterns: pilot bandwidth, sigma, candidates c * h on the fold's patterns; scores summed by coefficient;
-    sigma again at the chosen bandwidth. Only scalars come to the driver."""
-    spark = placed.sparkSession
-    folded = cleaning.assign_folds(placed, "pattern_id", k, seed).persist()
-    rows, plain = [], []
-    for fold in range(k):
-        train, test = cleaning.members(folded, [fold], train=True), cleaning.members(folded, [fold])
-        h = pilot or pilot_bandwidth(train, nx, ny, pilots)
-        s = sigma if sigma is not None else reestimate_sigma(train, nx, ny, h, sigmas, True, mask, keys)
-        hs = [c * h for c in coeffs]
-        scores = {r["h"]: r["ll"] for r in evaluate_bandwidths(train, test, nx, ny, hs, s, conditioned, mask, keys).collect()}
-        rows += [(fold, i, c, scores.get(c, float("-inf")), h, s) for i, c in enumerate(hs)]
-        if uniform:
-            plain.append(evaluate_uniform(test, nx, ny, s, conditioned, mask, keys))
-    results = spark.createDataFrame(rows, "fold int, idx int, h double, ll double, pilot double, sigma double")
-    chosen = arg_max(sum_over_folds(results, "idx", "h", "ll"), "ll", "idx").first()
-    base = pilot or pilot_bandwidth(placed, nx, ny, pilots)
-    h = coeffs[chosen["idx"]] * base
-    if sigma is not None:
-        last = sigma
-    elif coeffs[chosen["idx"]] == 1.0:
-        last = results.select("fold", "sigma").distinct().agg(F.avg("sigma")).first()[0]
-    else:
-        last = reestimate_sigma(placed, nx, ny, h, sigmas, True, mask, keys)
-    folded.unpersist()
+    sigma again at the chosen bandwidth. The folds are a column, so a stage is one job, whatever their number. Only
+    scalars and rasters come to the driver."""
+    spark, folds = placed.sparkSession, range(k)
+    data = _Folds(placed, nx, ny, k, seed, mask, keys)
+    try:
+        chosen_h = {f: pilot for f in (*folds, -1)} if pilot else intensity.select_bandwidths(data.folded, k, nx, ny, pilots)
+        if sigma is not None:
+            fitted = dict.fromkeys(folds, sigma)
+        else:
+            first = loglik(data.samples, data.rho([(f, chosen_h[f]) for f in folds]), sigmas, True, PROFILE_JITTER, keys, data.uses(list(folds), own=False))
+            fitted = {int(row["h"]): row["sigma"] for row in best_interior(first, "ll", "isig", ["h"]).collect()}
+        todo = [(f, i, c * chosen_h[f]) for f in folds for i, c in enumerate(coeffs)]
+        by_raster = {float(n): [fitted[f]] for n, (f, _, _) in enumerate(todo)}
+        found = loglik(data.samples, data.rho([(f, h) for f, _, h in todo]), by_raster, conditioned, SCORE_JITTER, keys, data.uses([f for f, _, _ in todo], own=True))
+        scores = {row["h"]: row["ll"] for row in found.collect()}
+        rows = [(f, i, h, scores.get(float(n), float("-inf")), chosen_h[f], fitted[f]) for n, (f, i, h) in enumerate(todo)]
+        plain = [evaluate_uniform(data.samples.where(F.col("fold") == f).select(*keys, (F.col("cell") % nx).alias("ix"), F.floor(F.col("cell") / nx).cast("int").alias("iy")), nx, ny, fitted[f], conditioned, mask, keys) for f in folds] if uniform else []
+        results = spark.createDataFrame(rows, "fold int, idx int, h double, ll double, pilot double, sigma double")
+        best_c = arg_max(sum_over_folds(results, "idx", "h", "ll"), "ll", "idx").first()["idx"]
+        base = chosen_h[-1]
+        h = coeffs[best_c] * base
+        if sigma is not None:
+            last = sigma
+        elif coeffs[best_c] == 1.0:
+            last = sum(fitted.values()) / len(fitted)
+        else:
+            last = reestimate_sigma(placed, nx, ny, h, sigmas, True, mask, keys)
+    finally:
+        data.release()
     return {"folds": results, "pilot": base, "h": h, "sigma": last, "uniform": plain}
 
 
 def refine(placed: DataFrame, nx: int, ny: int, n_iter: int = 5, **options) -> DataFrame:
-    """(iteration, h, sigma): cross-validation repeated from the last bandwidth."""
-    path, pilot = [], None
+    """(iteration, h, sigma): cross-validation repeated from the last bandwidth. One that is chosen again is chosen ever after,
+    so nothing is computed anew from there on."""
+    path, pilot, settled = [], None, False
     for i in range(n_iter):
+        if settled:
+            path.append((i + 1, *path[-1][1:]))
+            continue
         found = cross_validate(placed, nx, ny, pilot=pilot, **options)
-        pilot = found["h"]
+        settled, pilot = found["h"] == pilot, found["h"]
         path.append((i + 1, float(found["h"]), float(found["sigma"])))
     return placed.sparkSession.createDataFrame(path, "iteration int, h double, sigma double")
-
-

@@ -285,15 +285,16 @@ def lattice_weights(spark: SparkSession, n: int, hs: Sequence[float]) -> DataFra
     return raw.withColumn("w", F.col("k") / F.sum("k").over(W.partitionBy("h", "i"))).select("h", "i", "j", "w")
 
 
-def discrete_kde(counts: DataFrame, nx: int, ny: int, hs: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
+def discrete_kde(counts: DataFrame, nx: int, ny: int, hs: Sequence[float], keys: Sequence[str] = (), wanted: DataFrame | None = None) -> DataFrame:
     """(keys, h, ix, iy, value): shares of the points (counts: keys, ix, iy, c) smoothed on the lattice, first along x,
-    then along y, for all bandwidths at once."""
+    then along y, for all bandwidths at once. wanted: keys and h of those to make; else all of hs."""
     spark, keys = counts.sparkSession, list(keys)
     totals = counts.groupBy(*keys).agg(F.sum("c").alias("total"))
     shares = (counts.join(F.broadcast(totals), keys) if keys else counts.crossJoin(F.broadcast(totals))).select(*keys, "ix", "iy", (F.col("c") / F.col("total")).alias("p"))
     wx = lattice_weights(spark, nx, hs).select("h", F.col("i").alias("tx"), F.col("j").alias("ix"), F.col("w").alias("wx"))
     wy = lattice_weights(spark, ny, hs).select("h", F.col("i").alias("ty"), F.col("j").alias("iy"), F.col("w").alias("wy"))
-    along_x = shares.join(wx, "ix").groupBy(*keys, "h", "tx", "iy").agg(F.sum(F.col("p") * F.col("wx")).alias("p"))
+    met = shares.join(wx, "ix") if wanted is None else shares.join(wanted, keys).join(wx, ["h", "ix"])
+    along_x = met.groupBy(*keys, "h", "tx", "iy").agg(F.sum(F.col("p") * F.col("wx")).alias("p"))
     both = along_x.join(wy, ["h", "iy"]).groupBy(*keys, "h", "tx", "ty").agg(F.sum(F.col("p") * F.col("wy")).alias("value"))
     return both.select(*keys, "h", F.col("tx").alias("ix"), F.col("ty").alias("iy"), "value")
 
@@ -311,12 +312,12 @@ def normalised(raster: DataFrame, keys: Sequence[str], mask: DataFrame | None =
     return joined.withColumn("value", F.when(good, F.col("value") / F.col("__s")).otherwise(flat)).drop("__s", "__n", "__all", "masked")
 
 
-def estimate_intensity(counts: DataFrame, nx: int, ny: int, hs: Sequence[float], keys: Sequence[str] = (), mask: DataFrame | None = None, normalize: bool = False, edge_correction: bool = False) -> DataFrame:
+def estimate_intensity(counts: DataFrame, nx: int, ny: int, hs: Sequence[float], keys: Sequence[str] = (), mask: DataFrame | None = None, normalize: bool = False, edge_correction: bool = False, wanted: DataFrame | None = None) -> DataFrame:
     """discrete_kde, then optionally edge correction (bandwidth and rectangle both in cells), masked cells to 0,
     normalisation, and always + 1e-10. mask: ix, iy, masked."""
     if min(hs, default=1) <= 0:
         raise ValueError("a bandwidth is positive")
-    raster = discrete_kde(counts, nx, ny, hs, keys)
+    raster = discrete_kde(counts, nx, ny, hs, keys, wanted)
     if edge_correction:
         e = edge_factor(F.col("ix").cast("double"), F.col("iy").cast("double"), (-0.5, -0.5, nx - 0.5, ny - 0.5), F.col("h"))
         raster = raster.withColumn("value", F.col("value") / F.greatest(e, F.lit(EPS)))
@@ -388,34 +389,59 @@ def diag_loglik(rho: DataFrame, counts: DataFrame, n_samples: DataFrame, keys: S
     return joined.select(*keys, (F.col("fit") - F.col("t") * F.col("norm")).alias("ll"))
 
 
+def _inner_folds(placed: DataFrame, unit: str, k_folds: int, seed: int) -> DataFrame:
+    return placed.withColumn("fold", F.pmod(F.crc32(F.concat(F.lit(f"{seed}-"), F.col(unit).cast("string"))), F.lit(k_folds)).cast("int"))
+
+
+def _fold_scores(own: DataFrame, sizes: DataFrame, nx: int, ny: int, hs: Sequence[float], conditioned: bool, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, idx, h, ll) summed over folds, from counts (keys, fold, ix, iy, c) and sample sizes (keys, fold, [k,] t). A fold's
+    training counts are the total less its own."""
+    keys, both = list(keys), [*keys, "fold"]
+    total = own.groupBy(*keys, "ix", "iy").agg(F.sum("c").alias("all"))
+    folds = own.select(*both).distinct()
+    every = folds.join(total, keys) if keys else folds.join(total)
+    train = every.join(own, [*both, "ix", "iy"], "left").select(*both, "ix", "iy", (F.col("all") - F.coalesce("c", F.lit(0))).alias("c"))
+    raster = estimate_intensity(train, nx, ny, hs, both)
+    rho = raster.select(*both, "h", (F.col("iy") * nx + F.col("ix")).alias("cell"), F.sqrt(F.greatest("value", F.lit(1e-16))).alias("rho"))
+    test = own.select(*both, (F.col("iy") * nx + F.col("ix")).alias("cell"), "c")
+    scores = diag_loglik(rho, test, sizes, [*both, "h"], conditioned)
+    order = F.array_position(F.array(*[F.lit(float(h)) for h in hs]), F.col("h")).cast("int") - 1
+    return scores.groupBy(*keys, "h").agg(F.sum("ll").alias("ll")).select(*keys, order.alias("idx"), "h", "ll")
+
+
 def select_bandwidth_discrete(placed: DataFrame, nx: int, ny: int, hs: Sequence[float], k_folds: int = 5, seed: int = 1, conditioned: bool = True, unit: str = "point_id", per_point: bool = True) -> DataFrame:
     """(idx, h, ll) summed over folds: fit on the other folds, score the fold with the diagonal model.
 
     placed: points with ix, iy. per_point: every point is a sample of size 1 and folds are dealt by a hash of the point;
     else unit names the pattern, folds deal patterns, and a sample is a pattern's distinct cells. conditioned: the score
-    given the samples' sizes, whatever they are. The data are read once,
-    into counts by fold and cell; a fold's training counts are the total less its own.
+    given the samples' sizes, whatever they are. The data are read into counts by fold and cell.
     """
-    if per_point:
-        folded = placed.withColumn("fold", F.pmod(F.crc32(F.concat(F.lit(f"{seed}-"), F.col(unit).cast("string"))), F.lit(k_folds)).cast("int"))
-    else:
-        folded = cleaning.assign_folds(placed.select(unit, "ix", "iy").distinct(), unit, k_folds, seed)
-    own = folded.groupBy("fold", "ix", "iy").agg(F.count("*").alias("c")).persist()
+    folded = _inner_folds(placed, unit, k_folds, seed) if per_point else cleaning.assign_folds(placed.select(unit, "ix", "iy").distinct(), unit, k_folds, seed)
+    own = folded.groupBy("fold", "ix", "iy").agg(F.count("*").alias("c"))
     if per_point:
         sizes = own.groupBy("fold").agg(F.sum("c").alias("t"))
     elif conditioned:
         sizes = folded.groupBy("fold", unit).agg(F.count("*").alias("k")).groupBy("fold", "k").agg(F.count("*").alias("t"))
     else:
         sizes = folded.groupBy("fold").agg(F.countDistinct(unit).alias("t"))
-    total = own.groupBy("ix", "iy").agg(F.sum("c").alias("all"))
-    every = own.select("fold").distinct().join(total)
-    train = every.join(own, ["fold", "ix", "iy"], "left").select("fold", "ix", "iy", (F.col("all") - F.coalesce("c", F.lit(0))).alias("c"))
-    raster = estimate_intensity(train, nx, ny, hs, ["fold"])
-    rho = raster.select("fold", "h", (F.col("iy") * nx + F.col("ix")).alias("cell"), F.sqrt(F.greatest("value", F.lit(1e-16))).alias("rho"))
-    test = own.select("fold", (F.col("iy") * nx + F.col("ix")).alias("cell"), "c")
-    scores = diag_loglik(rho, test, sizes, ["fold", "h"], conditioned)
-    order = F.array_position(F.array(*[F.lit(float(h)) for h in hs]), F.col("h")).cast("int") - 1
-    return scores.groupBy("h").agg(F.sum("ll").alias("ll")).select(order.alias("idx"), "h", "ll")
+    return _fold_scores(own, sizes, nx, ny, hs, conditioned)
+
+
+def outside_of_folds(counts: DataFrame, k: int, keys: Sequence[str]) -> DataFrame:
+    """Counts (fold, keys, c) summed over the other folds for each of the k folds, and, as outer -1, over all."""
+    outer = F.explode(F.filter(F.sequence(F.lit(-1), F.lit(k - 1)), lambda f: f != F.col("fold")))
+    return counts.withColumn("outer", outer).groupBy("outer", *keys).agg(F.sum("c").alias("c"))
+
+
+def select_bandwidths(folded: DataFrame, k: int, nx: int, ny: int, hs: Sequence[float], k_folds: int = 10, seed: int = 1, unit: str = "point_id") -> dict[int, float]:
+    """The bandwidth that select_bandwidth_discrete() would choose over single points for the points outside each of the k
+    folds (column fold), and, under -1, for all: in one job."""
+    inner = _inner_folds(folded.withColumnRenamed("fold", "out"), unit, k_folds, seed)
+    counts = inner.groupBy("out", "fold", "ix", "iy").agg(F.count("*").alias("c")).withColumnsRenamed({"fold": "in", "out": "fold"})
+    own = outside_of_folds(counts, k, ["in", "ix", "iy"]).withColumnRenamed("in", "fold")
+    sizes = own.groupBy("outer", "fold").agg(F.sum("c").alias("t"))
+    scores = _fold_scores(own, sizes, nx, ny, hs, True, ["outer"])
+    return {row["outer"]: row["h"] for row in arg_max(scores, "ll", "idx", ["outer"]).collect()}
 
 
 def bilinear_sample(points: DataFrame, raster: DataFrame, window: Window, nx: int, ny: int, keys: Sequence[str] = ()) -> DataFrame:

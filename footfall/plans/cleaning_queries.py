@@ -37,6 +37,19 @@ def patterns_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_patterns_csv(spark, path, False, 40, 20, x0=250.0, y0=250.0, dx=500.0, dy=500.0)
 
 
+_DERIVED = "CAST(least(greatest(round_even(y / 500.0 - 0.5, 0), 0), 19) * 40 + least(greatest(round_even(x / 500.0 - 0.5, 0), 0), 39) AS INT)"
+
+
+@query(sql(f"SELECT DISTINCT pattern_id, CASE WHEN source = 'Data' THEN {_DERIVED} ELSE grid_index + 1000 END AS cell_id FROM cells", "cells"))
+def patterns_csv_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder in which some files have a cell_id, not first, and others have none: each file's header decides."""
+    path = work_path(spark, "mixed")
+    placed = fx.cells(fx.points(spark, sf_dir))
+    placed.where("source = 'Data'").selectExpr("double(x) as x", "double(y) as y", "pattern_id").write.csv(path, header=True)
+    placed.where("source <> 'Data'").selectExpr("pattern_id", "double(x) as x", "double(y) as y", "grid_index + 1000 as cell_id").write.mode("append").csv(path, header=True)
+    return read_patterns_csv(spark, path, None, 40, 20, x0=250.0, y0=250.0, dx=500.0, dy=500.0)
+
+
 @query(sql("SELECT pattern_id, grid_index AS cell_id, ix * 500.0::DOUBLE + 250 AS x, iy * 500.0::DOUBLE + 250 AS y FROM (SELECT DISTINCT pattern_id, grid_index, ix, iy FROM cells)", "cells"))
 def written_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_path(spark, "cells")

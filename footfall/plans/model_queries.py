@@ -246,13 +246,13 @@ def strauss_bandwidths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def strauss_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All candidates, folds and iterations, over the coarse cells."""
-    return rounded(gibbs.refine(fx.points(spark, sf_dir), QUAD, "strauss", gibbs.candidates("strauss")))
+    """All candidates and folds over the coarse cells; the first iterations."""
+    return rounded(gibbs.refine(fx.points(spark, sf_dir), QUAD, "strauss", gibbs.candidates("strauss"), n_iter=2))
 
 
 @query()
 def dgs_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(gibbs.refine(fx.points(spark, sf_dir), QUAD, "dgs", gibbs.candidates("dgs")))
+    return rounded(gibbs.refine(fx.points(spark, sf_dir), QUAD, "dgs", gibbs.candidates("dgs"), n_iter=2))
 
 
 @query()
@@ -306,17 +306,23 @@ def dpp_bandwidths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(dpp.evaluate_bandwidths(part("Data"), part("Model"), QX, QY, [0.5, 1.0], 0.6), 4)
 
 
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points on the 16 x 8 grid."""
+    return fx.points(spark, sf_dir).select(
+        "source", "pattern_id", "point_id", F.least(F.expr("x div 1250"), F.lit(15)).cast("int").alias("ix"), F.least(F.expr("y div 1250"), F.lit(7)).cast("int").alias("iy"))
+
+
 @query()
 def dpp_cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = dpp.cross_validate(_samples(spark, sf_dir).withColumn("point_id", F.monotonically_increasing_id()), QX, QY, k=2, pilot=1.0, conditioned=True, coeffs=[0.5, 1.0, 2.0], sigmas=[0.3, 0.6, 0.9])
-    return rounded(found["folds"], 4)
+    """Scores of all candidate bandwidths in all folds, with all interaction ranges."""
+    return rounded(dpp.cross_validate(_placed(spark, sf_dir), QX, QY, conditioned=True)["folds"], 4)
 
 
 @query()
 def dpp_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cross-validation once more from the bandwidth that the first one chose; the pilot is searched for too."""
-    placed = _samples(spark, sf_dir).withColumn("point_id", F.monotonically_increasing_id())
-    return rounded(dpp.refine(placed, QX, QY, n_iter=2, k=2, conditioned=True, coeffs=[0.5, 1.0, 2.0], sigmas=[0.3, 0.6, 0.9], pilots=[0.5, 1.0, 2.0]), 4)
+    """Cross-validation in all folds, repeated from the bandwidth that the last one chose, with a few candidates."""
+    few = {"coeffs": [0.5, 1.0, 2.0], "sigmas": [0.3, 0.6, 0.9], "pilots": [0.5, 1.0, 2.0]}
+    return rounded(dpp.refine(_placed(spark, sf_dir), QX, QY, n_iter=2, conditioned=True, **few), 4)
 
 
 @query(sql("""SELECT count(*) AS n, round(sum(ln((ra * ra + 1e-6) * (rb * rb + 1e-6) - (ra * rb * exp(-d2 / (2 * 0.7 ** 2))) ** 2)), 4) AS logdet FROM

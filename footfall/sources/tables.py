@@ -26,12 +26,30 @@ def read_grid(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(GRID).parquet(path)
 
 
-def read_patterns_csv(spark: SparkSession, path: str, with_cell: bool, ncols: int = 160, nrows: int = 26, **axes: float) -> DataFrame:
-    """(pattern_id, cell_id), distinct: one point for each occupied cell. Where the files have no cell_id, it is the cell
-    of the grid nearest to x, y."""
-    df = spark.read.schema(MODEL_PATTERNS if with_cell else PATTERNS).csv(path, header=True)
-    if not with_cell:
-        df = df.withColumn("cell_id", physical_to_cell_id(F.col("x"), F.col("y"), ncols, nrows, **axes))
+def _by_header(spark: SparkSession, path: str) -> DataFrame:
+    """(pattern_id, cell_id, x, y, has_cell) of CSV files whose columns each file's own header names, in any order. Quotes,
+    a byte order mark and blank lines are passed over; a file without a header is an error."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).where(F.trim("value") != "")
+    fields = F.transform(F.split("value", ","), lambda v: F.trim(F.regexp_replace(v, "[\\ufeff\"]", "")))
+    lines = lines.select("file", fields.alias("fields"))
+    header = F.exists("fields", lambda v: F.lower(v) == "pattern_id")
+    heads = lines.where(header).groupBy("file").agg(F.first(F.transform("fields", F.lower)).alias("names"))  # a row for each file
+    rows = lines.where(~header).join(heads, "file", "left")
+    names = F.when(F.col("names").isNull(), F.raise_error(F.concat(F.lit("no header in "), "file"))).otherwise(F.col("names"))
+    named = rows.select("fields", names.alias("names"))
+    field = lambda n: F.get("fields", F.array_position("names", F.lit(n)).cast("int") - 1)
+    return named.select(field("pattern_id").cast("long").alias("pattern_id"), field("cell_id").cast("int").alias("cell_id"), field("x").cast("double").alias("x"), field("y").cast("double").alias("y"), F.array_contains("names", F.lit("cell_id")).alias("has_cell"))
+
+
+def read_patterns_csv(spark: SparkSession, path: str, with_cell: bool | None = None, ncols: int = 160, nrows: int = 26, **axes: float) -> DataFrame:
+    """(pattern_id, cell_id), distinct: one point for each occupied cell. Where a file has no cell_id, it is the cell of the
+    grid nearest to x, y. with_cell tells whether all files have it; without it each file's own header does."""
+    derived = physical_to_cell_id(F.col("x"), F.col("y"), ncols, nrows, **axes)
+    if with_cell is None:
+        df = _by_header(spark, path).withColumn("cell_id", F.when(F.col("has_cell"), F.col("cell_id")).otherwise(derived))
+    else:
+        df = spark.read.schema(MODEL_PATTERNS if with_cell else PATTERNS).csv(path, header=True)
+        df = df if with_cell else df.withColumn("cell_id", derived)
     return df.select("pattern_id", "cell_id").distinct()
 
 

@@ -6,7 +6,7 @@ from footfall.plans.registry import ORACLE_SQL, QUERIES
 from tests.compare import same
 
 FOLDER = "/root/testdata/sf0.001"
-SLOW = {"validation_bundle", "strauss_refinement", "dgs_refinement", "dgs_cross_validation", "dpp_cross_validation"}
+SLOW = {"validation_bundle", "strauss_refinement", "dgs_refinement", "dgs_cross_validation", "dpp_cross_validation", "dpp_refinement"}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - SLOW))

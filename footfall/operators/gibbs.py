@@ -179,6 +179,17 @@ class _Profiler:
                     out[image, k, part] = b + al * s[k].sum() - m * (math.log(group.area) + top) - logs
         return out
 
+    def pattern(self, xy: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Each group of radii with the values of a whole pattern, if it has points inside the group's window."""
+        for g, group in enumerate(self.groups):
+            x0, y0, x1, y1 = group.inner
+            inside = xy[(xy[:, 0] >= x0) & (xy[:, 0] <= x1) & (xy[:, 1] >= y0) & (xy[:, 1] <= y1)]
+            if len(inside):
+                cells, part = self.field(g, inside)
+                field = np.zeros((len(group.at), len(group.u)))
+                field[:, cells] = part
+                yield g, self.values(g, inside, self.neighbours(g, inside, inside), cells, part, *self.common(g, field))
+
 
 def _rows(works: dict[int, _Profiler], sums: dict[tuple[int, int], np.ndarray]) -> Iterator[pa.RecordBatch]:
     """Sums by set and group of radii as rows."""
@@ -200,16 +211,7 @@ def _whole_patterns(points: DataFrame, keys: Sequence[str], works: dict[int, _Pr
         sums: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             for row, s in enumerate(batch.column("set").to_pylist()):
-                xy, work = _places(batch.column("pts"), row), works[s]
-                for g, group in enumerate(work.groups):
-                    x0, y0, x1, y1 = group.inner
-                    inside = xy[(xy[:, 0] >= x0) & (xy[:, 0] <= x1) & (xy[:, 1] >= y0) & (xy[:, 1] <= y1)]
-                    if not len(inside):
-                        continue
-                    cells, part = work.field(g, inside)
-                    field = np.zeros((len(group.at), len(group.u)))
-                    field[:, cells] = part
-                    value = work.values(g, inside, work.neighbours(g, inside, inside), cells, part, *work.common(g, field))
+                for g, value in works[s].pattern(_places(batch.column("pts"), row)):
                     sums[s, g] = sums[s, g] + value if (s, g) in sums else value
         yield from _rows(works, sums)
 

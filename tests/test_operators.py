@@ -170,7 +170,9 @@ def test_profile_in_parts_equals_direct_sum(monkeypatch, kind, erode, pin, fixed
     xy = np.r_[rng.random((24, 2)) * [20, 10], [[10.0, 5.0], [10.0, 5.0]]]
     q = gibbs.Quadrature((0.0, 0.0, 20.0, 10.0), 8, 4, erode, pin, fixed)
     images, radii, alphas = [(1.0, rng.random((4, 8)) + 0.5), (2.0, rng.random((4, 8)) + 0.5)], [1.0, 3.0], [-0.5, 0.0, 1.5]
-    got = gibbs._profiler(images, q, radii, alphas, kind)(pd.DataFrame(xy, columns=["x", "y"]))
+    work = gibbs._Profiler(images, q, radii, alphas, kind)
+    rows = [(h, radii[ir], alpha, value[i, k, ia]) for g, value in work.pattern(xy) for i, (h, _) in enumerate(images) for k, ir in enumerate(work.groups[g].at) for ia, alpha in enumerate(alphas)]
+    got = pd.DataFrame(rows, columns=["h", "r", "alpha", "logcpl"])
     assert len(got) == 12
     for row in got.itertuples():
         u, area, inner = gibbs._cells(q, row.r)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.scalars import occupancy_class
-from . import pairs, ranges
+from . import pairs, quantiles, ranges
 from .cleaning import one_row_per_snapshot, with_size
 
 KEYS = pairs.KEYS
@@ -95,14 +95,15 @@ def nn_distance_kde(near: DataFrame, span: tuple[float, float], adjust: dict[str
     """Gaussian density of k-NN distances by source and class at n points of span. The bandwidth is 1.06 * min(sd,
     IQR / 1.34) * m^-0.2 times adjust (sd alone if the IQR is 0); classes with one distinct distance are absent.
 
-    Distances are counted by value first: on a lattice few remain."""
+    Distances are counted by value first: on a lattice few remain. Quartiles are exact and gather no class in one place, so
+    near is read a few times: store it first."""
     inside = _by_class(near, units_per_m, occupancy_breaks).where(F.col("d").between(*map(float, span)))
     values = inside.groupBy("source", "occupancy", "d").agg(F.count("*").alias("c"))
-    quartile = lambda q: F.percentile("d", F.lit(q), F.col("c"))
+    quartiles = quantiles.exact_quantiles(inside, "d", [0.25, 0.75], ["source", "occupancy"])
     m = F.sum("c").cast("double")
     spread = values.groupBy("source", "occupancy").agg(
         m.alias("m"), F.sum(F.col("c") * F.col("d")).alias("s1"), F.sum(F.col("c") * F.col("d") * F.col("d")).alias("s2"),
-        ((quartile(0.75) - quartile(0.25)) / 1.34).alias("iqr"), F.count("*").alias("distinct")).where("distinct > 1")
+        F.count("*").alias("distinct")).where("distinct > 1").join(quartiles, ["source", "occupancy"]).withColumn("iqr", (F.col("q1") - F.col("q0")) / 1.34)
     sd = F.sqrt((F.col("s2") - F.col("s1") * F.col("s1") / F.col("m")) / (F.col("m") - 1))
     factor = F.lit(float(adjust)) if not isinstance(adjust, dict) else F.coalesce(*[F.when(F.col("occupancy") == k, F.lit(float(v))) for k, v in adjust.items()])
     width = spread.select("source", "occupancy", "m", (1.06 * F.when(F.col("iqr") > 0, F.least(sd, F.col("iqr"))).otherwise(sd) * F.pow("m", F.lit(-0.2)) * factor).alias("h"))
@@ -183,7 +184,7 @@ def confidence_band(df: DataFrame, mean: str = "mean", se: str = "se") -> DataFr
 
 def clip_at_percentile(raster: DataFrame, column: str, percent: float = 99.0) -> DataFrame:
     """Cells above a percentile (linear between ranks) are set to it."""
-    top = raster.agg(F.percentile(column, F.lit(percent / 100)).alias("__top"))
+    top = quantiles.exact_quantiles(raster, column, [percent / 100]).select(F.col("q0").alias("__top"))
     return raster.crossJoin(F.broadcast(top)).withColumn(column, F.least(column, "__top")).drop("__top")
 
 

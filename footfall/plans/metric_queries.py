@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cleaning, metrics, pairs
+from ..operators import cleaning, metrics, pairs, quantiles
 from . import fixtures as fx
 from .fixtures import sql
 from .support import Query, register, rounded
@@ -65,6 +65,29 @@ def crowded_close_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.groupBy("pattern_id").agg(F.count("*").alias("n_pairs"), F.sum("d2").alias("sum_d2"))
 
 
+_FLAGS = """SELECT l_returnflag AS flag, l_orderkey * 8 + l_linenumber AS id, CAST(round(l_extendedprice * 100) AS BIGINT) % IF(l_linenumber = 1, 200, 20000) AS x,
+    (l_partkey * 37 + l_linenumber * 11) % 10000 AS y FROM lineitem"""
+
+
+@query(f"""WITH p AS ({_FLAGS.replace("IF(l_linenumber = 1, 200, 20000)", "CASE WHEN l_linenumber = 1 THEN 200 ELSE 20000 END")}),
+    q AS (SELECT flag, id, x, y, y // 20 + unnest([-1, 0, 1]) AS b FROM p)
+    SELECT p.flag, count(*) AS n_pairs, CAST(sum((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) AS BIGINT) AS sum_d2 FROM p JOIN q
+    ON p.flag = q.flag AND p.y // 20 = q.b AND p.id < q.id AND (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) <= 400 GROUP BY 1""")
+def tiled_close_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Close pairs of three patterns that hold all line items, a quarter of each on a narrow strip: the tiles' case."""
+    fx.read_table(spark, sf_dir, "lineitem").createOrReplaceTempView("__lineitem")
+    points = spark.sql(_FLAGS.replace("FROM lineitem", "FROM __lineitem")).withColumnRenamed("id", "point_id")
+    near = pairs.ordered_pairs(points, 20.0, ["flag"]).where("i < j")
+    return near.groupBy("flag").agg(F.count("*").alias("n_pairs"), F.sum("d2").alias("sum_d2"))
+
+
+@query("""SELECT l_returnflag, round(quantile_cont(l_extendedprice::DOUBLE, 0.01), 6) AS q0, round(quantile_cont(l_extendedprice::DOUBLE, 0.25), 6) AS q1,
+    round(quantile_cont(l_extendedprice::DOUBLE, 0.5), 6) AS q2, round(quantile_cont(l_extendedprice::DOUBLE, 0.999), 6) AS q3 FROM lineitem GROUP BY 1""")
+def exact_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = fx.read_table(spark, sf_dir, "lineitem")
+    return rounded(quantiles.exact_quantiles(lines, "l_extendedprice", [0.01, 0.25, 0.5, 0.999], ["l_returnflag"]))
+
+
 @query(sql("SELECT n, source, count(*) AS patterns FROM sizes WHERE n IN (SELECT n FROM lv) GROUP BY n, source", "sizes",
     lv=f"SELECT n FROM (SELECT n, source, count(*) AS c FROM sizes GROUP BY 1, 2) GROUP BY n HAVING count(*) = 2 AND min(c) >= {MIN_REPS}"))
 def restrict_to_common(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +155,9 @@ def nn_distance_density(spark: SparkSession, sf_dir: str) -> DataFrame:
         SELECT source, occupancy, count(*)::DOUBLE AS m, stddev_samp(d) AS sd, (quantile_cont(d, 0.75) - quantile_cont(d, 0.25)) / 1.34 AS iqr
         FROM ds WHERE d BETWEEN 0 AND 5 GROUP BY 1, 2 HAVING count(DISTINCT d) > 1)"""))
 def nn_distance_kde(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = pairs.knn_distance(fx.points(spark, sf_dir), 1).withColumn("d", F.round(F.col("d") / 500))
+    from .support import stored
+
+    near = stored(pairs.knn_distance(fx.points(spark, sf_dir), 1).withColumn("d", F.round(F.col("d") / 500)), "near")
     return rounded(metrics.nn_distance_kde(near, (0.0, 5.0), {"low": 1.5, "med": 1.5, "high": 2.25}, 64, 2))
 
 

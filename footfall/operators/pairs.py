@@ -25,56 +25,41 @@ def _d2():
 def ordered_pairs(points: DataFrame, rmax: float | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
     """(keys, i, j, d2) for all i <> j of a pattern with squared distance d2 <= rmax^2 (None: no bound).
 
-    With a bound, points of small patterns meet by buckets of side rmax: each is looked for in its own bucket and the eight
-    around it. Patterns of more than ranges.TILE points are cut by their own counts: see _pairs_of_tiles(). Either way a
-    crowded pattern costs its close pairs, not the square of its size. Points with a null or non-finite coordinate have no
-    close pairs.
+    With a bound, points meet by buckets of side rmax: each point is looked for in its own bucket and the eight around it,
+    so a crowded pattern costs its close pairs, not the square of its size, and its buckets spread over tasks. Crowded
+    buckets are cut: see _spread(). Points with a null or non-finite coordinate have no close pairs.
     """
-    if rmax is None:
-        left, right = _sides(points, keys)
-        return left.join(right, list(keys)).where(F.col("i") != F.col("j")).select(*keys, "i", "j", _d2().alias("d2"))
-    points = ranges.finite_points(points)
-    frames = ranges.crowded(points, keys, ranges.TILE)
-    if frames.isEmpty():
-        return _pairs_of_buckets(points, float(rmax), keys)
-    few, many = (points.join(frames.select(*keys), list(keys), how) for how in ("left_anti", "left_semi"))
-    return _pairs_of_buckets(few, float(rmax), keys).unionByName(_pairs_of_tiles(many, frames, float(rmax), keys))
-
-
-def _sides(points: DataFrame, keys: Sequence[str], more: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    side = lambda a: points.select(*keys, F.col("point_id").alias(a), F.col("x").alias(f"x{a}"), F.col("y").alias(f"y{a}"), *more)
-    return side("i"), side("j")
-
-
-def _met(left: DataFrame, right: DataFrame, on: Sequence[str], rmax: float, keys: Sequence[str]) -> DataFrame:
-    pairs = left.join(right, list(on)).where(F.col("i") != F.col("j")).select(*keys, "i", "j", _d2().alias("d2"))
-    return pairs.where(F.col("d2") <= F.lit(rmax**2))
-
-
-def _pairs_of_buckets(points: DataFrame, rmax: float, keys: Sequence[str]) -> DataFrame:
-    left, right = _sides(points, keys)
-    bucket = lambda v: F.floor(F.col(v) / F.lit(rmax))
-    around = lambda v: F.explode(F.array(bucket(v) - 1, bucket(v), bucket(v) + 1))
-    left = left.withColumn("bx", bucket("xi")).withColumn("by", bucket("yi"))
-    right = right.withColumn("bx", around("xj")).withColumn("by", around("yj"))
-    return _met(left, right, [*keys, "bx", "by"], rmax, keys)
-
-
-def _pairs_of_tiles(points: DataFrame, frames: DataFrame, rmax: float, keys: Sequence[str]) -> DataFrame:
-    """Close pairs of large patterns: a quadtree halves crowded squares until each tile holds ranges.TILE points or fewer,
-    and a tile lists those whose boxes come within rmax of its own. Points meet by pairs of tiles, so no key holds more than
-    TILE x TILE pairs, even where all points lie within one radius; a point is sent once for each tile near its own."""
-    tiles = ranges.tiled(points, frames, keys).select(*keys, "point_id", "x", "y", "tile")
-    box = tiles.groupBy(*keys, "tile").agg(*[f(c).cast("double").alias(n) for c in ("x", "y") for n, f in ((f"{c}0", F.min), (f"{c}1", F.max))])
-    a, b = (box.select(*keys, *[F.col(c).alias(f"{c}{side}") for c in box.columns[len(keys) :]]) for side in ("a", "b"))
-    gap = lambda v: F.greatest(F.lit(0.0), F.col(f"{v}0b") - F.col(f"{v}1a"), F.col(f"{v}0a") - F.col(f"{v}1b"))
-    near = (gap("x") * gap("x") + gap("y") * gap("y")) * (1 - ranges.SLACK) <= rmax**2
-    lists = a.join(b, list(keys)).where(near).select(*keys, "tilea", "tileb")
-    on = [*keys, "tilea", "tileb"]
-    left, right = _sides(tiles, keys, ["tile"])
-    left = left.withColumnRenamed("tile", "tilea").join(lists, [*keys, "tilea"])
-    right = right.withColumnRenamed("tile", "tileb").join(lists, [*keys, "tileb"])
-    return _met(ranges.dealt(left, on), ranges.dealt(right, on), on, rmax, keys)
+    if rmax is not None:
+        points = ranges.finite_points(points)
+    side = lambda a: points.select(*keys, F.col("point_id").alias(a), F.col("x").alias(f"x{a}"), F.col("y").alias(f"y{a}"))
+    left, right, on = side("i"), side("j"), list(keys)
+    if rmax is not None:
+        bucket = lambda v: F.floor(F.col(v) / F.lit(float(rmax)))
+        left = left.withColumn("bx", bucket("xi")).withColumn("by", bucket("yi"))
+        around = lambda v: F.explode(F.array(bucket(v) - 1, bucket(v), bucket(v) + 1))
+        right = right.withColumn("bx", around("xj")).withColumn("by", around("yj"))
+        on += ["bx", "by"]
+        # where no bucket holds a third of a tile, its points and those of nine buckets make a tile's square of pairs at most
+        if not left.groupBy(*on).agg(F.count("*").alias("n")).where(F.col("n") > ranges.TILE // 3).isEmpty():
+            left, right, on = _spread(left, right, on)
+    pairs = left.join(right, on).where(F.col("i") != F.col("j")).select(*keys, "i", "j", _d2().alias("d2"))
+    return pairs if rmax is None else pairs.where(F.col("d2") <= F.lit(float(rmax) ** 2))
+
+
+def _spread(left: DataFrame, right: DataFrame, on: Sequence[str]) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides of a join with further key columns: a key of more than TILE x TILE pairs is cut by its own counts into
+    parts of about TILE rows on each side, and every part of one side meets every part of the other once. So a crowd within
+    one radius spreads over as many keys as its pairs make tiles, while a row is sent once for each part it meets."""
+    on, tile = list(on), ranges.TILE
+    counts = left.groupBy(*on).agg(F.count("*").alias("n")).join(right.groupBy(*on).agg(F.count("*").alias("m")), on)
+    heavy = counts.where(F.col("n") * F.col("m") > tile * tile).select(*on, F.ceil(F.col("n") / tile).alias("parts_i"), F.ceil(F.col("m") / tile).alias("parts_j"))
+    out = []
+    for df, mine, other in ((left, "i", "j"), (right, "j", "i")):
+        parts = lambda a: F.coalesce(f"parts_{a}", F.lit(1))
+        cut = df.join(heavy, on, "left").withColumn(f"part_{mine}", F.pmod(F.xxhash64(mine), parts(mine)))
+        met = cut.withColumn(f"part_{other}", F.explode(F.sequence(F.lit(0).cast("long"), parts(other) - 1))).drop("parts_i", "parts_j")
+        out.append(ranges.dealt(met, [*on, "part_i", "part_j"]))
+    return out[0], out[1], [*on, "part_i", "part_j"]
 
 
 def close_pairs(points: DataFrame, rmax: float, keys: Sequence[str] = KEYS) -> DataFrame:

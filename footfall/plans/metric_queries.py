@@ -73,8 +73,8 @@ _FLAGS = """SELECT l_returnflag AS flag, l_orderkey * 8 + l_linenumber AS id, CA
     q AS (SELECT flag, id, x, y, y // 20 + unnest([-1, 0, 1]) AS b FROM p)
     SELECT p.flag, count(*) AS n_pairs, CAST(sum((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) AS BIGINT) AS sum_d2 FROM p JOIN q
     ON p.flag = q.flag AND p.y // 20 = q.b AND p.id < q.id AND (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) <= 400 GROUP BY 1""")
-def tiled_close_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Close pairs of three patterns that hold all line items, a quarter of each on a narrow strip: the tiles' case."""
+def strip_close_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Close pairs of three patterns that hold all line items, a quarter of each on a narrow strip, which few buckets hold."""
     fx.read_table(spark, sf_dir, "lineitem").createOrReplaceTempView("__lineitem")
     points = spark.sql(_FLAGS.replace("FROM lineitem", "FROM __lineitem")).withColumnRenamed("id", "point_id")
     near = pairs.ordered_pairs(points, 20.0, ["flag"]).where("i < j")

@@ -1,4 +1,4 @@
-"""Exact quantiles against sorted values, and close pairs of patterns in tiles against brute force."""
+"""Exact quantiles against sorted values, and close pairs in crowded buckets against brute force."""
 
 import math
 
@@ -60,7 +60,7 @@ def test_a_coarse_sketch_costs_rounds_only(spark, monkeypatch):
 
 @pytest.mark.parametrize("tile", [4096, 100, 16])
 @pytest.mark.parametrize("radius", [5.0, 60.0, 5000.0])
-def test_close_pairs_of_tiles(spark, monkeypatch, tile, radius):
+def test_close_pairs_of_crowded_buckets(spark, monkeypatch, tile, radius):
     monkeypatch.setattr(ranges, "TILE", tile)
     rng = np.random.default_rng(4)
     xy = rng.integers(0, 1000, (250, 2)).astype(float)
@@ -74,11 +74,12 @@ def test_close_pairs_of_tiles(spark, monkeypatch, tile, radius):
 
 
 def test_a_crowd_within_one_radius_spreads(spark, monkeypatch):
-    """The points of one bucket lie in many keys, none of which holds more than a tile a side."""
+    """All points of one bucket: its pairs lie in many keys, none of which holds many more rows than a tile."""
     monkeypatch.setattr(ranges, "TILE", 64)
     rng = np.random.default_rng(5)
     df = spark.createDataFrame([("a", 1, i, float(x), float(y)) for i, (x, y) in enumerate(rng.random((2000, 2)))], "source string, pattern_id long, point_id long, x double, y double")
-    keys = list(ranges.KEYS)
-    sizes = [r["count"] for r in ranges.tiled(df, ranges.crowded(df, keys, 64), keys, 64).groupBy("tile").count().collect()]
-    assert max(sizes) <= 64 and len(sizes) > 30
+    left, right, on = pairs._spread(df.selectExpr("pattern_id", "point_id as i"), df.selectExpr("pattern_id", "point_id as j"), ["pattern_id"])
+    for side in (left, right):
+        sizes = [r["count"] for r in side.groupBy(*on).count().collect()]
+        assert len(sizes) == 32 * 32 and max(sizes) < 2 * 64
     assert pairs.close_pairs(df, 2.0).count() == 2000 * 1999 // 2

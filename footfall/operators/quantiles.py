@@ -5,13 +5,20 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A group, or an interval, of so many values or fewer is sorted at once.
 LIMIT = 16_384
 #: A sketch's ranks are off by 1 / ACCURACY of its values; so many shares are asked of it at most.
 ACCURACY, SHARES = 4096, 256
+#: A list from the driver of so many rows or fewer goes to every task; a longer one is joined as Spark decides.
+BROADCAST_ROWS = 100_000
+
+
+def _listed(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    df = spark.createDataFrame(rows, schema)
+    return F.broadcast(df) if len(rows) <= BROADCAST_ROWS else df
 
 
 def _shares(wanted: list[float]) -> list[float]:
@@ -34,21 +41,21 @@ def _at_ranks(rows: DataFrame, wanted: Sequence[tuple[int, int]]) -> dict[tuple[
     inside = (F.col("lo").isNull() | (F.col("v") > F.col("lo"))) & (F.col("hi").isNull() | (F.col("v") < F.col("hi")))
     while held:
         spans = {span: i for i, span in enumerate(sorted({(g, lo, hi) for (g, _), (lo, hi, _) in held.items()}, key=str))}
-        table = spark.createDataFrame([(i, *span) for span, i in spans.items()], "s int, g int, lo double, hi double")
+        table = _listed(spark, [(i, *span) for span, i in spans.items()], "s int, g int, lo double, hi double")
         within = rows.join(table, "g").where(inside)
         sizes = {r["s"]: r["n"] for r in within.groupBy("s").agg(F.count("*").alias("n")).collect()}
         place = {key: spans[key[0], lo, hi] for key, (lo, hi, _) in held.items()}
         few = {key for key in held if sizes[place[key]] <= LIMIT}
         if few:
-            ranks = spark.createDataFrame([(place[key], *key, key[1] - held[key][2]) for key in few], "s int, g int, rank long, at long")
-            values = within.join(ranks.select("s").distinct(), "s", "left_semi").groupBy("s").agg(F.sort_array(F.collect_list("v")).alias("vs"))
+            ranks = _listed(spark, [(place[key], *key, key[1] - held[key][2]) for key in few], "s int, g int, rank long, at long")
+            values = within.join(ranks.select("s"), "s", "left_semi").groupBy("s").agg(F.sort_array(F.collect_list("v")).alias("vs"))
             found |= {(r["g"], r["rank"]): r["v"] for r in values.join(ranks, "s").select("g", "rank", F.get("vs", F.col("at").cast("int")).alias("v")).collect()}
             held = {key: span for key, span in held.items() if key not in few}
         if not held:
             break
         share = {key: (key[1] - held[key][2] + 0.5) / sizes[place[key]] for key in held}
         asked = _shares(list(share.values()))
-        still = spark.createDataFrame([(s,) for s in {place[key] for key in held}], "s int")
+        still = _listed(spark, [(s,) for s in {place[key] for key in held}], "s int")
         sketch = within.join(still, "s", "left_semi").groupBy("s").agg(F.percentile_approx("v", asked, ACCURACY).alias("at"))
         told = {r["s"]: r["at"] for r in sketch.collect()}
         cuts = []
@@ -59,7 +66,7 @@ def _at_ranks(rows: DataFrame, wanted: Sequence[tuple[int, int]]) -> dict[tuple[
             cuts.append((g, rank, lo, hi, at[low], at[high]))
         # ranks side by side mostly share their cuts, so each cut is counted once
         cut = {c: i for i, c in enumerate(dict.fromkeys((g, *rest) for g, _, *rest in cuts))}
-        marks = spark.createDataFrame([(i, *c) for c, i in cut.items()], "c int, g int, lo double, hi double, a double, b double")
+        marks = _listed(spark, [(i, *c) for c, i in cut.items()], "c int, g int, lo double, hi double, a double, b double")
         v, a, b = F.col("v"), F.col("a"), F.col("b")
         counts = rows.join(marks, "g").where(inside).groupBy("c").agg(
             *[F.count_if(test).alias(name) for name, test in (("lt", v < a), ("at_a", v == a), ("mid", (v > a) & (v < b)), ("at_b", (v == b) & (a < b)))])
@@ -95,7 +102,7 @@ def exact_quantiles(df: DataFrame, column: str, shares: Sequence[float], keys: S
     spark = df.sparkSession
     kinds = ", ".join(f"`__{i}` {df.schema[k].dataType.simpleString()}" for i, k in enumerate(keys))
     if keys:
-        groups = spark.createDataFrame([(*[r[k] for k in keys], g) for g, r in enumerate(large)], f"{kinds}, g int")
+        groups = _listed(spark, [(*[r[k] for k in keys], g) for g, r in enumerate(large)], f"{kinds}, g int")
         same = [F.col(k).eqNullSafe(F.col(f"__{i}")) for i, k in enumerate(keys)]
         numbered = rows.join(groups, same).select("g", F.col("__v").alias("v"))
     else:

@@ -60,12 +60,12 @@ def text_runs(texts: Sequence[object], most: int = 4 * PIECE) -> Iterator[list[s
         yield part
 
 
-def pieces(texts: Sequence[str]) -> Iterator[tuple[np.ndarray, bytes]]:
-    """The joined UTF-8 of runs of texts, each of about PIECE bytes, and where each text ends in it."""
+def pieces(texts: Sequence[str], most: int = PIECE) -> Iterator[tuple[np.ndarray, bytes]]:
+    """The joined UTF-8 of runs of texts, each of about `most` bytes, and where each text ends in it."""
     start = 0
     while start < len(texts):
         stop, size, part = start, 0, []
-        while stop < len(texts) and (not part or size + len(texts[stop]) < PIECE):
+        while stop < len(texts) and (not part or size + len(texts[stop]) < most):
             part.append(texts[stop].encode("utf-8", "replace"))
             size += len(part[-1]) + 1
             stop += 1
@@ -85,7 +85,7 @@ def split_words(data: bytes, wide: bool = False) -> tuple[np.ndarray, np.ndarray
             for at in lead[np.isin(same, WIDE_SPACES)]:
                 low[at : at + width] = 32
     inside = ~((low == 32) | ((low >= 9) & (low <= 13)))
-    edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))
+    edge = np.flatnonzero(np.concatenate([inside[:1], inside[1:] != inside[:-1], inside[-1:]]))
     return low, edge[0::2], edge[1::2]
 
 

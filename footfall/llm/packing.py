@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import functools
 import os
-import re
 import zlib
 from collections.abc import Callable, Iterator, Sequence
 from itertools import chain
@@ -30,7 +29,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .common import cut, small_batches
-from .hashing import MIX, PIECE, pieces, run_hashes, split_words
+from .hashing import MIX, pieces, run_hashes, split_words
 
 WINDOW = 2048
 #: The id that ends every document.
@@ -41,6 +40,8 @@ SHARD_TOKENS, TASK_TOKENS = 1_200_000, 9_600_000
 #: Terms are hashed into 2^TERM_BITS classes; their document frequencies (8 bytes each) go to every executor.
 TERM_BITS = 18
 K1, B = 1.2, 0.75
+#: Neighbours sorted before the others: a window takes a few.
+BEST = 32
 #: Chunks that one Python worker remembers, some 40 bytes each, and the places of their table.
 CACHE, SLOTS = 1_200_000, 1 << 21
 
@@ -66,9 +67,47 @@ class _Runs:
         return self.ids[ragged(self.starts[numbers], self.sizes[numbers])]
 
 
-#: A chunk in lower case: letters whose lower case and normal form are the same to Python and the tokenizer, then marks that
-#: are one run to it; or anything else.
-PLAIN = re.compile(r"^(?:([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)|.+)$", re.MULTILINE)
+#: White-space-free bytes encoded at once, which stay in a core's cache, and chunks looked up at once.
+ENCODE, ROUND = 1 << 17, 1 << 16
+#: Lower-case ASCII letters, and the ASCII marks that are one run to the tokenizer, by byte.
+_BYTES = np.arange(256)
+LETTERS = (_BYTES >= 97) & (_BYTES <= 122)
+MARKS = (_BYTES >= 33) & (_BYTES <= 126) & ~LETTERS & ~((_BYTES >= 48) & (_BYTES <= 57)) & ~((_BYTES >= 65) & (_BYTES <= 90))
+
+
+def letters(low: np.ndarray) -> np.ndarray:
+    """Whether each byte belongs to a lower-case letter whose lower case and normal form are the same to Python and the
+    tokenizer: a-z and those of Latin-1."""
+    found = LETTERS[low]
+    lead = np.flatnonzero(low[:-1] == 0xC3)
+    lead = lead[(low[lead + 1] >= 0x9F) & (low[lead + 1] != 0xB7)]
+    found[lead] = found[lead + 1] = True
+    return found
+
+
+def run_ends(inside: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where the run of true values that begins at each place ends; the last value is false."""
+    outside = np.flatnonzero(~inside)
+    return outside[np.searchsorted(outside, first)]
+
+
+def joined(low: np.ndarray, first: np.ndarray, last: np.ndarray, between: int) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of low one after the other, each followed by a byte `between`, and where they end."""
+    size = last - first + 1
+    out, ends = low[ragged(first, size)], np.cumsum(size) - 1
+    out[ends] = between
+    return out, ends
+
+
+def names(low: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers that tell the runs of low apart: a hash that is not 0, and the length mixed with the first eight bytes."""
+    size = (last - first).astype(np.uint64)
+    padded = np.zeros(len(low) + 8, np.uint8)
+    padded[: len(low)] = low
+    # eight bytes from each place on, of which those of the run count
+    eight = np.ndarray(len(low), "<u8", padded, strides=(1,))[first]
+    eight &= np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * np.minimum(size, np.uint64(8)))
+    return run_hashes(low, first, last) | np.uint64(1), (eight ^ size << np.uint64(1)) * MIX
 
 
 class _Chunks:
@@ -76,9 +115,9 @@ class _Chunks:
 
     Tokens never cross white space, and the tokenizer drops it, so the ids of a text are those of its chunks in order,
     and chunks that differ in ASCII case alone have the same. A chunk is known by a 64-bit hash, its length and its
-    first eight bytes. A run of letters is one word to the tokenizer, whatever follows it, so new words are encoded
-    together, as one text that is cut again at the marks of word ends, and the run of marks after a word is encoded by
-    itself. A tokenizer that does not work so gets whole texts.
+    first eight bytes. A run of letters is one word to the tokenizer, whatever follows it, so a chunk of letters and marks
+    is put together from its word and its run of marks, which are in the table too; new words are encoded together, as one
+    text that is cut again at the marks of word ends. A tokenizer that does not work so gets whole texts.
     """
 
     def __init__(self, path: str) -> None:
@@ -93,7 +132,7 @@ class _Chunks:
 
     def forget(self) -> None:
         self.held, self.filled = 0, 0
-        self.key, self.check = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.uint64)
+        self.key, self.check, self.again = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, bool)
         self.start, self.size = np.zeros(SLOTS, np.uint32), np.zeros(SLOTS, np.uint32)
         self.ids = np.empty(1 << 16, self.dtype)
 
@@ -102,38 +141,38 @@ class _Chunks:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         return np.fromiter(chain.from_iterable(ids), self.dtype), np.fromiter(map(len, ids), np.int64, len(ids))
 
-    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The same for words of letters only."""
+    def _words(self, low: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for runs of letters only."""
         ids, sizes = [np.empty(0, self.dtype)], [np.empty(0, np.int64)]
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
-            one = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
+        for at in range(0, len(first), 4096):
+            part = joined(low, first[at : at + 4096], last[at : at + 4096], 32)[0].tobytes().decode()
+            one = np.array(self.tokenizer.encode_batch_fast([part], add_special_tokens=False)[0].ids, self.dtype)
             stops = np.flatnonzero(self.ends[one]) + 1
             # else one of them is not a single word to the tokenizer
-            found = (one, np.diff(stops, prepend=0)) if len(stops) == len(part) else self._plain(part)
+            found = (one, np.diff(stops, prepend=0)) if len(stops) == len(first[at : at + 4096]) else self._plain(part.split())
             ids.append(found[0])
             sizes.append(found[1])
         return np.concatenate(ids), np.concatenate(sizes)
 
-    def _encoded(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The same for chunks of any kind."""
-        parts = PLAIN.findall("\n".join(chunks).lower())
-        plain = np.array([bool(letters) for letters, _ in parts])
-        words, marks = ({x: i for i, x in enumerate(dict.fromkeys(p[k] for p in parts if p[0]))} for k in (0, 1))
-        (word_ids, word_sizes), (mark_ids, mark_sizes) = self._words(list(words)), self._plain(list(marks))
-        rest_ids, rest_sizes = self._plain([c for c, (letters, _) in zip(chunks, parts, strict=True) if not letters])
-        word = np.array([words[p[0]] for p in parts if p[0]], np.int64)
-        mark = np.array([marks[p[1]] for p in parts if p[0]], np.int64)
-        # first runs: of words, or of chunks that are neither; second: of marks
-        source = np.concatenate([word_ids, rest_ids, mark_ids])
-        sizes = np.concatenate([word_sizes, rest_sizes, mark_sizes])
-        starts = np.cumsum(sizes) - sizes
-        first, second = np.empty(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
-        first[plain], first[~plain] = word, len(word_sizes) + np.arange(len(rest_sizes))
-        second[plain] = len(word_sizes) + len(rest_sizes) + mark
-        more = np.where(plain, sizes[second] if len(sizes) else 0, 0)
-        both = np.stack([starts[first], starts[second]], 1).ravel(), np.stack([sizes[first], more], 1).ravel()
-        return source[ragged(*both)], sizes[first] + more
+    def _learn_words(self, low: np.ndarray, first: np.ndarray, last: np.ndarray, key: np.ndarray, check: np.ndarray) -> None:
+        self._add(key, check, *self._words(low, first, last))
+
+    def _learn_texts(self, low: np.ndarray, first: np.ndarray, last: np.ndarray, key: np.ndarray, check: np.ndarray) -> None:
+        self._add(key, check, *self._plain(joined(low, first, last, 10)[0].tobytes().decode().split("\n")[:-1]))
+
+    def _learn_chunks(self, low: np.ndarray, first: np.ndarray, last: np.ndarray, key: np.ndarray, check: np.ndarray) -> None:
+        """Words and marks of which chunks are made are looked up before they are encoded."""
+        low, ends = joined(low, first, last, 32)
+        first, last = ends - (last - first), ends
+        middle = run_ends(letters(low), first)
+        plain = (middle > first) & (run_ends(MARKS[low], middle) == last)
+        marked = plain & (middle < last)
+        word = self._places(low, first[plain], middle[plain], self._learn_words)[marked[plain]]
+        mark = self._places(low, middle[marked], last[marked], self._learn_texts)
+        self._learn_texts(low, *(x[~plain] for x in (first, last, key, check)))
+        both = np.stack([word, mark], 1).ravel()
+        sizes = self.size[both].astype(np.int64)
+        self._add(key[marked], check[marked], self.ids[ragged(self.start[both].astype(np.int64), sizes)], sizes[0::2] + sizes[1::2])
 
     def _find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
         """The place of each chunk in the table, or -1."""
@@ -163,28 +202,40 @@ class _Chunks:
             on[chosen] = False
             left, at = left[on], (at[on] + 1) & (SLOTS - 1)
 
-    def _piece(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of all chunks of a piece in a row, the number of each chunk's ids, and where it starts."""
-        low, first, last = split_words(data, wide=True)
-        key = run_hashes(low, first, last) | np.uint64(1)  # 0 marks an empty place
-        size = last - first
-        # eight bytes from each place on, of which those of the chunk count
-        eight = np.ndarray(len(low), "<u8", np.append(low, np.zeros(8, np.uint8)).tobytes(), strides=(1,))[first]
-        eight &= np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * np.minimum(size, 8).astype(np.uint64))
-        check = (eight ^ size.astype(np.uint64) << np.uint64(1)) * MIX
+    def _thin_out(self) -> None:
+        """Forget the chunks that did not come again since they were added, or since this was last called. Half of the table at
+        least becomes free."""
+        kept = np.flatnonzero(self.again)[: CACHE // 2]
+        sizes = self.size[kept].astype(np.int64)
+        held = self.key[kept], self.check[kept], self.ids[ragged(self.start[kept].astype(np.int64), sizes)], sizes
+        self.forget()
+        self._add(*held)
+
+    def _places(self, low: np.ndarray, first: np.ndarray, last: np.ndarray, learn: Callable[..., None]) -> np.ndarray:
+        """The place of each run of low in the table, where `learn` puts what it does not hold."""
+        key, check = names(low, first, last)
         place = self._find(key, check)
+        self.again[place[place >= 0]] = True
         missing = np.flatnonzero(place < 0)
         if len(missing):
             new = missing[np.unique(key[missing], return_index=True)[1]]
-            if self.held + len(new) > CACHE and self.held:
-                self.forget()
-                return self._piece(data)
-            raw = low.tobytes()
-            chunks = [raw[a:b].decode() for a, b in zip(first[new].tolist(), last[new].tolist(), strict=True)]
-            self._add(key[new], check[new], *self._encoded(chunks))
+            learn(low, *(x[new] for x in (first, last, key, check)))
             place[missing] = self._find(key[missing], check[missing])
-        sizes = self.size[place].astype(np.int64)
-        return self.ids[ragged(self.start[place].astype(np.int64), sizes)], sizes, first
+        return place
+
+    def _piece(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all chunks of a piece in a row, the number of each chunk's ids, and where it starts."""
+        low, first, last = split_words(data, wide=True)
+        ids, sizes = [np.empty(0, self.dtype)], [np.empty(0, np.int64)]
+        for at in range(0, len(first), ROUND):
+            one = slice(first[at], last[min(at + ROUND, len(first)) - 1] + 1)
+            runs = first[at : at + ROUND] - one.start, last[at : at + ROUND] - one.start
+            if self.held and self.held + 3 * len(runs[0]) > CACHE:  # a chunk, its word and its marks
+                self._thin_out()
+            place = self._places(low[one], *runs, self._learn_chunks)
+            sizes.append(self.size[place].astype(np.int64))
+            ids.append(self.ids[ragged(self.start[place].astype(np.int64), sizes[-1])])
+        return np.concatenate(ids), np.concatenate(sizes), first
 
     def texts(self, texts: Sequence[str]) -> list[bytes]:
         """The ids of each text, as bytes."""
@@ -194,7 +245,7 @@ class _Chunks:
                 ids, sizes = self._plain(list(texts[at : at + 64]))
                 out += _cut_up(ids, sizes)
             return out
-        for ends, data in pieces(texts):
+        for ends, data in pieces(texts, ENCODE):
             ids, sizes, first = self._piece(data)
             upto = np.append(0, np.cumsum(sizes))[np.searchsorted(first, ends)]
             out += _cut_up(ids, np.diff(upto, prepend=0))
@@ -245,7 +296,7 @@ def terms(ids: Sequence[bytes], ends: np.ndarray, dtype: np.dtype) -> Terms:
     start = 0
     while start < len(ids):
         stop, size = start, 0
-        while stop < len(ids) and (stop == start or size + len(ids[stop]) // dtype.itemsize < PIECE):
+        while stop < len(ids) and (stop == start or size + len(ids[stop]) // dtype.itemsize < ENCODE):
             size += len(ids[stop]) // dtype.itemsize
             stop += 1
         flat = np.frombuffer(b"".join(ids[start:stop]), dtype)
@@ -255,7 +306,7 @@ def terms(ids: Sequence[bytes], ends: np.ndarray, dtype: np.dtype) -> Terms:
         last = np.flatnonzero(stops) + 1
         first = np.append(0, last[:-1])[: len(last)]
         classes.append((run_hashes(flat, first, last) >> np.uint64(64 - TERM_BITS)).astype(np.int64))
-        docs.append(start + np.searchsorted(upto, first, side="right"))
+        docs.append(np.repeat(np.arange(start, stop), np.diff(np.searchsorted(last, upto, side="right"), prepend=0)))
         start = stop
     return Terms(np.concatenate(docs), np.concatenate(classes))
 
@@ -367,14 +418,14 @@ class Index:
         weight = corpus.weights(term, count, np.bincount(found.doc, minlength=n_docs)[doc])
         self.starts = np.searchsorted(doc, np.arange(n_docs + 1))
         self.term, self.weight = term, weight
-        order = np.argsort(term, kind="stable")
+        order = np.argsort(term * n_docs + doc)  # all differ
         self.post_doc, self.post_weight = doc[order], weight[order]
         self.post_starts = np.searchsorted(term[order], np.arange((1 << TERM_BITS) + 1))
         self.held = n_docs
 
-    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """All unused documents that share a term with the seed, best score first (ties: lower place). A document that is
-        used once stays so: its postings may go."""
+    def ranked(self, seed: int, unused: np.ndarray) -> Iterator[np.ndarray]:
+        """All unused documents that share a term with the seed, best score first (ties: lower place): some BEST of them, then
+        the others, which are sorted only if they are asked for. A document that is used once stays so: its postings may go."""
         if 2 * np.count_nonzero(unused) < self.held:
             self._keep(unused)
         asked = self.term[self.starts[seed] : self.starts[seed + 1]]
@@ -382,7 +433,16 @@ class Index:
         at = ragged(first, self.post_starts[asked + 1] - first)
         scores = np.bincount(self.post_doc[at], self.post_weight[at], len(unused))
         found = np.flatnonzero((scores > 0) & unused)
-        return found[np.argsort(-scores[found], kind="stable")]
+        scores = -scores[found]
+        if len(found) > 2 * BEST:
+            best = scores <= np.partition(scores, BEST)[BEST]
+            yield found[best][np.argsort(scores[best], kind="stable")]
+            found, scores = found[~best], scores[~best]
+        yield found[np.argsort(scores, kind="stable")]
+
+    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
+        """The same in one array."""
+        return np.concatenate(list(self.ranked(seed, unused)))
 
     def _keep(self, unused: np.ndarray) -> None:
         kept = unused[self.post_doc]
@@ -416,7 +476,7 @@ def plan(lengths: np.ndarray, index: Index) -> list[tuple[int, int, int, int, in
             if doc < 0:
                 if not asked:
                     asked = True
-                    queue = iter(index.neighbours(int(order[at]), unused))
+                    queue = chain.from_iterable(index.ranked(int(order[at]), unused))
                     continue
                 while follow < len(order) and not unused[order[follow]]:
                     follow += 1

@@ -529,6 +529,41 @@ def test_random_texts_and_a_full_table(monkeypatch):
         assert [np.frombuffer(x, chunks.dtype).tolist() for x in chunks.texts(part)] == [e.ids for e in chunks.tokenizer.encode_batch(part, add_special_tokens=False)]
 
 
+class _Counting:
+    """A tokenizer that notes what it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.given = tokenizer, []
+
+    def encode_batch_fast(self, texts, **options):
+        self.given += " ".join(texts).split()
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_words_are_encoded_once_whatever_marks_follow():
+    chunks = packing._Chunks(tokenizer_path())
+    plain, chunks.tokenizer = chunks.tokenizer, _Counting(chunks.tokenizer)
+    for text in ["Qualmstern zorbel,", "qualmstern, zorbel\nQualmstern.", "zorbel. ZORBEL, straße!", "Straße, qualmstern!", "zorbel"]:
+        assert np.frombuffer(chunks.texts([text])[0], chunks.dtype).tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert sorted(chunks.tokenizer.given) == sorted(["qualmstern", "zorbel", "straße", ",", ".", "!"])
+
+
+def test_a_text_of_more_chunks_than_the_table_holds(monkeypatch):
+    """The table stays as small as it should within one text, and chunks that come again stay in a table that is full."""
+    monkeypatch.setattr(packing, "CACHE", 1000)
+    monkeypatch.setattr(packing, "ROUND", 100)
+    rng = np.random.default_rng(14)
+    new = lambda n: ["".join(rng.choice(list("abcdefghij"), 8)) + str(rng.choice(["", ",", "9"])) for _ in range(n)]
+    text = " ".join(w for i in range(60) for w in [*new(90), *["again", "and", "again,"] * 3])
+    chunks = packing._Chunks(tokenizer_path())
+    assert np.frombuffer(chunks.texts([text])[0], chunks.dtype).tolist() == chunks.tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(set(text.split())) > 5000 and chunks.held <= 1000
+    plain, chunks.tokenizer = chunks.tokenizer, _Counting(chunks.tokenizer)
+    part = " ".join([*new(400), "and again, again"])
+    assert np.frombuffer(chunks.texts([part])[0], chunks.dtype).tolist() == plain.encode(part, add_special_tokens=False).ids
+    assert not {"again", "and"} & set(chunks.tokenizer.given)
+
+
 def test_tokenizers_that_keep_white_space():
     for name in sorted(os.listdir(os.path.dirname(tokenizer_path()))):
         if name.endswith(".json") and name != os.path.basename(tokenizer_path()):
@@ -554,6 +589,18 @@ def test_packing_prefers_neighbours():
     assert packing.Index(found, 4, corpus).neighbours(0, np.array([False, True, True, True])).tolist() == [2]
 
 
+def test_neighbours_come_best_first_without_sorting_all(monkeypatch):
+    """The first run holds the best, with all ties of the last of them; the runs in a row are all neighbours in order."""
+    rng = np.random.default_rng(15)
+    words = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(12)]
+    texts = [" ".join(rng.choice(words, rng.integers(1, 6))) for _ in range(300)]
+    _, found, corpus, _ = _corpus(texts, 20.0)
+    runs = list(packing.Index(found, 300, corpus).ranked(0, np.arange(300) > 0))
+    monkeypatch.setattr(packing, "BEST", 1000)
+    (whole,) = packing.Index(found, 300, corpus).ranked(0, np.arange(300) > 0)
+    assert len(runs) == 2 and 32 < len(runs[0]) < len(whole) and np.concatenate(runs).tolist() == whole.tolist()
+
+
 def test_packing_takes_all_neighbours():
     """A window takes every document that shares a term, be it one of the least weighted, before any that does not."""
     own = " ".join(f"own{chr(97 + i)}" for i in range(12))

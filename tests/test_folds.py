@@ -94,3 +94,23 @@ def test_stored_metrics_are_read_again(spark, tmp_path):
     write_metrics({"m": spark.range(3)}, path)
     assert write_metrics({"m": spark.range(5)}, path)["m"].count() == 3
     assert write_metrics({"m": spark.range(5)}, path, reuse=False)["m"].count() == 5
+
+
+@pytest.mark.parametrize("kind", ["strauss", "dgs"])
+def test_images_share_exponentials(kind, monkeypatch):
+    """Several images of very unlike size in one profile, as one by one; and no more exponentials for more of them."""
+    rng = np.random.default_rng(8)
+    images = [(float(i), rng.random((6, 12)) * 10.0 ** (4 - 4 * i)) for i in range(4)]
+    xy = np.stack([rng.random(30) * 4000, rng.random(30) ** 3 * 2000], axis=1)
+    alphas = [-3.0, -0.2] if kind == "strauss" else [0.0, 2.0, 10.0]
+    sizes, exp = [], np.exp
+    profile = lambda chosen: dict(gibbs._Profiler(chosen, Q, [150.0, 400.0, 2500.0], alphas, kind).pattern(xy))[0]
+    together, apart = profile(images), np.concatenate([profile([image]) for image in images])
+    assert np.allclose(together, apart, rtol=1e-12)
+    monkeypatch.setattr(gibbs.np, "exp", lambda v, *a, **b: (sizes.append(np.size(v)), exp(v, *a, **b))[1])
+    counts = []
+    for chosen in (images[:1], images):
+        sizes.clear()
+        profile(chosen)
+        counts.append(sum(sizes))
+    assert counts[1] < 1.5 * counts[0] + 4 * Q.nx * Q.ny
